@@ -108,10 +108,11 @@ def postings(frequency: dict[str, int]) -> list[list[tuple[str, int]]]:
 
 def _places(template: tuple, anchors: list[tuple[str, int]]) -> Column:
     """Starts of a template: anchor positions intersected, then verified."""
-    starts = [
-        F.transform(F.filter("hits", lambda h, w=word: h.word == F.lit(w)), lambda h, o=off: h.at - F.lit(o))
-        for word, off in anchors
-    ]
+
+    def shifted(word: str, off: int) -> Column:
+        return F.transform(F.filter("hits", lambda h: h["word"] == F.lit(word)), lambda h: h["at"] - F.lit(off))
+
+    starts = [shifted(word, off) for word, off in anchors]
     common = reduce(F.array_intersect, starts) if len(starts) > 1 else F.array_distinct(starts[0])
 
     def stands(p: Column) -> Column:
