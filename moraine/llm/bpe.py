@@ -32,6 +32,11 @@ WORDS_KEPT = 400_000
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^ \\p{L}\\p{N}]+"
 END = "</w>"
+NO_RANK = 1 << 30
+#: Marks a special string among chunks, which hold no white space.
+SPECIAL = " "
+#: Characters that Python takes for white space and Unicode does not.
+NOT_SPACE = regex.compile("[\\x1c-\\x1f]")
 
 
 def byte_letters() -> list[str]:
@@ -62,33 +67,40 @@ class Codec:
         self.good: set[int] = set()
         self.bad: set[int] = set()
         self.words: dict[str, tuple[int, str, str]] = {}
-        self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.chunk: dict[str, tuple[int, str, str]] = {}
+        self.split_special = regex.compile(f"({'|'.join(map(regex.escape, self.special))})") if self.special else None
         self.space = regex.compile(f"[{SPACE}]+")
         self.pieces = regex.compile(PIECES)
 
-    def normalise(self, text: str) -> str:
+    def chunks(self, text: str) -> list[str]:
+        """The normalised text, cut at white space."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        text = self.space.sub(" ", text)
-        return (text if text.isascii() else text.replace("Σ", "σ")).lower()
-
-    def segments(self, text: str) -> Iterator[str | int]:
-        """Ids of special strings, and the words between them."""
-        at = 0
-        for m in self.split_special.finditer(text) if self.split_special else ():
-            yield from self.pieces.findall(self.normalise(text[at : m.start()]))
-            yield self.special[m[0]]
-            at = m.end()
-        yield from self.pieces.findall(self.normalise(text[at:] if at else text))
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if NOT_SPACE.search(text):
+            return [c for c in self.space.split(text.lower()) if c]
+        return text.lower().split()
+
+    def segments(self, text: str) -> list[str]:
+        """Special strings, and the chunks between them."""
+        if not self.split_special or not self.split_special.search(text):
+            return self.chunks(text)
+        out = []
+        for k, part in enumerate(self.split_special.split(text)):
+            out += [SPECIAL + part] if k % 2 else self.chunks(part)
+        return out
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact BPE: always the first of the lowest-ranked pairs."""
-        ranks = self.ranks
-        while len(symbols) > 1:
-            rank, at = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if rank == 1 << 30:
-                break
+        get = self.ranks.get
+        ranks = [get(p, NO_RANK) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NO_RANK:
+            at = ranks.index(least)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((symbols[at - 1], symbols[at]), NO_RANK)
+            if at < len(ranks):
+                ranks[at] = get((symbols[at], symbols[at + 1]), NO_RANK)
         return symbols
 
     def exact(self, word: str) -> list[int]:
@@ -141,21 +153,37 @@ class Codec:
                 ids = self.exact(spelled)
             self.words[word] = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
 
-    def prepare(self, texts: list[str]) -> list[list[str | int]]:
-        """Split a batch's texts and encode their new words together."""
-        split = [list(self.segments(t)) for t in texts]
-        if len(self.words) > WORDS_KEPT:
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """Split a batch's texts and encode their new chunks together."""
+        split = [self.segments(t) for t in texts]
+        if len(self.chunk) > WORDS_KEPT:
+            self.chunk.clear()
             self.words.clear()
-        if fresh := {w for s in split for w in s if w.__class__ is str and w not in self.words}:
-            self.learn(list(fresh))
+        fresh = set().union(*split).difference(self.chunk)
+        pieces = {c: self.pieces.findall(c) for c in fresh if c[0] != SPECIAL}
+        if new := set().union(*pieces.values()).difference(self.words):
+            self.learn(list(new))
+        for c in fresh:
+            if c[0] == SPECIAL:
+                self.chunk[c] = (1, str(self.special[c[1:]]), c[1:])
+            elif len(pieces[c]) == 1:
+                self.chunk[c] = self.words[c]
+            else:
+                counts, ids, tokens = zip(*map(self.words.__getitem__, pieces[c]), strict=True)
+                self.chunk[c] = (sum(counts), " ".join(filter(None, ids)), " ".join(filter(None, tokens)))
         return split
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(count, ids, tokens) of each text; ids and tokens joined by spaces."""
-        known, out = self.words, []
+        known, out = self.chunk, []
         for s in self.prepare(texts):
-            got = [known[w] if w.__class__ is str else (1, str(w), self.tokens[w]) for w in s]
-            out.append((sum(g[0] for g in got), " ".join(g[1] for g in got if g[0]), " ".join(g[2] for g in got if g[0])))
+            if s:
+                counts, ids, tokens = zip(*map(known.__getitem__, s), strict=True)
+                if 0 in counts:
+                    ids, tokens = filter(None, ids), filter(None, tokens)
+                out.append((sum(counts), " ".join(ids), " ".join(tokens)))
+            else:
+                out.append((0, "", ""))
         return out
 
     def decode(self, ids: list[int]) -> str:

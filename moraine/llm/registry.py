@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from moraine.llm import license_scan, sharding
+from moraine.llm import bpe, license_scan, mpeg_audio, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op4_media_mpeg_audio": mpeg_audio.op4_media_mpeg_audio,
+    "op8_bpe_codec": bpe.op8_bpe_codec,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 
