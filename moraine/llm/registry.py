@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from moraine.llm import bpe, license_scan, mpeg_audio, sharding
+from moraine.llm import bpe, license_scan, mpeg_audio, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op4_media_mpeg_audio": mpeg_audio.op4_media_mpeg_audio,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe_codec": bpe.op8_bpe_codec,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
