@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moraine.llm import bpe, license_scan, mpeg_audio, sharding, simhash, toxicity
+from moraine.llm import bpe, decontaminate, license_scan, mpeg_audio, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe_codec": bpe.op8_bpe_codec,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 
