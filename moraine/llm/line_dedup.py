@@ -33,6 +33,7 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 BUCKET_LIMIT = 1024
+TASK_LINES = 4000
 #: Characters signed at once.
 CHUNK = 1_000_000
 
@@ -118,11 +119,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind[0].dataType.simpleString()}, line_no int, digest binary, bands array<long>")
 
 
-def jaccard_links(digests: list[bytes], groups: np.ndarray, sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[bytes, bytes]]:
+def jaccard_links(digests: list[bytes], sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[bytes, bytes]]:
     """Links that connect what pairs of similarity ``least`` connect.
 
-    ``groups`` are parts: a line is its own pivot in turn and is compared with all
-    lines that are not yet connected to it.
+    Each line in turn is compared with all that are not yet connected to it.
     """
     n = len(sets)
     flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
@@ -166,13 +166,18 @@ def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     met = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
     dealt = members.join(texts, "digest").select("key", "digest", "line", F.explode(met).alias("p")).select("key", "digest", "line", "p.i", "p.j")
 
+    # small buckets travel together, TASK_LINES lines or so to a group
+    together = max(1, members.count() // TASK_LINES)
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(together)))
+
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("digest")
-        digests = [bytes(d) for d in pdf["digest"]]
-        found = jaccard_links(digests, pdf["i"].to_numpy(), [line_set(x) for x in pdf["line"]])
+        found: list[tuple[bytes, bytes]] = []
+        for _, one in pdf.groupby(["key", "i", "j"], sort=False):
+            one = one.sort_values("digest")
+            found += jaccard_links(list(one["digest"]), [line_set(x) for x in one["line"]])
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(links, "a binary, b binary")
+    return dealt.groupBy("group").applyInPandas(links, "a binary, b binary")
 
 
 def dropped_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
