@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from moraine.llm import bpe, decontaminate, license_scan, line_dedup, mpeg_audio, sharding, simhash, toxicity
+from moraine.llm import bpe, decontaminate, license_scan, line_dedup, mpeg_audio, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_media_mpeg_audio": mpeg_audio.op4_media_mpeg_audio,
+    "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe_codec": bpe.op8_bpe_codec,
