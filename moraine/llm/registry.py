@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from moraine.llm import bpe, decontaminate, license_scan, line_dedup, mpeg_audio, sharding, simhash, suffix_dedup, toxicity
+from moraine.llm import bpe, decontaminate, license_scan, line_dedup, mpeg_audio, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_warc_derivatives": warc.op2_warc_derivatives,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_media_mpeg_audio": mpeg_audio.op4_media_mpeg_audio,
     "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
@@ -18,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_license_scan": license_scan.oracle(),
+    "op2_warc_derivatives": warc.oracle(),
 }
