@@ -209,16 +209,24 @@ def _batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[list[str]]:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string): whole texts, encoded and decoded."""
+    """(doc_id, n_tokens, ids array<int>, decoded string): whole texts, there and back.
+
+    A null or empty text has no tokens and decodes to empty text. Rows are
+    independent; null ids stay null; extra columns are ignored.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(path)
         for b in batches:
-            rows = [r for texts in _batches(b["text"]) for r in codec.encode_batch(texts)]
-            ids = [[int(i) for i in r[1].split()] for r in rows]
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "ids": ids, "decoded": [codec.decode(i) for i in ids]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {_id_type(docs)}, ids array<int>, decoded string")
+            at = 0
+            for texts in _batches(b["text"]):
+                rows = codec.encode_batch(texts)
+                ids = [np.fromstring(r[1], np.int32, sep=" ") if r[0] else np.zeros(0, np.int32) for r in rows]
+                part = b["doc_id"].iloc[at : at + len(texts)]
+                at += len(texts)
+                yield pd.DataFrame({"doc_id": part.array, "n_tokens": [r[0] for r in rows], "ids": ids, "decoded": [r[2] for r in rows]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:

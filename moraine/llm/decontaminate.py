@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,6 +199,30 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield run
 
 
+def _found(texts: list[str | None], index: Index, share: float) -> Iterator[tuple[int, int, float]]:
+    """(place, item id, share) over texts taken ``CHUNK`` characters or so at once."""
+    sizes = np.cumsum([len(t or "") for t in texts]) // CHUNK
+    for c in np.unique(sizes):
+        at = np.flatnonzero(sizes == c)
+        yield from ((int(at[t]), i, s) for t, i, s in find([texts[k] or "" for k in at], index, share))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs``, all columns, without the rows that hold a benchmark item."""
+    for items in _blocks(benchmark, block):
+        held = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = build_index(held.value)
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[k for k, _, _ in _found(b.column("text").to_pylist(), index, share)]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, item_id, share) of each benchmark item that a document holds.
 
@@ -215,12 +240,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: flo
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = build_index(held.value)
             for b in batches:
-                texts = [t or "" for t in b["text"]]
-                sizes = np.cumsum([len(t) for t in texts]) // CHUNK
-                rows = []
-                for c in np.unique(sizes):
-                    at = np.flatnonzero(sizes == c)
-                    rows += [(b["doc_id"].iloc[int(at[t])], i, s) for t, i, s in find([texts[k] for k in at], index, share)]
+                rows = [(b["doc_id"].iloc[k], i, s) for k, i, s in _found(list(b["text"]), index, share)]
                 yield pd.DataFrame({"doc_id": [r[0] for r in rows], "item_id": [r[1] for r in rows], "share": [r[2] for r in rows]})
 
         found.append(docs.select("doc_id", "text").mapInPandas(run, schema))

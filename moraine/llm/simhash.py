@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.llm.common import materialize, table
@@ -33,6 +33,8 @@ LEAF = 192
 SHARD_LIMIT = 8192
 #: Fingerprints that a shard should hold on average; more key bits are used beyond.
 SHARD_AIM = 1024
+#: Ids sent to all tasks at most; beyond, a shuffle join does it.
+BROADCAST_IDS = 400_000
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
 
@@ -203,6 +205,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with the row of least doc_id of each component."""
+    found = materialize(spark, near_duplicates(spark, docs), "components")
+    spare = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("spare_id")).distinct()
+    if spare.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        spare = F.broadcast(spare)
+    kept = docs.join(spare, docs["doc_id"].eqNullSafe(F.col("spare_id")), "left_anti")
+    again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    # rows that share a doc_id and a component: the first by text stays
+    once = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    return kept.withColumn("row of the id", F.row_number().over(once)).where("`row of the id` = 1").drop("row of the id")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and component."""
     return near_duplicates(spark, table(spark, sf_dir, "documents"))

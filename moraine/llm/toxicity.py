@@ -243,6 +243,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Automaton, np.ndarray]:
     return automaton, fit_weights(x, y)
 
 
+def _scores(texts: list[str | None], automaton: Automaton, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array([features(t, automaton) for t in texts], float).reshape(-1, len(FEATURES))
+    return x, 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows predicted to be toxic."""
+    automaton, weights = fit(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, score = _scores(b.column("text").to_pylist(), automaton, weights)
+            yield b.filter(pa.array(score < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document with its held-out flag, score and prediction.
 
@@ -254,8 +271,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array([features(t, automaton) for t in b["text"]], float).reshape(-1, len(FEATURES))
-            score = 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
+            x, score = _scores(list(b["text"]), automaton, weights)
             counts = {f"n_{f}": np.ascontiguousarray(x[:, k], np.int64) for k, f in enumerate(FEATURES)}
             yield pd.DataFrame({"doc_id": b["doc_id"].array, **counts, "score": score})
 
