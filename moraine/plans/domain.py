@@ -100,7 +100,7 @@ def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = lambda c, flood, margin: F.when(F.col(c) == flood, "flooded").when(F.col(c) == margin, "margin").otherwise("outside")
     return i.join(o, i["l_orderkey"] == o["o_orderkey"]).select(
         F.col("l_suppkey").alias("lake_id"), F.col("o_custkey").alias("osm"), F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("line"), F.element_at(kinds, F.substring("o_orderpriority", 1, 1).cast("int")).alias("kind"),
+        F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.element_at(kinds, F.substring("o_orderpriority", 1, 1).cast("int")).alias("kind"),
         F.col("l_quantity").alias("km"), outcome("l_returnflag", "R", "A").alias("expected"),
         outcome("l_linestatus", "F", "X").alias("severe"),
         F.when(F.col("l_partkey") % 11 != 0, F.col("l_quantity") * 100 / 60).alias("fast_min"),
@@ -108,7 +108,7 @@ def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-IMPACTS = """impacts AS (SELECT l_suppkey AS lake_id, o_custkey AS osm, l_orderkey AS order_id, l_linenumber AS line,
+IMPACTS = """impacts AS (SELECT l_suppkey AS lake_id, o_custkey AS osm, l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part,
   ['settlement', 'school', 'road', 'bridge', 'hydro'][CAST(substr(o_orderpriority, 1, 1) AS INT)] AS kind, l_quantity AS km,
   CASE l_returnflag WHEN 'R' THEN 'flooded' WHEN 'A' THEN 'margin' ELSE 'outside' END AS expected,
   CASE l_linestatus WHEN 'F' THEN 'flooded' WHEN 'X' THEN 'margin' ELSE 'outside' END AS severe,
