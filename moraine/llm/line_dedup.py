@@ -53,12 +53,20 @@ def shingle_hashes(codes: np.ndarray) -> np.ndarray:
     return p * _K
 
 
-def line_set(line: str) -> np.ndarray:
-    """The distinct shingles of a line, hashed; a shorter line is one shingle."""
-    low = line.lower()
-    if len(low) < SHINGLE:
-        return np.array([zlib.crc32(low.encode())], np.uint64)
-    return np.unique(shingle_hashes(np.frombuffer(low.encode("utf-32-le"), np.uint32))[: len(low) - SHINGLE + 1])
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line, hashed; a shorter line is one shingle."""
+    low = [x.lower() for x in lines]
+    h = shingle_hashes(np.frombuffer("".join(low).encode("utf-32-le"), np.uint32))
+    out, at = [], 0
+    for x in low:
+        n = len(x) - SHINGLE + 1
+        if n < 1:
+            out.append(np.array([zlib.crc32(x.encode())], np.uint64))
+        else:
+            own = np.sort(h[at : at + n])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        at += len(x)
+    return out
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -119,22 +127,30 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind[0].dataType.simpleString()}, line_no int, digest binary, bands array<long>")
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``a`` stand in the sorted ``b``."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
 def jaccard_links(digests: list[bytes], sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[bytes, bytes]]:
     """Links that connect what pairs of similarity ``least`` connect.
 
-    Each line in turn is compared with all that are not yet connected to it.
+    Each line in turn is compared with the later ones that are not yet connected to
+    it, so a group that one line connects costs one comparison a line.
     """
     n = len(sets)
-    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-    starts = np.cumsum(sizes) - sizes
+    sizes = np.array([len(s) for s in sets])
     root = np.arange(n)
     links = []
-    for p in range(n):
-        if (root == root[0]).all():
-            break
-        common = np.add.reduceat(np.isin(flat, sets[p]), starts, dtype=np.int64)
-        near = np.flatnonzero((common >= least * (sizes + sizes[p] - common)) & (root != root[p]))
-        for q in near.tolist():
+    for p in range(n - 1):
+        others = p + 1 + np.flatnonzero(root[p + 1 :] != root[p])
+        # sizes alone rule out most lines of other lengths
+        others = others[(np.minimum(sizes[others], sizes[p]) >= least * np.maximum(sizes[others], sizes[p]))]
+        if not len(others):
+            continue
+        flat = np.concatenate([sets[q] for q in others.tolist()]) if len(others) > 1 else sets[int(others[0])]
+        common = np.add.reduceat(_common(flat, sets[p]), np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        for q in others[common >= least * (sizes[others] + sizes[p] - common)].tolist():
             if root[q] != root[p]:
                 links.append((digests[p], digests[q]))
                 root[root == root[q]] = root[p]
@@ -171,10 +187,15 @@ def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(together)))
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "i", "j", "digest"], ignore_index=True)
+        digests, lines = list(pdf["digest"]), list(pdf["line"])
+        text = dict(zip(digests, lines, strict=True))
+        sets = dict(zip(text, line_sets(list(text.values())), strict=True))
+        parts = pdf[["key", "i", "j"]].to_numpy()
+        edge = np.append(np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]).any(axis=1))), len(pdf)).tolist()
         found: list[tuple[bytes, bytes]] = []
-        for _, one in pdf.groupby(["key", "i", "j"], sort=False):
-            one = one.sort_values("digest")
-            found += jaccard_links(list(one["digest"]), [line_set(x) for x in one["line"]])
+        for a, b in zip(edge, edge[1:], strict=False):
+            found += jaccard_links(digests[a:b], [sets[d] for d in digests[a:b]])
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
     return dealt.groupBy("group").applyInPandas(links, "a binary, b binary")
