@@ -12,7 +12,8 @@ need to travel, so the work is dealt in three steps.
 2. Around kept anchors, segments of text are cut and sent by anchor hash; equal
    segments of a chunk are sent once, for the least doc_id, and the others are
    decided on the spot.
-3. A bucket sorts the suffixes of its segments, to ``SPAN`` bytes: a multikey
+3. A bucket makes equal segments one, and sorts the suffixes of those whose anchor
+   stands in several, to ``SPAN`` bytes: a multikey
    quicksort on words of eight bytes orders them to ``SHALLOW`` words; groups that
    still tie go to blind tries, which branch on the first byte that differs in a
    group and compare no other. Equal suffixes are runs; all but those of a run's
@@ -39,14 +40,17 @@ SPAN, K = 50, 16
 ANCHORS = SPAN - K + 1
 SHALLOW = 3
 #: Bytes of text handled at once.
-CHUNK = 4_000_000
+CHUNK = 500_000
 #: Ids of documents that may be sent to all tasks to thin a scan; beyond, a shuffle join does it.
 BROADCAST_IDS = 400_000
 #: Buckets to a shuffle partition.
-BUCKETS_EACH = 4
+BUCKETS_EACH = 2
+#: Finer buckets to each of those for segments, whose suffixes are sorted in memory.
+SEGMENTS_EACH = 4
 
 _rng = np.random.default_rng(5)
 _MULT = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 5, dtype=np.uint64)]
+_SMALL = [np.uint32(int(x) | 1) for x in _rng.integers(1, 2**32, 5, dtype=np.uint32)]
 
 
 def _chunks(ids: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -62,49 +66,60 @@ def _chunks(ids: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[by
         yield np.array(of, np.int64), run
 
 
-def _shift(x: np.ndarray, by: int) -> np.ndarray:
-    return np.append(x[by:], np.zeros(min(by, len(x)), x.dtype))
-
-
-def _slide(x: np.ndarray, width: int, pick, later: bool) -> np.ndarray:
-    """Least or greatest of ``width`` values from (or, not ``later``, up to) each place."""
-    if not later:
-        return _slide(x[::-1], width, pick, True)[::-1]
-    fill = np.iinfo(x.dtype).max if pick is np.minimum else 0
+def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest of the ``width`` values from each place on, fewer at the end."""
     have = 1
     while have < width:
         step = min(have, width - have)
-        x = pick(x, np.append(x[step:], np.full(min(step, len(x)), fill, x.dtype)))
-        have += step
+        out = x.copy()
+        pick(x[:-step], x[step:], out=out[:-step])
+        x, have = out, have + step
     return x
 
 
 class Anchors:
-    """Anchor hashes of a chunk's bytes, and the windows that name each."""
+    """Anchors of a chunk's bytes, their identities and the windows that name each.
+
+    A small hash orders the places; only anchors get the wide one that identifies
+    their bytes.
+    """
 
     def __init__(self, texts: list[bytes]) -> None:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
         self.start = np.cumsum(sizes) - sizes
-        left = np.repeat(self.start + sizes, sizes) - np.arange(len(self.data))  # bytes from here to the text's end
-        h = self.data.astype(np.uint64) + np.uint64(1)
-        for step, m in zip((1, 2, 4, 8), _MULT, strict=False):
-            h = h * m + _shift(h, step)
-        h ^= h >> np.uint64(31)
-        h *= _MULT[4]
-        self.hash = h ^ (h >> np.uint64(29)) | np.uint64(1)  # never 0
-        self.window = left >= SPAN
-        self.least = np.where(self.window, _slide(self.hash, ANCHORS, np.minimum, True), np.uint64(0))
+        h = self.data.astype(np.uint32) + np.uint32(1)
+        for step, m in ((1, _SMALL[0]), (2, _SMALL[1]), (4, _SMALL[2]), (K - 8, _SMALL[3])):
+            nxt = h * m
+            nxt[:-step] += h[step:]
+            h = nxt
+        h ^= h >> np.uint32(15)
+        h *= _SMALL[4]
+        self.order = (h ^ (h >> np.uint32(13))) | np.uint32(1)  # never 0
+        window = np.zeros(len(self.data), np.uint32)
+        for at, size in zip(self.start.tolist(), sizes.tolist(), strict=True):
+            if size >= SPAN:
+                window[at : at + size - SPAN + 1] = np.iinfo(np.uint32).max
+        self.least = _slide(self.order, ANCHORS, np.minimum) & window
         # a place is an anchor if it is the least of some window over it
-        self.at = np.flatnonzero(_slide(self.least, ANCHORS, np.maximum, False) == self.hash)
-        self.text = np.searchsorted(self.start, self.at, side="right") - 1 if len(texts) else self.at
+        self.at = np.flatnonzero(_slide(self.least[::-1], ANCHORS, np.maximum)[::-1] == self.order)
+        self.text = np.searchsorted(self.start, self.at, side="right") - 1
         # empty texts share their start with the next: the last one of a start is the one with bytes
         self.within = self.at - self.start[self.text]
 
+    def identity(self, at: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the ``K`` bytes at ``at``."""
+        rows = self.data[at[:, None] + np.arange(K)].view(np.uint64)
+        h = np.zeros(len(at), np.uint64)
+        for c in range(K // 8):
+            h = (h ^ (rows[:, c] * _MULT[c])) * _MULT[4]
+            h ^= h >> np.uint64(31)
+        return h * _MULT[3] ^ (h >> np.uint64(17))
+
     def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last start of the windows that name the anchors ``at``."""
         around = at[:, None] + np.arange(1 - ANCHORS, 1)
-        named = (around >= 0) & (self.least[np.maximum(around, 0)] == self.hash[at][:, None])
+        named = (around >= 0) & (self.least[np.maximum(around, 0)] == self.order[at][:, None])
         first = at - (ANCHORS - 1) + named.argmax(axis=1)
         return first, at - named[:, ::-1].argmax(axis=1)
 
@@ -147,7 +162,7 @@ def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
                 a = Anchors(texts)
                 if not len(a.at):
                     continue
-                h, doc, at = a.hash[a.at], ids[a.text], a.within.astype(np.int32)
+                h, doc, at = a.identity(a.at), ids[a.text], a.within.astype(np.int32)
                 order = np.lexsort((doc, h))
                 h, doc, at = h[order], doc[order], at[order]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -264,14 +279,14 @@ def segments(placed: DataFrame, buckets: int) -> DataFrame:
                         blob=pa.array([_pack(doc[gone], key[gone], begin[gone], begin[gone] + size[gone])], pa.binary()),
                     )
                 chosen = np.flatnonzero(stays)
-                bucket = (a.hash[at[chosen]] >> np.uint64(8)) % np.uint64(buckets)
+                bucket = (a.identity(at[chosen]) >> np.uint64(8)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 chosen, bucket = chosen[order], bucket[order]
                 edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
                 to, blobs = [], []
                 for i, j in zip(edge, edge[1:], strict=False):
                     c = chosen[i:j]
-                    head_ = (doc[c], key[c], begin[c], size[c])
+                    head_ = (doc[c], key[c], begin[c], size[c], (at[c] - first[c]).astype(np.uint8))
                     raw = np.frombuffer(b"".join(cut[k] for k in c.tolist()), np.uint8)
                     fixed = np.int64(len(c)).tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in head_) + raw.tobytes()
                     to.append(int(bucket[i]))
@@ -365,8 +380,8 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return order, run
 
 
-def removed_spans(doc: np.ndarray, begin: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, start, end) of the byte runs removed, in the documents' places."""
+def removed_spans(doc: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, end) of the byte runs removed, in the segments' places."""
     suffixes = size - SPAN + 1
     offset = np.cumsum(size) - size
     seg = np.repeat(np.arange(len(size)), suffixes)
@@ -382,7 +397,39 @@ def removed_spans(doc: np.ndarray, begin: np.ndarray, size: np.ndarray, data: np
         return hit, hit, hit
     fresh = np.append(True, (hit[1:] != hit[:-1] + 1) | (seg[hit[1:]] != seg[hit[:-1]]))
     a, b = hit[np.flatnonzero(fresh)], hit[np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)]
-    return seg[a], begin[seg[a]] + step[a], begin[seg[b]] + step[b] + SPAN
+    return seg[a], step[a], step[b] + SPAN
+
+
+def decide(doc: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, data: bytes) -> tuple[np.ndarray, ...]:
+    """(doc, key, start, end) of the runs removed from a bucket's segments.
+
+    Equal segments are one: those of greater doc_ids go whole. Only segments whose
+    anchor's bytes stand in another, different segment are sorted.
+    """
+    offset = np.cumsum(size, dtype=np.int64) - size
+    cut = [data[o : o + n] for o, n in zip(offset.tolist(), size.tolist(), strict=True)]
+    least: dict[bytes, int] = {}
+    for k in np.lexsort((key, doc)).tolist():
+        least.setdefault(cut[k], k)
+    head = np.array([least[c] for c in cut], np.int64)
+    gone = doc > doc[head]
+    out = [(doc[gone], key[gone], begin[gone], begin[gone] + size[gone])]
+    heads = np.unique(head)
+    names: dict[bytes, int] = {}
+    anchor = np.array([names.setdefault(cut[h][p : p + K], len(names)) for h, p in zip(heads.tolist(), place[heads].tolist(), strict=True)], np.int64)
+    chosen = heads[np.bincount(anchor)[anchor] > 1]
+    seg, start, end = removed_spans(doc[chosen], size[chosen].astype(np.int64), np.frombuffer(b"".join(cut[h] for h in chosen.tolist()), np.uint8))
+    if len(seg):
+        # a head's runs hold for its equals in the same document too
+        of = chosen[seg]
+        rank = np.argsort(head[~gone], kind="stable")
+        alike = np.flatnonzero(~gone)[rank]
+        lo, hi = np.searchsorted(head[alike], of, "left"), np.searchsorted(head[alike], of, "right")
+        run = np.repeat(np.arange(len(of)), hi - lo)
+        member = alike[np.repeat(lo, hi - lo) + np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+        out.append((doc[member], key[member], begin[member] + start[run], begin[member] + end[run]))
+    doc, key, start, end = (np.concatenate(c) for c in zip(*out, strict=True))
+    return doc, key, start.astype(np.int32), end.astype(np.int32)
 
 
 SPANS = "doc_id long, text_key long, start int, end int"
@@ -398,7 +445,7 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     places = materialize(spark, shared_anchors(docs.where("doc_id is not null"), buckets), "places")
     near = _thinned(docs, places.select("doc_id"))
     placed = near.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(places, "doc_id")
-    cut = materialize(spark, segments(placed, buckets), "segments")
+    cut = materialize(spark, segments(placed, SEGMENTS_EACH * buckets), "segments")
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,12 +456,11 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def bucket_spans(blobs: list[bytes]) -> pa.RecordBatch:
         parts, tails = [], []
         for x in blobs:
-            columns, tail = _unpack(x, "i8", "i8", "i4", "i4")
+            columns, tail = _unpack(x, "i8", "i8", "i4", "i4", "u1")
             parts.append(columns)
             tails.append(tail)
-        doc, key, begin, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-        seg, start, end = removed_spans(doc, begin.astype(np.int64), size.astype(np.int64), np.frombuffer(b"".join(tails), np.uint8))
-        return _span_batch(doc[seg], key[seg], start.astype(np.int32), end.astype(np.int32))
+        doc, key, begin, size, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return _span_batch(*decide(doc, key, begin, size, place, b"".join(tails)))
 
     def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -429,7 +475,7 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield bucket_spans(held)
 
     here = cut.where("kind = 0").select("blob").mapInArrow(decided, SPANS)
-    dealt = cut.where("kind = 1").select("bucket", "blob").repartition(buckets // BUCKETS_EACH, "bucket").sortWithinPartitions("bucket")
+    dealt = cut.where("kind = 1").select("bucket", "blob").repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
     return here.unionByName(dealt.mapInArrow(sorted_buckets, SPANS))
 
 
