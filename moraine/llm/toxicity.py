@@ -111,21 +111,19 @@ class Automaton:
         """The term that the word is or begins with, and the edits; fewest first."""
         best: tuple[int, str] | None = None
         state = self.start
-        for letter in word + END:
+        for at, letter in enumerate(word + END, 1):
             state = self.step(state, letter)
             if not state:
                 break
             for node, used in state:
-                if node in self.ends and self._counts(node, used, letter) and (best is None or (used, self.ends[node]) < best):
-                    best = (used, self.ends[node])
+                term = self.ends.get(node)
+                # a misspelled stem must be the whole word
+                if term and (letter == END if term.endswith(END) else not used or at == len(word)) and (best is None or (used, term) < best):
+                    best = (used, term)
             if best and best[0] == 0:
                 break
         return (best[1], best[0]) if best else None
 
-    def _counts(self, node: int, used: int, letter: str) -> bool:
-        term = self.ends[node]
-        return letter == END if term.endswith(END) else (used == 0 or letter == END)
-
 
 def _terms(text: str | None) -> set[str]:
     """A text's distinct words, marked as whole, and their prefixes."""
