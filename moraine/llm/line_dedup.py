@@ -176,7 +176,8 @@ def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     wanted = members.select("digest").distinct()
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
     lines = lines.select(F.unhex(F.md5("line")).alias("digest"), "line")
-    texts = lines.join(wanted, "digest").groupBy("digest").agg(F.first("line").alias("line"))  # equal digests, equal lines
+    # equal digests are equal lines, so a task sends a common line once, before any of its rows meet
+    texts = lines.groupBy("digest").agg(F.first("line").alias("line")).join(wanted, "digest")
     parts = F.ceil(F.col("n") / BUCKET_LIMIT).cast("int")
     mine = F.pmod(F.xxhash64("digest"), parts).cast("int")
     met = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
