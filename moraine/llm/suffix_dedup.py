@@ -47,6 +47,8 @@ BROADCAST_IDS = 400_000
 BUCKETS_EACH = 2
 #: Finer buckets to each of those for segments, whose suffixes are sorted in memory.
 SEGMENTS_EACH = 4
+#: Places a task gathers before it sends them on.
+PLACES_HELD = 2_000_000
 
 _rng = np.random.default_rng(5)
 _MULT = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 5, dtype=np.uint64)]
@@ -174,8 +176,8 @@ def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
                 send[first[shared]] = send[last[shared]] = True
                 bucket = np.concatenate([(h[send] % np.uint64(buckets)).astype(np.int64), np.full(known.sum(), -1)])
                 h, doc, at = (np.concatenate([c[send], c[known]]) for c in (h, doc, at))
-                # a share of the known ones to each of some rows, for they need not meet
-                order = np.argsort(bucket, kind="stable")
+                # documents in order pack best
+                order = np.lexsort((at, doc, bucket))
                 bucket, h, doc, at = bucket[order], h[order], doc[order], at[order]
                 cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
                 keys, blobs = [], []
@@ -193,14 +195,18 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     salt = F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket"))
     dealt = blobs.withColumn("to", salt).repartition(buckets // BUCKETS_EACH, "to").sortWithinPartitions("bucket").select("bucket", "blob")
 
-    def rows(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(doc, kind="stable")
-        doc, at = doc[order], at[order]
-        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        offsets = pa.array(np.append(first, len(doc)), pa.int32())
-        return _batch(doc_id=pa.array(doc[first], pa.int64()), places=pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())))
+    groups = parallelism(docs.sparkSession)
 
-    def shared(blobs: list[bytes]) -> pa.RecordBatch:
+    def packed(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """Places by group of documents, so that a document's meet in one task."""
+        group = doc % groups
+        order = np.lexsort((at, doc, group))
+        group, doc, at = group[order], doc[order], at[order]
+        cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist() if len(group) else [0]
+        blobs = [_pack(doc[i:j], at[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+        return _batch(to=pa.array(group[cut[:-1]], pa.int32()), blob=pa.array(blobs, pa.binary()))
+
+    def shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         parts = []
         for x in blobs:
             (h, doc, at), _ = _unpack(x, "V6", "i8", "i4")
@@ -214,26 +220,54 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         size = np.diff(np.append(first, len(h)))
         both = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         keep = np.repeat(both, size)
-        return rows(doc[keep], at[keep])
+        return doc[keep], at[keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found, size = None, [], [], 0
         for b in batches:
             for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 if bucket < 0:
-                    (_, doc, at), _ = _unpack(blob, "V6", "i8", "i4")
-                    yield rows(doc, at)
-                    continue
-                if bucket != now and held:
-                    yield shared(held)
+                    found.append(tuple(_unpack(blob, "V6", "i8", "i4")[0][1:]))
+                    size += len(found[-1][0])
+                else:
+                    if bucket != now and held:
+                        found.append(shared(held))
+                        size += len(found[-1][0])
+                        held = []
+                    now = bucket
+                    held.append(blob)
+                if size > PLACES_HELD:
+                    yield packed(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                    found, size = [], 0
+        if held:
+            found.append(shared(held))
+        if found:
+            yield packed(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+    def by_document(blobs: list[bytes]) -> pa.RecordBatch:
+        doc, at = (np.concatenate(c) for c in zip(*(_unpack(x, "i8", "i4")[0] for x in blobs), strict=True))
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        fresh = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+        doc, at = doc[fresh], at[fresh]
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        offsets = pa.array(np.append(first, len(doc)), pa.int32())
+        return _batch(doc_id=pa.array(doc[first], pa.int64()), places=pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for to, blob in zip(b.column("to").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if to != now and held:
+                    yield by_document(held)
                     held = []
-                now = bucket
+                now = to
                 held.append(blob)
         if held:
-            yield shared(held)
+            yield by_document(held)
 
-    found = dealt.mapInArrow(run, "doc_id long, places array<int>")
-    return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    met = dealt.mapInArrow(find, "to int, blob binary").repartition(groups, "to").sortWithinPartitions("to")
+    return met.mapInArrow(gather, "doc_id long, places array<int>")
 
 
 def _thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
