@@ -41,8 +41,8 @@ def latin_key(name: Column) -> Column:
     pairs = [(mark, base) for base, marks in MARKED.items() for mark in marks] + [("w", "v")]
     key = F.translate(F.lower(name), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
     key = F.regexp_replace(key, "[^a-z0-9]", "")
-    for letter in "abcdfghijklmnpqrstuvwxyz":  # all but e and o, whose pairs are vowels of their own
-        key = F.regexp_replace(key, f"(?<!{letter}){letter}{letter}(?!{letter})", letter)
+    # runs of three or more are matched first and kept, so what is left are pairs; e and o have pairs of their own
+    key = F.regexp_replace(key, r"(([a-z])\2{2,})|(([a-df-np-z])\4)", "$1$4")
     key = F.regexp_replace(F.regexp_replace(key, "(?<!e)ee(?!e)", "i"), "(?<!o)oo(?!o)", "u")
     return F.replace(key, F.lit("ph"), F.lit("f"))
 

@@ -17,16 +17,26 @@ def with_keys(places: DataFrame, name: str = "name", name_hi: str | None = None)
     return places.withColumn("keys", keys)
 
 
-def _passes(keys: Column, q: Column) -> list[Column]:
-    """The tier of each pass, strictest first."""
-    hindi = text.has_devanagari(q)
-    latin = text.latin_key(F.when(hindi, text.transliterate(q)).otherwise(q))
-    bare = F.when(F.length(text.bare_key(latin)) >= text.MIN_BARE, text.bare_key(latin)).otherwise("")
-    bones = text.skeleton(latin)
-    same = (bare != "") & (keys["bare"] == bare)
-    first = F.when(hindi & same, text.EXACT).when(hindi, text.match_tier(keys["hindi"], text.hindi_key(q))).otherwise(text.match_tier(keys["latin"], latin))
-    second = F.when(hindi, text.match_tier(keys["bare"], bare)).otherwise(text.NONE)
-    third = F.when((F.length(bones) >= text.MIN_SKELETON) & (keys["skeleton"] == bones), text.SUBSTRING).otherwise(text.NONE)
+def _asked_keys(asked: DataFrame) -> DataFrame:
+    """Each asked name with the keys that its passes compare."""
+    hindi = text.has_devanagari(F.col("q"))
+    out = asked.select("q", hindi.alias("q_is_hi"), text.hindi_key(F.col("q")).alias("q_hindi"), F.when(hindi, text.transliterate(F.col("q"))).otherwise(F.col("q")).alias("latin"))
+    out = out.withColumn("q_latin", text.latin_key(F.col("latin"))).drop("latin")
+    bare = text.bare_key(F.col("q_latin"))
+    return out.withColumn("q_bare", F.when(F.length(bare) >= text.MIN_BARE, bare).otherwise("")).withColumn("q_bones", text.skeleton(F.col("q_latin")))
+
+
+def _passes() -> list[Column]:
+    """The tier of each pass, strictest first, over the place's and the asked keys."""
+    hindi, bare, bones = F.col("q_is_hi"), F.col("q_bare"), F.col("q_bones")
+    same = (bare != "") & (F.col("k_bare") == bare)
+    first = (
+        F.when(hindi & same, text.EXACT)
+        .when(hindi, text.match_tier(F.col("k_hindi"), F.col("q_hindi")))
+        .otherwise(text.match_tier(F.col("k_latin"), F.col("q_latin")))
+    )
+    second = F.when(hindi, text.match_tier(F.col("k_bare"), bare)).otherwise(text.NONE)
+    third = F.when((F.length(bones) >= text.MIN_SKELETON) & (F.col("k_bones") == bones), text.SUBSTRING).otherwise(text.NONE)
     return [first, second, third]
 
 
@@ -37,13 +47,14 @@ def search(places: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
     scan grades all passes and a query's strictest successful pass decides. The
     asked names are a handful, typed by people; they are sent to every task.
     """
-    both = places.crossJoin(F.broadcast(asked))
-    tiers = _passes(F.col("keys"), F.col("q"))
+    index = places.select("place_id", "size", "covered", *[F.col(f"keys.{k}").alias(f"k_{n}") for k, n in (("latin", "latin"), ("hindi", "hindi"), ("bare", "bare"), ("skeleton", "bones"))])
+    both = index.crossJoin(F.broadcast(_asked_keys(asked)))
+    tiers = _passes()
     graded = both.select("q", "place_id", "size", "covered", F.array(*[F.when(t < text.NONE, F.struct(F.lit(k).alias("p"), t.alias("tier"))) for k, t in enumerate(tiers)]).alias("found"))
     hits = graded.withColumn("best", F.array_min(F.array_compact("found"))).where("best is not null").select("q", "place_id", "size", "covered", "best.*")
-    per = hits.groupBy("q").agg(F.min("p").alias("p"))
-    w = Window.partitionBy("q").orderBy("tier", F.desc("covered"), "size", "place_id")
-    return hits.join(per, ["q", "p"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("q", "rank", "place_id", "p", "tier")
+    w = Window.partitionBy("q").orderBy("p", "tier", F.desc("covered"), "size", "place_id")
+    ranked = hits.withColumn("strictest", F.min("p").over(Window.partitionBy("q"))).where("p = strictest")
+    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("q", "rank", "place_id", "p", "tier")
 
 
 def threats(impacts: DataFrame) -> DataFrame:
