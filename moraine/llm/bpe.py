@@ -28,6 +28,8 @@ from moraine.llm.common import table
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their tokens in a task; the memory is emptied beyond that.
 WORDS_KEPT = 400_000
+#: Characters whose ids are held at once.
+RUN = 1_000_000
 #: The characters with Unicode property White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^ \\p{L}\\p{N}]+"
@@ -51,7 +53,8 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = WORDS_KEPT) -> None:
+        self.kept = kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ids: dict[str, int] = dict(spec["model"]["vocab"])
@@ -156,7 +159,7 @@ class Codec:
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """Split a batch's texts and encode their new chunks together."""
         split = [self.segments(t) for t in texts]
-        if len(self.chunk) > WORDS_KEPT:
+        if len(self.chunk) > self.kept:
             self.chunk.clear()
             self.words.clear()
         fresh = set().union(*split).difference(self.chunk)
@@ -208,25 +211,28 @@ def _batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[list[str]]:
         yield run
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, decoded: bool = True, kept: int = WORDS_KEPT) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded string): whole texts, there and back.
 
-    A null or empty text has no tokens and decodes to empty text. Rows are
-    independent; null ids stay null; extra columns are ignored.
+    Without ``decoded`` that column is left out. A null or empty text has no tokens
+    and decodes to empty text. Rows are independent; null ids stay null; extra
+    columns are ignored. A task keeps at most ``kept`` words and a run's.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = Codec(path, kept)
         for b in batches:
             at = 0
-            for texts in _batches(b["text"]):
+            for texts in _batches(b["text"], RUN):
                 rows = codec.encode_batch(texts)
                 ids = [np.fromstring(r[1], np.int32, sep=" ") if r[0] else np.zeros(0, np.int32) for r in rows]
                 part = b["doc_id"].iloc[at : at + len(texts)]
                 at += len(texts)
-                yield pd.DataFrame({"doc_id": part.array, "n_tokens": [r[0] for r in rows], "ids": ids, "decoded": [r[2] for r in rows]})
+                out = {"doc_id": part.array, "n_tokens": [r[0] for r in rows], "ids": ids}
+                yield pd.DataFrame(out | {"decoded": [r[2] for r in rows]} if decoded else out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>, decoded string")
+    schema = f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>" + ", decoded string" * decoded
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
