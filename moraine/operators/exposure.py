@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import rules
+from moraine.operators import routing
 
 STATUSES = ("in_flood_path", "at_risk", "outside")
 KINDS = ("settlement", "school", "health", "hydro", "bridge", "road")
@@ -94,3 +95,23 @@ def chunk_gaps(done: DataFrame, lakes: DataFrame, width: float = 20.0) -> DataFr
     have = done.select("lake_id", F.floor(F.col("km") / width).cast("int").alias("chunk")).distinct()
     left = want.join(have, ["lake_id", "chunk"], "left_anti")
     return left.select("lake_id", (F.col("chunk") * width).alias("from_km"), F.least((F.col("chunk") + 1) * width, F.col("path_km")).alias("to_km"))
+
+
+def assess(samples: DataFrame, stations: DataFrame) -> DataFrame:
+    """Status of each asset from its sample points.
+
+    ``samples(path_id, asset_id, point, kind, km, ground_m, reached, near)`` against
+    ``stations(path_id, km, wse_m)``. An asset's height is its lowest reached ground
+    above the flood, else its lowest ground; heights are in tenths before their sign
+    is read. Unknown ground says nothing.
+    """
+    keyed = samples.withColumn("asset", F.struct("asset_id", "point"))
+    levels = routing.level_along(keyed.select("path_id", "km", F.col("asset").alias("asset_id")), stations).select("path_id", F.col("asset_id").alias("asset"), "level_m")
+    height = F.floor((F.col("ground_m") - F.col("level_m")) * 10 + 0.5) / 10
+    rows = keyed.join(levels, ["path_id", "asset"]).withColumn("h", height)
+    out = rows.groupBy("path_id", "asset_id", "kind").agg(
+        F.min(F.when(F.col("reached"), F.col("h"))).alias("in_reach"), F.min("h").alias("lowest"), F.bool_or("near").alias("near"), F.min("km").alias("km")
+    )
+    reached = F.col("in_reach").isNotNull()
+    out = out.withColumn("raw", F.coalesce("in_reach", "lowest")).withColumn("status", rules.asset_status(F.col("kind"), reached, F.col("raw"), F.col("near")))
+    return out.select("path_id", "asset_id", "kind", "km", "status", rules.asset_height(F.col("status"), F.col("raw")).alias("height_m"))

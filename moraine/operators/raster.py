@@ -53,15 +53,15 @@ def close(mask: DataFrame) -> DataFrame:
     return erode(dilate(mask))
 
 
-def components(spark: SparkSession, mask: DataFrame, rounds: int = 64) -> DataFrame:
-    """8-connected components of ``mask``, labelled by their least cell in row order.
+def components(spark: SparkSession, mask: DataFrame, rounds: int = 64, diagonal: bool = True) -> DataFrame:
+    """Connected components of ``mask``, labelled by their least cell in row order.
 
     Labels spread by taking the least neighbour and jumping to the label's own
     label, so a component of diameter d takes about log d rounds.
     """
     cell = F.struct("r", "c")
     nodes = mask.select(*CELL).distinct().withColumn("label", cell)
-    links = _offsets(nodes.select(*CELL), NEIGHBOURS).join(nodes.select(*CELL), CELL)
+    links = _offsets(nodes.select(*CELL), [o for o in NEIGHBOURS if diagonal or 0 in o]).join(nodes.select(*CELL), CELL)
     links = links.select("grid_id", F.struct("r0", "c0").alias("a"), cell.alias("b")).select(
         "grid_id", F.struct(F.col("a.r0").alias("r"), F.col("a.c0").alias("c")).alias("a"), "b"
     )
@@ -70,7 +70,7 @@ def components(spark: SparkSession, mask: DataFrame, rounds: int = 64) -> DataFr
         best = links.join(old, ["grid_id", "b"]).groupBy("grid_id", F.col("a").alias("at")).agg(F.min("l").alias("near"))
         step = nodes.withColumn("at", cell).join(best, ["grid_id", "at"], "left").select(*CELL, F.least("label", "near").alias("label"))
         jump = step.select("grid_id", cell.alias("label"), F.col("label").alias("further"))
-        new = step.join(jump, ["grid_id", "label"]).select(*CELL, F.col("further").alias("label"), )
+        new = step.join(jump, ["grid_id", "label"]).select(*CELL, F.col("further").alias("label"))
         new = new.checkpoint()
         changed = new.join(nodes.withColumnRenamed("label", "was"), CELL).where("label <> was").isEmpty()
         nodes = new
@@ -160,3 +160,52 @@ def lake_extent(mask: DataFrame, res: float = 10.0) -> DataFrame:
     area = mask.groupBy("grid_id").agg(F.count("*").alias("cells"))
     edge = (4 * F.col("cells") - F.coalesce("shared", F.lit(0))) * res
     return area.join(inner, "grid_id", "left").select("grid_id", (F.col("cells") * res * res).alias("area_m2"), edge.alias("perimeter_m"), (edge * res / 2).alias("uncertainty_m2"))
+
+
+def fill_holes(spark: SparkSession, mask: DataFrame, cells: DataFrame) -> DataFrame:
+    """The mask and the dry parts of its grid that do not reach the grid's edge."""
+    dry = cells.select(*CELL).join(mask.select(*CELL), CELL, "left_anti")
+    labelled = components(spark, dry, diagonal=False)
+    box = cells.groupBy("grid_id").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("r", "c")])
+    edge = labelled.join(box, "grid_id").where("r = lo_r or r = hi_r or c = lo_c or c = hi_c").select("grid_id", "label_r", "label_c").distinct()
+    return mask.select(*CELL).unionByName(labelled.join(edge, ["grid_id", "label_r", "label_c"], "left_anti").select(*CELL))
+
+
+def extract_lake(spark: SparkSession, cells: DataFrame, seeds: DataFrame, bridge: int = 10) -> DataFrame:
+    """Lake cells from ``cells(grid_id, r, c, water, observed)``: the wettest part that meets ``seeds``.
+
+    Unseen cells near water connect parts of a lake and seen dry ones do not; the
+    lake itself is water, closed and filled. A grid whose seeds meet no water has none.
+    """
+    wet = cells.where("water").select(*CELL)
+    unseen = cells.where("not observed").select(*CELL).join(dilate(wet, bridge), CELL, "left_semi")
+    labelled = components(spark, wet.unionByName(unseen))
+    label = ["grid_id", "label_r", "label_c"]
+    met = labelled.join(seeds.select(*CELL), CELL, "left_semi").select(*label).distinct()
+    sizes = labelled.join(wet, CELL, "left_semi").join(met, label, "left_semi").groupBy(*label).count()
+    w = Window.partitionBy("grid_id").orderBy(F.desc("count"), "label_r", "label_c")
+    best = sizes.withColumn("k", F.row_number().over(w)).where("k = 1").select(*label)
+    lake = labelled.join(best, label, "left_semi").select(*CELL).join(wet, CELL, "left_semi")
+    return fill_holes(spark, close(lake).unionByName(lake).distinct(), cells)
+
+
+def spill_mask(spark: SparkSession, cells: DataFrame, lake: DataFrame, level: DataFrame, flat: float = 1.5) -> DataFrame:
+    """The lake and the flat surface at its level that is connected to it."""
+    near = cells.join(level, "grid_id").where(F.abs(F.col("z") - F.col("level")) <= flat).select(*CELL)
+    labelled = components(spark, near.unionByName(lake.select(*CELL)))
+    label = ["grid_id", "label_r", "label_c"]
+    return labelled.join(labelled.join(lake.select(*CELL), CELL, "left_semi").select(*label).distinct(), label, "left_semi").select(*CELL)
+
+
+def corridor(spark: SparkSession, cells: DataFrame, path: DataFrame, limit: float) -> DataFrame:
+    """Cells below the level of their nearest path point, near enough and connected to the path.
+
+    ``path(grid_id, seq, r, c, level)``: the first point wins a tie. A grid is one tile.
+    """
+    p = path.select("grid_id", "seq", F.col("r").alias("pr"), F.col("c").alias("pc"), "level")
+    near = cells.join(p, "grid_id").withColumn("d", F.hypot(F.col("r") - F.col("pr"), F.col("c") - F.col("pc")))
+    best = near.groupBy(*CELL).agg(F.min(F.struct("d", "seq", "level", "z")).alias("b"))
+    wet = best.where((F.col("b.d") <= limit) & (F.col("b.z") < F.col("b.level"))).select(*CELL)
+    labelled = components(spark, wet)
+    label = ["grid_id", "label_r", "label_c"]
+    return labelled.join(labelled.join(path.select(*CELL), CELL, "left_semi").select(*label).distinct(), label, "left_semi").select(*CELL)

@@ -158,3 +158,28 @@ def test_rate_limit_equals_a_loop():
     first, state = streams._admit(times[:100], [], 10, 60)
     second, _ = streams._admit(times[100:], state, 10, 60)
     assert first + second == want
+
+
+def grid_of(spark, lines, extra=""):
+    return spark.createDataFrame([(1, r, c, x == "#", x != "?") for r, line in enumerate(lines) for c, x in enumerate(line)], "grid_id int, r int, c int, water boolean, observed boolean")
+
+
+def test_extract_lake(spark):
+    ensure_checkpoints(spark)
+    lines = ["..........", ".####..##.", ".#.#???##.", ".####..##.", ".........."]
+    cells = grid_of(spark, lines)
+    seed = lambda r, c: spark.createDataFrame([(1, r, c)], "grid_id int, r int, c int")
+    lake = {(x.r, x.c) for x in raster.extract_lake(spark, cells, seed(1, 1)).collect()}
+    assert (2, 2) in lake and {(1, 7), (2, 8)} <= lake  # a hole is filled, a cloud is bridged
+    gap = grid_of(spark, [line.replace("?", ".") for line in lines])
+    assert (1, 7) not in {(x.r, x.c) for x in raster.extract_lake(spark, gap, seed(1, 1)).collect()}
+    assert raster.extract_lake(spark, cells, seed(0, 0)).count() == 0
+
+
+def test_assess(spark):
+    stations = spark.createDataFrame([(1, 0.0, 100.0), (1, 1.0, 90.0)], "path_id int, km double, wse_m double")
+    rows = [(1, 1, 0, "settlement", 0.5, 94.0, True, True), (1, 1, 1, "settlement", 0.5, 99.0, True, True), (1, 2, 0, "bridge", 1.0, 95.0, False, True),
+            (1, 3, 0, "road", 1.0, 95.0, False, True), (1, 4, 0, "school", 0.0, None, False, True), (1, 5, 0, "school", 0.0, 90.0, False, False)]
+    df = spark.createDataFrame(rows, "path_id int, asset_id int, point int, kind string, km double, ground_m double, reached boolean, near boolean")
+    got = {r.asset_id: (r.status, r.height_m) for r in exposure.assess(df, stations).collect()}
+    assert got == {1: ("flooded", -1.0), 2: ("margin", 5.0), 3: ("outside", 5.0), 4: ("outside", None), 5: ("outside", None)}
