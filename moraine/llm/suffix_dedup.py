@@ -40,13 +40,13 @@ SPAN, K = 50, 16
 ANCHORS = SPAN - K + 1
 SHALLOW = 3
 #: Bytes of text handled at once.
-CHUNK = 500_000
+CHUNK = 1_500_000
 #: Ids of documents that may be sent to all tasks to thin a scan; beyond, a shuffle join does it.
 BROADCAST_IDS = 400_000
 #: Buckets to a shuffle partition.
 BUCKETS_EACH = 2
 #: Finer buckets to each of those for segments, whose suffixes are sorted in memory.
-SEGMENTS_EACH = 4
+SEGMENTS_EACH = 2
 #: Places a task gathers before it sends them on.
 PLACES_HELD = 2_000_000
 
