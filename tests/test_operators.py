@@ -160,20 +160,20 @@ def test_rate_limit_equals_a_loop():
     assert first + second == want
 
 
-def grid_of(spark, lines, extra=""):
-    return spark.createDataFrame([(1, r, c, x == "#", x != "?") for r, line in enumerate(lines) for c, x in enumerate(line)], "grid_id int, r int, c int, water boolean, observed boolean")
-
-
 def test_extract_lake(spark):
+    """A hole is filled and a cloud is bridged; a dry gap is not, and dry seeds meet no lake."""
     ensure_checkpoints(spark)
-    lines = ["..........", ".####..##.", ".#.#???##.", ".####..##.", ".........."]
-    cells = grid_of(spark, lines)
-    seed = lambda r, c: spark.createDataFrame([(1, r, c)], "grid_id int, r int, c int")
-    lake = {(x.r, x.c) for x in raster.extract_lake(spark, cells, seed(1, 1)).collect()}
-    assert (2, 2) in lake and {(1, 7), (2, 8)} <= lake  # a hole is filled, a cloud is bridged
-    gap = grid_of(spark, [line.replace("?", ".") for line in lines])
-    assert (1, 7) not in {(x.r, x.c) for x in raster.extract_lake(spark, gap, seed(1, 1)).collect()}
-    assert raster.extract_lake(spark, cells, seed(0, 0)).count() == 0
+    cloudy = ["..........", ".####..##.", ".#.#???##.", ".####..##.", ".........."]
+    dry = [line.replace("?", ".") for line in cloudy]
+    rows = [(g, r, c, x == "#", x != "?") for g, lines in ((1, cloudy), (2, dry), (3, cloudy)) for r, line in enumerate(lines) for c, x in enumerate(line)]
+    cells = spark.createDataFrame(rows, "grid_id int, r int, c int, water boolean, observed boolean")
+    seeds = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 0, 0)], "grid_id int, r int, c int")
+    lakes = {1: set(), 2: set(), 3: set()}
+    for x in raster.extract_lake(spark, cells, seeds).collect():
+        lakes[x.grid_id].add((x.r, x.c))
+    assert {(2, 2), (1, 7), (2, 8)} <= lakes[1]
+    assert (2, 2) in lakes[2] and (1, 7) not in lakes[2]
+    assert not lakes[3]
 
 
 def test_assess(spark):
