@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages.
 
 Each stage takes what its predecessor kept and returns it with the columns of
-``documents``; the last returns token ids. Between stages the rows are Parquet in
+``documents``; the last returns token ids and decoded text. Between stages the rows are Parquet in
 the folder that all executors share, so a lost executor costs a stage's tasks.
 """
 
@@ -38,8 +38,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
-    return bpe.encode_documents(docs, bpe.default_path(), decoded=False, kept=WORDS_KEPT)
+    """Token ids of every document that is left, and the text decoded from them."""
+    return bpe.encode_documents(docs, bpe.default_path(), kept=WORDS_KEPT)
 
 
 STAGES = [

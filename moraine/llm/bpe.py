@@ -62,6 +62,8 @@ class Codec:
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.spelled = np.full(max(self.tokens, default=-1) + 1, None, dtype=object)
+        self.spelled[list(self.tokens)] = list(self.tokens.values())
         self.longest = max(len(t) - (len(END) if t.endswith(END) else 0) for t in self.ids)
         self.letters = byte_letters()
         self.table = {i: c for i, c in enumerate(self.letters)}
@@ -69,8 +71,8 @@ class Codec:
         self.final = {t[: -len(END)]: i for t, i in self.ids.items() if t.endswith(END)}
         self.good: set[int] = set()
         self.bad: set[int] = set()
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.chunk: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[int, str]] = {}
+        self.chunk: dict[str, tuple[int, str]] = {}
         self.split_special = regex.compile(f"({'|'.join(map(regex.escape, self.special))})") if self.special else None
         self.space = regex.compile(f"[{SPACE}]+")
         self.pieces = regex.compile(PIECES)
@@ -154,7 +156,7 @@ class Codec:
         for k, (word, spelled, ids) in enumerate(zip(words, letters, proposed, strict=True)):
             if ids is None or k in failing:
                 ids = self.exact(spelled)
-            self.words[word] = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
+            self.words[word] = (len(ids), " ".join(map(str, ids)))
 
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """Split a batch's texts and encode their new chunks together."""
@@ -168,30 +170,32 @@ class Codec:
             self.learn(list(new))
         for c in fresh:
             if c[0] == SPECIAL:
-                self.chunk[c] = (1, str(self.special[c[1:]]), c[1:])
+                self.chunk[c] = (1, str(self.special[c[1:]]))
             elif len(pieces[c]) == 1:
                 self.chunk[c] = self.words[c]
             else:
-                counts, ids, tokens = zip(*map(self.words.__getitem__, pieces[c]), strict=True)
-                self.chunk[c] = (sum(counts), " ".join(filter(None, ids)), " ".join(filter(None, tokens)))
+                counts, ids = zip(*map(self.words.__getitem__, pieces[c]), strict=True)
+                self.chunk[c] = (sum(counts), " ".join(filter(None, ids)))
         return split
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(count, ids, tokens) of each text; ids and tokens joined by spaces."""
+    def encode_batch(self, texts: list[str]) -> list[tuple[int, str]]:
+        """(count, ids) of each text; ids joined by spaces."""
         known, out = self.chunk, []
         for s in self.prepare(texts):
             if s:
-                counts, ids, tokens = zip(*map(known.__getitem__, s), strict=True)
-                if 0 in counts:
-                    ids, tokens = filter(None, ids), filter(None, tokens)
-                out.append((sum(counts), " ".join(ids), " ".join(tokens)))
+                counts, ids = zip(*map(known.__getitem__, s), strict=True)
+                out.append((sum(counts), " ".join(filter(None, ids) if 0 in counts else ids)))
             else:
-                out.append((0, "", ""))
+                out.append((0, ""))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Tokens joined by spaces, special ones too, as the file has no decoder."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join(self.spelled[np.asarray(ids, np.int64)].tolist())
+
+
+def _array(ids: str) -> np.ndarray:
+    return np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)
 
 
 def _id_type(docs: DataFrame) -> str:
@@ -211,12 +215,12 @@ def _batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[list[str]]:
         yield run
 
 
-def encode_documents(docs: DataFrame, path: str, decoded: bool = True, kept: int = WORDS_KEPT) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, kept: int = WORDS_KEPT) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded string): whole texts, there and back.
 
-    Without ``decoded`` that column is left out. A null or empty text has no tokens
-    and decodes to empty text. Rows are independent; null ids stay null; extra
-    columns are ignored. A task keeps at most ``kept`` words and a run's.
+    The text is decoded from the ids. A null or empty text has no tokens and decodes
+    to empty text. Rows are independent; null ids stay null; extra columns are
+    ignored. A task keeps at most ``kept`` words and a run's.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,18 +229,16 @@ def encode_documents(docs: DataFrame, path: str, decoded: bool = True, kept: int
             at = 0
             for texts in _batches(b["text"], RUN):
                 rows = codec.encode_batch(texts)
-                ids = [np.fromstring(r[1], np.int32, sep=" ") if r[0] else np.zeros(0, np.int32) for r in rows]
+                ids = [_array(r[1]) for r in rows]
                 part = b["doc_id"].iloc[at : at + len(texts)]
                 at += len(texts)
-                out = {"doc_id": part.array, "n_tokens": [r[0] for r in rows], "ids": ids}
-                yield pd.DataFrame(out | {"decoded": [r[2] for r in rows]} if decoded else out)
+                yield pd.DataFrame({"doc_id": part.array, "n_tokens": [r[0] for r in rows], "ids": ids, "decoded": [codec.decode(i) for i in ids]})
 
-    schema = f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>" + ", decoded string" * decoded
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """One row a document: token count and digests of its ids and decoded text.
+    """One row a document: token count and digests of its ids and of the text decoded from them.
 
     A null or empty text has no tokens; its digests are those of empty text.
     Repeated rows each give a row, null ids stay null, extra columns are ignored.
@@ -248,9 +250,9 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         sha = hashlib.sha256
         for b in batches:
             rows = [
-                (n, sha(ids.encode()).hexdigest(), sha(decoded.encode()).hexdigest())
+                (n, sha(ids.encode()).hexdigest(), sha(codec.decode(_array(ids)).encode()).hexdigest())
                 for texts in _batches(b["text"])
-                for n, ids, decoded in codec.encode_batch(texts)
+                for n, ids in codec.encode_batch(texts)
             ]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", b["doc_id"].array)

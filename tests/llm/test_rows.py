@@ -116,6 +116,20 @@ def test_bpe_equals_the_library(docs, rows, nothing):
     assert all(t.decode(r.ids, skip_special_tokens=False) == r.decoded for r in full)
 
 
+def test_pipeline_decodes_the_ids(spark, docs, rows, monkeypatch):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id", "n_tokens", "ids", "decoded").collect()
+    assert len(got) == len(rows)
+    assert all(r.decoded == t.decode(r.ids, skip_special_tokens=False) and r.n_tokens == len(r.ids) for r in got)
+    # digests too are of what the ids decode to
+    monkeypatch.setattr(bpe.Codec, "decode", lambda self, ids: str(len(ids)))
+    for r in bpe.encode_digests(docs, bpe.default_path()).collect():
+        assert r.decoded_sha256 == hashlib.sha256(str(r.n_tokens).encode()).hexdigest()
+
+
 def test_bpe_verification_equals_merging():
     codec = bpe.Codec(bpe.default_path())
     words = ["hello", "anderwhtionwh", "onnthlyer", "x", "qqqqqq", "unbelievably", "réêou".encode().decode("latin-1")]
