@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.llm.common import materialize, table
@@ -33,8 +33,9 @@ LEAF = 192
 SHARD_LIMIT = 8192
 #: Fingerprints that a shard should hold on average; more key bits are used beyond.
 SHARD_AIM = 1024
-#: Ids sent to all tasks at most; beyond, a shuffle join does it.
+#: Row digests sent to all tasks at most; beyond, a shuffle join does it.
 BROADCAST_IDS = 400_000
+ROW = "digest of the row"
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
 
@@ -74,8 +75,8 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): the 64-bit fingerprint of every whole text."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, fp long): the 64-bit fingerprint of every whole text, with columns ``also``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -84,10 +85,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 hashes = [shingle_hashes(t) for t in part["text"]]
                 sizes = np.array([len(h) for h in hashes], np.int64)
                 flat = np.array([x for h in hashes for x in h], np.uint64)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "fp": majority(flat, sizes).view(np.int64)})
+                yield part[["doc_id", *also]].assign(fp=majority(flat, sizes).view(np.int64))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    schema = docs.select("doc_id", *also).schema.add("fp", "long")
+    return docs.select("doc_id", "text", *also).mapInPandas(run, schema)
 
 
 class _Roots:
@@ -195,29 +196,46 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     members are null. Extra columns are ignored. Empty input, empty result.
     """
     marked = materialize(spark, fingerprints(docs), "fingerprints")
-    distinct = materialize(spark, marked.select("fp").distinct(), "distinct")
-    found = connected_components(spark, near_links(spark, distinct))
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = least.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    nodes = nodes.select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    nodes = _rooted(spark, marked, F.min("doc_id").alias("least"))
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(spark: SparkSession, marked: DataFrame, least: Column) -> DataFrame:
+    """(fp, ``least`` of its rows, root): the components, named by fingerprints."""
+    distinct = materialize(spark, marked.select("fp").distinct(), "distinct")
+    found = connected_components(spark, near_links(spark, distinct))
+    nodes = marked.groupBy("fp").agg(least).join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    return nodes.select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with the row of least doc_id of each component."""
-    found = materialize(spark, near_duplicates(spark, docs), "components")
-    spare = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("spare_id")).distinct()
-    if spare.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        spare = F.broadcast(spare)
-    kept = docs.join(spare, docs["doc_id"].eqNullSafe(F.col("spare_id")), "left_anti")
-    again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().where("count > 1")
+    """``docs``, all columns, with one row of each component.
+
+    It is the row of least doc_id, nulls last, then of least digest. Rows are told
+    apart by the digest of all their columns, so equal ids of different texts are
+    decided apart; of equal rows one stays.
+    """
+    digest = F.unhex(F.md5(F.to_json(F.struct(*[F.md5(c).alias(c) if c == "text" else F.col(c) for c in docs.columns]))))
+    keyed = docs.withColumn(ROW, digest)
+    marked = materialize(spark, fingerprints(keyed, ROW), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(ROW).alias("row"))).alias("least")
+    nodes = _rooted(spark, marked, least)
+    keepers = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(ROW))
+    rows = marked.groupBy(ROW).agg(F.count("*").alias("n")).join(keepers.withColumn("kept", F.lit(True)), ROW, "left")
+    rows = materialize(spark, rows.where("kept is null or n > 1").select(ROW, "kept"), "rows")
+    kept = keyed.join(_sent(rows.where("kept is null").select(ROW)), ROW, "left_anti")
+    again = rows.where("kept").select(ROW)
     if again.isEmpty():
-        return kept
-    # rows that share a doc_id and a component: the first by text stays
-    once = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return kept.withColumn("row of the id", F.row_number().over(once)).where("`row of the id` = 1").drop("row of the id")
+        return kept.select(*docs.columns)
+    again = _sent(again)
+    once = kept.join(again, ROW, "left_semi").dropDuplicates([ROW])
+    return kept.join(again, ROW, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,24 @@ def test_keep_one(spark, docs, rows):
     assert sorted(set(ids)) == sorted({c for c in found.values()})
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark, docs, rows):
+    def texts(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    fps = [fingerprint(t) for _, t, *_ in rows]
+    roots = closure(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    groups = {r: {(i is None, i or 0) for (i, *_), q in zip(rows, roots) if q == r} for r in roots}
+    got = texts(simhash.keep_one(spark, docs))
+    of = {(i, t): r for (i, t, *_), r in zip(rows, roots)}
+    assert sorted(of[g] for g in got) == sorted(groups)
+    assert all((i is None, i or 0) == min(groups[of[i, t]]) for i, t in got)
+
+    base, other, third = (" ".join(f"{w}{k}" for k in range(60)) for w in ("alpha", "beta", "gamma"))
+    some = [(1, base), (5, base), (5, other), (None, base), (None, third), (None, third), (7, other), (8, "x"), (8, "x")]
+    got = texts(simhash.keep_one(spark, spark.createDataFrame(some, "doc_id long, text string")))
+    assert got == sorted([(1, base), (5, other), (None, third), (8, "x")], key=str)
+
+
 def test_vantage_trees_find_all_pairs():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
