@@ -4,10 +4,11 @@ A text becomes a sequence of canonical tokens: words are case-folded, numbers
 become one placeholder, a unit after a number another, and, in a second channel,
 capitalised words a third. Windows of ``WINDOW`` tokens of the benchmark items are
 hashed, and every window of every document is looked up among them. Matches on
-one diagonal of an item align its tokens with the document's; the alignment counts
-only if its slots are consistent: the same filler of the item always stands
-against the same filler of the document, and the reverse. An item is found if the
-windows of its consistent alignments are ``SHARE`` of its windows at least, so
+one diagonal of an item align its tokens with the document's. A window that matches
+word for word counts; the others count only as far as their slots are consistent:
+the same filler of the item always stands against the same filler of the document,
+and the reverse. Windows with the rarer of conflicting fillers are left out, with all where none is rarer. An item
+is found if the windows that count are ``SHARE`` of its windows at least, so
 re-parameterised questions are caught and chance matches are not.
 
 Items are taken in blocks of ``BLOCK_TOKENS`` tokens, each sent to all tasks: the
@@ -16,7 +17,7 @@ bound holds for a benchmark of any size, at one pass over the documents a block.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -149,9 +150,21 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     return Index([i for i, _ in items], tokens, np.cumsum(lengths) - lengths, lengths - size + 1, size, keys)
 
 
-def _consistent(pairs: set[tuple[bytes, bytes]]) -> bool:
-    """Whether each filler stands against one other only, both ways."""
-    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+def _consistent(slots: dict[int, tuple[bytes, bytes]]) -> set[int]:
+    """The places left when each filler stands against one other only, both ways.
+
+    Of pairs that conflict, the one at most places stays; of equally many none does.
+    """
+    count = Counter(slots.values())
+    kept, left, right = set(), set(), set()
+    for n in sorted(set(count.values()), reverse=True):
+        tier = [(a, b) for (a, b), k in count.items() if k == n and a not in left and b not in right]
+        here, there = Counter(a for a, _ in tier), Counter(b for _, b in tier)
+        sole = [(a, b) for a, b in tier if here[a] == 1 == there[b]]
+        kept.update(sole)
+        left.update(a for a, _ in sole)
+        right.update(b for _, b in sole)
+    return {t for t, pair in slots.items() if pair in kept}
 
 
 def find(texts: list[str], index: Index, share: float = SHARE) -> list[tuple[int, int, float]]:
@@ -170,13 +183,18 @@ def find(texts: list[str], index: Index, share: float = SHARE) -> list[tuple[int
     found: dict[tuple[int, int], set[int]] = defaultdict(set)
     for (text, item, diagonal), js in met.items():
         size = int(index.size[item])
-        slots = set()
+        slots, changed = {}, set()
         for t in {j + k for j in js for k in range(size)}:
             a, b = index.tokens.filler(t), tokens.filler(t + diagonal)
             if index.tokens.folded[t] in (NUMBER, UNIT) or a != b:
-                slots.add((a, b))
-        if _consistent(slots):
-            found[text, item] |= js
+                slots[t] = (a, b)
+            if a != b:
+                changed.add(t)
+        # a window that matches word for word needs no check
+        differing = {j for j in js if any(j + k in changed for k in range(size))}
+        checked = {t: slots[t] for t in {j + k for j in differing for k in range(size)} if t in slots}
+        wrong = checked.keys() - _consistent(checked)
+        found[text, item] |= {j for j in js if j not in differing or not any(j + k in wrong for k in range(size))}
     out = []
     for (text, item), js in sorted(found.items()):
         covered = len(js) / int(index.count[item])

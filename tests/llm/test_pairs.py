@@ -189,3 +189,28 @@ def test_inconsistent_slots_are_no_leak():
     index = decontaminate.build_index([(1, "take 12 away from 40 and then take 12 away from 9 again please")])
     assert decontaminate.find(["take 5 away from 70 and then take 5 away from 3 again please"], index)
     assert not decontaminate.find(["take 5 away from 70 and then take 6 away from 3 again please"], index)
+
+
+def test_conflicting_slots_leave_out_their_windows_only():
+    words = [f"word{k}" for k in range(80)]
+    words[10] = words[60] = "12"
+    words[30] = "9"
+    index = decontaminate.build_index([(1, " ".join(words))])
+
+    def share(**changed):
+        found = decontaminate.find([" ".join(changed.get(f"at{k}", w) for k, w in enumerate(words))], index)
+        return [round(s * 76) for _, _, s in found]
+
+    assert share() == [76]
+    assert share(at10="13", at60="13", at30="4") == [76]
+    assert share(at60="13") == [76]
+    assert share(at10="13", at60="14") == [66]
+    assert share(at10="7", at30="7") == [66]
+
+
+def test_names_that_conflict_leave_out_their_windows_only():
+    words = [f"word{k}" for k in range(80)]
+    words[10] = words[60] = "The"
+    index = decontaminate.build_index([(1, " ".join(words))])
+    words[10], words[60] = "Every", "Some"
+    assert [round(s * 76) for _, _, s in decontaminate.find([" ".join(words)], index)] == [66]
