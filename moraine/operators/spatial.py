@@ -37,14 +37,18 @@ def nearest_within(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
 
 
 def nearest_of_few(a: DataFrame, few: DataFrame, top: int, most: int = 100_000) -> DataFrame:
-    """The ``top`` nearest of a small catalogue, whose size is checked before it is sent out."""
-    if few.limit(most + 1).count() > most:
-        raise ValueError(f"the catalogue has more than {most} rows; use nearest_within")
+    """The ``top`` nearest of a catalogue, sent out in blocks of about ``most`` rows, whose best are merged."""
     right = few.where("lon is not null and lat is not null").select("b_id", F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
-    both = a.crossJoin(F.broadcast(right))
+    blocks = max(1, -(-right.count() // most))
     km = geo.haversine_km(F.col("lon"), F.col("lat"), F.col("lon_b"), F.col("lat_b"))
     w = Window.partitionBy("a_id").orderBy("km", "b_id")
-    return both.select("a_id", "b_id", km.alias("km")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.select("a_id", "b_id", "km").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+    dealt = F.pmod(F.xxhash64("b_id"), F.lit(blocks))
+    parts = [best(a.crossJoin(F.broadcast(right.where(dealt == k) if blocks > 1 else right)).withColumn("km", km)) for k in range(blocks)]
+    return parts[0] if blocks == 1 else best(all_of(parts))
 
 
 def in_polygon(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:

@@ -103,6 +103,14 @@ def test_latest_look(spark):
         assert drain.latest_look(df).first().look == want
 
 
+def test_nearest_of_a_larger_catalogue(spark):
+    a = spark.createDataFrame([(k, 70.0 + k / 7, 30.0 + k / 11) for k in range(9)], "a_id long, lon double, lat double")
+    b = spark.createDataFrame([(k, 70.0 + k * 37 % 50 / 40, 30.0 + k * 17 % 50 / 45) for k in range(60)] + [(99, None, 30.0)], "b_id long, lon double, lat double")
+    want = sorted(map(tuple, spatial.nearest_of_few(a, b, 3).collect()))
+    assert len(want) == 27
+    assert sorted(map(tuple, spatial.nearest_of_few(a, b, 3, most=20).collect())) == want
+
+
 def test_greedy_spread_equals_a_loop(spark):
     rng = random.Random(5)
     rows = [(1, k, float(rng.randrange(50)), 77 + rng.random() / 10, 32 + rng.random() / 10) for k in range(60)]
