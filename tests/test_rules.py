@@ -126,13 +126,26 @@ def test_normal_depth_of_a_rectangle(spark):
     width, depth, slope, n = 70.0, 5.0, 0.01, 0.07
     area, wet = width * depth, width + 2 * depth
     q = area * (area / wet) ** (2 / 3) * math.sqrt(slope) / n
-    level, _, capped = hydrology.normal_depth(offsets, ground, q, slope, n)
-    assert abs(level - depth) < 0.3 and not capped
-    levels = [hydrology.normal_depth(offsets, ground, x, slope, n)[0] for x in (10.0, 100.0, 1000.0)]
-    assert levels == sorted(levels)
-    df = spark.createDataFrame([(offsets.tolist(), ground.tolist(), float(q), slope), (None, None, 1.0, slope)], "offsets array<double>, ground array<double>, discharge double, slope double")
-    rows = hydrology.section_flow(df, n).collect()
-    assert rows[0].wse == pytest.approx(level) and rows[1].wse is None
+    flows = [(i, offsets.tolist(), ground.tolist(), float(x), slope) for i, x in enumerate((q, 10.0, 100.0, 1000.0))]
+    ridge = ground.copy()
+    ridge[10] = -50.0  # a deeper channel behind a ridge
+    flows += [(4, offsets.tolist(), ridge.tolist(), float(q), slope), (2**60 + 1, None, None, 1.0, slope), (None, [], [], 1.0, slope)]
+    schema = "id long, offsets array<double>, ground array<double>, discharge double, slope double"
+    rows = {r.id: r for r in hydrology.section_flow(spark.createDataFrame(flows, schema).coalesce(1), n).collect()}
+    assert abs(rows[0].wse - depth) < 0.3 and not rows[0].capped and rows[0].width == 60 and rows[0].left_m == rows[0].right_m == 35
+    assert rows[1].wse < rows[2].wse < rows[3].wse < rows[0].wse
+    assert rows[4].wse == rows[0].wse
+    assert rows[2**60 + 1].wse is None and rows[None].capped is None
+
+
+def test_normal_depth_of_a_wedge(spark):
+    # a V of side slope 1: area is depth squared, the wetted sides are 2 * sqrt(2) * depth
+    offsets = np.arange(-500.0, 501.0, 0.5)
+    depth, slope, n = 40.0, 0.004, 0.05
+    q = depth**2 * (depth / (2 * math.sqrt(2))) ** (2 / 3) * math.sqrt(slope) / n
+    df = spark.createDataFrame([(offsets.tolist(), np.abs(offsets).tolist(), q, slope)], "offsets array<double>, ground array<double>, discharge double, slope double")
+    got = hydrology.section_flow(df, n).first()
+    assert got.wse == pytest.approx(depth, rel=0.01) and got.width == pytest.approx(2 * depth, rel=0.02)
 
 
 def test_utm_of_known_points(spark):
