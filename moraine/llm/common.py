@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+#: Where each table that ``materialize`` returned lies, while it is referenced.
+_PATHS: dict[int, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table by the path that Spark was given."""
@@ -41,7 +46,28 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_root(spark)}/moraine-{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for ``tables``, once nothing reads it any more."""
+    jvm = spark._jvm
+    for df in tables:
+        path = jvm.org.apache.hadoop.fs.Path(_PATHS[id(df)]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def type_of(df: DataFrame, name: str) -> str:
+    """A column's type, as a schema string has it."""
+    return df.schema[name].dataType.simpleString()
+
+
+def batch_of(**columns: pa.Array) -> pa.RecordBatch:
+    """A record batch of named columns; ids travel as Arrow columns, so nulls leave them whole."""
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def parallelism(spark: SparkSession) -> int:

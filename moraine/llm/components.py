@@ -2,7 +2,8 @@
 
 Every round is two aggregations and two joins on the edge table; no group is
 collected, so a component may hold any share of the nodes. Rounds are written to
-the shared folder, and only two scalars a round reach the driver.
+the shared folder, each in place of the last, and only two scalars a round reach
+the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import materialize
+from moraine.llm.common import discard, materialize
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
@@ -44,7 +45,8 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     edges = materialize(spark, edges, "edges")
     seen = _fingerprint(edges)
     while seen[0]:
-        edges = materialize(spark, _small_star(_large_star(edges)), "edges")
+        last, edges = edges, materialize(spark, _small_star(_large_star(edges)), "edges")
+        discard(spark, last)
         now = _fingerprint(edges)
         if now == seen:
             break

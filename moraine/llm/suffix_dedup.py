@@ -11,7 +11,9 @@ need to travel, so the work is dealt in three steps.
    a passage of any share of the corpus costs each chunk one row.
 2. Around kept anchors, segments of text are cut and sent by anchor hash; equal
    segments of a chunk are sent once, for the least doc_id, and the others are
-   decided on the spot.
+   decided on the spot. An anchor that weighs heavily in its bucket is split by the
+   bytes beside it: windows that hold it at neighbouring offsets share ``CORE``
+   bytes, and each such part of a segment goes by the hash of those bytes.
 3. A bucket makes equal segments one, and sorts the suffixes of those whose anchor
    stands in several, to ``SPAN`` bytes: a multikey
    quicksort on words of eight bytes orders them to ``SHALLOW`` words; groups that
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import materialize, parallelism, table
+from moraine.llm.common import discard, materialize, parallelism, table
 
 SPAN, K = 50, 16
 #: Anchors in a window.
@@ -49,6 +51,11 @@ BUCKETS_EACH = 2
 SEGMENTS_EACH = 2
 #: Places a task gathers before it sends them on.
 PLACES_HELD = 2_000_000
+#: An anchor with this part of its bucket's places, and so many at least, is split.
+HEAVY_PART, HEAVY_LEAST = 16, 4096
+#: Offsets of a split anchor that go together, and the bytes that their windows share.
+WIDTH = 5
+CORE = SPAN - WIDTH + 1
 
 _rng = np.random.default_rng(5)
 _MULT = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 5, dtype=np.uint64)]
@@ -109,12 +116,14 @@ class Anchors:
         # empty texts share their start with the next: the last one of a start is the one with bytes
         self.within = self.at - self.start[self.text]
 
-    def identity(self, at: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the ``K`` bytes at ``at``."""
-        rows = self.data[at[:, None] + np.arange(K)].view(np.uint64)
+    def identity(self, at: np.ndarray, width: int = K) -> np.ndarray:
+        """64-bit hashes of the ``width`` bytes at ``at``."""
+        rows = np.zeros((len(at), -(-width // 8) * 8), np.uint8)
+        rows[:, :width] = self.data[at[:, None] + np.arange(width)]
+        rows = rows.view(np.uint64)
         h = np.zeros(len(at), np.uint64)
-        for c in range(K // 8):
-            h = (h ^ (rows[:, c] * _MULT[c])) * _MULT[4]
+        for c in range(rows.shape[1]):
+            h = (h ^ (rows[:, c] * _MULT[c % 3])) * _MULT[4]
             h ^= h >> np.uint64(31)
         return h * _MULT[3] ^ (h >> np.uint64(17))
 
@@ -125,6 +134,25 @@ class Anchors:
         first = at - (ANCHORS - 1) + named.argmax(axis=1)
         return first, at - named[:, ::-1].argmax(axis=1)
 
+    def parts(self, at: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, place of the shared bytes, first and last window start) around the anchors ``at``.
+
+        An anchor is one part, keyed by its bytes; a ``heavy`` one is a part for each
+        ``WIDTH`` offsets that its windows have, keyed by the ``CORE`` bytes they share.
+        Equal windows have equal offsets, so they meet under one key either way.
+        """
+        key = self.identity(at)
+        first, last = self.spans(at)
+        split = np.isin(key >> np.uint64(16), heavy)
+        out = [(key[~split], at[~split], first[~split], last[~split])]
+        at, first, last = at[split], first[split], last[split]
+        for offset in range(0, ANCHORS if len(at) else 0, WIDTH):
+            low, high = np.maximum(first, at - offset - WIDTH + 1), np.minimum(last, at - offset)
+            some = low <= high
+            core = at[some] - offset
+            out.append((self.identity(core, CORE), core, low[some], high[some]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
 
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of one length, compressed."""
@@ -151,11 +179,11 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 
 def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob): a chunk's anchors of one bucket as hash, doc_id, place.
+    """(bucket, blob): a chunk's anchors of one bucket as hash, doc_id, place, count.
 
     Anchors that two documents of the chunk share come with bucket -1: they are
     known to be shared. Their least and greatest doc_id go to the bucket, so that
-    other chunks learn of them.
+    other chunks learn of them, with the number of places they stand for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,27 +202,30 @@ def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
                 known = np.repeat(shared, size)
                 send = ~known
                 send[first[shared]] = send[last[shared]] = True
+                stands = np.ones(len(h), np.uint32)
+                stands[first[shared]] = size[shared] - 1
                 bucket = np.concatenate([(h[send] % np.uint64(buckets)).astype(np.int64), np.full(known.sum(), -1)])
-                h, doc, at = (np.concatenate([c[send], c[known]]) for c in (h, doc, at))
+                h, doc, at, stands = (np.concatenate([c[send], c[known]]) for c in (h, doc, at, stands))
                 # documents in order pack best
                 order = np.lexsort((at, doc, bucket))
-                bucket, h, doc, at = bucket[order], h[order], doc[order], at[order]
+                bucket, h, doc, at, stands = bucket[order], h[order], doc[order], at[order], stands[order]
                 cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
                 keys, blobs = [], []
                 for i, j in zip(cut, cut[1:], strict=False):
                     keys.append(int(bucket[i]))
-                    blobs.append(_pack((h[i:j] >> np.uint64(16)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6], doc[i:j], at[i:j]))
+                    blobs.append(_pack((h[i:j] >> np.uint64(16)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6], doc[i:j], at[i:j], stands[i:j]))
                 yield _batch(bucket=pa.array(keys, pa.int32()), blob=pa.array(blobs, pa.binary()))
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary")
 
 
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, places): anchors of a document that stand in another one too."""
-    blobs = anchor_blobs(docs, buckets)
-    salt = F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket"))
-    dealt = blobs.withColumn("to", salt).repartition(buckets // BUCKETS_EACH, "to").sortWithinPartitions("bucket").select("bucket", "blob")
+    """(doc_id, places, anchor): anchors of a document that stand in another one too.
 
+    Rows with an ``anchor`` and no doc_id name the heavy ones by the 48 bits of their
+    hash, ``HEAVY_PART`` a bucket at most.
+    """
+    dealt = _dealt(anchor_blobs(docs, buckets), buckets // BUCKETS_EACH)
     groups = parallelism(docs.sparkSession)
 
     def packed(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -204,23 +235,28 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         group, doc, at = group[order], doc[order], at[order]
         cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist() if len(group) else [0]
         blobs = [_pack(doc[i:j], at[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-        return _batch(to=pa.array(group[cut[:-1]], pa.int32()), blob=pa.array(blobs, pa.binary()))
+        return _batch(to=pa.array(group[cut[:-1]], pa.int32()), heavy=pa.array([False] * len(blobs)), blob=pa.array(blobs, pa.binary()))
 
-    def shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def shared(blobs: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
         parts = []
         for x in blobs:
-            (h, doc, at), _ = _unpack(x, "V6", "i8", "i4")
+            (h, doc, at, stands), _ = _unpack(x, "V6", "i8", "i4", "u4")
             wide = np.zeros((len(h), 8), np.uint8)
             wide[:, :6] = h.view(np.uint8).reshape(-1, 6)
-            parts.append((wide.view(np.uint64).ravel(), doc, at))
-        h, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.append((wide.view(np.uint64).ravel(), doc, at, stands))
+        h, doc, at, stands = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        h, doc, at = h[order], doc[order], at[order]
+        h, doc, at, stands = h[order], doc[order], at[order], stands[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(first, len(h)))
         both = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         keep = np.repeat(both, size)
-        return doc[keep], at[keep]
+        weight = np.add.reduceat(stands, first, dtype=np.int64)
+        heavy = both & (weight >= HEAVY_LEAST) & (weight > weight.sum() // HEAVY_PART)
+        return (doc[keep], at[keep]), h[first[heavy]]
+
+    def named(heavy: np.ndarray) -> pa.RecordBatch:
+        return _batch(to=pa.array([0], pa.int32()), heavy=pa.array([True]), blob=pa.array([_pack(heavy)], pa.binary()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, found, size = None, [], [], 0
@@ -231,16 +267,22 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                     size += len(found[-1][0])
                 else:
                     if bucket != now and held:
-                        found.append(shared(held))
-                        size += len(found[-1][0])
+                        places, heavy = shared(held)
+                        found.append(places)
+                        size += len(places[0])
                         held = []
+                        if len(heavy):
+                            yield named(heavy)
                     now = bucket
                     held.append(blob)
                 if size > PLACES_HELD:
                     yield packed(*(np.concatenate(c) for c in zip(*found, strict=True)))
                     found, size = [], 0
         if held:
-            found.append(shared(held))
+            places, heavy = shared(held)
+            found.append(places)
+            if len(heavy):
+                yield named(heavy)
         if found:
             yield packed(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
@@ -252,12 +294,20 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         doc, at = doc[fresh], at[fresh]
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
         offsets = pa.array(np.append(first, len(doc)), pa.int32())
-        return _batch(doc_id=pa.array(doc[first], pa.int64()), places=pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())))
+        return _batch(
+            doc_id=pa.array(doc[first], pa.int64()), places=pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())),
+            anchor=pa.nulls(len(first), pa.int64()),
+        )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for to, blob in zip(b.column("to").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            for to, heavy, blob in zip(*(b.column(c).to_pylist() for c in ("to", "heavy", "blob")), strict=True):
+                if heavy:
+                    (names,), _ = _unpack(blob, "i8")
+                    none = len(names)
+                    yield _batch(doc_id=pa.nulls(none, pa.int64()), places=pa.nulls(none, pa.list_(pa.int32())), anchor=pa.array(names, pa.int64()))
+                    continue
                 if to != now and held:
                     yield by_document(held)
                     held = []
@@ -266,8 +316,8 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield by_document(held)
 
-    met = dealt.mapInArrow(find, "to int, blob binary").repartition(groups, "to").sortWithinPartitions("to")
-    return met.mapInArrow(gather, "doc_id long, places array<int>")
+    met = dealt.mapInArrow(find, "to int, heavy boolean, blob binary").repartition(groups, "to").sortWithinPartitions("to")
+    return met.mapInArrow(gather, "doc_id long, places array<int>, anchor long")
 
 
 def _thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -277,12 +327,12 @@ def _thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs
 
 
-def segments(placed: DataFrame, buckets: int) -> DataFrame:
-    """``placed(doc_id, text_key, text, places)`` to segments for buckets and spans.
+def segments(placed: DataFrame, buckets: int, heavy: np.ndarray) -> DataFrame:
+    """``placed(doc_id, text_key, text, places)`` to packed segments of a bucket.
 
-    Rows of kind 0 are spans already decided within the chunk, rows of kind 1 are
-    packed segments of a bucket.
+    Bucket -1 has the spans that are already decided within the chunk.
     """
+    split = placed.sparkSession.sparkContext.broadcast(heavy)  # HEAVY_PART hashes a bucket at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,7 +344,7 @@ def segments(placed: DataFrame, buckets: int) -> DataFrame:
                 at = np.intersect1d(np.concatenate(wanted), a.at) if wanted else np.zeros(0, np.int64)
                 if not len(at):
                     continue
-                first, last = a.spans(at)
+                key_of, at, first, last = a.parts(at, split.value)
                 text = np.searchsorted(a.start, at, side="right") - 1
                 doc, key = rows[numbers[text]], keys[numbers[text]]
                 begin, size = (first - a.start[text]).astype(np.int32), (last - first + SPAN).astype(np.int32)
@@ -309,11 +359,11 @@ def segments(placed: DataFrame, buckets: int) -> DataFrame:
                 stays = ~gone
                 if gone.any():
                     yield _batch(
-                        kind=pa.array(np.zeros(1, np.int8)), bucket=pa.array([0], pa.int32()),
+                        bucket=pa.array([-1], pa.int32()),
                         blob=pa.array([_pack(doc[gone], key[gone], begin[gone], begin[gone] + size[gone])], pa.binary()),
                     )
                 chosen = np.flatnonzero(stays)
-                bucket = (a.identity(at[chosen]) >> np.uint64(8)) % np.uint64(buckets)
+                bucket = (key_of[chosen] >> np.uint64(8)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 chosen, bucket = chosen[order], bucket[order]
                 edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
@@ -326,9 +376,9 @@ def segments(placed: DataFrame, buckets: int) -> DataFrame:
                     to.append(int(bucket[i]))
                     blobs.append(np.int64(len(fixed)).tobytes() + pa.compress(fixed, "zstd", asbytes=True))
                 if to:
-                    yield _batch(kind=pa.array(np.ones(len(to), np.int8)), bucket=pa.array(to, pa.int32()), blob=pa.array(blobs, pa.binary()))
+                    yield _batch(bucket=pa.array(to, pa.int32()), blob=pa.array(blobs, pa.binary()))
 
-    return placed.select("doc_id", "text_key", "text", "places").mapInArrow(run, "kind byte, bucket int, blob binary")
+    return placed.select("doc_id", "text_key", "text", "places").mapInArrow(run, "bucket int, blob binary")
 
 
 def words_at(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -473,19 +523,20 @@ def _span_batch(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.nda
     return _batch(doc_id=pa.array(doc, pa.int64()), text_key=pa.array(key, pa.int64()), start=pa.array(start, pa.int32()), end=pa.array(end, pa.int32()))
 
 
-def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end) of removed byte runs, which may overlap."""
+def _dealt(blobs: DataFrame, partitions: int) -> DataFrame:
+    """(bucket, blob) in order of buckets; those of bucket -1 go anywhere."""
+    to = F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket"))
+    return blobs.withColumn("to", to).repartition(partitions, "to").sortWithinPartitions("bucket").select("bucket", "blob")
+
+
+def spans(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, start, end) of removed byte runs, which may overlap; and the table it reads."""
     buckets = BUCKETS_EACH * parallelism(spark)
-    places = materialize(spark, shared_anchors(docs.where("doc_id is not null"), buckets), "places")
+    met = materialize(spark, shared_anchors(docs.where("doc_id is not null"), buckets), "places")
+    heavy = np.array([r.anchor for r in met.where("anchor is not null").select("anchor").collect()], np.uint64)
+    places = met.where("doc_id is not null").select("doc_id", "places")
     near = _thinned(docs, places.select("doc_id"))
     placed = near.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(places, "doc_id")
-    cut = materialize(spark, segments(placed, SEGMENTS_EACH * buckets), "segments")
-
-    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                (doc, key, start, end), _ = _unpack(blob, "i8", "i8", "i4", "i4")
-                yield _span_batch(doc, key, start, end)
 
     def bucket_spans(blobs: list[bytes]) -> pa.RecordBatch:
         parts, tails = [], []
@@ -500,6 +551,9 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
         now, held = None, []
         for b in batches:
             for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if bucket < 0:
+                    yield _span_batch(*_unpack(blob, "i8", "i8", "i4", "i4")[0])
+                    continue
                 if bucket != now and held:
                     yield bucket_spans(held)
                     held = []
@@ -508,9 +562,8 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if held:
             yield bucket_spans(held)
 
-    here = cut.where("kind = 0").select("blob").mapInArrow(decided, SPANS)
-    dealt = cut.where("kind = 1").select("bucket", "blob").repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
-    return here.unionByName(dealt.mapInArrow(sorted_buckets, SPANS))
+    cut = _dealt(segments(placed, SEGMENTS_EACH * buckets, heavy), parallelism(spark))
+    return cut.mapInArrow(sorted_buckets, SPANS), met
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -537,8 +590,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     are ignored. Empty input, empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = spans(spark, docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    found = materialize(spark, found, "runs")
+    gone, met = spans(spark, docs)
+    found = materialize(spark, gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "runs")
+    discard(spark, met)
     hit = found.select("doc_id").distinct()
     near = _thinned(docs, hit)
     touched = near.withColumn("text_key", F.xxhash64("text")).join(found, ["doc_id", "text_key"])

@@ -1,11 +1,12 @@
 """Operators on pairs and passages, against brute force."""
 
 import hashlib
+import os
 
 import numpy as np
 import xxhash
 
-from moraine.llm import components, decontaminate, line_dedup, simhash, suffix_dedup
+from moraine.llm import common, components, decontaminate, line_dedup, simhash, suffix_dedup
 
 
 def closure(n, linked):
@@ -152,6 +153,30 @@ def test_repeats(spark, docs, rows, nothing):
     assert suffix_dedup.remove_repeats(spark, nothing).count() == 0
 
 
+def test_heavy_anchors_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    phrase = "this notice may be copied by anyone who keeps it"  # shorter than SPAN, longer than CORE
+    rows = [(i, f"{rng.bytes(30).hex()} {phrase}{'.;!'[i % 3]} {'-' * 70} {rng.bytes(20 + i % 3).hex()}") for i in range(60)]
+    rows += [(i, f"{'same ' * 9} {phrase}. {'-' * 80} the end of what stands in many") for i in range(60, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_repeats(rows)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(spark, docs).collect()), key=str) == want
+    monkeypatch.setattr(suffix_dedup, "HEAVY_LEAST", 2)
+    for part in (16, 10**9):
+        monkeypatch.setattr(suffix_dedup, "HEAVY_PART", part)
+        met = suffix_dedup.shared_anchors(docs, 8)
+        assert met.where("anchor is not null").count() > 0
+        assert sorted(map(tuple, suffix_dedup.remove_repeats(spark, docs).collect()), key=str) == want
+
+
+def test_superseded_tables_are_removed(spark, docs):
+    first = common.materialize(spark, docs, "first")
+    path = first.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.discard(spark, first)
+    assert not os.path.exists(path)
+
+
 def test_suffix_sort_orders_deep_groups():
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.integers(0, 2, 400, dtype=np.uint8), np.zeros(200, np.uint8), rng.integers(0, 2, 400, dtype=np.uint8)])
