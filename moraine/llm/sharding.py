@@ -30,13 +30,18 @@ def _score(key: Column, shard: Column, weight: Column) -> Column:
     return -weight / F.log(unit)
 
 
-def rendezvous(key: Column, weights: list[float]) -> Column:
-    """The shard of highest score; the lower shard wins a tie."""
+def winner(key: Column, weights: list[float]) -> Column:
+    """(score, back) of the shard of highest score, ``back`` being minus its number; the lower shard wins a tie."""
     scores = F.transform(
         F.sequence(F.lit(0), F.lit(len(weights) - 1)),
         lambda s: F.struct(_score(key, s, F.element_at(F.lit(weights), s + 1)).alias("score"), (-s).alias("back")),
     )
-    return (-F.array_max(scores).getField("back")).cast("int")
+    return F.array_max(scores)
+
+
+def rendezvous(key: Column, weights: list[float]) -> Column:
+    """The shard of highest score."""
+    return (-winner(key, weights).getField("back")).cast("int")
 
 
 def shard_documents(docs: DataFrame, weights: list[float] | None = None, chunks: int = CHUNKS) -> DataFrame:
@@ -48,16 +53,20 @@ def shard_documents(docs: DataFrame, weights: list[float] | None = None, chunks:
     result. ``grown_shard`` is the shard after adding one of mean weight.
     """
     weights = weights or [1.0] * SHARDS
-    grown = [*weights, sum(weights) / len(weights)]
+    new = len(weights)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-    placed = docs.select(
+    # one more shard changes a row's only if its score beats the winner's
+    beaten = _score(key, F.lit(new), F.lit(sum(weights) / new)) > F.col("won.score")
+    won = (-F.col("won.back")).cast("int")
+    placed = docs.select("doc_id", "text", winner(key, weights).alias("won"))
+    placed = placed.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(key, weights).alias("shard"),
-        rendezvous(key, grown).alias("grown_shard"),
+        won.alias("shard"),
+        F.when(beaten, F.lit(new)).otherwise(won).alias("grown_shard"),
         chunk.alias("chunk"),
     )
     starts = (
