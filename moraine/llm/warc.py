@@ -134,15 +134,23 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def render(records: DataFrame) -> DataFrame:
-    """(record_id, warc string): derived records as WARC/1.1 text, ready to be written."""
+    """(record_id, warc string): derived records as WARC/1.1 text, ready to be written.
+
+    The response's own headers stand in ``WARC-Source-Header`` fields, one each; its
+    payload's digest and its URI and date in the fields that the standard names.
+    """
 
     def line(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise(F.lit(""))
 
+    each = F.filter(F.split(F.coalesce("source_headers", F.lit("")), "\r?\n"), lambda h: h != "")
+    source = F.array_join(F.transform(each, lambda h: F.concat(F.lit("WARC-Source-Header: "), h, F.lit(CRLF))), "")
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")),
-        line("WARC-Refers-To", F.col("refers_to")), line("WARC-Target-URI", F.col("target_uri")),
+        line("WARC-Refers-To", F.col("refers_to")), line("WARC-Refers-To-Target-URI", F.col("target_uri")),
+        line("WARC-Refers-To-Date", F.col("warc_date")), line("WARC-Target-URI", F.col("target_uri")),
         line("WARC-Date", F.col("warc_date")), line("WARC-Block-Digest", F.col("block_digest")),
+        line("WARC-Payload-Digest", F.col("payload_digest")), source,
         line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")),
     )
     return records.select("record_id", F.concat(head, F.lit(CRLF), F.col("block"), F.lit(CRLF + CRLF)).alias("warc"))
