@@ -15,24 +15,51 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm.common import table
+from moraine.llm.common import batch_of, table, type_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their tokens in a task; the memory is emptied beyond that.
 WORDS_KEPT = 400_000
 #: Characters whose ids are held at once.
 RUN = 1_000_000
+#: And where digests alone are kept.
+DIGEST_RUN = 4_000_000
 #: The characters with Unicode property White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECES = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^ \\p{L}\\p{N}]+"
+#: The pieces of a chunk, with the letters and numbers of ``classes`` put in.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^ {L}{N}]+"
+#: Letters and numbers that Unicode 16 added to 15.1, as first and last code point.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+#: Marks younger than Unicode 9, by whose tables the library composes: it neither orders nor joins them.
+MARKS_AFTER_9 = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E),
+    (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF),
+    (0x1E4EC, 0x1E4EF),
+]
+#: Lower case that Unicode 16 and 17 added; the library lowers by 17.
+LOWER_17 = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 END = "</w>"
 NO_RANK = 1 << 30
 #: Marks a special string among chunks, which hold no white space.
@@ -50,13 +77,47 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def composed(text: str) -> str:
+    """NFC by Unicode 9: younger marks stand where they are, and text is composed between them."""
+    return "".join(unicodedata.normalize("NFC", part) for part in YOUNGER.split(text))
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+YOUNGER = regex.compile(f"([{_class(MARKS_AFTER_9)}])")
+
+
+@cache
+def classes() -> dict[str, str]:
+    """Letters (L) and numbers (N) of Unicode 16, which the library knows, as ranges of a pattern's class.
+
+    A pattern module's own classes follow its version, so they are not used.
+    """
+    kinds = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)], np.uint8)
+    out = {}
+    for kind, added in (("L", LETTERS_16), ("N", NUMBERS_16)):
+        inside = kinds == ord(kind)
+        for first, last in added:
+            inside[first : last + 1] = True
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        out[kind] = _class(list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)))
+    return out
+
+
+def vocabulary(path: str) -> tuple[bytes, dict[str, str]]:
+    """What an encoder is made of: a vocabulary file's bytes, and the letters and numbers."""
+    with open(path, "rb") as f:
+        return f.read(), classes()
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT) -> None:
+    def __init__(self, made_of: tuple[bytes, dict[str, str]], kept: int = WORDS_KEPT) -> None:
         self.kept = kept
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(made_of[0])
         self.ids: dict[str, int] = dict(spec["model"]["vocab"])
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(merges)}
@@ -75,12 +136,12 @@ class Codec:
         self.chunk: dict[str, tuple[int, str]] = {}
         self.split_special = regex.compile(f"({'|'.join(map(regex.escape, self.special))})") if self.special else None
         self.space = regex.compile(f"[{SPACE}]+")
-        self.pieces = regex.compile(PIECES)
+        self.pieces = re.compile(PIECES.format(**made_of[1]))
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut at white space."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = composed(text).replace("Σ", "σ").translate(LOWER_17)
         if NOT_SPACE.search(text):
             return [c for c in self.space.split(text.lower()) if c]
         return text.lower().split()
@@ -198,69 +259,72 @@ def _array(ids: str) -> np.ndarray:
     return np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)
 
 
-def _id_type(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
-
-
-def _batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of whole texts of about ``most`` characters."""
-    run, size = [], 0
-    for t in texts:
+def _runs(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about ``most`` characters, each with its first place."""
+    run, size, at = [], 0, 0
+    for k, t in enumerate(texts):
         run.append(t or "")
         size += len(run[-1])
         if size >= most:
-            yield run
-            run, size = [], 0
+            yield at, run
+            run, size, at = [], 0, k + 1
     if run:
-        yield run
+        yield at, run
+
+
+def _sent(docs: DataFrame, path: str) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # one file of a few MB
 
 
 def encode_documents(docs: DataFrame, path: str, kept: int = WORDS_KEPT) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded string): whole texts, there and back.
 
     The text is decoded from the ids. A null or empty text has no tokens and decodes
-    to empty text. Rows are independent; null ids stay null; extra columns are
-    ignored. A task keeps at most ``kept`` words and a run's.
+    to empty text. Rows are independent, so repeated rows each give a row; null ids
+    stay null; extra columns are ignored; an empty table gives an empty one. A task
+    keeps at most ``kept`` words and a run's. The vocabulary is read on the driver.
     """
+    sent = _sent(docs, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path, kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(sent.value, kept)
         for b in batches:
-            at = 0
-            for texts in _batches(b["text"], RUN):
+            for at, texts in _runs(b.column("text").to_pylist(), RUN):
                 rows = codec.encode_batch(texts)
                 ids = [_array(r[1]) for r in rows]
-                part = b["doc_id"].iloc[at : at + len(texts)]
-                at += len(texts)
-                yield pd.DataFrame({"doc_id": part.array, "n_tokens": [r[0] for r in rows], "ids": ids, "decoded": [codec.decode(i) for i in ids]})
+                ends = np.cumsum([0, *map(len, ids)])
+                yield batch_of(
+                    doc_id=b.column("doc_id").slice(at, len(texts)), n_tokens=pa.array([r[0] for r in rows], pa.int64()),
+                    ids=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32())),
+                    decoded=pa.array([codec.decode(i) for i in ids], pa.string()),
+                )
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """One row a document: token count and digests of its ids and of the text decoded from them.
 
     A null or empty text has no tokens; its digests are those of empty text.
-    Repeated rows each give a row, null ids stay null, extra columns are ignored.
-    Rows are independent; a task keeps at most ``WORDS_KEPT`` words and a batch's.
+    Repeated rows each give a row, null ids stay null, extra columns are ignored; an
+    empty table gives an empty one. Rows are independent; a task keeps at most
+    ``WORDS_KEPT`` words and a run's.
     """
+    sent = _sent(docs, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(sent.value)
         sha = hashlib.sha256
         for b in batches:
-            rows = [
-                (n, sha(ids.encode()).hexdigest(), sha(codec.decode(_array(ids)).encode()).hexdigest())
-                for texts in _batches(b["text"])
-                for n, ids in codec.encode_batch(texts)
-            ]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].array)
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {_id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+            for at, texts in _runs(b.column("text").to_pylist(), DIGEST_RUN):
+                rows = codec.encode_batch(texts)
+                yield batch_of(
+                    doc_id=b.column("doc_id").slice(at, len(texts)), n_tokens=pa.array([n for n, _ in rows], pa.int64()),
+                    ids_sha256=pa.array([sha(ids.encode()).hexdigest() for _, ids in rows]),
+                    decoded_sha256=pa.array([sha(codec.decode(_array(ids)).encode()).hexdigest() for _, ids in rows]),
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:
