@@ -6,10 +6,14 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: A bitmap has two to this power bits: 4 MB.
+BITMAP_BITS = 25
 
 #: Where each table that ``materialize`` returned lies, while it is referenced.
 _PATHS: dict[int, str] = {}
@@ -70,6 +74,31 @@ def batch_of(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+class Bitmap:
+    """A set of 64-bit hashes by their low ``BITMAP_BITS`` bits: a filter that passes all members and few others.
+
+    Its size is fixed, so it may be sent to all tasks whatever the set; a set beyond
+    it only filters less.
+    """
+
+    def __init__(self, hashes: DataFrame) -> None:
+        """``hashes`` has one column of longs."""
+        h = F.col(hashes.columns[0])
+        word = F.shiftrightunsigned(h, 6).bitwiseAND((1 << BITMAP_BITS - 6) - 1).cast("int").alias("word")
+        bit = F.expr(f"shiftleft(1L, cast(`{hashes.columns[0]}` & 63 as int))")
+        found = hashes.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+        self.words = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
+        self.words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+
+    def __contains__(self, h: int) -> bool:
+        return bool(int(self.words[h >> 6 & (1 << BITMAP_BITS - 6) - 1]) >> (h & 63) & 1)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which of the unsigned hashes may be members."""
+        words = self.words[(h >> np.uint64(6) & np.uint64((1 << BITMAP_BITS - 6) - 1)).astype(np.int64)]
+        return (words >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session is sized for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,13 +5,20 @@ that a pair of similarity ``SIMILARITY`` shares a band with probability 0.997 (t
 values a band, eight bands). Lines that share a band are compared by exact Jaccard
 similarity of their shingles; links of at least ``SIMILARITY`` become components by
 distributed union-find, and the first line of a component, by doc_id and line
-number, is the one kept.
+number, is the one kept. A changed letter changes up to eight shingles, so a line
+with one in its middle is linked from 79 characters on.
 
 Equal lines are one node from the first shuffle on, keyed by digest, so a line that
 stands in a third of all documents costs its rows once. Only digests and band keys
-are shuffled to find candidates; texts follow for candidate lines alone. Buckets
-with the same members in several bands are compared once; a bucket beyond
-``BUCKET_LIMIT`` lines is dealt as blocks of part against part.
+are shuffled to find candidates; a bitmap of the candidates thins the texts before
+they are shuffled. Buckets with the same members in several bands are compared
+once.
+
+A bucket beyond ``BUCKET_LIMIT`` lines is dealt twice. First in parts, each with the
+bucket's least line as a common centre: that connects a group of near copies at one
+comparison a line. Then only lines that are still apart from the centre meet the
+others of their bucket, part against part, so no link is lost and no group is
+compared pair by pair because it is large.
 """
 
 from __future__ import annotations
@@ -23,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import materialize, table
+from moraine.llm.common import Bitmap, batch_of, discard, materialize, table, type_of
 from moraine.llm.components import connected_components
 
 SHINGLE = 8
@@ -36,6 +44,8 @@ BUCKET_LIMIT = 1024
 TASK_LINES = 4000
 #: Characters signed at once.
 CHUNK = 1_000_000
+#: A line with more than this part of all lines is looked up without a shuffle; there are fewer such lines than that.
+HOT_PART = 1000
 
 _rng = np.random.default_rng(3)
 _A = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -93,38 +103,44 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-def _id_type(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
+def _lines_of(text: str | None) -> Iterator[tuple[int, str]]:
+    """Lines that are not blank, with their numbers."""
+    return ((no, line) for no, line in enumerate((text or "").split("\n")) if line and not line.isspace())
+
+
+def _keyed(docs: DataFrame, *also: Column) -> DataFrame:
+    """``docs`` with the name of a text's lines: rows of one doc_id may differ in text."""
+    return docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"), *also)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, digest, bands) of every line that is not blank."""
-    kind = docs.select("doc_id").schema
+    """(doc_id, text_key, line_no, digest, bands) of every line that is not blank."""
+
+    def signed(b: pa.RecordBatch, of: list[int], nos: list[int], lines: list[str]) -> pa.RecordBatch:
+        keys, rows = band_keys(lines).view(np.int64), pa.array(of, pa.int64())
+        return batch_of(
+            doc_id=b.column("doc_id").take(rows), text_key=b.column("text_key").take(rows), line_no=pa.array(nos, pa.int32()),
+            digest=pa.array([hashlib.md5(x.encode()).digest() for x in lines], pa.binary()),
+            bands=pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, nos, lines, size = [], [], [], 0
-            for k, text in enumerate([*b.column("text").to_pylist(), None]):
-                if size >= CHUNK or (k == b.num_rows and lines):
-                    keys = band_keys(lines).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            b.column("doc_id").take(pa.array(ids, pa.int64())),
-                            pa.array(nos, pa.int32()),
-                            pa.array([hashlib.md5(x.encode()).digest() for x in lines], pa.binary()),
-                            pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
-                        ],
-                        names=["doc_id", "line_no", "digest", "bands"],
-                    )
-                    ids, nos, lines, size = [], [], [], 0
-                for no, line in enumerate((text or "").split("\n")):
-                    if line and not line.isspace():
-                        ids.append(k)
-                        nos.append(no)
-                        lines.append(line)
-                        size += len(line)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind[0].dataType.simpleString()}, line_no int, digest binary, bands array<long>")
+            of, nos, lines, size = [], [], [], 0
+            for k, text in enumerate(b.column("text").to_pylist()):
+                for no, line in _lines_of(text):
+                    of.append(k)
+                    nos.append(no)
+                    lines.append(line)
+                    size += len(line)
+                if size >= CHUNK:
+                    yield signed(b, of, nos, lines)
+                    of, nos, lines, size = [], [], [], 0
+            if lines:
+                yield signed(b, of, nos, lines)
+
+    schema = f"doc_id {type_of(docs, 'doc_id')}, text_key long, line_no int, digest binary, bands array<long>"
+    return _keyed(docs).select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,104 +173,154 @@ def jaccard_links(digests: list[bytes], sets: list[np.ndarray], least: float = S
     return links
 
 
-def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links (a, b) between digests of similar lines."""
-    nodes = marked.groupBy("digest").agg(F.first("bands").alias("bands"))  # equal lines have equal bands
-    rows = nodes.select("digest", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    mark = F.xxhash64("digest")
-    members = rows.select(
-        "key",
-        "digest",
-        F.count("*").over(bucket).alias("n"),
-        F.bit_xor(mark).over(bucket).alias("x"),
-        F.min("digest").over(bucket).alias("least"),
-    ).where("n > 1")
-    members = materialize(spark, members, "buckets")
-    same = members.groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key")
-    members = members.join(same, "key").select("key", "digest", "n")
-    wanted = members.select("digest").distinct()
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    lines = lines.select(F.unhex(F.md5("line")).alias("digest"), "line")
-    # equal digests are equal lines, so a task sends a common line once, before any of its rows meet
-    texts = lines.groupBy("digest").agg(F.first("line").alias("line")).join(wanted, "digest")
-    parts = F.ceil(F.col("n") / BUCKET_LIMIT).cast("int")
-    mine = F.pmod(F.xxhash64("digest"), parts).cast("int")
-    met = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    dealt = members.join(texts, "digest").select("key", "digest", "line", F.explode(met).alias("p")).select("key", "digest", "line", "p.i", "p.j")
-
-    # small buckets travel together, TASK_LINES lines or so to a group
-    together = max(1, members.count() // TASK_LINES)
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(together)))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, line) of the lines ``wanted(digest)``; others are left out before the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(Bitmap(wanted.select(F.xxhash64("digest"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[bytes, str] = {}
+            for text in b.column("text").to_pylist():
+                for _, line in _lines_of(text):
+                    digest = hashlib.md5(line.encode()).digest()
+                    if digest not in found and xxhash.xxh64_intdigest(digest, 42) in sent.value:
+                        found[digest] = line
+            yield batch_of(digest=pa.array(list(found), pa.binary()), line=pa.array(list(found.values()), pa.string()))
+
+    lines = docs.select("text").mapInArrow(run, "digest binary, line string")
+    return lines.groupBy("digest").agg(F.first("line").alias("line")).join(wanted, "digest")
+
+
+def _linked(dealt: DataFrame) -> DataFrame:
+    """``dealt(group, key, part, digest, line)`` to links (a, b) between similar lines of one part of a bucket."""
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "i", "j", "digest"], ignore_index=True)
+        pdf = pdf.sort_values(["key", "part", "digest"], ignore_index=True)
         digests, lines = list(pdf["digest"]), list(pdf["line"])
         text = dict(zip(digests, lines, strict=True))
         sets = dict(zip(text, line_sets(list(text.values())), strict=True))
-        parts = pdf[["key", "i", "j"]].to_numpy()
+        parts = pdf[["key", "part"]].to_numpy()
         edge = np.append(np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]).any(axis=1))), len(pdf)).tolist()
         found: list[tuple[bytes, bytes]] = []
         for a, b in zip(edge, edge[1:], strict=False):
-            found += jaccard_links(digests[a:b], [sets[d] for d in digests[a:b]])
+            of = sorted(set(digests[a:b]))  # the centre may be dealt to its own part
+            found += jaccard_links(of, [sets[d] for d in of])
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
     return dealt.groupBy("group").applyInPandas(links, "a binary, b binary")
 
 
-def dropped_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, digest) of every line that another one stands for.
+def _grouped(dealt: DataFrame, rows: int) -> DataFrame:
+    """Parts travel together, ``TASK_LINES`` lines or so to a group."""
+    return dealt.withColumn("group", F.pmod(F.xxhash64("key", "part"), F.lit(max(1, rows // TASK_LINES))))
 
-    Blank lines and null or empty texts have none. Repeated rows have the same
-    decisions: they count as one document. A null doc_id comes before others.
-    """
+
+def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links (a, b) between digests of similar lines."""
+    nodes = marked.groupBy("digest").agg(F.first("bands").alias("bands"))  # equal lines have equal bands
+    rows = nodes.select("digest", F.explode("bands").alias("key"))
+    met = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = materialize(spark, rows.join(met, "key"), "buckets")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.min("digest").alias("centre"))
+    buckets = materialize(spark, buckets.groupBy("n", "x", "centre").agg(F.min("key").alias("key")).drop("x"), "buckets")
+    large = buckets.where(F.col("n") > BUCKET_LIMIT)
+    total = members.count()
+    texts = _texts(docs, members.select("digest").distinct())
+    if has_large := not large.isEmpty():
+        texts = materialize(spark, texts, "texts")
+
+    count = F.ceil(F.col("n") / BUCKET_LIMIT).cast("int")
+    part = F.pmod(F.xxhash64("digest"), count).cast("int")
+    in_parts = members.join(buckets, "key").select("key", "digest", part.alias("part"))
+    centres = large.select("key", F.col("centre").alias("digest"), F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
+    dealt = in_parts.unionByName(centres).join(texts, "digest")
+    links = materialize(spark, _linked(_grouped(dealt, total)), "links")
+    if not has_large:
+        return links
+
+    # of a large bucket, what the centre's component does not hold yet meets everything
+    root = connected_components(spark, links).withColumnRenamed("node", "digest")
+    held = members.join(large, "key").join(root, "digest", "left").select("key", "digest", "centre", F.coalesce("component", "digest").alias("component"))
+    held = materialize(spark, held, "held")
+    of_centre = held.where("digest = centre").select("key", F.col("component").alias("main"))
+    held = held.join(of_centre, "key").select("key", "digest", (F.col("component") != F.col("main")).alias("apart"))
+    sizes = held.groupBy("key").agg(F.count_if("apart").alias("n_apart"), F.count_if(~F.col("apart")).alias("n_main")).where("n_apart > 0")
+    parts_apart, parts_main = (F.ceil(F.col(c) / (BUCKET_LIMIT // 2)).cast("int") for c in ("n_apart", "n_main"))
+    mine = F.pmod(F.xxhash64("digest"), F.when(F.col("apart"), parts_apart).otherwise(parts_main)).cast("int")
+    # parts 0, 1, ... of the lines apart, then those of the centre's component, as a triangle
+    with_apart = F.transform(F.sequence(F.lit(0), parts_apart - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
+    with_main = F.transform(F.sequence(F.lit(0), parts_main - 1), lambda o: F.struct(F.col("mine").alias("i"), (parts_apart + o).alias("j")))
+    from_main = F.transform(F.sequence(F.lit(0), parts_apart - 1), lambda o: F.struct(o.alias("i"), (parts_apart + F.col("mine")).alias("j")))
+    meets = F.when(F.col("apart"), F.concat(with_apart, with_main)).otherwise(from_main)
+    again = held.join(sizes, "key").withColumn("mine", mine).select("key", "digest", F.explode(meets).alias("p"))
+    again = again.select("key", "digest", F.struct("p.i", "p.j").alias("p")).withColumn("part", F.xxhash64("p")).drop("p").join(texts, "digest")
+    return links.unionByName(_linked(_grouped(again, total)))
+
+
+def _dropped(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, dropped): the numbers of a text's lines that other lines stand for."""
     marked = materialize(spark, signatures(docs), "signatures")
     found = connected_components(spark, candidate_links(spark, docs, marked))
-    at = F.struct("doc_id", "line_no")
+    at = F.struct("doc_id", "line_no", "text_key")
     nodes = marked.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     nodes = nodes.join(found.withColumnRenamed("node", "digest"), "digest", "left").where("n > 1 or component is not null")
-    nodes = nodes.select("digest", "first", F.coalesce("component", "digest").alias("component"))
+    nodes = nodes.select("digest", "n", "first", F.coalesce("component", "digest").alias("component"))
     kept = nodes.groupBy("component").agg(F.min("first").alias("kept"))
-    keeper = nodes.join(kept, "component").select("digest", "kept")
-    return marked.select("doc_id", "line_no", "digest").join(keeper, "digest").where(~at.eqNullSafe(F.col("kept"))).select("doc_id", "line_no", "digest").distinct()
+    keeper = materialize(spark, nodes.join(kept, "component").select("digest", "n", "kept"), "keepers")
+    rows = marked.select("digest", "doc_id", "line_no", "text_key")
+    hot = F.broadcast(keeper.where(F.col("n") > marked.count() // HOT_PART))  # fewer than HOT_PART rows
+    rows = rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(keeper, "digest"))
+    rows = rows.where(~at.eqNullSafe(F.col("kept"))).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("dropped"))
+    out = materialize(spark, rows, "dropped")
+    discard(spark, marked, keeper)
+    return out
 
 
-def _dropped_by_document(dropped: DataFrame) -> DataFrame:
-    """One row a document; its array is bounded by the document's own lines."""
-    out = dropped.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "digest")).alias("dropped"))
-    return out.withColumnRenamed("doc_id", "dropped_id")
+def dropped_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line_no) of every line that another one stands for.
+
+    Blank lines and null or empty texts have none. Rows that repeat a doc_id and its
+    text have the same decisions and count as one; texts of one doc_id, or without
+    one, are told apart. A null doc_id comes before others. Extra columns are
+    ignored. An empty table has no lines.
+    """
+    return _dropped(spark, docs).select("doc_id", "text_key", F.explode("dropped").alias("line_no"))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _with_dropped(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """``keyed(doc_id, text_key, ...)`` with its array of dropped lines, null where there are none."""
+    gone = gone.select(F.struct("doc_id", "text_key").alias("of"), "dropped")
+    return keyed.join(gone, F.struct("doc_id", "text_key").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of their texts.
 
-    All columns stay; a null text stays null, a text without dropped lines stays
-    as it is, and a document that loses all its lines is left out.
+    All columns stay, whatever their names; a null text stays null, a text without
+    dropped lines stays as it is, repeated rows stay alike, and a document that
+    loses all its lines is left out. An empty table stays empty.
     """
-    gone = _dropped_by_document(dropped_lines(spark, docs))
-    pairs = F.transform(_lines(F.col("text")), lambda line, no: F.struct(no.cast("int").alias("line_no"), F.unhex(F.md5(line)).alias("digest")))
-    lines = _lines(F.col("text"))
-    kept = F.filter(F.arrays_zip(lines.alias("line"), pairs.alias("pair")), lambda z: ~F.array_contains(F.col("dropped"), z["pair"]))
-    kept = F.transform(kept, lambda z: z["line"])
-    left = F.array_join(kept, "\n")
-    names = docs.columns
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["dropped_id"]), "left")
-    out = out.withColumn("text", F.when(F.col("dropped").isNull(), docs["text"]).otherwise(left))
-    return out.where(F.col("dropped").isNull() | (F.trim("text") != "")).select(*names)
+    keyed = _keyed(docs, F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
+    joined = _with_dropped(keyed, _dropped(spark, docs)).select("rest", "text", "dropped")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, stays = b.column("text").to_pylist(), np.ones(b.num_rows, bool)
+            gone = b.column("dropped")
+            for k in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                out = set(gone[k].as_py())
+                texts[k] = "\n".join(line for no, line in enumerate(texts[k].split("\n")) if no not in out)
+                stays[k] = bool(texts[k].strip())
+            yield batch_of(rest=b.column("rest"), text=pa.array(texts, pa.string())).filter(pa.array(stays))
+
+    left = joined.mapInArrow(run, joined.drop("dropped").schema)
+    return left.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its lines that fuzzy deduplication removes."""
+    """Every document with its lines that fuzzy deduplication removes; a null text has no lines."""
     docs = table(spark, sf_dir, "documents")
-    gone = _dropped_by_document(dropped_lines(spark, docs))
-    digests = docs.select("doc_id", F.transform(_lines(F.col("text")), lambda x: F.unhex(F.md5(x))).alias("digests"))
-    joined = digests.join(gone, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left")
-    removed = F.filter(F.coalesce("dropped", F.array()), lambda d: F.get("digests", d["line_no"]) == d["digest"])
-    removed = F.array_sort(F.transform(removed, lambda d: d["line_no"]))
-    return joined.select("doc_id", F.size("digests").cast("long").alias("n_lines"), removed.alias("removed_lines")).select(
-        "doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines"
-    )
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
+    joined = _with_dropped(_keyed(docs, n).drop("text"), _dropped(spark, docs))
+    removed = F.array_sort(F.coalesce("dropped", F.array().cast("array<int>")))
+    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -102,9 +103,14 @@ def test_large_shards_are_dealt_in_parts(spark, monkeypatch):
     assert sorted(r["count"] for r in got) == [2, 40]
 
 
-def test_lines(spark, docs, rows, nothing):
-    occurrences = [(i, n, line) for i, t, *_ in rows for n, line in enumerate((t or "").split("\n")) if line.strip()]
-    texts = sorted({o[2] for o in occurrences})
+def key(text):
+    """The name that a text's lines go by: Spark's xxhash64, 42 for null."""
+    return 42 if text is None else int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
+
+
+def brute_lines(occurrences):
+    """(doc_id, text_key, line_no) of the lines that another one stands for."""
+    texts = sorted({o[3] for o in occurrences})
 
     def grams(x):
         x = x.lower()
@@ -113,12 +119,76 @@ def test_lines(spark, docs, rows, nothing):
     sets = [grams(t) for t in texts]
     root = dict(zip(texts, closure(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))))
     first = {}
-    for i, n, line in occurrences:
-        at = (i is not None, i or 0, n)
+    for i, k, n, line in occurrences:
+        at = (i is not None, i or 0, n, k)
         first[root[line]] = min(first.get(root[line], at), at)
-    want = {(i, n, line) for i, n, line in occurrences if first[root[line]] != (i is not None, i or 0, n)}
-    got = {(r.doc_id, r.line_no, bytes(r.digest)) for r in line_dedup.dropped_lines(spark, docs).collect()}
-    assert got == {(i, n, hashlib.md5(line.encode()).digest()) for i, n, line in want}
+    return {(i, k, n) for i, k, n, line in occurrences if first[root[line]] != (i is not None, i or 0, n, k)}
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcdefghij "), 400))
+
+    def changed(text, n, where):
+        out = list(text)
+        for k in rng.choice(where, n, replace=False):
+            out[k] = "#"
+        return "".join(out)
+
+    # near copies of one line, and others that reach them only through a line between
+    lines = [changed(base, 1, 400) for _ in range(60)]
+    between = changed(base, 3, 60)
+    lines += [between, changed(between, 3, range(340, 400)), *(changed(base, 5, 400) for _ in range(30)), *("".join(rng.choice(list("klmno "), 90)) for _ in range(9))]
+    docs = spark.createDataFrame([(i, f"{x}\nhead {i}") for i, x in enumerate(lines)], "doc_id long, text string")
+    want = brute_lines([(i, key(f"{x}\nhead {i}"), n, y) for i, x in enumerate(lines) for n, y in enumerate((x, f"head {i}"))])
+    for limit in (4, 1024):
+        monkeypatch.setattr(line_dedup, "BUCKET_LIMIT", limit)
+        assert {tuple(r) for r in line_dedup.dropped_lines(spark, docs).collect()} == want
+
+
+def test_lines_keep_clashing_columns_and_texts_of_one_id(spark):
+    line = "a line of some length that stands in two texts, word for word"
+    rows = [(2**60 + 1, f"{line}\nfirst", 1, "a", "b", "c", "d", "e", "f"), (None, f"{line}\nsecond", 2, "a", "b", "c", "d", "e", "f"), (None, f"{line}\nthird", 3, "a", "b", "c", "d", "e", "f"),
+            (7, None, 4, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped int, dropped_id string, rest string, of string, text_key string, line string, part string").coalesce(1)
+    out = line_dedup.dedup_lines(spark, docs)
+    assert out.columns == docs.columns
+    got = {r.dropped: (r.doc_id, r.text) for r in out.collect()}
+    keeper = min((2, 3), key=lambda d: key(rows[d - 1][1]))
+    assert got[1] == (2**60 + 1, "first") and got[4] == (7, None)
+    assert {d: got[d][1] for d in (2, 3)} == {d: rows[d - 1][1] if d == keeper else rows[d - 1][1].split("\n")[1] for d in (2, 3)}
+
+
+def test_lines_of_the_query(spark, tmp_path):
+    line = "a line of some length that stands in two texts, word for word"
+    rows = [(1, f"{line}\n\nx"), (2, f"y\n{line}\n{line}"), (3, None), (4, ""), (4, ""), (None, line)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, line_dedup.op3_line_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, 3, 1, [0]), (2, 3, 2, [1, 2]), (3, 0, 0, []), (4, 1, 0, []), (4, 1, 0, []), (None, 1, 0, [])], key=str)
+
+
+def test_bands_find_the_pairs_of_real_lines(spark):
+    """Measured recall of the bands over every pair of lines at 0.8 in a table."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    lines = sorted({x for (t,) in rows for _, x in line_dedup._lines_of(t)})
+    sets = line_dedup.line_sets(lines)
+    where = {}
+    for k, s in enumerate(sets):
+        for x in s.tolist():
+            where.setdefault(x, []).append(k)
+    pairs = set()
+    for k, s in enumerate(sets):
+        near = Counter(j for x in s.tolist() for j in where[x] if j < k)
+        pairs |= {(j, k) for j, c in near.items() if c >= 0.8 * (len(s) + len(sets[j]) - c)}
+    bands = line_dedup.band_keys(lines)
+    found = sum(bool((bands[j] == bands[k]).any()) for j, k in pairs)
+    assert len(pairs) > 50 and found >= 0.97 * len(pairs), (found, len(pairs))
+
+
+def test_lines(spark, docs, rows, nothing):
+    occurrences = [(i, key(t), n, line) for i, t, *_ in rows for n, line in enumerate((t or "").split("\n")) if line.strip()]
+    got = {(r.doc_id, r.text_key, r.line_no) for r in line_dedup.dropped_lines(spark, docs).collect()}
+    assert got == brute_lines(occurrences)
     out = line_dedup.dedup_lines(spark, docs)
     assert out.columns == docs.columns
     kept = {r.doc_id: r.text for r in out.collect() if r.doc_id == 11}
