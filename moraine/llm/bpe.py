@@ -65,7 +65,7 @@ NO_RANK = 1 << 30
 #: Marks a special string among chunks, which hold no white space.
 SPECIAL = " "
 #: Characters that Python takes for white space and Unicode does not.
-NOT_SPACE = regex.compile("[\\x1c-\\x1f]")
+NOT_SPACE = re.compile("[\\x1c-\\x1f]")
 
 
 def byte_letters() -> list[str]:
@@ -86,7 +86,9 @@ def _class(ranges: list[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
-YOUNGER = regex.compile(f"([{_class(MARKS_AFTER_9)}])")
+YOUNGER = re.compile(f"([{_class(MARKS_AFTER_9)}])")
+#: Characters that need more than Python's own composition and lower case.
+RARE = re.compile(f"[Σ{_class(MARKS_AFTER_9)}{_class([(c, c) for c in LOWER_17])}]")
 
 
 @cache
@@ -141,7 +143,10 @@ class Codec:
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut at white space."""
         if not text.isascii():
-            text = composed(text).replace("Σ", "σ").translate(LOWER_17)
+            if RARE.search(text):
+                text = composed(text).replace("Σ", "σ").translate(LOWER_17)
+            else:
+                text = unicodedata.normalize("NFC", text)
         if NOT_SPACE.search(text):
             return [c for c in self.space.split(text.lower()) if c]
         return text.lower().split()

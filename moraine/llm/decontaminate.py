@@ -2,38 +2,44 @@
 
 A text becomes a sequence of canonical tokens: words are case-folded, numbers
 become one placeholder, a unit after a number another, and, in a second channel,
-capitalised words a third. Windows of ``WINDOW`` tokens of the benchmark items are
-hashed, and every window of every document is looked up among them. Matches on
-one diagonal of an item align its tokens with the document's. A window that matches
-word for word counts; the others count only as far as their slots are consistent:
-the same filler of the item always stands against the same filler of the document,
-and the reverse. Windows with the rarer of conflicting fillers are left out, with all where none is rarer. An item
-is found if the windows that count are ``SHARE`` of its windows at least, so
+capitalised words a third. Windows of ``WINDOW`` tokens of items and documents are
+hashed and meet in hash joins:
+
+1. Document windows whose hash may be an item's, by a bitmap of fixed size, are the
+   hits. They go by the digest of the text, so copies are decided once.
+2. An item found has all but a fifth of its windows, so it has one of any fifth and
+   one more. Those that stand in the fewest items are its probes, and only pairs of
+   text and item that meet at a probe go on: a window that many items share is no
+   product of both sides.
+3. The pairs' hits join all windows of the item. Matches on one diagonal align its
+   tokens with the document's. A window that matches word for word counts; the
+   others count only as far as their slots are consistent: the same filler of the
+   item always stands against the same filler of the document, and the reverse.
+   Windows with the rarer of conflicting fillers are left out, with all where none
+   is rarer.
+
+An item is found if the windows that count are ``SHARE`` of its windows at least, so
 re-parameterised questions are caught and chance matches are not.
-
-Items are taken in blocks of ``BLOCK_TOKENS`` tokens, each sent to all tasks: the
-bound holds for a benchmark of any size, at one pass over the documents a block.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.common import table
+from moraine.llm.common import Bitmap, batch_of, materialize, table
 
 WINDOW = 5
 SHARE = 0.8
-#: Tokens of the benchmark held by a task at once.
-BLOCK_TOKENS = 2_000_000
+#: Rows of a join's side that are sent to all tasks at most; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 #: Bytes of text canonicalised at once.
 CHUNK = 2_000_000
 #: Words that are units after a number.
@@ -46,6 +52,7 @@ _rng = np.random.default_rng(20)
 _MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _TURN = _rng.integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
+_SALT = {c: _rng.integers(1, 2**63, WINDOW + 1, dtype=np.uint64) for c in ("folded", "named")}
 NUMBER, UNIT, NAME = np.uint64(11), np.uint64(13), np.uint64(17)
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -62,8 +69,8 @@ class Tokens:
     end: np.ndarray
     raw: bytes
 
-    def filler(self, i: int) -> bytes:
-        return self.raw[self.start[i] : self.end[i]].lower()
+    def filler(self, i: int) -> str:
+        return self.raw[self.start[i] : self.end[i]].decode().lower()
 
 
 def _fold(text: str) -> str:
@@ -120,37 +127,14 @@ def windows(channel: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarra
     return h[start], start
 
 
-@dataclass
-class Index:
-    """Windows of a block of items."""
-
-    ids: list[int]
-    tokens: Tokens
-    first: np.ndarray  # of each item its first token
-    count: np.ndarray  # of each item its windows
-    size: np.ndarray  # of each item its window's size
-    keys: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-
-def build_index(items: list[tuple[int, str]]) -> Index:
-    """Items without a token are found nowhere; short ones have one window."""
-    tokens = tokens_of([t for _, t in items])
-    lengths = np.bincount(tokens.text, minlength=len(items))
-    size = np.minimum(lengths, WINDOW)
-    keys = {}
-    for n in sorted(set(size.tolist()) - {0}):
-        for channel in ("folded", "named"):
-            h, start = windows(getattr(tokens, channel), tokens.text, n)
-            mine = size[tokens.text[start]] == n
-            order = np.argsort(h[mine], kind="stable")
-            h, start = h[mine][order], start[mine][order]
-            seen = np.zeros(1 << 20, bool)
-            seen[(h >> np.uint64(44)).astype(np.int64)] = True
-            keys[channel, n] = (h, start, seen)
-    return Index([i for i, _ in items], tokens, np.cumsum(lengths) - lengths, lengths - size + 1, size, keys)
-
-
-def _consistent(slots: dict[int, tuple[bytes, bytes]]) -> set[int]:
+def keyed_windows(tokens: Tokens, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, starts) of each channel's windows of ``size`` tokens; keys differ by channel and size."""
+    for channel, salt in _SALT.items():
+        h, start = windows(getattr(tokens, channel), tokens.text, size)
+        yield (h ^ salt[size]) * _MIX[size], start
+
+
+def consistent(slots: dict[int, tuple[str, str]]) -> set[int]:
     """The places left when each filler stands against one other only, both ways.
 
     Of pairs that conflict, the one at most places stays; of equally many none does.
@@ -167,104 +151,143 @@ def _consistent(slots: dict[int, tuple[bytes, bytes]]) -> set[int]:
     return {t for t, pair in slots.items() if pair in kept}
 
 
-def find(texts: list[str], index: Index, share: float = SHARE) -> list[tuple[int, int, float]]:
-    """(text, item id, share of its windows) of each item found in a text."""
-    tokens = tokens_of(texts)
-    # (text, item, diagonal) -> window starts in the item's tokens
-    met: dict[tuple[int, int, int], set[int]] = defaultdict(set)
-    for (channel, size), (keys, starts, seen) in index.keys.items():
-        h, at = windows(getattr(tokens, channel), tokens.text, size)
-        maybe = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)])
-        low, high = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
-        for k in np.flatnonzero(high > low).tolist():
-            i = int(at[maybe[k]])
-            for j in starts[low[k] : high[k]].tolist():
-                met[int(tokens.text[i]), int(index.tokens.text[j]), i - j].add(j)
-    found: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for (text, item, diagonal), js in met.items():
-        size = int(index.size[item])
-        slots, changed = {}, set()
-        for t in {j + k for j in js for k in range(size)}:
-            a, b = index.tokens.filler(t), tokens.filler(t + diagonal)
-            if index.tokens.folded[t] in (NUMBER, UNIT) or a != b:
-                slots[t] = (a, b)
+def counted(met: dict[int, tuple[list[bool], list[str], list[str]]]) -> list[int]:
+    """Of an item's windows met on one diagonal, by their starts, those that count.
+
+    A window is given by its typed places, its fillers and the document's.
+    """
+    slots, changed = {}, set()
+    for j, (typed, mine, theirs) in met.items():
+        for k, (is_typed, a, b) in enumerate(zip(typed, mine, theirs, strict=True)):
+            if is_typed or a != b:
+                slots[j + k] = (a, b)
             if a != b:
-                changed.add(t)
-        # a window that matches word for word needs no check
-        differing = {j for j in js if any(j + k in changed for k in range(size))}
-        checked = {t: slots[t] for t in {j + k for j in differing for k in range(size)} if t in slots}
-        wrong = checked.keys() - _consistent(checked)
-        found[text, item] |= {j for j in js if j not in differing or not any(j + k in wrong for k in range(size))}
-    out = []
-    for (text, item), js in sorted(found.items()):
-        covered = len(js) / int(index.count[item])
-        if covered >= share:
-            out.append((text, index.ids[item], covered))
-    return out
-
-
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in runs whose tokens are ``most`` at the utmost, an item at least."""
-    run, size = [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        n = len(r.text.encode()) // 2 + 1
-        if run and size + n > most:
-            yield run
-            run, size = [], 0
-        run.append((r.item_id, r.text))
-        size += n
-    if run:
-        yield run
-
-
-def _found(texts: list[str | None], index: Index, share: float) -> Iterator[tuple[int, int, float]]:
-    """(place, item id, share) over texts taken ``CHUNK`` characters or so at once."""
-    sizes = np.cumsum([len(t or "") for t in texts]) // CHUNK
-    for c in np.unique(sizes):
-        at = np.flatnonzero(sizes == c)
-        yield from ((int(at[t]), i, s) for t, i, s in find([texts[k] or "" for k in at], index, share))
-
-
-def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK_TOKENS) -> DataFrame:
-    """``docs``, all columns, without the rows that hold a benchmark item."""
-    for items in _blocks(benchmark, block):
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = build_index(held.value)
-            for b in batches:
-                clean = np.ones(b.num_rows, bool)
-                clean[[k for k, _, _ in _found(b.column("text").to_pylist(), index, share)]] = False
-                yield b.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
-
-
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK_TOKENS) -> DataFrame:
+                changed.add(j + k)
+    wrong = changed - consistent(slots)
+    return [j for j, (typed, _, _) in met.items() if not any(j + k in wrong for k in range(len(typed)))]
+
+
+def _texts_of(df: DataFrame, name: str) -> DataFrame:
+    """(name, text): texts by their digest; null texts are none."""
+    return df.where("text is not null").select(F.unhex(F.md5("text")).alias(name), "text")
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(item, n, size, key, j, typed, fillers) of every window of every distinct text.
+
+    A text shorter than a window is one window; a text without a token has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = tokens_of(b.column("text").to_pylist())
+            lengths = np.bincount(tokens.text, minlength=b.num_rows)
+            first, sizes = np.cumsum(lengths) - lengths, np.minimum(lengths, WINDOW)
+            typed = np.isin(tokens.folded, [NUMBER, UNIT]) | (tokens.named == NAME)
+            for size in sorted(set(sizes.tolist()) - {0}):
+                for key, start in keyed_windows(tokens, size):
+                    mine = sizes[tokens.text[start]] == size
+                    key, start = key[mine], start[mine]
+                    text = tokens.text[start]
+                    yield batch_of(
+                        item=b.column("item").take(pa.array(text)), n=pa.array(lengths[text] - size + 1, pa.int32()),
+                        size=pa.array(np.full(len(start), size), pa.int32()), key=pa.array(key.view(np.int64)),
+                        j=pa.array(start - first[text], pa.int32()),
+                        typed=pa.array([typed[s : s + size].tolist() for s in start.tolist()], pa.list_(pa.bool_())),
+                        fillers=pa.array([[tokens.filler(t) for t in range(s, s + size)] for s in start.tolist()], pa.list_(pa.string())),
+                    )
+
+    schema = "item binary, n int, size int, key long, j int, typed array<boolean>, fillers array<string>"
+    texts = _texts_of(benchmark, "item").groupBy("item").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(run, schema)
+
+
+def document_hits(docs: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc, key, i, found): the windows of each text whose key may be among ``keys(key)``."""
+    sent = docs.sparkSession.sparkContext.broadcast(Bitmap(keys))
+
+    def hits(texts: list[str], digests: pa.Array) -> Iterator[pa.RecordBatch]:
+        tokens = tokens_of(texts)
+        first = np.searchsorted(tokens.text, np.arange(len(texts)))
+        for size in sizes:
+            for key, start in keyed_windows(tokens, size):
+                maybe = sent.value.holds(key)
+                key, start = key[maybe], start[maybe]
+                text = tokens.text[start]
+                yield batch_of(
+                    doc=digests.take(pa.array(text)), key=pa.array(key.view(np.int64)), i=pa.array(start - first[text], pa.int32()),
+                    found=pa.array([[tokens.filler(t) for t in range(s, s + size)] for s in start.tolist()], pa.list_(pa.string())),
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            part = np.cumsum([len(t) for t in texts]) // CHUNK
+            for c in np.unique(part):
+                at = np.flatnonzero(part == c)
+                yield from hits([texts[k] for k in at], b.column("doc").take(pa.array(at)))
+
+    found = _texts_of(docs, "doc").mapInArrow(run, "doc binary, key long, i int, found array<string>")
+    # copies of a text hit alike: each task sends theirs once
+    return found.groupBy("doc", "key", "i").agg(F.first("found").alias("found"))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def shares(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc, item, share) of texts and items, by their digests, that ``share`` at least of an item's windows join."""
+    items = materialize(spark, item_windows(benchmark), "items")
+    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # five at most
+    hits = materialize(spark, document_hits(docs, items.select("key"), sizes), "hits")
+
+    spread = items.groupBy("key").agg(F.count("*").alias("spread"))
+    windows_ = items.join(spread, "key").groupBy("item", "n", "j").agg(F.max("spread").alias("spread"), F.collect_set("key").alias("keys"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("spread", "j"))
+    most_missing = F.floor((1 - share) * F.col("n") + 1e-9)
+    probes = windows_.withColumn("rank", rank).where(F.col("rank") <= most_missing + 1).select("item", F.explode("keys").alias("key")).distinct()
+    pairs = materialize(spark, hits.select("doc", "key").join(_sent(probes), "key").select("doc", "item").distinct(), "pairs")
+
+    of_pairs = hits.join(_sent(pairs), "doc")
+    met = of_pairs.join(_sent(items.drop("size")), ["item", "key"])
+    window = F.struct("j", "typed", "fillers", "found")
+    aligned = met.groupBy("doc", "item", "n", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.collect_set(window).alias("met"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [counted({w["j"]: (w["typed"], w["fillers"], w["found"]) for w in met}) for met in b.column("met").to_pylist()]
+            yield batch_of(doc=b.column("doc"), item=b.column("item"), n=b.column("n"), js=pa.array(good, pa.list_(pa.int32())))
+
+    good = aligned.select("doc", "item", "n", "met").mapInArrow(run, "doc binary, item binary, n int, js array<int>")
+    each = good.select("doc", "item", "n", F.explode("js").alias("j")).distinct()
+    found = each.groupBy("doc", "item", "n").agg(F.count("*").alias("count")).select("doc", "item", (F.col("count") / F.col("n")).alias("share"))
+    return materialize(spark, found.where(F.col("share") >= share), "shares")
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """``docs``, all columns, whatever their names, without the rows that hold a benchmark item.
+
+    Null and empty texts stay; repeated rows stay or go together; with an empty
+    benchmark all rows stay.
+    """
+    foul = shares(spark, docs, benchmark, share).select("doc").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5("text")).alias("doc"))
+    return rows.join(_sent(foul), "doc", "left_anti").select("row.*")
+
+
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share) of each benchmark item that a document holds.
 
     Null or empty texts, of documents or items, hold and are nothing. Repeated
     document rows give repeated results; an item repeated under one id counts as
-    its best share. An item shorter than a window must stand whole. Extra columns
-    are ignored. An empty table on either side gives no rows.
+    its best share. An item shorter than a window must stand whole. Null ids stay
+    null. Extra columns are ignored. An empty table on either side gives no rows.
     """
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, share double"
-    found = []
-    for items in _blocks(benchmark, block):
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = build_index(held.value)
-            for b in batches:
-                rows = [(b["doc_id"].iloc[k], i, s) for k, i, s in _found(list(b["text"]), index, share)]
-                yield pd.DataFrame({"doc_id": [r[0] for r in rows], "item_id": [r[1] for r in rows], "share": [r[2] for r in rows]})
-
-        found.append(docs.select("doc_id", "text").mapInPandas(run, schema))
-    if not found:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, found)
+    named = benchmark.where("text is not null").select("item_id", F.unhex(F.md5("text")).alias("item")).distinct()
+    best = shares(spark, docs, benchmark, share).join(named, "item").groupBy("doc", "item_id").agg(F.max("share").alias("share"))
+    rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("doc"))
+    return rows.join(_sent(best), "doc").select("doc_id", "item_id", "share")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

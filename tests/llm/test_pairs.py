@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -259,7 +260,7 @@ def test_suffix_sort_orders_deep_groups():
         assert (run[a] == run[a - 1]) == (strings[order[a]] == strings[order[a - 1]])
 
 
-def test_leaks(spark, nothing):
+def test_leaks(spark, nothing, monkeypatch):
     items = spark.createDataFrame(
         [(1, "If Anna buys 12 apples and Bob buys 7 apples, how many apples do they have after 3 days?", 1.0),
          (2, "Short one here", 1.0), (3, None, 1.0), (4, "", 1.0), (5, "The boiling point of water at sea level is given in which unit of heat?", 1.0)],
@@ -272,40 +273,112 @@ def test_leaks(spark, nothing):
          (1, "so: If Carl buys 15 apples and Dora buys 9 apples, how many apples do they have after 4 days? ok"), (None, "short one here")],
         "doc_id long, text string",
     )
-    for block in (decontaminate.BLOCK_TOKENS, 20):
-        got = decontaminate.leaks(spark, docs, items, block=block)
+    for rows in (decontaminate.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        got = decontaminate.leaks(spark, docs, items)
         assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 2), (None, 2)], key=str)
-        assert sorted(r.doc_id for r in decontaminate.keep_clean(spark, docs, items, block=block).collect()) == [4, 5, 6, 7]
+        assert sorted(r.doc_id for r in decontaminate.keep_clean(spark, docs, items).collect()) == [4, 5, 6, 7]
     assert decontaminate.leaks(spark, nothing, items).count() == 0
     assert decontaminate.leaks(spark, docs, items.limit(0)).count() == 0
 
 
-def test_inconsistent_slots_are_no_leak():
-    index = decontaminate.build_index([(1, "take 12 away from 40 and then take 12 away from 9 again please")])
-    assert decontaminate.find(["take 5 away from 70 and then take 5 away from 3 again please"], index)
-    assert not decontaminate.find(["take 5 away from 70 and then take 6 away from 3 again please"], index)
+def shares_of(spark, item, texts):
+    """The share of one item's windows that each text holds, as a count of its ``n`` windows."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = len(item.split()) - 4
+    got = decontaminate.leaks(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string"), share=0.01)
+    found = {r.doc_id: round(r.share * n) for r in got.collect()}
+    return [found.get(k, 0) for k in range(len(texts))]
 
 
-def test_conflicting_slots_leave_out_their_windows_only():
-    words = [f"word{k}" for k in range(80)]
-    words[10] = words[60] = "12"
-    words[30] = "9"
-    index = decontaminate.build_index([(1, " ".join(words))])
-
-    def share(**changed):
-        found = decontaminate.find([" ".join(changed.get(f"at{k}", w) for k, w in enumerate(words))], index)
-        return [round(s * 76) for _, _, s in found]
+def test_inconsistent_slots_are_no_leak(spark):
+    item = "take 12 away from 40 and then take 12 away from 9 again please"
+    texts = ["take 5 away from 70 and then take 5 away from 3 again please", "take 5 away from 70 and then take 6 away from 3 again please"]
+    whole, torn = shares_of(spark, item, texts)
+    assert whole == 10 and torn < 0.8 * 10
+    # Anna would stand for two names
+    names = "at noon Anna met old friends and later Bob met them too"
+    kept, renamed, merged, one = shares_of(spark, names, [names, names.replace("Anna", "Carl").replace("Bob", "Dora"), names.replace("Bob", "Anna"), names.replace("Anna", "Carl").replace("Bob", "Carl")])
+    assert (kept, renamed) == (8, 8) and merged < 0.8 * 8 and one < 0.8 * 8
 
-    assert share() == [76]
-    assert share(at10="13", at60="13", at30="4") == [76]
-    assert share(at60="13") == [76]
-    assert share(at10="13", at60="14") == [66]
-    assert share(at10="7", at30="7") == [66]
 
-
-def test_names_that_conflict_leave_out_their_windows_only():
+def test_conflicting_slots_leave_out_their_windows_only(spark):
     words = [f"word{k}" for k in range(80)]
+    words[10] = words[60] = "12"
+    words[30] = "9"
+    changes = [{}, {10: "13", 60: "13", 30: "4"}, {60: "13"}, {10: "13", 60: "14"}, {10: "7", 30: "7"}]
+    # 12 stands against 12 and 13 in the third: the windows of the changed one go
+    assert shares_of(spark, " ".join(words), [" ".join(c.get(k, w) for k, w in enumerate(words)) for c in changes]) == [76, 76, 71, 66, 66]
     words[10] = words[60] = "The"
-    index = decontaminate.build_index([(1, " ".join(words))])
-    words[10], words[60] = "Every", "Some"
-    assert [round(s * 76) for _, _, s in decontaminate.find([" ".join(words)], index)] == [66]
+    renamed = [*words]
+    renamed[10], renamed[60] = "Every", "Some"
+    assert shares_of(spark, " ".join(words), [" ".join(renamed)]) == [66]
+
+
+def brute_share(text, item):
+    """Share of the item's windows that a text holds, by the definition, over every diagonal."""
+    units = set(decontaminate.UNITS)
+
+    def tokens(x):
+        out = []
+        for m in re.finditer("[0-9A-Za-z]+", x):
+            w = m.group()
+            if w[0].isdigit():
+                if out and out[-1][0] == "#":
+                    out[-1] = ("#", "#", x[out[-1][3] : m.end()].lower(), out[-1][3])
+                else:
+                    out.append(("#", "#", w.lower(), m.start()))
+                continue
+            number = out and out[-1][0] == "#"
+            kind = "unit" if number and w.lower() in units else w.lower()
+            name = "name" if w[0].isupper() and not w[1:2].isupper() and kind != "unit" and sum(c.isupper() for c in w) == 1 else kind
+            out.append((kind, name, w.lower(), m.start()))
+        return out
+
+    a, b = tokens(item), tokens(text)
+    size = min(5, len(a))
+    if not size:
+        return 0.0
+    good = set()
+    for d in range(1 - len(a), len(b)):
+        js = [j for j in range(len(a) - size + 1) if 0 <= j + d <= len(b) - size and any([t[c] for t in a[j : j + size]] == [t[c] for t in b[j + d : j + d + size]] for c in (0, 1))]
+        places = sorted({j + k for j in js for k in range(size)})
+        pairs = {t: (a[t][2], b[t + d][2]) for t in places if a[t][0] in ("#", "unit") or a[t][1] == "name" or a[t][2] != b[t + d][2]}
+        ok, left, right = set(), set(), set()
+        for n in sorted(set(Counter(pairs.values()).values()), reverse=True):
+            tier = [p for p, k in Counter(pairs.values()).items() if k == n and p[0] not in left and p[1] not in right]
+            sole = [p for p in tier if sum(q[0] == p[0] for q in tier) == 1 == sum(q[1] == p[1] for q in tier)]
+            ok.update(sole)
+            left.update(p[0] for p in sole)
+            right.update(p[1] for p in sole)
+        bad = {t for t, p in pairs.items() if p[0] != p[1] and p not in ok}
+        good |= {j for j in js if not bad & set(range(j, j + size))}
+    return len(good) / (len(a) - size + 1)
+
+
+def test_leaks_equal_the_definition(spark):
+    rng = np.random.default_rng(11)
+    pool = ["the", "of", "Anna", "Bob", "Carl", "buys", "12", "7", "40", "km", "hours", "is", "and", "How", "many", "apples", "3"]
+    draw = lambda n: [str(w) for w in rng.choice(pool, n)]
+    items = [(k, " ".join(draw(rng.integers(2, 16)))) for k in range(25)]
+    docs = []
+    for k in range(160):
+        words = draw(rng.integers(0, 30))
+        if k % 2:
+            part = items[int(rng.integers(len(items)))][1].split()
+            swap = {a: b for a, b in zip(["Anna", "Bob", "12", "7"], rng.permutation(["Dora", "Emil", "55", "8"]).tolist() if k % 4 == 1 else ["Carl", "Anna", "7", "3"])}
+            words += [swap.get(w, w) for w in part] + draw(3)
+        docs.append((k, " ".join(words)))
+    want = {(d, i): s for d, t in docs for i, x in items if (s := brute_share(t, x)) >= 0.8}
+    got = decontaminate.leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 40 and {(r.doc_id, r.item_id): round(r.share, 9) for r in got} == {k: round(s, 9) for k, s in want.items()}
+
+
+def test_leaks_awkward(spark, docs, rows, nothing):
+    items = spark.createDataFrame([(2**60 + 1, rows[7][1], 1), (None, "another text of the same id", 2), (3, None, 3), (4, rows[9][1], 4)], "item_id long, text string, row int")
+    got = sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(spark, docs, items).collect()), key=str)
+    assert got == sorted([(8, 2**60 + 1), (10, 4), (10, 4), (10, None)], key=str)
+    clean = decontaminate.keep_clean(spark, docs.withColumnRenamed("source", "row").withColumnRenamed("lang", "doc"), items)
+    assert clean.count() == docs.count() - 4 and {"row", "doc"} <= set(clean.columns)
+    assert decontaminate.keep_clean(spark, nothing, items).count() == 0
+    assert decontaminate.keep_clean(spark, docs, items.limit(0)).count() == docs.count()
