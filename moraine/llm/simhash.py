@@ -1,13 +1,21 @@
 """SimHash near-duplicates through vantage-point trees on Hamming distance.
 
-Fingerprints that differ in at most ``RADIUS`` of 64 bits agree in one of
-``RADIUS + 1`` bit blocks, whatever the data. So there is one tree for each block,
-whose top level is the ball of radius 0 around each block value: those balls are
-disjoint and are the shards, spread by a shuffle. Inside a shard each node takes a
-vantage point, parts its fingerprints at the median distance, and by the triangle
-inequality only members within ``RADIUS`` of the boundary are compared across it.
-A shard beyond ``SHARD_LIMIT`` fingerprints is dealt as blocks of part against
-part, so no task holds it whole. Shards return links to a root for each local
+Fingerprints that differ in at most ``RADIUS`` of 64 bits differ in at most
+``NEAR`` of one of three blocks of bits. For each block a global tree is fitted on
+a bounded sample: every level has one vantage point and a radius that halves the
+sample, and a fingerprint's region is the path of its distances, inside or outside
+at each level. Distances are taken within the block: over all 64 bits most
+fingerprints lie within ``RADIUS`` of any boundary, so each would have to visit a
+fixed share of all regions.
+
+A fingerprint is a member of its region and is sent as a visitor to the regions
+beyond the boundaries that it is within ``NEAR`` of, in one direction of each pair
+of regions. A region is searched by a local vantage-point tree over all 64 bits: a
+node parts its fingerprints at the median distance, and by the triangle inequality
+only those within ``RADIUS`` of the boundary are compared across it. Levels grow
+with the count of fingerprints, so regions keep their size and a fingerprint visits
+no more than its block has bits. A region beyond ``SHARD_LIMIT`` members is dealt as
+parts, so no task holds it whole. Regions return links to a root for each local
 component, never all pairs, and links become components by star rounds.
 
 Equal fingerprints are one node, so copies cost one comparison, not their square.
@@ -19,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import materialize, table
+from moraine.llm.common import batch_of, materialize, table
 from moraine.llm.components import connected_components
 
 SHINGLE = 4
@@ -31,13 +40,16 @@ SEED = 42
 RADIUS = 4
 LEAF = 192
 SHARD_LIMIT = 8192
-#: Fingerprints that a shard should hold on average; more key bits are used beyond.
-SHARD_AIM = 1024
+#: Members that a region should have on average; trees have more levels beyond.
+SHARD_AIM = 512
+#: Fingerprints that the trees are fitted on, those of least hash, and vantage points tried a level.
+SAMPLE, TRIED = 4096, 48
 #: Row digests sent to all tasks at most; beyond, a shuffle join does it.
 BROADCAST_IDS = 400_000
-ROW = "digest of the row"
-BLOCKS = RADIUS + 1
-BLOCK_BITS = 64 // BLOCKS
+#: First bits of the blocks, and the end.
+BLOCKS = (0, 21, 42, 64)
+#: Levels of a tree at most: regions are then about as many as a block's values.
+LEVELS = 20
 
 #: Each byte's bits, a bit a byte lane.
 _LANES = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], dtype=np.uint64)
@@ -75,38 +87,37 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
-    """(doc_id, fp long): the 64-bit fingerprint of every whole text, with columns ``also``."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` with fp long, the 64-bit fingerprint of every whole text, in the text's place."""
+    names = docs.drop("text").columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                hashes = [shingle_hashes(t) for t in part["text"]]
+            texts = b.column("text").to_pylist()
+            for at in range(0, len(texts), 256):
+                hashes = [shingle_hashes(t) for t in texts[at : at + 256]]
                 sizes = np.array([len(h) for h in hashes], np.int64)
                 flat = np.array([x for h in hashes for x in h], np.uint64)
-                yield part[["doc_id", *also]].assign(fp=majority(flat, sizes).view(np.int64))
+                own = {c: b.column(c).slice(at, len(hashes)) for c in names}
+                yield batch_of(**own, fp=pa.array(majority(flat, sizes).view(np.int64)))
 
-    schema = docs.select("doc_id", *also).schema.add("fp", "long")
-    return docs.select("doc_id", "text", *also).mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.drop("text").schema.add("fp", "long"))
 
 
 class _Roots:
-    """Union-find over the positions of one shard's fingerprints."""
+    """Components of a region's fingerprints, by place."""
 
     def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
+        self.label = np.arange(n)
 
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def link(self, pairs: np.ndarray, of: np.ndarray, to: np.ndarray) -> None:
-        for i, j in zip(of[pairs[:, 0]].tolist(), to[pairs[:, 1]].tolist(), strict=True):
-            a, b = self.find(i), self.find(j)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
+    def link(self, near: np.ndarray, of: np.ndarray, to: np.ndarray) -> None:
+        """Join each of ``of`` with those of ``to`` that its row of ``near`` marks."""
+        for row in np.flatnonzero(near.any(axis=1)).tolist():
+            found = self.label[to[near[row]]]
+            own = self.label[of[row]]
+            if (found != own).any():
+                met = np.unique(np.append(found, own))
+                self.label[np.isin(self.label, met)] = met[0]
 
 
 def _far(fps: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -117,18 +128,14 @@ def _compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, roots: _Roots, radiu
     """All of ``a`` against all of ``b``, in blocks of rows."""
     for at in range(0, len(a), 512):
         rows = a[at : at + 512]
-        near = np.bitwise_count(fps[rows][:, None] ^ fps[b][None, :]) <= radius
-        hit = np.argwhere(near)
-        # a row's links to its first partner and along its partners join the same set
-        roots.link(hit, rows, b)
+        roots.link(np.bitwise_count(fps[rows][:, None] ^ fps[b][None, :]) <= radius, rows, b)
 
 
 def tree_self(fps: np.ndarray, idx: np.ndarray, roots: _Roots, radius: int = RADIUS) -> None:
     """Link all near pairs within ``idx`` through a vantage-point tree."""
     while len(idx) > LEAF:
         d = _far(fps[idx], fps[idx[0]])
-        near = d <= radius
-        roots.link(np.argwhere(near).repeat(2, axis=1) * [0, 1], idx, idx)  # members of the vantage point's ball
+        roots.link((d <= radius)[None, :], idx[:1], idx)  # members of the vantage point's ball
         middle = int(np.median(d))
         inside = d <= middle
         if inside.all():
@@ -160,32 +167,98 @@ def tree_cross(fps: np.ndarray, a: np.ndarray, b: np.ndarray, roots: _Roots, rad
     tree_cross(fps, *high, roots, radius)
 
 
-def shard_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, root) for each of the distinct ``fps`` that is linked to another."""
+def shard_links(members: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, root) for each fingerprint of a region that is linked to another one.
+
+    Members are compared with each other and with the visitors, which are not
+    compared among themselves.
+    """
+    fps = np.concatenate([members, visitors])
     roots = _Roots(len(fps))
-    tree_self(fps, np.arange(len(fps)), roots, radius)
-    root = np.array([roots.find(i) for i in range(len(fps))], np.int64)
-    linked = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[linked], fps[root[linked]]
+    home, away = np.arange(len(members)), np.arange(len(members), len(fps))
+    tree_self(fps, home, roots, radius)
+    tree_cross(fps, home, away, roots, radius)
+    linked = np.flatnonzero(roots.label != np.arange(len(fps)))
+    return fps[linked], fps[roots.label[linked]]
+
+
+def fit_tree(sample: np.ndarray, levels: int) -> list[tuple[int, int]]:
+    """(vantage point, radius) of each level, so that the paths part the ``sample`` of block values most evenly."""
+    tree: list[tuple[int, int]] = []
+    path = np.zeros(len(sample), np.int64)
+    rng = np.random.default_rng(7)
+    for _ in range(levels):
+        best = None
+        for point in rng.choice(sample, min(TRIED, len(sample)), replace=False):
+            d = _far(sample, point)
+            radius = int(np.median(d))
+            for r in (radius - 1, radius):
+                uneven = (np.unique(path * 2 + (d <= r), return_counts=True)[1].astype(float) ** 2).sum()
+                if best is None or uneven < best[0]:
+                    best = (uneven, int(point), r)
+        tree.append(best[1:])
+        path = np.unique(path * 2 + (_far(sample, np.uint64(best[1])) <= best[2]), return_inverse=True)[1]
+    return tree
+
+
+def regions(values: np.ndarray, tree: list[tuple[int, int]]) -> np.ndarray:
+    """The path of each block value: a bit a level, 1 inside the radius."""
+    out = np.zeros(values.shape, np.int32)
+    for point, radius in tree:
+        out = out * 2 + (_far(values, np.uint64(point)) <= radius)
+    return out
+
+
+def placed(distinct: DataFrame, trees: list[list[tuple[int, int]]], near: int) -> DataFrame:
+    """(fp, block, region, visits) of every fingerprint: its own region and those that it visits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column("fp").to_numpy().view(np.uint64)
+            for block, tree in enumerate(trees):
+                width = BLOCKS[block + 1] - BLOCKS[block]
+                values = fps >> np.uint64(BLOCKS[block]) & np.uint64((1 << width) - 1)
+                # every value within ``near`` bits of a block value
+                masks = [0]
+                for _ in range(near):
+                    masks = sorted({m ^ 1 << k for m in masks for k in range(width)} | set(masks))
+                home = regions(values, tree)
+                around = np.sort(regions(values[:, None] ^ np.array(masks, np.uint64), tree), axis=1)
+                go = around < home[:, None]
+                go[:, 1:] &= around[:, 1:] != around[:, :-1]
+                who, where = np.nonzero(go)
+                fp = np.concatenate([fps, fps[who]]).view(np.int64)
+                yield batch_of(
+                    fp=pa.array(fp), block=pa.array(np.full(len(fp), block, np.int32)), region=pa.array(np.concatenate([home, around[who, where]]).astype(np.int32)),
+                    visits=pa.array(np.arange(len(fp)) >= len(fps)),
+                )
+
+    return distinct.select("fp").mapInArrow(run, "fp long, block int, region int, visits boolean")
 
 
 def near_links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``distinct(fp)`` to links (a, b) whose components are those of all near pairs."""
-    n = distinct.count()
-    bits = max(0, min(BLOCK_BITS, (n // SHARD_AIM).bit_length()))
-    key = F.array(*[F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND((1 << bits) - 1).cast("int") for k in range(BLOCKS)])
-    shards = distinct.select("fp", F.posexplode(key).alias("block", "key"))
-    sizes = shards.groupBy("block", "key").agg(F.count("*").alias("n"))
+    levels = min(LEVELS, (distinct.count() // SHARD_AIM).bit_length())
+    sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
+    ends = list(zip(BLOCKS, BLOCKS[1:], strict=False))
+    trees = [fit_tree(sample >> np.uint64(a) & np.uint64((1 << b - a) - 1), levels) for a, b in ends]
+    rows = materialize(spark, placed(distinct, trees, radius // len(ends)), "regions")
+    sizes = rows.where(~F.col("visits")).groupBy("block", "region").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / SHARD_LIMIT).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    met = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    dealt = shards.join(sizes, ["block", "key"]).select("fp", "block", "key", F.explode(met).alias("p")).select("fp", "block", "key", "p.i", "p.j")
+    every = F.sequence(F.lit(0), parts - 1)
+    members = F.transform(every, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    # a visitor meets each part of the members once, where that part is alone
+    meets = F.when(F.col("visits"), F.transform(every, lambda o: F.struct(o.alias("i"), o.alias("j")))).otherwise(members)
+    dealt = rows.join(sizes, ["block", "region"]).select("fp", "block", "region", "visits", F.explode(meets).alias("p"))
+    dealt = dealt.select("fp", "block", "region", "visits", "p.i", "p.j")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = shard_links(np.sort(pdf["fp"].to_numpy().view(np.uint64)), radius)
+        fps, visits = pdf["fp"].to_numpy().view(np.uint64), pdf["visits"].to_numpy()
+        a, b = shard_links(np.sort(fps[~visits]), np.sort(fps[visits]), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("block", "key", "i", "j").applyInPandas(links, "a long, b long")
+    return dealt.groupBy("block", "region", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -195,7 +268,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows each give a row; a null doc_id never names a component unless all its
     members are null. Extra columns are ignored. Empty input, empty result.
     """
-    marked = materialize(spark, fingerprints(docs), "fingerprints")
+    marked = materialize(spark, fingerprints(docs.select("doc_id", "text")), "fingerprints")
     nodes = _rooted(spark, marked, F.min("doc_id").alias("least"))
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "root").select("fp", "component_id")
@@ -215,27 +288,28 @@ def _sent(df: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one row of each component.
+    """``docs``, all columns, whatever their names, with one row of each component.
 
     It is the row of least doc_id, nulls last, then of least digest. Rows are told
     apart by the digest of all their columns, so equal ids of different texts are
-    decided apart; of equal rows one stays.
+    decided apart; of equal rows one stays. Null and empty texts have fingerprint 0
+    and are one component. An empty table stays empty.
     """
-    digest = F.unhex(F.md5(F.to_json(F.struct(*[F.md5(c).alias(c) if c == "text" else F.col(c) for c in docs.columns]))))
-    keyed = docs.withColumn(ROW, digest)
-    marked = materialize(spark, fingerprints(keyed, ROW), "fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(ROW).alias("row"))).alias("least")
+    columns = F.struct(*[F.md5(c).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5(F.to_json(columns))).alias("digest"), "doc_id", "text")
+    marked = materialize(spark, fingerprints(keyed.select("digest", "doc_id", "text")), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("digest").alias("row"))).alias("least")
     nodes = _rooted(spark, marked, least)
-    keepers = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(ROW))
-    rows = marked.groupBy(ROW).agg(F.count("*").alias("n")).join(keepers.withColumn("kept", F.lit(True)), ROW, "left")
-    rows = materialize(spark, rows.where("kept is null or n > 1").select(ROW, "kept"), "rows")
-    kept = keyed.join(_sent(rows.where("kept is null").select(ROW)), ROW, "left_anti")
-    again = rows.where("kept").select(ROW)
+    keepers = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("digest"))
+    rows = marked.groupBy("digest").agg(F.count("*").alias("n")).join(keepers.withColumn("kept", F.lit(True)), "digest", "left")
+    rows = materialize(spark, rows.where("kept is null or n > 1").select("digest", "kept"), "rows")
+    kept = keyed.join(_sent(rows.where("kept is null").select("digest")), "digest", "left_anti")
+    again = rows.where("kept").select("digest")
     if again.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select("row.*")
     again = _sent(again)
-    once = kept.join(again, ROW, "left_semi").dropDuplicates([ROW])
-    return kept.join(again, ROW, "left_anti").unionByName(once).select(*docs.columns)
+    once = kept.join(again, "digest", "left_semi").dropDuplicates(["digest"])
+    return kept.join(again, "digest", "left_anti").unionByName(once).select("row.*")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,13 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import table
+from moraine.llm.common import batch_of, discard, materialize, table, type_of
 
 FOLDS = 5
 #: Labelled training rows used, at most: those of least hash.
@@ -45,9 +44,14 @@ FUZZY_LENGTH = 5
 #: Words before a term searched for reporting words.
 WINDOW = 4
 END = "$"
-#: Marks of quotation, and words of reporting.
+#: Marks of quotation, and words of reporting in English, French, German and Spanish.
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
-REPORTING = {"said", "says", "say", "called", "quoted", "wrote", "writes", "word", "term", "phrase", "reported", "titled"}
+REPORTING = {
+    "said", "says", "say", "called", "quoted", "wrote", "writes", "word", "term", "phrase", "reported", "titled",
+    "dit", "disait", "appelé", "appelée", "cité", "écrit", "écrivait", "mot", "terme", "intitulé",
+    "sagte", "sagt", "nannte", "genannt", "zitierte", "schrieb", "schreibt", "wort", "begriff", "ausdruck",
+    "dijo", "dice", "llamó", "llamado", "citó", "escribió", "escribe", "palabra", "término", "titulado",
+}
 WORD = regex.compile(r"\w+|[\"“”«»„]")
 FEATURES = ("exact", "fuzzy", "quoted", "distinct")
 
@@ -222,7 +226,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> D
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Automaton, np.ndarray]:
     """Lexicon and weights from the training rows."""
-    rows = training_rows(docs, labels)
+    rows = materialize(docs.sparkSession, training_rows(docs, labels), "training")
     toxic = rows.where("toxic = 1").count()
     least = max(MIN_TERM_ROWS, math.ceil(MIN_SHARE * toxic))
     # a term kept stands in MIN_SHARE of the toxic rows, so these are at most a row's terms / MIN_SHARE
@@ -230,12 +234,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Automaton, np.ndarray]:
     fine = {r.term: r.n for r in term_counts(rows.where("toxic = 0"), frozenset(bad)).collect()}
     automaton = Automaton(choose_terms([(t, n, fine.get(t, 0)) for t, n in bad.items()], toxic))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = zip(*(features(t, automaton) for t in b["text"]), strict=True)
-            yield pd.DataFrame({**dict(zip(FEATURES, map(list, columns), strict=True)), "toxic": b["toxic"].array})
+            x = np.array([features(t, automaton) for t in b.column("text").to_pylist()], np.int64).reshape(-1, len(FEATURES))
+            yield batch_of(**{f: pa.array(x[:, k]) for k, f in enumerate(FEATURES)}, toxic=b.column("toxic"))
 
-    found = rows.mapInPandas(run, ", ".join(f"{f} long" for f in FEATURES) + ", toxic int").groupBy(*FEATURES, "toxic").count().collect()
+    found = rows.mapInArrow(run, ", ".join(f"{f} long" for f in FEATURES) + ", toxic int").groupBy(*FEATURES, "toxic").count().collect()
+    discard(docs.sparkSession, rows)
     x = np.array([[r[f] for f in FEATURES] for r in found for _ in range(r["count"])]).reshape(-1, len(FEATURES))
     y = np.array([r["toxic"] for r in found for _ in range(r["count"])])
     return automaton, fit_weights(x, y)
@@ -247,7 +252,11 @@ def _scores(texts: list[str | None], automaton: Automaton, weights: np.ndarray)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows predicted to be toxic."""
+    """``docs``, all columns, without the rows predicted to be toxic.
+
+    Null and empty texts have the score of a text without terms; repeated rows stay
+    or go together. Without labels of both classes all rows stay.
+    """
     automaton, weights = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,14 +276,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     automaton, weights = fit(docs, labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, score = _scores(list(b["text"]), automaton, weights)
-            counts = {f"n_{f}": np.ascontiguousarray(x[:, k], np.int64) for k, f in enumerate(FEATURES)}
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, **counts, "score": score})
+            x, score = _scores(b.column("text").to_pylist(), automaton, weights)
+            counts = {f"n_{f}": pa.array(np.ascontiguousarray(x[:, k], np.int64)) for k, f in enumerate(FEATURES)}
+            yield batch_of(doc_id=b.column("doc_id"), **counts, score=pa.array(score))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"n_{f} long" for f in FEATURES) + ", score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, " + ", ".join(f"n_{f} long" for f in FEATURES) + ", score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     return scored.select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[f"n_{f}" for f in FEATURES]

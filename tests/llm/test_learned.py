@@ -50,6 +50,8 @@ def test_quotation_is_not_abuse():
     assert toxicity.features("you idiot, you idiott", automaton) == (1, 1, 0, 1)
     assert toxicity.features('he wrote "what an idiot" and left', automaton) == (0, 0, 1, 0)
     assert toxicity.features("they called him idiot", automaton) == (0, 0, 1, 0)
+    for said in ("elle a dit idiot", "er nannte ihn idiot", "me dijo idiot"):
+        assert toxicity.features(said, automaton) == (0, 0, 1, 0)
     assert toxicity.features(None, automaton) == (0, 0, 0, 0)
 
 

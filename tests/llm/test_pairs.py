@@ -8,7 +8,9 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from moraine.llm import common, components, decontaminate, line_dedup, simhash, suffix_dedup
+from pyspark.sql import functions as F
+
+from moraine.llm import bpe, common, components, decontaminate, line_dedup, mpeg_audio, simhash, suffix_dedup, toxicity
 
 
 def closure(n, linked):
@@ -73,6 +75,9 @@ def test_keep_one_tells_rows_of_one_id_apart(spark, docs, rows):
     assert sorted(of[g] for g in got) == sorted(groups)
     assert all((i is None, i or 0) == min(groups[of[i, t]]) for i, t in got)
 
+    clashing = docs.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("spare_id", "row", "row of the id", "digest", "least", "n", "kept", "root")))
+    assert sorted(of[r.doc_id, r.text] for r in simhash.keep_one(spark, clashing).collect()) == sorted(groups)
+
     base, other, third = (" ".join(f"{w}{k}" for k in range(60)) for w in ("alpha", "beta", "gamma"))
     some = [(1, base), (5, base), (5, other), (None, base), (None, third), (None, third), (7, other), (8, "x"), (8, "x")]
     got = texts(simhash.keep_one(spark, spark.createDataFrame(some, "doc_id long, text string")))
@@ -83,7 +88,7 @@ def test_vantage_trees_find_all_pairs():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([centres, *[centres ^ np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (3, 40)).astype(np.uint64)) for _ in range(50)], rng.integers(0, 2**63, 2000, dtype=np.uint64)]))
-    a, b = simhash.shard_links(fps)
+    a, b = simhash.shard_links(fps, fps[:0])
     mine = {int(x): int(y) for x, y in zip(a, b)}
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= simhash.RADIUS
     roots = closure(len(fps), lambda i, j: bool(near[i, j]))
@@ -96,8 +101,39 @@ def test_vantage_trees_find_all_pairs():
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_regions_and_their_visitors_find_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(simhash, "SHARD_AIM", 4)
+    fps = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for flips in (1, 2, 3, 4):
+        fps = np.append(fps, [f ^ np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, flips, replace=False).astype(np.uint64)) for f in fps[:150]])
+    fps = np.unique(np.append(fps, rng.integers(0, 2**63, 1500, dtype=np.uint64)))
+    links = simhash.near_links(spark, spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"))
+    got = {r.node: r.component for r in components.connected_components(spark, links).collect()}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= simhash.RADIUS
+    roots = closure(len(fps), lambda i, j: bool(near[i, j]))
+    groups, mine = {}, {}
+    for f, r in zip(fps.view(np.int64).tolist(), roots):
+        groups.setdefault(r, set()).add(f)
+        mine.setdefault(got.get(f, f), set()).add(f)
+    assert len(groups) < len(fps) - 500 and sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_ids_beyond_doubles_stay_whole(spark):
+    text = "some words that stand in both of these rows and in no other one at all"
+    df = spark.createDataFrame([(2**60 + 1, text), (None, text), (2**60 + 3, None)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for out in (mpeg_audio.media_features(df), mpeg_audio.store_media(df), simhash.near_duplicates(spark, df), bpe.encode_documents(df, bpe.default_path()),
+                bpe.encode_digests(df, bpe.default_path()), toxicity.score_documents(df, labels), simhash.keep_one(spark, df.withColumn("text", F.concat("text", F.col("doc_id").cast("string"))))):
+        ids = {r.doc_id for r in out.collect()}
+        assert ids <= {2**60 + 1, None, 2**60 + 3} and 2**60 + 1 in ids, out.columns
+    items = spark.createDataFrame([(2**60 + 5, text)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark, df, items).collect()} == {(2**60 + 1, 2**60 + 5), (None, 2**60 + 5)}
+
+
 def test_large_shards_are_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_LIMIT", 7)
+    monkeypatch.setattr(simhash, "SHARD_AIM", 10)
     fps = [5 ^ (1 << k) for k in range(40)] + [0x0F0F0F0F0F0F0F0, 0x0F0F0F0F0F0F0F1]
     links = simhash.near_links(spark, spark.createDataFrame([(f,) for f in fps], "fp long"))
     got = components.connected_components(spark, links).groupBy("component").count().collect()
