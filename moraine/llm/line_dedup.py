@@ -44,7 +44,7 @@ BUCKET_LIMIT = 1024
 TASK_LINES = 4000
 #: Characters signed at once.
 CHUNK = 1_000_000
-#: A line with more than this part of all lines is looked up without a shuffle; there are fewer such lines than that.
+#: A key with more than this part of all rows is looked up without a shuffle; there are fewer such keys than that.
 HOT_PART = 1000
 
 _rng = np.random.default_rng(3)
@@ -257,6 +257,13 @@ def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     return links.unionByName(_linked(_grouped(again, total)))
 
 
+def _looked_up(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``keyed(key, n, ...)``, where ``n`` says how many rows have the key."""
+    hot = F.broadcast(keyed.where(F.col("n") > rows.count() // HOT_PART).drop("n"))  # fewer than HOT_PART rows
+    cold = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(keyed.drop("n"), key))
+
+
 def _dropped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, dropped): the numbers of a text's lines that other lines stand for."""
     marked = materialize(spark, signatures(docs), "signatures")
@@ -264,15 +271,14 @@ def _dropped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     at = F.struct("doc_id", "line_no", "text_key")
     nodes = marked.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     nodes = nodes.join(found.withColumnRenamed("node", "digest"), "digest", "left").where("n > 1 or component is not null")
-    nodes = nodes.select("digest", "n", "first", F.coalesce("component", "digest").alias("component"))
-    kept = nodes.groupBy("component").agg(F.min("first").alias("kept"))
-    keeper = materialize(spark, nodes.join(kept, "component").select("digest", "n", "kept"), "keepers")
-    rows = marked.select("digest", "doc_id", "line_no", "text_key")
-    hot = F.broadcast(keeper.where(F.col("n") > marked.count() // HOT_PART))  # fewer than HOT_PART rows
-    rows = rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(keeper, "digest"))
+    nodes = materialize(spark, nodes.select("digest", "n", "first", F.coalesce("component", "digest").alias("component")), "nodes")
+    kept = nodes.groupBy("component").agg(F.count("*").alias("n"), F.min("first").alias("kept"))
+    keeper = _looked_up(nodes.select("component", "digest", F.col("n").alias("lines")), kept, "component")
+    keeper = materialize(spark, keeper.select("digest", F.col("lines").alias("n"), "kept"), "keepers")
+    rows = _looked_up(marked.select("digest", "doc_id", "line_no", "text_key"), keeper, "digest")
     rows = rows.where(~at.eqNullSafe(F.col("kept"))).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("dropped"))
     out = materialize(spark, rows, "dropped")
-    discard(spark, marked, keeper)
+    discard(spark, marked, nodes, keeper)
     return out
 
 
