@@ -42,8 +42,8 @@ def rule_score(value: Column, lo: Column | float, hi: Column | float, log10: boo
 
 
 def round_to(x: Column, digits: int) -> Column:
-    """Half up on the binary value, so that the level sees what the reader sees."""
-    return F.floor(x * 10**digits + 0.5) / 10**digits
+    """Half to even, so that the level sees what the reader sees."""
+    return F.rint(x * 10**digits) / 10**digits
 
 
 def level_for(score: Column) -> Column:

@@ -42,10 +42,10 @@ def filter_impacts(rows: DataFrame, status: str = "", kind: str = "") -> DataFra
 
 
 def exposed_counts(rows: DataFrame) -> DataFrame:
-    """Assets of each lake and kind in the flood path and at risk, zero where none."""
-    return rows.groupBy("lake_id", "kind").agg(
-        F.count_if(F.col("status") == "in_flood_path").alias("in_flood_path"), F.count_if(F.col("status") == "at_risk").alias("at_risk")
-    )
+    """Assets of each lake and each kind in the flood path and at risk, zero where none."""
+    of = lambda status, kind: F.count_if((F.col("status") == status) & (F.col("kind") == kind))
+    counts = F.array(*[F.struct(F.lit(k).alias("kind"), *[of(s, k).alias(s) for s in STATUSES[:2]]) for k in KINDS])
+    return rows.groupBy("lake_id").agg(counts.alias("counts")).select("lake_id", F.inline("counts"))
 
 
 def first_exposed(rows: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def assess(samples: DataFrame, stations: DataFrame) -> DataFrame:
     """
     keyed = samples.withColumn("asset", F.struct("asset_id", "point"))
     levels = routing.level_along(keyed.select("path_id", "km", F.col("asset").alias("asset_id")), stations).select("path_id", F.col("asset_id").alias("asset"), "level_m")
-    height = F.floor((F.col("ground_m") - F.col("level_m")) * 10 + 0.5) / 10
+    height = rules.round_to(F.col("ground_m") - F.col("level_m"), 1)
     rows = keyed.join(levels, ["path_id", "asset"]).withColumn("h", height)
     out = rows.groupBy("path_id", "asset_id", "kind").agg(
         F.min(F.when(F.col("reached"), F.col("h"))).alias("in_reach"), F.min("h").alias("lowest"), F.bool_or("near").alias("near"), F.min("km").alias("km")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from moraine.functions import rules, text
 
 TOP = 20
+#: Typed names that are sent to every task at once.
+ASKED_MOST = 10_000
 
 
 def with_keys(places: DataFrame, name: str = "name", name_hi: str | None = None) -> DataFrame:
@@ -44,17 +46,40 @@ def search(places: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
     """``asked(q)`` against ``places(place_id, keys, size, covered)``: the best ``top`` of each.
 
     A looser pass counts only where every stricter one found nothing at all, so one
-    scan grades all passes and a query's strictest successful pass decides. The
-    asked names are a handful, typed by people; they are sent to every task.
+    scan grades all passes, each keeps its own best ``top`` from the first task on, and a
+    query's strictest successful pass decides. The asked names are typed by people;
+    they are sent to every task, ``ASKED_MOST`` at most, and more of them in turns.
     """
+    ranked = [_ranked(places, part, top) for part in _sendable(asked)]
+    return reduce(DataFrame.unionByName, ranked)
+
+
+def _sendable(asked: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """``asked(q)`` in parts of about ``ASKED_MOST`` rows."""
+    parts = max(1, -(-asked.count() // (most or ASKED_MOST)))
+    return [asked] if parts == 1 else [asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _ranked(places: DataFrame, asked: DataFrame, top: int) -> DataFrame:
     index = places.select("place_id", "size", "covered", *[F.col(f"keys.{k}").alias(f"k_{n}") for k, n in (("latin", "latin"), ("hindi", "hindi"), ("bare", "bare"), ("skeleton", "bones"))])
     both = index.crossJoin(F.broadcast(_asked_keys(asked)))
     tiers = _passes()
     graded = both.select("q", "place_id", "size", "covered", F.array(*[F.when(t < text.NONE, F.struct(F.lit(k).alias("p"), t.alias("tier"))) for k, t in enumerate(tiers)]).alias("found"))
     hits = graded.withColumn("best", F.array_min(F.array_compact("found"))).where("best is not null").select("q", "place_id", "size", "covered", "best.*")
-    w = Window.partitionBy("q").orderBy("p", "tier", F.desc("covered"), "size", "place_id")
-    ranked = hits.withColumn("strictest", F.min("p").over(Window.partitionBy("q"))).where("p = strictest")
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("q", "rank", "place_id", "p", "tier")
+    w = Window.partitionBy("q", "p").orderBy("tier", F.desc("covered"), "size", "place_id")
+    best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)  # limited in each task before the shuffle
+    return best.withColumn("strictest", F.min("p").over(Window.partitionBy("q"))).where("p = strictest").select("q", "rank", "place_id", "p", "tier")
+
+
+def resolver_hits(names: DataFrame, asked: DataFrame, top: int = 10) -> DataFrame:
+    """``asked(q)`` in the folded ``names(id, f)``: the best ``top`` of each, prefixes first, then by id."""
+    w = Window.partitionBy("q").orderBy(F.when(F.startswith("f", "q"), 1).otherwise(2), "id")
+
+    def ranked(part: DataFrame) -> DataFrame:
+        hits = names.join(F.broadcast(part), F.contains("f", "q"))
+        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("q", "id", "rank")
+
+    return reduce(DataFrame.unionByName, [ranked(part) for part in _sendable(asked)])
 
 
 def threats(impacts: DataFrame) -> DataFrame:
@@ -81,7 +106,3 @@ def resolve(asked: DataFrame, names: DataFrame) -> DataFrame:
     folded = names.select("id", text.stem_name(text.fold_name(F.col("name"))).alias("key"))
     one = folded.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
     return asked.withColumn("key", text.stem_name(text.fold_name(F.col("q")))).join(one, "key", "left").select("q", "id")
-
-
-def coalesced(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), columns)

@@ -1,14 +1,19 @@
-"""Raster kernels over cells (grid_id, r, c, ...): windows, joins and recursion.
+"""Raster kernels over cells (grid_id, r, c, ...): windows, joins and pointer doubling.
 
-A grid's cells share a key, so every kernel is partitioned by grid and tile; the
-neighbour joins explode a cell into its eight neighbours and meet them by equality.
+The neighbour joins explode a cell into its eight neighbours and meet them by
+equality. Chains of cells (labels, receivers) are followed by doubling, in
+materialised rounds that end when nothing changes: about log of the longest chain.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from moraine.operators import graph
+
 #: Neighbours in the order in which ties are broken.
 NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 CELL = ["grid_id", "r", "c"]
@@ -53,40 +58,38 @@ def close(mask: DataFrame) -> DataFrame:
     return erode(dilate(mask))
 
 
-def components(spark: SparkSession, mask: DataFrame, rounds: int = 64, diagonal: bool = True) -> DataFrame:
-    """Connected components of ``mask``, labelled by their least cell in row order.
-
-    Labels spread by taking the least neighbour and jumping to the label's own
-    label, so a component of diameter d takes about log d rounds.
-    """
-    cell = F.struct("r", "c")
-    nodes = mask.select(*CELL).distinct().withColumn("label", cell)
-    links = _offsets(nodes.select(*CELL), [o for o in NEIGHBOURS if diagonal or 0 in o]).join(nodes.select(*CELL), CELL)
-    links = links.select("grid_id", F.struct("r0", "c0").alias("a"), cell.alias("b")).select(
-        "grid_id", F.struct(F.col("a.r0").alias("r"), F.col("a.c0").alias("c")).alias("a"), "b"
-    )
-    for _ in range(rounds):
-        old = nodes.select("grid_id", cell.alias("b"), F.col("label").alias("l"))
-        best = links.join(old, ["grid_id", "b"]).groupBy("grid_id", F.col("a").alias("at")).agg(F.min("l").alias("near"))
-        step = nodes.withColumn("at", cell).join(best, ["grid_id", "at"], "left").select(*CELL, F.least("label", "near").alias("label"))
-        jump = step.select("grid_id", cell.alias("label"), F.col("label").alias("further"))
-        new = step.join(jump, ["grid_id", "label"]).select(*CELL, F.col("further").alias("label"))
-        new = new.checkpoint()
-        changed = new.join(nodes.withColumnRenamed("label", "was"), CELL).where("label <> was").isEmpty()
-        nodes = new
-        if changed:
-            break
-    return nodes.select(*CELL, F.col("label.r").alias("label_r"), F.col("label.c").alias("label_c"))
+def components(spark: SparkSession, mask: DataFrame, diagonal: bool = True) -> DataFrame:
+    """Connected components of ``mask``, labelled by their least cell in row order."""
+    nodes = mask.select(*CELL).distinct()
+    links = _offsets(nodes, [o for o in NEIGHBOURS if (diagonal or 0 in o) and o > (0, 0)]).join(nodes, CELL)
+    links = links.select(F.struct("grid_id", F.col("r0").alias("r"), F.col("c0").alias("c")).alias("a"), F.struct(*CELL).alias("b"))
+    labels = graph.connected(links).select("node.*", F.col("label.r").alias("label_r"), F.col("label.c").alias("label_c"))
+    return nodes.join(labels, CELL, "left").select(*CELL, *[F.coalesce(f"label_{x}", x).alias(f"label_{x}") for x in ("r", "c")])
 
 
 def distance_to(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """Euclidean distance of each cell to the nearest target of its grid, null without one.
 
-    A grid is one tile, so a cell meets its own tile's targets alone.
+    In two passes: windows give the nearest target in the own row, and of the rows
+    above and below the nearest one that has a target bounds the distance; then only
+    rows within that bound are looked up, in the cell's own column.
     """
-    t = targets.select("grid_id", F.col("r").alias("tr"), F.col("c").alias("tc"))
-    d = F.hypot(F.col("r") - F.col("tr"), F.col("c") - F.col("tc"))
-    return cells.join(t, "grid_id", "left").groupBy(*CELL).agg(F.min(d).alias("distance"))
+    marked = targets.select(*CELL).distinct().withColumn("target", F.col("c"))
+    both = cells.select(*CELL).distinct().join(marked, CELL, "left")
+    rows = both.join(marked.select("grid_id", "r").distinct(), ["grid_id", "r"], "left_semi")
+    along = Window.partitionBy("grid_id", "r")
+    ahead, back = (along.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("c", F.desc("c")))
+    gap = F.least(F.col("c") - F.last("target", True).over(ahead), F.last("target", True).over(back) - F.col("c"))
+    rows = rows.select(*CELL, gap.alias("gap"))
+    column = Window.partitionBy("grid_id", "c")
+    up, down = (column.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("r", F.desc("r")))
+    at = F.when(F.col("gap").isNotNull(), F.struct("r", "gap"))
+    reach = [F.hypot(F.col("r") - F.col(f"{k}.r"), F.col(f"{k}.gap")) for k in ("above", "below")]
+    bounded = both.select(*CELL).join(rows, CELL, "left").withColumn("above", F.last(at, True).over(up)).withColumn("below", F.last(at, True).over(down))
+    bound = F.floor(F.least(*reach)).cast("int")
+    asked = bounded.where(bound.isNotNull()).select(*CELL, F.explode(F.sequence(F.col("r") - bound, F.col("r") + bound)).alias("tr"))
+    found = asked.join(rows.select("grid_id", F.col("r").alias("tr"), "c", "gap"), ["grid_id", "tr", "c"]).groupBy(*CELL)
+    return cells.select(*CELL).join(found.agg(F.min(F.hypot(F.col("r") - F.col("tr"), F.col("gap"))).alias("distance")), CELL, "left")
 
 
 def receivers(cells: DataFrame) -> DataFrame:
@@ -100,29 +103,45 @@ def receivers(cells: DataFrame) -> DataFrame:
     return cells.select(*CELL).join(best, CELL, "left")
 
 
-def flow_paths(spark: SparkSession, to: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """Cells from each start down the receivers, in order, by a recursive query."""
-    to.createOrReplaceTempView("moraine_receivers")
-    starts.createOrReplaceTempView("moraine_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE path(grid_id, seq, r, c) MAX RECURSION LEVEL {most} AS (
-          SELECT grid_id, 0, r, c FROM moraine_starts
-          UNION ALL
-          SELECT p.grid_id, p.seq + 1, t.to_r, t.to_c FROM path p JOIN moraine_receivers t
-          ON p.grid_id = t.grid_id AND p.r = t.r AND p.c = t.c WHERE t.to_r IS NOT NULL)
-        SELECT grid_id, seq, r, c FROM path""")
+def _cells(prefix: str = "") -> Column:
+    return F.struct(F.col(f"{prefix}r").alias("r"), F.col(f"{prefix}c").alias("c"))
 
 
-def catchment(spark: SparkSession, to: DataFrame, outlets: DataFrame, most: int = 64) -> DataFrame:
-    """Cells that drain to ``outlets``, themselves included."""
-    to.createOrReplaceTempView("moraine_receivers_up")
-    outlets.createOrReplaceTempView("moraine_outlets")
-    return spark.sql(f"""
-        WITH RECURSIVE up(grid_id, r, c) MAX RECURSION LEVEL {most} AS (
-          SELECT grid_id, r, c FROM moraine_outlets
-          UNION ALL
-          SELECT t.grid_id, t.r, t.c FROM up u JOIN moraine_receivers_up t ON u.grid_id = t.grid_id AND t.to_r = u.r AND t.to_c = u.c)
-        SELECT grid_id, r, c FROM up""")
+def flow_paths(spark: SparkSession, to: DataFrame, starts: DataFrame) -> DataFrame:
+    """Cells from each start down the receivers, in order, to where they end.
+
+    Each round doubles what is known of a path: the cells so far, and the same cells
+    taken on by as many steps as there are of them.
+    """
+    jump = to.where("to_r is not null").select("grid_id", _cells().alias("at"), _cells("to_").alias("to"))
+    path = starts.select("grid_id", F.monotonically_increasing_id().alias("start"), F.lit(0).cast("long").alias("seq"), _cells().alias("at")).checkpoint()
+    steps = 1
+    while True:
+        further = path.join(jump, ["grid_id", "at"]).select("grid_id", "start", (F.col("seq") + steps).alias("seq"), F.col("to").alias("at"))
+        further = further.checkpoint()
+        if further.isEmpty():
+            return path.select("grid_id", F.col("seq").cast("int").alias("seq"), "at.r", "at.c")
+        path = path.unionByName(further).checkpoint()
+        jump = jump.join(jump.select("grid_id", F.col("at").alias("to"), F.col("to").alias("next")), ["grid_id", "to"]).select("grid_id", "at", F.col("next").alias("to"))
+        jump = jump.checkpoint()
+        steps *= 2
+
+
+def catchment(spark: SparkSession, to: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Cells that drain to ``outlets``, themselves included; a drop passes no outlet.
+
+    Every cell's receiver is replaced by its receiver's until all stand at an end.
+    """
+    ends = outlets.select(*CELL).distinct().withColumn("outlet", F.lit(True))
+    drains = F.when(F.col("outlet").isNull() & F.col("to_r").isNotNull(), _cells("to_")).otherwise(_cells())
+    here = to.join(ends, CELL, "left").select("grid_id", _cells().alias("at"), drains.alias("to")).checkpoint()
+    stable = False
+    while not stable:
+        further = here.select("grid_id", F.col("at").alias("to"), F.col("to").alias("next"))
+        new = here.join(further, ["grid_id", "to"]).select("grid_id", "at", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")).checkpoint()
+        stable = new.where("moved").isEmpty()
+        here = new.drop("moved")
+    return here.join(ends.select("grid_id", _cells().alias("to")), ["grid_id", "to"]).select("grid_id", "at.r", "at.c")
 
 
 def water_level(cells: DataFrame) -> DataFrame:
@@ -189,9 +208,15 @@ def extract_lake(spark: SparkSession, cells: DataFrame, seeds: DataFrame, bridge
     return fill_holes(spark, close(lake).unionByName(lake).distinct(), cells)
 
 
-def spill_mask(spark: SparkSession, cells: DataFrame, lake: DataFrame, level: DataFrame, flat: float = 1.5) -> DataFrame:
-    """The lake and the flat surface at its level that is connected to it."""
-    near = cells.join(level, "grid_id").where(F.abs(F.col("z") - F.col("level")) <= flat).select(*CELL)
+def spill_mask(spark: SparkSession, cells: DataFrame, lake: DataFrame, level: DataFrame, flat: float = 1.5, res: float = 1.0, steepest: float = 2.0) -> DataFrame:
+    """The lake and the flat surface at its level that is connected to it.
+
+    A surface cell is at the level and slopes less than ``steepest`` degrees, or is at
+    the level beside such a cell: the bank makes a surface's own edge steep.
+    """
+    level_cells = slope(cells, res).join(level, "grid_id").where(F.abs(F.col("z") - F.col("level")) <= flat)
+    calm = level_cells.where(F.col("slope") < steepest)
+    near = level_cells.select(*CELL).join(dilate(calm, 1, True), CELL, "left_semi")
     labelled = components(spark, near.unionByName(lake.select(*CELL)))
     label = ["grid_id", "label_r", "label_c"]
     return labelled.join(labelled.join(lake.select(*CELL), CELL, "left_semi").select(*label).distinct(), label, "left_semi").select(*CELL)
@@ -200,10 +225,16 @@ def spill_mask(spark: SparkSession, cells: DataFrame, lake: DataFrame, level: Da
 def corridor(spark: SparkSession, cells: DataFrame, path: DataFrame, limit: float) -> DataFrame:
     """Cells below the level of their nearest path point, near enough and connected to the path.
 
-    ``path(grid_id, seq, r, c, level)``: the first point wins a tie. A grid is one tile.
+    ``path(grid_id, seq, r, c, level)``: the first point wins a tie. Cells and points
+    meet in squares as wide as the limit, and the squares around.
     """
-    p = path.select("grid_id", "seq", F.col("r").alias("pr"), F.col("c").alias("pc"), "level")
-    near = cells.join(p, "grid_id").withColumn("d", F.hypot(F.col("r") - F.col("pr"), F.col("c") - F.col("pc")))
+    wide = max(1, math.ceil(limit))
+    square = lambda x: F.floor(F.col(x) / wide)
+    p = path.select("grid_id", "seq", F.col("r").alias("pr"), F.col("c").alias("pc"), "level", square("r").alias("br"), square("c").alias("bc"))
+    around = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    p = p.withColumn("o", F.explode(around)).withColumn("br", F.col("br") + F.col("o.dr")).withColumn("bc", F.col("bc") + F.col("o.dc")).drop("o")
+    keyed = cells.withColumn("br", square("r")).withColumn("bc", square("c"))
+    near = keyed.join(p, ["grid_id", "br", "bc"]).withColumn("d", F.hypot(F.col("r") - F.col("pr"), F.col("c") - F.col("pc")))
     best = near.groupBy(*CELL).agg(F.min(F.struct("d", "seq", "level", "z")).alias("b"))
     wet = best.where((F.col("b.d") <= limit) & (F.col("b.z") < F.col("b.level"))).select(*CELL)
     labelled = components(spark, wet)

@@ -48,6 +48,13 @@ def attenuated(stations: DataFrame) -> DataFrame:
     )
 
 
+def _passed(path: str) -> tuple[Window, Window]:
+    """What a walk down the path, and one up it, has passed at each row: frames that only grow."""
+    order = ("km", "side", "asset_id")
+    walks = Window.partitionBy(path).orderBy(*order), Window.partitionBy(path).orderBy(*map(F.desc_nulls_last, order))
+    return tuple(w.rowsBetween(Window.unboundedPreceding, 0) for w in walks)
+
+
 def level_along(assets: DataFrame, stations: DataFrame, path: str = "path_id") -> DataFrame:
     """``assets(path, asset_id, km)`` with the level between its two stations, held at the ends.
 
@@ -55,10 +62,9 @@ def level_along(assets: DataFrame, stations: DataFrame, path: str = "path_id") -
     """
     a = assets.select(path, "km", "asset_id", F.lit(None).cast("double").alias("wse_m"), F.lit(1).alias("side"))
     s = stations.select(path, "km", F.lit(None).cast(assets.schema["asset_id"].dataType).alias("asset_id"), "wse_m", F.lit(0).alias("side"))
-    w = Window.partitionBy(path).orderBy("km", "side", "asset_id")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     mark = F.when(F.col("side") == 0, F.struct("km", "wse_m"))
-    both = a.unionByName(s).withColumn("lo", F.last(mark, True).over(before)).withColumn("hi", F.first(mark, True).over(after))
+    up, down = _passed(path)
+    both = a.unionByName(s).withColumn("lo", F.last(mark, True).over(up)).withColumn("hi", F.last(mark, True).over(down))
     share = F.try_divide(F.col("km") - F.col("lo.km"), F.col("hi.km") - F.col("lo.km"))
     level = F.col("lo.wse_m") + F.coalesce(share, F.lit(0.0)) * (F.col("hi.wse_m") - F.col("lo.wse_m"))
     out = both.where("side = 1").withColumn("level_m", F.coalesce(level, F.col("lo.wse_m"), F.col("hi.wse_m")))
@@ -69,10 +75,9 @@ def nearest_station(assets: DataFrame, stations: DataFrame, path: str = "path_id
     """Each asset's nearest station along its path, the upstream one on a tie."""
     a = assets.select(path, "km", "asset_id", F.lit(1).alias("side"))
     s = stations.select(path, "km", F.lit(None).cast(assets.schema["asset_id"].dataType).alias("asset_id"), F.lit(0).alias("side"))
-    w = Window.partitionBy(path).orderBy("km", "side", "asset_id")
     mark = F.when(F.col("side") == 0, F.col("km"))
-    both = a.unionByName(s).withColumn("up", F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("down", F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("side = 1")
+    up, down = _passed(path)
+    both = a.unionByName(s).withColumn("up", F.last(mark, True).over(up)).withColumn("down", F.last(mark, True).over(down)).where("side = 1")
     upper = F.col("down").isNull() | (F.col("up").isNotNull() & (F.col("km") - F.col("up") <= F.col("down") - F.col("km")))
     return both.select(path, "asset_id", "km", F.when(upper, F.col("up")).otherwise(F.col("down")).alias("station_km"))
 

@@ -64,24 +64,47 @@ def in_polygon(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFr
 def greedy_spread(points: DataFrame, km: float) -> DataFrame:
     """Of ``points(grp, id, area, lon, lat)`` per group the largest first, each if no kept one is within ``km``.
 
-    Keeping depends on what was kept before, so a group is a fold over its sorted
-    array; groups are the bounded neighbourhoods of one scan window.
+    In rounds: a point that comes before all its undecided neighbours is kept, and
+    its neighbours go. Neighbours meet by cells, so a group may have any size.
     """
-    row = F.struct((-F.col("area")).alias("o"), "id", "lon", "lat")
-    rows = points.groupBy("grp").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = "array<struct<id:bigint,lon:double,lat:double>>"
+    near = within_km(*(points.select(F.struct("grp", "id").alias(k), "lon", "lat") for k in ("a_id", "b_id")), km)
+    near = near.where("a_id.grp <=> b_id.grp and not (a_id.id <=> b_id.id)").select(F.col("a_id").alias("at"), F.col("b_id").alias("by"))
+    rank = points.select(F.struct("grp", "id").alias("at"), F.struct((-F.col("area")).alias("o"), "id").alias("rank"))
+    near = near.join(rank.select(F.col("at").alias("by"), F.col("rank").alias("by_rank")), "by").checkpoint()
+    open_, kept = rank.checkpoint(), None
+    while not open_.isEmpty():
+        edges = near.join(open_.select(F.col("at").alias("by")), "by", "left_semi")
+        first = open_.join(edges.groupBy("at").agg(F.min("by_rank").alias("best")), "at", "left").where("best is null or rank < best").select("at").checkpoint()
+        gone = near.join(first.select(F.col("at").alias("by")), "by", "left_semi").select("at").unionByName(first)
+        open_ = open_.join(gone.distinct(), "at", "left_anti").checkpoint()
+        kept = first if kept is None else kept.unionByName(first)
+    return (rank if kept is None else kept).select("at.grp", "at.id")
 
-    def step(kept: Column, x: Column) -> Column:
-        close = F.exists(kept, lambda k: geo.equirect_km(x["lon"], x["lat"], k["lon"], k["lat"]) <= km)
-        return F.when(close, kept).otherwise(F.concat(kept, F.array(F.struct(x["id"].alias("id"), x["lon"].alias("lon"), x["lat"].alias("lat")))))
 
-    kept = F.aggregate("rows", F.array().cast(kind), step)
-    return rows.select("grp", F.explode(kept).alias("k")).select("grp", "k.id")
+#: Segments of a path that are ruled out together.
+RUN = 64
 
 
 def along_path(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """``points(path_id, id, x, y)`` to the least distance and place along ``segments(path_id, chain, ax, ay, bx, by)``."""
-    met = points.join(segments, "path_id")
+    """``points(path_id, id, x, y)`` to the least distance and place along ``segments(path_id, chain, ax, ay, bx, by)``.
+
+    A path's segments are taken in runs of ``RUN``, and a point meets a run only if the run's
+    box is no further than the nearest of all runs' first points: an upper bound of the distance.
+    """
+    order = Window.partitionBy("path_id").orderBy("chain", "ax", "ay", "bx", "by")
+    numbered = segments.withColumn("run", F.floor((F.row_number().over(order) - 1) / RUN))
+    low, high = (lambda c, f=f: f(F.least(f"a{c}", f"b{c}") if f is F.min else F.greatest(f"a{c}", f"b{c}")) for f in (F.min, F.max))
+    box = numbered.groupBy("path_id", "run").agg(
+        low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"), F.min_by(F.struct("ax", "ay"), "chain").alias("p")
+    )
+    runs = box.groupBy("path_id").agg(F.collect_list(F.struct("run", "x0", "y0", "x1", "y1", "p")).alias("runs"))
+    zero = F.lit(0.0)
+    beyond = lambda v, lo, hi: F.greatest(lo - v, v - hi, zero)
+    to_box = lambda r: F.hypot(beyond(F.col("x"), r["x0"], r["x1"]), beyond(F.col("y"), r["y0"], r["y1"]))
+    to_point = lambda r: F.hypot(F.col("x") - r["p"]["ax"], F.col("y") - r["p"]["ay"])
+    bounded = points.join(runs, "path_id").withColumn("bound", F.array_min(F.transform("runs", to_point)) * (1 + 1e-12))
+    met = bounded.withColumn("run", F.explode(F.transform(F.filter("runs", lambda r: to_box(r) <= F.col("bound")), lambda r: r["run"]))).drop("runs", "bound")
+    met = met.join(numbered, ["path_id", "run"])
     x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
     t = F.coalesce(F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), F.pow(bx - ax, 2) + F.pow(by - ay, 2)), F.lit(0.0))
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import catalog, text
-from moraine.operators import exposure
+from moraine.operators import exposure, places
 from moraine.plans import domain as d
 from moraine.sources import readers, sinks
 
@@ -136,9 +136,7 @@ def resolver_hits(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best hits of a few typed names: prefixes, then the rest."""
     names = d.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.fold_name(F.col("p_name")).alias("f"))
     asked = spark.createDataFrame([("red",), ("small",), ("gadget",), ("nosuch",)], "q string")
-    hits = names.join(F.broadcast(asked), F.contains("f", "q"))
-    w = Window.partitionBy("q").orderBy(F.when(F.startswith("f", "q"), 1).otherwise(2), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("q", "id", "rank")
+    return places.resolver_hits(names, asked)
 
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 'failed' WHEN event_type = 'click' THEN 'running' ELSE event_type END AS state FROM events")
@@ -148,7 +146,7 @@ def job_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("WITH " + d.LAKE_YEARS + """, s AS (SELECT lake_id, string_agg(year || ':' || status, ',' ORDER BY year) AS years FROM lake_years GROUP BY 1),
-e AS (SELECT l_suppkey AS lake_id, count(*) FILTER (l_returnflag = 'R') AS hit FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1)
+e AS (SELECT l_suppkey AS lake_id, count(*) FILTER (l_returnflag = 'R') AS hit FROM lineitem GROUP BY 1)
 SELECT s_suppkey AS lake_id, s_name AS name, years, hit, hit IS NOT NULL AS known FROM supplier LEFT JOIN s ON s.lake_id = s_suppkey LEFT JOIN e ON e.lake_id = s_suppkey""")
 def index_mart(spark: SparkSession, sf: str) -> DataFrame:
     """One row a lake with its nested parts; a missing part is null."""
@@ -157,7 +155,7 @@ def index_mart(spark: SparkSession, sf: str) -> DataFrame:
     empty = years.limit(0)
     scores = empty.select("lake_id", F.col("year").alias("season"), F.col("area_m2").alias("score"), F.col("status").alias("level"))
     hit = F.count_if(F.col("l_returnflag") == "R")
-    exposed = d.table(spark, sf, "lineitem").where("l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("lake_id")).agg(hit.alias("in_flood_path"))
+    exposed = d.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("lake_id")).agg(hit.alias("in_flood_path"))
     exposed = exposed.select("lake_id", F.lit("road").alias("kind"), "in_flood_path", F.lit(0).cast("long").alias("at_risk"))
     out = sinks.index_mart(lakes, years, scores, exposed, empty.select("lake_id", "status"))
     listed = F.array_join(F.transform("years", lambda y: F.concat_ws(":", y["year"].cast("string"), y["status"])), ",")

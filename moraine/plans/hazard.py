@@ -86,7 +86,7 @@ outline AS (SELECT c.*, y.area_m2 FROM current c JOIN lake_years y ON y.lake_id
 
 
 def _score_sql(x: str, lo: float, hi: float) -> str:
-    return f"(floor((CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({x} - {lo}::DOUBLE) / {hi - lo}::DOUBLE)) END) * 1000 + 0.5) / 1000)"
+    return f"(round_even((CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({x} - {lo}::DOUBLE) / {hi - lo}::DOUBLE)) END) * 1000, 0) / 1000)"
 
 
 REPLAY = f"""scored AS (SELECT o.*, g.n_ok, g.significant, 0.104::DOUBLE * pow(o.area_m2, 1.42::DOUBLE) AS volume,
@@ -95,7 +95,7 @@ REPLAY = f"""scored AS (SELECT o.*, g.n_ok, g.significant, 0.104::DOUBLE * pow(o
    + {_score_sql("t.outlet_slope", 0.0, 10.0)} * 0.25::DOUBLE + {_score_sql("t.avalanche", 0.0, 0.5)} * 0.25::DOUBLE
    + {_score_sql("t.glacier", 500.0, 0.0)} * 0.25::DOUBLE AS likelihood
   FROM outline o JOIN growth g ON g.lake_id = o.lake_id AND g.season = o.season LEFT JOIN terrain t ON t.lake_id = o.lake_id),
-levelled AS (SELECT *, floor(100 * size * likelihood * 10 + 0.5) / 10 AS score, floor(volume + 0.5) AS v FROM scored)"""
+levelled AS (SELECT *, round_even(100 * size * likelihood * 10, 0) / 10 AS score, floor(volume + 0.5) AS v FROM scored)"""
 
 
 @query(ctes(d.LAKE_YEARS, GROWTH, CURRENT, d.TERRAIN, REPLAY) + f"""SELECT lake_id, season, area_year, CAST(n_ok AS BIGINT) AS n_ok, significant, data_until,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import geo, rules
-from moraine.operators import raster, spatial
+from moraine.operators import downstream, raster, spatial
 from moraine.plans import domain as d
 from moraine.plans.domain import micro, micro_sql
 from moraine.sources.workspace import ensure_checkpoints
@@ -85,6 +85,7 @@ def flow_receivers(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT grid_id, seq, r, c FROM path")
 def flow_path(spark: SparkSession, sf: str) -> DataFrame:
     cells = d.grids(spark, sf)
+    ensure_checkpoints(spark)
     top = cells.groupBy("grid_id").agg(F.max(F.struct("z", "r", "c")).alias("m")).select("grid_id", "m.r", "m.c")
     return raster.flow_paths(spark, raster.receivers(cells), top)
 
@@ -93,6 +94,7 @@ def flow_path(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT t.grid_id, t.r, t.c FROM up u JOIN receivers t ON u.grid_id = t.grid_id AND t.to_r = u.r AND t.to_c = u.c)""", recursive=True) + "SELECT grid_id, r, c FROM up")
 def catchment(spark: SparkSession, sf: str) -> DataFrame:
     cells = d.grids(spark, sf)
+    ensure_checkpoints(spark)
     low = cells.groupBy("grid_id").agg(F.min(F.struct("z", "r", "c")).alias("m")).select("grid_id", "m.r", "m.c")
     return raster.catchment(spark, raster.receivers(cells), low)
 
@@ -175,7 +177,8 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def greedy_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """Largest first within half a kilometre; tests hold the fold to a loop."""
+    """Largest first within twenty kilometres; tests hold the rounds to a loop."""
+    ensure_checkpoints(spark)
     p = _points(spark, sf, "customer", "c_custkey", "id").join(d.table(spark, sf, "customer"), F.col("id") == F.col("c_custkey"))
     return spatial.greedy_spread(p.select(F.col("c_nationkey").alias("grp"), "id", F.col("c_acctbal").alias("area"), "lon", "lat"), 20.0)
 
@@ -208,3 +211,95 @@ def dem_tiles(spark: SparkSession, sf: str) -> DataFrame:
     part = lambda c, n: F.lpad(F.floor(c).cast("int").cast("string"), n, "0")
     tile = F.concat(F.lit("N"), part("lat", 2), F.lit("E"), part("lon", 3))
     return _points(spark, sf, "customer", "c_custkey", "a_id").select("a_id", F.contains(tile, F.lit("E")).alias("east"), tile.alias("tile"))
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("grid_id").agg(F.max(F.struct("z", "r", "c")).alias("m")).select("grid_id", "m.r", "m.c")
+
+
+@query(None)
+def traced_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Flow paths that leave pits; tests hold them to worked tiles."""
+    cells = d.grids(spark, sf)
+    return downstream.trace_paths(cells, _starts(cells))
+
+
+@query(ctes(d.GRIDS) + f""", pts AS (SELECT grid_id, k, least(7.0::DOUBLE, greatest(0.0::DOUBLE, k * 1.75::DOUBLE - 0.5)) AS x, least(7.0::DOUBLE, greatest(0.0::DOUBLE, 7.25::DOUBLE - k * 1.25::DOUBLE)) AS y
+  FROM (SELECT DISTINCT grid_id FROM grids), (SELECT unnest(range(0, 6)) AS k)),
+corners AS (SELECT *, CAST(floor(y) AS INT) + a AS r, CAST(floor(x) AS INT) + b AS c, (CASE a WHEN 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE b WHEN 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) AS w
+  FROM pts, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
+SELECT grid_id, k, {micro_sql("sum(w * z)")} AS z_e4 FROM corners JOIN grids USING (grid_id, r, c) GROUP BY 1, 2""")
+def bilinear_samples(spark: SparkSession, sf: str) -> DataFrame:
+    cells = d.grids(spark, sf)
+    k = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("point")
+    points = cells.select("grid_id").distinct().select("grid_id", k).select("grid_id", "point", (F.col("point") * 1.75 - 0.5).alias("x"), (7.25 - F.col("point") * 1.25).alias("y"))
+    return downstream.sample(points, cells).select("grid_id", F.col("point").cast("long").alias("k"), micro(F.col("z")).alias("z_e4"))
+
+
+@query(None)
+def route(spark: SparkSession, sf: str) -> DataFrame:
+    """Stations of a flood down each tile, at 300 m a cell; tests hold them to a worked valley."""
+    ensure_checkpoints(spark)
+    cells = d.grids(spark, sf).withColumn("z", F.col("z") * 1000)
+    path = downstream.trace_paths(cells, _starts(cells), 300.0)
+    peaks = cells.select("grid_id").distinct().withColumn("peak_m3s", F.lit(800.0) + F.col("grid_id") % 7 * 100)
+    return downstream.route(cells, path, peaks, 300.0, half_m=1200.0)
+
+
+LAKE_PARTS = """reach AS (SELECT grid_id, r, c, r AS lr, c AS lc FROM wet
+  UNION SELECT w.grid_id, w.r, w.c, x.lr, x.lc FROM reach x JOIN wet w ON w.grid_id = x.grid_id AND abs(w.r - x.r) <= 1 AND abs(w.c - x.c) <= 1),
+labels AS (SELECT grid_id, r, c, min(lr * 8 + lc) AS label FROM reach GROUP BY 1, 2, 3)"""
+
+
+@query(ctes(d.GRIDS, WET, LAKE_PARTS, recursive=True) + f""", parts AS (SELECT grid_id, label, count(*) * 400.0::DOUBLE AS area_m2, avg(r) AS cr, avg(c) AS cc, quantile_cont(z, 0.5) AS h FROM labels JOIN grids USING (grid_id, r, c) GROUP BY 1, 2)
+SELECT grid_id, label // 8 AS label_r, label % 8 AS label_c, area_m2, {micro_sql("cr")} AS r_e4, {micro_sql("cc")} AS c_e4, {micro_sql("h")} AS h_e4,
+  CAST(row_number() OVER (PARTITION BY grid_id ORDER BY area_m2 DESC, label) AS INT) AS rank FROM parts WHERE area_m2 >= 1200 AND h >= 0.12""")
+def find_lakes(spark: SparkSession, sf: str) -> DataFrame:
+    ensure_checkpoints(spark)
+    found = downstream.find_lakes(spark, _wet(spark, sf), d.grids(spark, sf), 20.0, 1200.0, 0.12)
+    values = [micro(F.col(f"{n}")).alias(a) for n, a in (("centre_r", "r_e4"), ("centre_c", "c_e4"), ("height_m", "h_e4"))]
+    return found.select("grid_id", "label_r", "label_c", "area_m2", *values, "rank")
+
+
+@query(ctes(d.GRIDS, DROPS, TO, WET, """g1 AS (SELECT *, coalesce((lead(z) OVER v - lag(z) OVER v) / 2, lead(z) OVER v - z, z - lag(z) OVER v) AS gr,
+  coalesce((lead(z) OVER h - lag(z) OVER h) / 2, lead(z) OVER h - z, z - lag(z) OVER h) AS gc FROM grids WINDOW v AS (PARTITION BY grid_id, c ORDER BY r), h AS (PARTITION BY grid_id, r ORDER BY c))""",
+    "low AS (SELECT grid_id, r, c FROM grids WHERE z < -0.1)", """up AS (SELECT grid_id, r, c FROM low
+  UNION SELECT t.grid_id, t.r, t.c FROM up u JOIN receivers t ON u.grid_id = t.grid_id AND t.to_r = u.r AND t.to_c = u.c)""",
+    """far AS (SELECT a.grid_id, a.r, a.c, min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) AS dist FROM grids a JOIN low b ON a.grid_id = b.grid_id GROUP BY 1, 2, 3)""", recursive=True)
+    + """, hit AS (SELECT g1.grid_id, count(*) AS n FROM g1 JOIN up USING (grid_id, r, c) JOIN far USING (grid_id, r, c)
+  WHERE dist > 0 AND degrees(atan(sqrt(gr * gr + gc * gc) / 0.1::DOUBLE)) >= 30 AND degrees(atan2(z + 0.1::DOUBLE, dist * 0.1::DOUBLE)) > 14 GROUP BY 1)
+SELECT grid_id, CAST(coalesce(n, 0) AS BIGINT) AS cells FROM (SELECT DISTINCT grid_id FROM grids) LEFT JOIN hit USING (grid_id)""")
+def steep_catchment(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that can shed into the low ground of each tile."""
+    ensure_checkpoints(spark)
+    cells = d.grids(spark, sf)
+    level = cells.select("grid_id").distinct().withColumn("level", F.lit(-0.1))
+    slopes = downstream.steep_slopes(spark, cells, cells.where("z < -0.1"), level, 0.1)
+    area = downstream.source_area(slopes, cells, 0.1)
+    return area.select("grid_id", F.rint(F.col("km2") * 1e8).cast("long").alias("cells"))
+
+
+@query("""SELECT l_orderkey AS way_id, CAST(floor(avg(l_partkey) * 10000 + 0.5) AS BIGINT) AS x_e4, CAST(floor(avg(l_suppkey) * 10000 + 0.5) AS BIGINT) AS y_e4 FROM lineitem GROUP BY 1""")
+def way_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """The way of each order, closed by its first point again."""
+    node = F.struct("l_linenumber", F.col("l_partkey").cast("double").alias("x"), F.col("l_suppkey").cast("double").alias("y"))
+    ways = d.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("way_id")).agg(F.array_sort(F.collect_list(node)).alias("p"))
+    points = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+    closed = F.when(F.size("p") > 1, F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+    out = downstream.way_centres(ways.select("way_id", closed.alias("points")))
+    return out.select("way_id", micro(F.col("x")).alias("x_e4"), micro(F.col("y")).alias("y_e4"))
+
+
+@query("""SELECT way_id, CAST(floor(coalesce(sum(CASE WHEN wet AND was THEN sqrt(dx * dx + 9.0::DOUBLE) END), 0) * 10000 + 0.5) AS BIGINT) AS m_e4 FROM (SELECT l_orderkey AS way_id, l_returnflag = 'R' AS wet, lag(l_returnflag = 'R') OVER w AS was,
+  CAST(l_quantity - lag(l_quantity) OVER w AS DOUBLE) AS dx FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) GROUP BY 1""")
+def flooded_road_length(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.table(spark, sf, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    points = rows.select(F.col("l_orderkey").alias("way_id"), F.col("n").alias("seq"), F.col("l_quantity").cast("double").alias("x"), (F.col("n") * 3.0).alias("y"), (F.col("l_returnflag") == "R").alias("flooded"))
+    return downstream.flooded_length(points).select("way_id", micro(F.col("flooded_m")).alias("m_e4"))
+
+
+@query("""SELECT l_suppkey AS lake_id, CAST(floor(count(*) FILTER (l_partkey % 7 <> 0) / CAST(count(*) AS DOUBLE) * 10000 + 0.5) AS BIGINT) AS usable_e4,
+  CAST(floor(count(*) FILTER (l_partkey % 7 <> 0 AND l_returnflag = 'A') / CAST(nullif(count(*) FILTER (l_partkey % 7 <> 0), 0) AS DOUBLE) * 10000 + 0.5) AS BIGINT) AS snow_e4 FROM lineitem GROUP BY 1""")
+def outline_cover(spark: SparkSession, sf: str) -> DataFrame:
+    cells = d.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("lake_id"), (F.col("l_returnflag") == "A").alias("snow"), (F.col("l_partkey") % 7 != 0).alias("usable"))
+    return downstream.outline_cover(cells).select("lake_id", micro(F.col("usable")).alias("usable_e4"), micro(F.col("snow")).alias("snow_e4"))

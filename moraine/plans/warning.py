@@ -71,7 +71,9 @@ def impacts_filter(spark: SparkSession, sf: str) -> DataFrame:
     return exposure.filter_impacts(_status(spark, sf), "in_flood_path, at_risk", "school,,bridge").select("lake_id", "osm", "kind", "status")
 
 
-@query(ctes(*ASSETS) + "SELECT lake_id, kind, count(*) FILTER (status = 'in_flood_path') AS in_flood_path, count(*) FILTER (status = 'at_risk') AS at_risk FROM assets GROUP BY 1, 2")
+@query(ctes(*ASSETS) + """SELECT l.lake_id, k.kind, count(*) FILTER (status = 'in_flood_path') AS in_flood_path, count(*) FILTER (status = 'at_risk') AS at_risk
+FROM (SELECT DISTINCT lake_id FROM assets) l CROSS JOIN (SELECT unnest(['settlement', 'school', 'health', 'hydro', 'bridge', 'road']) AS kind) k
+LEFT JOIN assets a ON a.lake_id = l.lake_id AND a.kind = k.kind GROUP BY 1, 2""")
 def exposed_counts(spark: SparkSession, sf: str) -> DataFrame:
     return exposure.exposed_counts(_status(spark, sf))
 
@@ -102,12 +104,12 @@ def way_geometry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(ctes(*ASSETS) + """, want AS (SELECT lake_id, unnest(range(0, 3)) AS chunk FROM (SELECT DISTINCT lake_id FROM assets)),
-have AS (SELECT DISTINCT lake_id, CAST(floor(km / 20) AS INT) AS chunk FROM assets WHERE kind = 'school' AND osm % 25 = 0)
+have AS (SELECT DISTINCT lake_id, CAST(floor(km / 20) AS INT) AS chunk FROM assets WHERE kind = 'school')
 SELECT w.lake_id, w.chunk * 20.0::DOUBLE AS from_km, least((w.chunk + 1) * 20.0::DOUBLE, 52.5::DOUBLE) AS to_km FROM want w LEFT JOIN have h ON w.lake_id = h.lake_id AND w.chunk = h.chunk WHERE h.lake_id IS NULL""")
 def chunk_gaps(spark: SparkSession, sf: str) -> DataFrame:
     rows = _status(spark, sf)
     lakes = rows.select("lake_id").distinct().withColumn("path_km", F.lit(52.5))
-    return exposure.chunk_gaps(rows.where("kind = 'school' and osm % 25 = 0"), lakes)
+    return exposure.chunk_gaps(rows.where("kind = 'school'"), lakes)
 
 
 PLACED = """placed AS (SELECT *, row_number() OVER (PARTITION BY lake_id ORDER BY fast_min NULLS LAST, km, osm) AS seq FROM
@@ -219,11 +221,11 @@ def key_sql(x: str) -> str:
 
 @query(f"""SELECT kind, id, k AS latin, replace(k, 'a', '') AS bare, regexp_replace(k, '[aeiouyh]', '', 'g') AS skeleton FROM (
   SELECT 'part' AS kind, p_partkey AS id, {key_sql('p_name')} AS k FROM part UNION ALL
-  SELECT 'document', doc_id, {key_sql('substr(text, 1, 60)')} FROM documents)""")
+  SELECT 'document', doc_id, {key_sql('text')} FROM documents)""")
 def search_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of part names, and of the openings of documents, which have marks."""
+    """Keys of part names, and of whole documents, which have marks."""
     parts = d.table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    docs = d.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("name"))
+    docs = d.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("name"))
     both = places.with_keys(parts.unionByName(docs))
     return both.select("kind", "id", "keys.latin", "keys.bare", "keys.skeleton")
 

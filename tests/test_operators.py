@@ -1,11 +1,12 @@
 """Operators on small fixtures with known results."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from moraine.operators import drain, exposure, places, raster, replay, routing, series, spatial
+from moraine.operators import downstream, drain, exposure, places, raster, replay, routing, series, spatial
 from moraine.sources import readers, sinks
 from moraine.sources.workspace import ensure_checkpoints
 from moraine.streaming import streams
@@ -112,12 +113,11 @@ def test_nearest_of_a_larger_catalogue(spark):
 
 
 def test_greedy_spread_equals_a_loop(spark):
+    ensure_checkpoints(spark)
     rng = random.Random(5)
     rows = [(1, k, float(rng.randrange(50)), 77 + rng.random() / 10, 32 + rng.random() / 10) for k in range(60)]
     kept = []
     for _, k, _, lon, lat in sorted(rows, key=lambda r: (-r[2], r[1])):
-        import math
-
         far = [111.0 * math.hypot(b - lat, (a - lon) * math.cos(math.radians(lat))) > 2.0 for _, a, b in kept]
         if all(far):
             kept.append((k, lon, lat))
@@ -135,7 +135,87 @@ def test_components_and_closing(spark):
     assert raster.close(ring).where("r = 1 and c = 1").count() == 1
 
 
+def test_long_chains_have_no_limit(spark):
+    """A winding valley of 300 cells: its path, its catchment and its one component."""
+    ensure_checkpoints(spark)
+    line, r, c = [(0, 0)], 0, 0
+    for turn in range(15):
+        for _ in range(23):
+            c += 1 if turn % 2 == 0 else -1
+            line.append((r, c))
+        for _ in range(2):
+            r += 1
+            line.append((r, c))
+    assert len(line) > 300
+    cells = spark.createDataFrame([(1, a, b, float(len(line) - k)) for k, (a, b) in enumerate(line)], "grid_id int, r int, c int, z double")
+    to = raster.receivers(cells).checkpoint()
+    got = [(p.r, p.c) for p in raster.flow_paths(spark, to, spark.createDataFrame([(1, 0, 0)], "grid_id int, r int, c int")).orderBy("seq").collect()]
+    height, want = {(a, b): z for _, a, b, z in cells.collect()}, [(0, 0)]
+    while True:
+        a, b = want[-1]
+        drops = [((height[a, b] - height[a + i, b + j]) / math.hypot(i, j), -k, (a + i, b + j)) for k, (i, j) in enumerate(raster.NEIGHBOURS) if (a + i, b + j) in height]
+        if not drops or max(drops)[0] <= 0:
+            break
+        want.append(max(drops)[2])
+    assert len(want) > 300 and got == want
+    end = spark.createDataFrame([(1, *line[-1])], "grid_id int, r int, c int")
+    assert raster.catchment(spark, to, end).count() == len(line)
+    labels = raster.components(spark, cells).select("label_r", "label_c").distinct().collect()
+    assert [tuple(x) for x in labels] == [(0, 0)]
+
+
+def test_distance_equals_all_pairs(spark):
+    rng = random.Random(4)
+    cells = [(g, r, c) for g in (1, 2, 3) for r in range(12) for c in range(9)]
+    targets = [x for x in cells if x[0] != 3 and rng.random() < 0.04]
+    frames = (spark.createDataFrame(x, "grid_id int, r int, c int") for x in (cells, targets))
+    got = {(x.grid_id, x.r, x.c): x.distance for x in raster.distance_to(*frames).collect()}
+    assert len(got) == len(cells)
+    for g, r, c in cells:
+        want = min((math.hypot(r - a, c - b) for t, a, b in targets if t == g), default=None)
+        assert got[g, r, c] == (want if want is None else pytest.approx(want))
+
+
+def test_along_path_equals_all_pairs(spark):
+    rng = random.Random(8)
+    x, y, chain, segments = 0.0, 0.0, 0.0, []
+    for _ in range(400):
+        nx, ny = x + rng.uniform(-1, 2), y + rng.uniform(-1.5, 1.5)
+        segments.append((1, chain, x, y, nx, ny))
+        chain, x, y = chain + math.hypot(nx - x, ny - y), nx, ny
+    points = [(1, k, rng.uniform(-50, 300), rng.uniform(-60, 60)) for k in range(80)]
+    schema = "path_id int, chain double, ax double, ay double, bx double, by double"
+    got = {r.id: r for r in spatial.along_path(spark.createDataFrame(points, "path_id int, id int, x double, y double"), spark.createDataFrame(segments, schema)).collect()}
+    for _, k, px, py in points:
+        best = None
+        for _, at, ax, ay, bx, by in segments:
+            t = min(1.0, max(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            d = math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+            best = min(best or (d, 0.0), (d, at + t * math.hypot(bx - ax, by - ay)))
+        assert got[k].distance == pytest.approx(best[0]) and got[k].along == pytest.approx(best[1])
+
+
+def test_corridor(spark):
+    ensure_checkpoints(spark)
+    cells = [(1, r, c, float(abs(r - 5)) + (20.0 if c == 14 else 0.0)) for r in range(11) for c in range(20)]
+    path = [(1, k, 5, k, 3.5) for k in range(12)] + [(1, 12, 5, 18, 3.5)]
+    got = {(x.r, x.c) for x in raster.corridor(spark, spark.createDataFrame(cells, "grid_id int, r int, c int, z double"), spark.createDataFrame(path, "grid_id int, seq int, r int, c int, level double"), 2.5).collect()}
+    near = lambda r, c: min((math.hypot(r - a, c - b), s) for _, s, a, b, _ in path)[0]
+    assert got == {(r, c) for _, r, c, z in cells if z < 3.5 and near(r, c) <= 2.5}
+
+
+def test_spill_mask_stays_on_the_flat(spark):
+    ensure_checkpoints(spark)
+    cells = [(1, r, c, 100.0 if c <= 20 and 8 <= r <= 22 else 100.0 - 5.0 * (c - 20) + 3.0 * abs(r - 15)) for r in range(31) for c in range(40)]
+    lake = [(1, r, c) for r in range(11, 19) for c in range(6, 15)]
+    frames = spark.createDataFrame(cells, "grid_id int, r int, c int, z double"), spark.createDataFrame(lake, "grid_id int, r int, c int")
+    level = spark.createDataFrame([(1, 100.0)], "grid_id int, level double")
+    got = {(x.r, x.c) for x in raster.spill_mask(spark, *frames, level, res=30.0).collect()}
+    assert {(r, c) for r in range(9, 22) for c in range(1, 20)} <= got and not any(c > 21 for _, c in got)
+
+
 def test_flow_path(spark):
+    ensure_checkpoints(spark)
     cells = spark.createDataFrame([(1, r, c, float(10 - c + abs(r - 1))) for r in range(3) for c in range(5)], "grid_id int, r int, c int, z double")
     start = spark.createDataFrame([(1, 1, 0)], "grid_id int, r int, c int")
     path = raster.flow_paths(spark, raster.receivers(cells), start).orderBy("seq").collect()
@@ -191,3 +271,63 @@ def test_assess(spark):
     df = spark.createDataFrame(rows, "path_id int, asset_id int, point int, kind string, km double, ground_m double, reached boolean, near boolean")
     got = {r.asset_id: (r.status, r.height_m) for r in exposure.assess(df, stations).collect()}
     assert got == {1: ("flooded", -1.0), 2: ("margin", 5.0), 3: ("outside", 5.0), 4: ("outside", None), 5: ("outside", None)}
+
+
+def valley(height=60, width=60):
+    """(r, c): z of a V-shaped valley that falls to the east."""
+    return {(r, c): 1000.0 - 5.0 * c + 3.0 * abs(r - height // 2) for r in range(height) for c in range(width)}
+
+
+def tile(spark, z, blocked=()):
+    rows = [(1, r, c, h, (r, c) in blocked) for (r, c), h in z.items()]
+    return spark.createDataFrame(rows, "grid_id int, r int, c int, z double, blocked boolean")
+
+
+def walked(spark, cells, r, c, **more):
+    start = spark.createDataFrame([(1, r, c)], "grid_id int, r int, c int")
+    return [(p.r, p.c) for p in downstream.trace_paths(cells, start, **more).orderBy("seq").collect()]
+
+
+def test_traced_path_follows_the_valley_and_leaves_pits(spark):
+    z = valley()
+    path = walked(spark, tile(spark, z), 30, 2, res=30.0)
+    assert path[-1][1] == 59 and max(abs(r - 30) for r, _ in path) <= 1
+    z[30, 20] -= 40
+    for c in (21, 22, 23):
+        z[30, c] += 10
+    path = walked(spark, tile(spark, z), 30, 2, res=30.0)
+    assert path[-1][1] == 59 and len(set(path)) == len(path) and (30, 20) in path
+    z[30, 40] = None
+    assert (30, 40) not in walked(spark, tile(spark, z), 30, 2, res=30.0)
+
+
+def test_traced_path_respects_blocked_cells_and_length(spark):
+    lake = {(r, c) for r in range(25, 36) for c in range(10, 15)}
+    path = walked(spark, tile(spark, valley(), lake), 30, 16, res=30.0, most_m=300.0)
+    length = sum(30 * math.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(path, path[1:]))
+    assert not lake & set(path[1:]) and 300 <= length <= 300 + 30 * math.sqrt(2)
+    ring = {(r, c) for r in range(60) for c in range(60) if max(abs(r - 30), abs(c - 16)) == 1}
+    assert walked(spark, tile(spark, valley(), ring), 30, 16, res=30.0) == [(30, 16)]
+
+
+def test_route_down_a_valley(spark):
+    ensure_checkpoints(spark)
+    cells = tile(spark, {(r, c): 1000.0 - 0.6 * c + 1.5 * abs(r - 30) for r in range(60) for c in range(60)})
+    path = spark.createDataFrame([(1, k, 30, c) for k, c in enumerate(range(2, 58))], "grid_id int, seq int, r int, c int")
+    peaks = spark.createDataFrame([(1, 20_000.0)], "grid_id int, peak_m3s double")
+    rows = downstream.route(cells, path, peaks, 30.0, half_m=600.0).orderBy("km").collect()
+    assert [r.km for r in rows] == [0.25 * k for k in range(7)]
+    assert all(r.slope == pytest.approx(0.02) for r in rows)
+    for r in rows:
+        assert r.discharge == pytest.approx(20_000 * math.exp(-r.km / 42.4)) and r.depth_m == pytest.approx(r.wse - r.bed_m)
+        # a V of side slope 1/20: area 20 h^2, wetted sides 40 h and a little
+        area, wet = 20 * r.depth_m**2, 2 * math.sqrt(401) * r.depth_m
+        assert area * (area / wet) ** (2 / 3) * math.sqrt(0.02) / 0.06 == pytest.approx(r.discharge, rel=0.1) and not r.capped
+    wall = spark.createDataFrame([(1, r, c) for r in range(48, 60) for c in range(60)], "grid_id int, r int, c int")
+    assert [r.wse for r in downstream.route(cells, path, peaks, 30.0, 600.0, wall).orderBy("km").collect()] == [r.wse for r in rows]
+
+
+def test_samples_between_cells(spark):
+    cells = spark.createDataFrame([(1, r, c, float(10 * r + c) if (r, c) != (0, 2) else None) for r in range(3) for c in range(3)], "grid_id int, r int, c int, z double")
+    points = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, -4.0, 9.0), (1, 2, 1.5, 0.0), (1, 3, 2.0, 1.0)], "grid_id int, point int, x double, y double")
+    assert {p.point: p.z for p in downstream.sample(points, cells).collect()} == {0: 5.5, 1: 20.0, 2: None, 3: 12.0}
