@@ -19,23 +19,37 @@ def lower(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-def test_licence_places(docs, rows):
-    got = sorted(map(tuple, license_scan.scan(docs).collect()), key=str)
+NOTICE = " ".join(license_scan.NOTICES["mit"].replace("[", "").replace("]", "").split())
+
+
+def test_licence_places(spark, docs, rows):
+    more = [(20, NOTICE.upper(), *rows[0][2:]), (21, f"(C) us. {NOTICE[:300]} and so on", *rows[0][2:]), (22, "gnu lesser general public license as published by", *rows[0][2:]),
+            (23, "some files of which the Mozilla Public License is one are subject to the terms of the Mozilla Public License, v. 2.0. If", *rows[0][2:])]
+    got = sorted(map(tuple, license_scan.scan(docs.unionByName(spark.createDataFrame(more, docs.schema))).collect()), key=str)
     want = []
-    for i, text, *_ in rows:
+    for i, text, *_ in rows + more:
         w = WORD.findall(lower(text))
-        base, own = [], set()
-        names = set()
-        for label, is_base, phrases in license_scan.TEMPLATES:
-            at = [p for p in range(len(w)) if all(w[p + o : p + o + len(x)] == x for o, x in phrases)]
+        base, own, names, score = [], set(), set(), 0.0
+        for label, is_base, phrases, notice in license_scan.TEMPLATES:
+            first = phrases[0][0]
+            at = [p - first for p in range(len(w)) if all(w[p - first + o : p - first + o + len(x)] == x for o, x in phrases)]
             if at and is_base:
                 base += at
                 names.add(label)
+                score = max(score, license_scan.PHRASE_SCORE)
             elif at:
                 own.add(label)
-        score = 1.0 if own else license_scan.PHRASE_SCORE if base else 0.0
+                known = [(k, x) for k, x in enumerate(notice) if x]
+                score = max([score, *(sum(0 <= p + k < len(w) and w[p + k] == x for k, x in known) / len(known) for p in at)])
         want.append((i, len(w), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(names)), ",".join(sorted(names | own)), score))
     assert got == sorted(want, key=str)
+    scores = {r[0]: r[-1] for r in got}
+    assert scores[20] == 1.0 and 0.3 < scores[21] < 0.8 and scores[22] == 0.5 and scores[4] == 0.0
+
+
+def test_licence_notices_have_key_phrases():
+    for label, _, phrases, notice in license_scan.TEMPLATES:
+        assert phrases and all(notice[o : o + len(x)] == x for o, x in phrases), label
 
 
 def test_licence_empty(nothing):
