@@ -103,13 +103,13 @@ def way_geometry(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("o_custkey").alias("path_id"), F.col("way_id").alias("asset"), F.size("points").cast("long").alias("points"))
 
 
-@query(ctes(*ASSETS) + """, want AS (SELECT lake_id, unnest(range(0, 3)) AS chunk FROM (SELECT DISTINCT lake_id FROM assets)),
-have AS (SELECT DISTINCT lake_id, CAST(floor(km / 20) AS INT) AS chunk FROM assets WHERE kind = 'school')
-SELECT w.lake_id, w.chunk * 20.0::DOUBLE AS from_km, least((w.chunk + 1) * 20.0::DOUBLE, 52.5::DOUBLE) AS to_km FROM want w LEFT JOIN have h ON w.lake_id = h.lake_id AND w.chunk = h.chunk WHERE h.lake_id IS NULL""")
+@query(ctes(*ASSETS) + """, want AS (SELECT lake_id, unnest(range(0, 53)) AS chunk FROM (SELECT DISTINCT lake_id FROM assets)),
+have AS (SELECT DISTINCT lake_id, CAST(floor(km) AS INT) AS chunk FROM assets WHERE kind = 'school')
+SELECT w.lake_id, w.chunk * 1.0::DOUBLE AS from_km, least((w.chunk + 1) * 1.0::DOUBLE, 52.5::DOUBLE) AS to_km FROM want w LEFT JOIN have h ON w.lake_id = h.lake_id AND w.chunk = h.chunk WHERE h.lake_id IS NULL""")
 def chunk_gaps(spark: SparkSession, sf: str) -> DataFrame:
     rows = _status(spark, sf)
     lakes = rows.select("lake_id").distinct().withColumn("path_km", F.lit(52.5))
-    return exposure.chunk_gaps(rows.where("kind = 'school'"), lakes)
+    return exposure.chunk_gaps(rows.where("kind = 'school'"), lakes, 1.0)
 
 
 PLACED = """placed AS (SELECT *, row_number() OVER (PARTITION BY lake_id ORDER BY fast_min NULLS LAST, km, osm) AS seq FROM
