@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import geo, rules
-from moraine.operators import downstream, raster, spatial
+from moraine.operators import downstream, drain, raster, spatial
 from moraine.plans import domain as d
 from moraine.plans.domain import micro, micro_sql
+from moraine.sources import readers
 from moraine.sources.workspace import ensure_checkpoints
 
 QUERIES: dict = {}
@@ -303,3 +304,45 @@ def flooded_road_length(spark: SparkSession, sf: str) -> DataFrame:
 def outline_cover(spark: SparkSession, sf: str) -> DataFrame:
     cells = d.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("lake_id"), (F.col("l_returnflag") == "A").alias("snow"), (F.col("l_partkey") % 7 != 0).alias("usable"))
     return downstream.outline_cover(cells).select("lake_id", micro(F.col("usable")).alias("usable_e4"), micro(F.col("snow")).alias("snow_e4"))
+
+
+@query(ctes(d.GRIDS, """met AS (SELECT g.grid_id, g.r, g.c, abs(g.r - 3) AS dist FROM grids g WHERE abs(g.r - 3) <= 2 AND g.z < 0.05 + g.c * 0.01::DOUBLE)""", """reach AS (SELECT grid_id, r, c FROM met WHERE r = 3
+  UNION SELECT w.grid_id, w.r, w.c FROM reach x JOIN met w ON w.grid_id = x.grid_id AND abs(w.r - x.r) <= 1 AND abs(w.c - x.c) <= 1)""", recursive=True) + "SELECT grid_id, r, c FROM reach")
+def corridor(spark: SparkSession, sf: str) -> DataFrame:
+    """The flood of a path along each tile's fourth row."""
+    ensure_checkpoints(spark)
+    cells = d.grids(spark, sf)
+    path = cells.where("r = 3").select("grid_id", F.col("c").alias("seq"), "r", "c", (0.05 + F.col("c") * 0.01).alias("level"))
+    return raster.corridor(spark, cells, path, 2.0)
+
+
+@query(ctes(d.GRIDS, WET, """sl AS (SELECT *, coalesce((lead(z) OVER v - lag(z) OVER v) / 2, lead(z) OVER v - z, z - lag(z) OVER v) AS gr,
+  coalesce((lead(z) OVER h - lag(z) OVER h) / 2, lead(z) OVER h - z, z - lag(z) OVER h) AS gc FROM grids WINDOW v AS (PARTITION BY grid_id, c ORDER BY r), h AS (PARTITION BY grid_id, r ORDER BY c))""",
+    "near AS (SELECT *, degrees(atan(sqrt(gr * gr + gc * gc))) < 3 AS calm FROM sl WHERE abs(z - 0.05::DOUBLE) <= 0.06)",
+    """flat AS (SELECT DISTINCT a.grid_id, a.r, a.c FROM near a JOIN near b ON b.calm AND a.grid_id = b.grid_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+both_ AS (SELECT grid_id, r, c FROM flat UNION SELECT grid_id, r, c FROM wet)""", """reach AS (SELECT grid_id, r, c FROM wet
+  UNION SELECT w.grid_id, w.r, w.c FROM reach x JOIN both_ w ON w.grid_id = x.grid_id AND abs(w.r - x.r) <= 1 AND abs(w.c - x.c) <= 1)""", recursive=True) + "SELECT grid_id, r, c FROM reach")
+def spill_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Each tile's water with the calm ground at its level that it touches."""
+    ensure_checkpoints(spark)
+    cells = d.grids(spark, sf)
+    level = cells.select("grid_id").distinct().withColumn("level", F.lit(0.05))
+    return raster.spill_mask(spark, cells, _wet(spark, sf), level, 0.06, 1.0, 3.0)
+
+
+@query("""SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 4 IN (0, 1) AND n_regionkey <> 2""")
+def admin_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as tagged relations: two levels of four are used, and one region has no boundary tag."""
+    k = F.col("n_nationkey")
+    tags = F.create_map(F.lit("admin_level"), (k % 4 + 4).cast("string"), F.lit("boundary"), F.when(F.col("n_regionkey") != 2, "administrative").otherwise("political"), F.lit("name"), F.col("n_name"))
+    osm = d.table(spark, sf, "nation").select(k.alias("id"), tags.alias("tags"))
+    return readers.boundaries(osm).select("id", F.col("tags")["name"].alias("name"))
+
+
+@query(f"""SELECT l_suppkey AS reach, l_partkey % 10 AS label, count(*) * 5000.0::DOUBLE AS area_m2, max(l_quantity) * 4.0::DOUBLE AS width_m, {micro_sql("avg(l_linenumber % 5)")} AS freq_e4
+FROM lineitem GROUP BY 1, 2 HAVING count(*) * 5000.0 >= 20000 AND max(l_quantity) * 4.0 >= 60""")
+def water_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("reach"), (F.col("l_partkey") % 10).alias("label"), (F.col("l_quantity") * 4.0).alias("width_m"), (F.col("l_linenumber") % 5).alias("base_freq")
+    )
+    return drain.blobs(rows, 5000.0).select("reach", "label", "area_m2", "width_m", micro(F.col("base_freq")).alias("freq_e4"))
