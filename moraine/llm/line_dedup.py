@@ -215,8 +215,8 @@ def _grouped(dealt: DataFrame, rows: int) -> DataFrame:
     return dealt.withColumn("group", F.pmod(F.xxhash64("key", "part"), F.lit(max(1, rows // TASK_LINES))))
 
 
-def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links (a, b) between digests of similar lines."""
+def line_components(spark: SparkSession, docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node, component) of the digests of lines that are similar to another one."""
     nodes = marked.groupBy("digest").agg(F.first("bands").alias("bands"))  # equal lines have equal bands
     rows = nodes.select("digest", F.explode("bands").alias("key"))
     met = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -234,12 +234,13 @@ def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     in_parts = members.join(buckets, "key").select("key", "digest", part.alias("part"))
     centres = large.select("key", F.col("centre").alias("digest"), F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
     dealt = in_parts.unionByName(centres).join(texts, "digest")
-    links = materialize(spark, _linked(_grouped(dealt, total)), "links")
+    found = connected_components(spark, _linked(_grouped(dealt, total)))
     if not has_large:
-        return links
+        return found
 
     # of a large bucket, what the centre's component does not hold yet meets everything
-    root = connected_components(spark, links).withColumnRenamed("node", "digest")
+    found = materialize(spark, found, "components")
+    root = found.withColumnRenamed("node", "digest")
     held = members.join(large, "key").join(root, "digest", "left").select("key", "digest", "centre", F.coalesce("component", "digest").alias("component"))
     held = materialize(spark, held, "held")
     of_centre = held.where("digest = centre").select("key", F.col("component").alias("main"))
@@ -254,7 +255,17 @@ def candidate_links(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     meets = F.when(F.col("apart"), F.concat(with_apart, with_main)).otherwise(from_main)
     again = held.join(sizes, "key").withColumn("mine", mine).select("key", "digest", F.explode(meets).alias("p"))
     again = again.select("key", "digest", F.struct("p.i", "p.j").alias("p")).withColumn("part", F.xxhash64("p")).drop("p").join(texts, "digest")
-    return links.unionByName(_linked(_grouped(again, total)))
+    links = _linked(_grouped(again, total))
+    # components are the nodes now: what the further links join
+    for end in ("a", "b"):
+        named = found.select(F.col("node").alias(end), F.col("component").alias("named"))
+        links = links.join(named, end, "left").withColumn(end, F.coalesce("named", end)).drop("named")
+    joined = materialize(spark, connected_components(spark, links), "joined")
+    if joined.isEmpty():
+        return found
+    renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    known = found.join(renamed, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    return known.unionByName(joined.join(found.select("node"), "node", "left_anti"))
 
 
 def _looked_up(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
@@ -267,7 +278,7 @@ def _looked_up(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
 def _dropped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, dropped): the numbers of a text's lines that other lines stand for."""
     marked = materialize(spark, signatures(docs), "signatures")
-    found = connected_components(spark, candidate_links(spark, docs, marked))
+    found = line_components(spark, docs, marked)
     at = F.struct("doc_id", "line_no", "text_key")
     nodes = marked.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     nodes = nodes.join(found.withColumnRenamed("node", "digest"), "digest", "left").where("n > 1 or component is not null")
