@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -162,7 +161,3 @@ def search_keys(name: Column, name_hi: Column | None = None) -> Column:
     latin = latin_key(name)
     hindi = hindi_key(F.coalesce(name_hi, F.lit(""))) if name_hi is not None else F.lit("")
     return F.struct(latin.alias("latin"), hindi.alias("hindi"), bare_key(latin).alias("bare"), skeleton(latin).alias("skeleton"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
