@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moraine.llm import bpe, decontaminate, license_scan, line_dedup, mpeg_audio, sharding, simhash, suffix_dedup, toxicity, warc
+from moraine.llm import bpe, decontaminate, license_scan, line_dedup, mpeg_audio, sentencepieces, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_codec": bpe.op8_bpe_codec,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
+    "op11_sentencepiece_codec": sentencepieces.op11_sentencepiece_codec,
 }
 
 ORACLES = {
