@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     executor costs at most the tasks it was running.
     """
     path = f"{shared_root(spark)}/moraine-{uuid.uuid4().hex}/{tag}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
@@ -64,6 +67,29 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """The tables of one query: its steps are removed once its result is written.
+
+    The result's own table stays for whatever reads it, and goes when the driver ends, as does anything that a failed query left.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.steps: list[DataFrame] = []
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        """Write a step."""
+        self.steps.append(materialize(self.spark, df, tag))
+        return self.steps[-1]
+
+    def result(self, df: DataFrame, tag: str) -> DataFrame:
+        """Write the result and remove the steps."""
+        out = materialize(self.spark, df, tag)
+        discard(self.spark, *self.steps)
+        self.steps.clear()
+        return out
+
+
 def type_of(df: DataFrame, name: str) -> str:
     """A column's type, as a schema string has it."""
     return df.schema[name].dataType.simpleString()
@@ -74,6 +100,19 @@ def batch_of(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def runs(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about ``most`` characters, each with its first place."""
+    run, size, at = [], 0, 0
+    for k, t in enumerate(texts):
+        run.append(t or "")
+        size += len(run[-1])
+        if size >= most:
+            yield at, run
+            run, size, at = [], 0, k + 1
+    if run:
+        yield at, run
+
+
 class Bitmap:
     """A set of 64-bit hashes by their low ``BITMAP_BITS`` bits: a filter that passes all members and few others.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moraine.llm import bpe, decontaminate, license_scan, line_dedup, mpeg_audio, sentencepieces, sharding, simhash, suffix_dedup, toxicity, warc
+from moraine.llm import bpe, decontaminate, divergence, license_scan, line_dedup, mpeg_audio, ranked_search, sentencepieces, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
     "op11_sentencepiece_codec": sentencepieces.op11_sentencepiece_codec,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLES = {
     "op1_license_scan": license_scan.oracle(),
     "op2_warc_derivatives": warc.oracle(),
+    "op12_ranked_search": ranked_search.oracle(),
+    "op13_source_divergence": divergence.oracle(),
 }

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm.common import batch_of, table, type_of
+from moraine.llm.common import batch_of, runs, table, type_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -210,19 +210,6 @@ def _is_letter(run: bytearray) -> bool:
         return False
 
 
-def _runs(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole texts of about ``most`` characters, each with its first place."""
-    run, size, at = [], 0, 0
-    for k, t in enumerate(texts):
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= most:
-            yield at, run
-            run, size, at = [], 0, k + 1
-    if run:
-        yield at, run
-
-
 def read_model(path: str) -> bytes:
     """A model file's bytes, read on the driver."""
     with open(path, "rb") as f:
@@ -241,7 +228,7 @@ def encode_documents(docs: DataFrame, model: bytes, kept: int = CHUNKS_KEPT) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Model(sent.value, kept)
         for b in batches:
-            for at, texts in _runs(b.column("text").to_pylist(), RUN // 4):
+            for at, texts in runs(b.column("text").to_pylist(), RUN // 4):
                 rows = list(codec.looked_up(texts))
                 sizes = [len(ids) // 4 for ids, _ in rows]
                 flat = np.frombuffer(b"".join([ids for ids, _ in rows]), "<u4").astype(np.int32)
@@ -275,7 +262,7 @@ def encode_digests(docs: DataFrame, model: bytes) -> DataFrame:
         codec = Model(sent.value)
         sha = hashlib.sha256
         for b in batches:
-            for at, texts in _runs(b.column("text").to_pylist(), RUN):
+            for at, texts in runs(b.column("text").to_pylist(), RUN):
                 rows = [(len(ids) // 4, sha(ids).hexdigest(), sha(text.encode()).hexdigest()) for ids, text in codec.looked_up(texts)]
                 counts, of_ids, of_text = zip(*rows, strict=True)
                 yield batch_of(
