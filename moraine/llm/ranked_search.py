@@ -3,7 +3,7 @@
 Postings are dealt by term, and a term's list is cut into blocks, so no list is one
 task. Three phases, each over all items at once, find the exact best documents:
 
-1. The heads of all lists give partial scores; an item's k-th partial score is a lower bound of its k-th score.
+1. The heads of all lists give partial scores. The best of them are looked up, and an item's k-th score so far is a lower bound.
 2. With m lists, a document that reaches the bound has at least bound / m in one of
    them, so every list is read down to that same threshold. What a document may still gain in lists
    that do not show it is less than the threshold in each; those that cannot reach the k-th sum so far go.
@@ -29,6 +29,10 @@ TOP = 20
 SENT_TERMS = 300_000
 #: The items' lists go to all tasks if they are no more rows than this; else they are joined by shuffling.
 SENT_LISTS = 300_000
+#: Lookups go to all tasks if they are no more (term, document) pairs than this; else they are joined by shuffling.
+SENT_PAIRS = 500_000
+#: The heads' best documents, in multiples of those asked for, whose exact scores bound the result.
+HEADS = 3
 #: Characters whose terms are held at once.
 RUN = 4_000_000
 #: Fixed values of the score.
@@ -119,6 +123,16 @@ def _ranked(by: str, *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(*order))
 
 
+def _looked_up(scratch: Scratch, postings: DataFrame, lists: DataFrame, of: DataFrame) -> DataFrame:
+    """(item, row, doc_id, score): exact scores of ``of(item, row)``, from the postings of their items' terms alone."""
+    wanted = scratch.table(of.join(lists.select("item", "term", "w"), "item"), "wanted")
+    pairs = scratch.table(wanted.select("term", "row").distinct(), "pairs")
+    few = F.broadcast(pairs) if pairs.count() <= SENT_PAIRS else pairs
+    found = scratch.table(postings.select("term", "row", "doc_id", "gain").join(few, ["term", "row"]), "found")
+    score = F.sum(F.col("w") * F.col("gain")).alias("score")
+    return wanted.join(found, ["term", "row"]).groupBy("item", "row").agg(F.first("doc_id").alias("doc_id"), score)
+
+
 def search(spark: SparkSession, docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score): each item's best documents, equal scores by doc_id, null ids last.
 
@@ -140,27 +154,27 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, top: int = TO
     best = _ranked("term", F.desc("gain"))
     heads = scratch.table(postings.withColumn("at", best).where(f"at <= {top}").select("term", "row", "gain"), "heads")
     partial = heads.join(sent(lists.select("item", "term", "w")), "term").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("gain")).alias("score"))
-    bounds = partial.withColumn("at", _ranked("item", F.desc("score"))).where(f"at = {top}").select("item", F.col("score").alias("bound"))
+    first = partial.withColumn("at", _ranked("item", F.desc("score"))).where(f"at <= {HEADS * top}").select("item", "row")
+    first = scratch.table(_looked_up(scratch, postings, lists, scratch.table(first, "first")), "scored")
+    bounds = first.withColumn("at", _ranked("item", F.desc("score"))).where(f"at = {top}").select("item", F.col("score").alias("bound"))
 
     # Unseen entries of a list are below the threshold, and no list gives more than its best entry.
-    threshold = F.expr("coalesce(bound, 0L) div m")
-    deep = lists.join(bounds, "item", "left").withColumn("threshold", threshold)
+    deep = lists.join(bounds, "item", "left").fillna(0, ["bound"]).withColumn("threshold", F.expr("bound div m"))
     deep = deep.withColumn("least", F.greatest(F.lit(1), F.expr("(threshold + w - 1) div w")))
     deep = deep.withColumn("unseen", F.least(F.greatest(F.col("threshold") - 1, F.lit(0)), F.col("w") * F.col("most")))
-    deep = scratch.table(deep, "deep")
+    deep = scratch.table(deep.withColumn("hidden", F.sum("unseen").over(Window.partitionBy("item"))), "deep")
     floors = deep.where("least <= most").groupBy("term").agg(F.min("least").alias("floor"))
     entries = postings.join(sent(floors), "term").where("gain >= floor").select("term", "row", "gain")
-    entries = entries.join(sent(deep.select("item", "term", "w", "least", "unseen")), "term").where("gain >= least")
-    seen = entries.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("gain")).alias("score"), F.sum("unseen").alias("shown"))
-    seen = scratch.table(seen, "seen")
+    # All entries of a row meet once; items are put to them there.
+    entries = entries.repartition("row").join(sent(deep.select("item", "term", "w", "least", "unseen")), "term").where("gain >= least")
+    seen = entries.groupBy("row", "item").agg(F.sum(F.col("w") * F.col("gain")).alias("score"), F.sum("unseen").alias("shown"))
+    most = F.col("score") + F.col("hidden") - F.col("shown")
+    seen = seen.join(sent(deep.select("item", "hidden", "bound").distinct()), "item").withColumn("most", most).where("most >= bound")
+    seen = scratch.table(seen.select("item", "row", "score", "most"), "seen")
     kth = seen.withColumn("at", _ranked("item", F.desc("score"))).where(f"at = {top}").select("item", F.col("score").alias("kth"))
-    hidden = deep.groupBy("item").agg(F.sum("unseen").alias("hidden"))
-    left = seen.join(sent(hidden), "item").join(sent(kth), "item", "left")
-    left = scratch.table(left.where("score + hidden - shown >= coalesce(kth, 0)").select("item", "row"), "left")
+    left = seen.join(sent(kth), "item", "left").where("most >= coalesce(kth, 0)").select("item", "row")
 
-    wanted = left.join(sent(lists.select("item", "term", "w")), "item")
-    exact = wanted.join(postings.select("term", "row", "doc_id", "gain"), ["term", "row"])
-    exact = exact.groupBy("item", "row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("gain")).alias("score"))
+    exact = _looked_up(scratch, postings, lists, scratch.table(left, "left"))
     rank = _ranked("item", F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row"))
     names = lists.select("item", "item_id").distinct()
     out = exact.withColumn("rank", rank).where(f"rank <= {top}").join(sent(names), "item")
