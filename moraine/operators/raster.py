@@ -8,18 +8,20 @@ materialised rounds that end when nothing changes: about log of the longest chai
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.operators import graph
+from moraine.sources.workspace import Work
 
 #: Neighbours in the order in which ties are broken.
 NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 CELL = ["grid_id", "r", "c"]
 
 
-def _offsets(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+def neighbours(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     """Each cell once for each offset, as (grid_id, r, c) of the neighbour and (r0, c0) of itself."""
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("dr"), F.lit(b).alias("dc")) for k, (a, b) in enumerate(offsets)])
     out = cells.select("grid_id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(steps).alias("o"))
@@ -42,14 +44,14 @@ def dilate(mask: DataFrame, times: int = 1, diagonal: bool = False) -> DataFrame
     near = [(0, 0)] + [o for o in NEIGHBOURS if diagonal or 0 in o]
     out = mask.select(*CELL)
     for _ in range(times):
-        out = _offsets(out, near).select(*CELL).distinct()
+        out = neighbours(out, near).select(*CELL).distinct()
     return out
 
 
 def erode(mask: DataFrame, diagonal: bool = False) -> DataFrame:
     """Cells of the mask whose neighbours are all in it."""
     near = [o for o in NEIGHBOURS if diagonal or 0 in o]
-    have = _offsets(mask, near).join(mask.select(*CELL), CELL).groupBy("grid_id", "r0", "c0").count()
+    have = neighbours(mask, near).join(mask.select(*CELL), CELL).groupBy("grid_id", "r0", "c0").count()
     return have.where(F.col("count") == len(near)).select("grid_id", F.col("r0").alias("r"), F.col("c0").alias("c"))
 
 
@@ -61,7 +63,7 @@ def close(mask: DataFrame) -> DataFrame:
 def components(spark: SparkSession, mask: DataFrame, diagonal: bool = True) -> DataFrame:
     """Connected components of ``mask``, labelled by their least cell in row order."""
     nodes = mask.select(*CELL).distinct()
-    links = _offsets(nodes, [o for o in NEIGHBOURS if (diagonal or 0 in o) and o > (0, 0)]).join(nodes, CELL)
+    links = neighbours(nodes, [o for o in NEIGHBOURS if (diagonal or 0 in o) and o > (0, 0)]).join(nodes, CELL)
     links = links.select(F.struct("grid_id", F.col("r0").alias("r"), F.col("c0").alias("c")).alias("a"), F.struct(*CELL).alias("b"))
     labels = graph.connected(links).select("node.*", F.col("label.r").alias("label_r"), F.col("label.c").alias("label_c"))
     return nodes.join(labels, CELL, "left").select(*CELL, *[F.coalesce(f"label_{x}", x).alias(f"label_{x}") for x in ("r", "c")])
@@ -94,7 +96,7 @@ def distance_to(cells: DataFrame, targets: DataFrame) -> DataFrame:
 
 def receivers(cells: DataFrame) -> DataFrame:
     """Each cell's steepest lower neighbour, null at a pit; ties go to the first in order."""
-    near = _offsets(cells, NEIGHBOURS).join(cells.select(*CELL, F.col("z").alias("z1")), CELL)
+    near = neighbours(cells, NEIGHBOURS).join(cells.select(*CELL, F.col("z").alias("z1")), CELL)
     own = cells.select("grid_id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("z").alias("z0"))
     run = F.sqrt(F.pow(F.col("r") - F.col("r0"), 2) + F.pow(F.col("c") - F.col("c0"), 2))
     drop = near.join(own, ["grid_id", "r0", "c0"]).withColumn("drop", (F.col("z0") - F.col("z1")) / run).where("drop > 0")
@@ -108,22 +110,25 @@ def _cells(prefix: str = "") -> Column:
 
 
 def flow_paths(spark: SparkSession, to: DataFrame, starts: DataFrame) -> DataFrame:
-    """Cells from each start down the receivers, in order, to where they end.
+    """(grid_id, path_id, seq, r, c): cells from each of ``starts(grid_id, r, c[, path_id])`` down the receivers, in order, to where they end.
 
     Each round doubles what is known of a path: the cells so far, and the same cells
-    taken on by as many steps as there are of them.
+    taken on by as many steps as there are of them; only the new ones are written.
     """
+    work = Work(spark)
+    name = F.col("path_id") if "path_id" in starts.columns else F.col("grid_id").alias("path_id")
     jump = to.where("to_r is not null").select("grid_id", _cells().alias("at"), _cells("to_").alias("to"))
-    path = starts.select("grid_id", F.monotonically_increasing_id().alias("start"), F.lit(0).cast("long").alias("seq"), _cells().alias("at")).checkpoint()
+    parts = [work.cut(starts.select("grid_id", name, F.lit(0).alias("seq"), _cells().alias("at")))]
     steps = 1
     while True:
-        further = path.join(jump, ["grid_id", "at"]).select("grid_id", "start", (F.col("seq") + steps).alias("seq"), F.col("to").alias("at"))
-        further = further.checkpoint()
-        if further.isEmpty():
-            return path.select("grid_id", F.col("seq").cast("int").alias("seq"), "at.r", "at.c")
-        path = path.unionByName(further).checkpoint()
-        jump = jump.join(jump.select("grid_id", F.col("at").alias("to"), F.col("to").alias("next")), ["grid_id", "to"]).select("grid_id", "at", F.col("next").alias("to"))
-        jump = jump.checkpoint()
+        path = reduce(DataFrame.unionByName, parts)
+        further = path.join(jump, ["grid_id", "at"]).select("grid_id", "path_id", (F.col("seq") + steps).alias("seq"), F.col("to").alias("at"))
+        further, n = work.counted(further, F.lit(True))
+        if not n:
+            return work.result(path.select("grid_id", "path_id", "seq", "at.r", "at.c"))
+        parts.append(further)
+        on = jump.select("grid_id", F.col("at").alias("to"), F.col("to").alias("next"))
+        jump = work.cut(jump.join(on, ["grid_id", "to"]).select("grid_id", "at", F.col("next").alias("to")), jump)
         steps *= 2
 
 
@@ -132,16 +137,12 @@ def catchment(spark: SparkSession, to: DataFrame, outlets: DataFrame) -> DataFra
 
     Every cell's receiver is replaced by its receiver's until all stand at an end.
     """
+    work = Work(spark)
+    node = lambda prefix="": F.struct("grid_id", F.col(f"{prefix}r").alias("r"), F.col(f"{prefix}c").alias("c"))
     ends = outlets.select(*CELL).distinct().withColumn("outlet", F.lit(True))
-    drains = F.when(F.col("outlet").isNull() & F.col("to_r").isNotNull(), _cells("to_")).otherwise(_cells())
-    here = to.join(ends, CELL, "left").select("grid_id", _cells().alias("at"), drains.alias("to")).checkpoint()
-    stable = False
-    while not stable:
-        further = here.select("grid_id", F.col("at").alias("to"), F.col("to").alias("next"))
-        new = here.join(further, ["grid_id", "to"]).select("grid_id", "at", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")).checkpoint()
-        stable = new.where("moved").isEmpty()
-        here = new.drop("moved")
-    return here.join(ends.select("grid_id", _cells().alias("to")), ["grid_id", "to"]).select("grid_id", "at.r", "at.c")
+    drains = F.when(F.col("outlet").isNull() & F.col("to_r").isNotNull(), node("to_")).otherwise(node())
+    here = graph.roots(work, to.join(ends, CELL, "left").select(node().alias("node"), drains.alias("to")))
+    return work.result(here.join(ends.select(node().alias("root")), "root").select("node.*"))
 
 
 def water_level(cells: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def ring_of(mask: DataFrame, cells: DataFrame) -> DataFrame:
 
 def shadow(cells: DataFrame, dr: int, dc: int, tan_sun: float, steps: int) -> DataFrame:
     """Cells from which a cell toward the sun stands above the ray."""
-    sun = _offsets(cells, [(dr * k, dc * k) for k in range(1, steps + 1)]).join(cells.select(*CELL, F.col("z").alias("z1")), CELL)
+    sun = neighbours(cells, [(dr * k, dc * k) for k in range(1, steps + 1)]).join(cells.select(*CELL, F.col("z").alias("z1")), CELL)
     own = cells.select("grid_id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("z").alias("z0"))
     run = F.hypot(F.col("r") - F.col("r0"), F.col("c") - F.col("c0"))
     hit = sun.join(own, ["grid_id", "r0", "c0"]).groupBy("grid_id", "r0", "c0").agg(F.bool_or(F.col("z1") > F.col("z0") + run * tan_sun).alias("shadow"))
@@ -174,7 +175,7 @@ def shadow(cells: DataFrame, dr: int, dc: int, tan_sun: float, steps: int) -> Da
 
 def lake_extent(mask: DataFrame, res: float = 10.0) -> DataFrame:
     """Area, exposed edge and the uncertainty of half a cell along it."""
-    edges = _offsets(mask, [o for o in NEIGHBOURS if 0 in o])
+    edges = neighbours(mask, [o for o in NEIGHBOURS if 0 in o])
     inner = edges.join(mask.select(*CELL), CELL).groupBy("grid_id").agg(F.count("*").alias("shared"))
     area = mask.groupBy("grid_id").agg(F.count("*").alias("cells"))
     edge = (4 * F.col("cells") - F.coalesce("shared", F.lit(0))) * res

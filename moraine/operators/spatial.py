@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import geo
+from moraine.sources.workspace import Work
 
 
 def _bucket(x: Column, size: float) -> Column:
@@ -67,18 +68,22 @@ def greedy_spread(points: DataFrame, km: float) -> DataFrame:
     In rounds: a point that comes before all its undecided neighbours is kept, and
     its neighbours go. Neighbours meet by cells, so a group may have any size.
     """
+    work = Work(points.sparkSession)
     near = within_km(*(points.select(F.struct("grp", "id").alias(k), "lon", "lat") for k in ("a_id", "b_id")), km)
     near = near.where("a_id.grp <=> b_id.grp and not (a_id.id <=> b_id.id)").select(F.col("a_id").alias("at"), F.col("b_id").alias("by"))
     rank = points.select(F.struct("grp", "id").alias("at"), F.struct((-F.col("area")).alias("o"), "id").alias("rank"))
-    near = near.join(rank.select(F.col("at").alias("by"), F.col("rank").alias("by_rank")), "by").checkpoint()
-    open_, kept = rank.checkpoint(), None
-    while not open_.isEmpty():
-        edges = near.join(open_.select(F.col("at").alias("by")), "by", "left_semi")
-        first = open_.join(edges.groupBy("at").agg(F.min("by_rank").alias("best")), "at", "left").where("best is null or rank < best").select("at").checkpoint()
+    near = near.join(rank.select(F.col("at").alias("by"), F.col("rank").alias("by_rank")), "by")
+    near = work.cut(near.join(rank, "at").withColumn("before", F.col("by_rank") < F.col("rank")).select("at", "by", "before"))
+    # A point without neighbours is kept; only the others take part in rounds.
+    open_ = work.cut(near.select("at").distinct())
+    kept, left = [rank.select("at").join(open_, "at", "left_anti")], 1
+    while left:
+        edges = near.join(open_.select(F.col("at").alias("by")), "by", "left_semi").join(open_, "at", "left_semi")
+        first = work.cut(open_.join(edges.where("before").select("at").distinct(), "at", "left_anti"))
         gone = near.join(first.select(F.col("at").alias("by")), "by", "left_semi").select("at").unionByName(first)
-        open_ = open_.join(gone.distinct(), "at", "left_anti").checkpoint()
-        kept = first if kept is None else kept.unionByName(first)
-    return (rank if kept is None else kept).select("at.grp", "at.id")
+        open_, left = work.counted(open_.join(gone.distinct(), "at", "left_anti"), F.lit(True), open_)
+        kept.append(first)
+    return work.result(all_of(kept).select("at.grp", "at.id"))
 
 
 #: Segments of a path that are ruled out together.

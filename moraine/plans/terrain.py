@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import geo, rules
-from moraine.operators import downstream, drain, raster, spatial
+from moraine.operators import downstream, drain, drainage, raster, spatial
 from moraine.plans import domain as d
 from moraine.plans.domain import micro, micro_sql
 from moraine.sources import readers
-from moraine.sources.workspace import ensure_checkpoints
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +47,6 @@ def _wet(spark: SparkSession, sf: str) -> DataFrame:
   UNION SELECT w.grid_id, w.r, w.c, x.lr, x.lc FROM reach x JOIN wet w ON w.grid_id = x.grid_id AND abs(w.r - x.r) <= 1 AND abs(w.c - x.c) <= 1)""", recursive=True)
     + "SELECT grid_id, r, c, min(lr * 8 + lc) // 8 AS label_r, min(lr * 8 + lc) % 8 AS label_c FROM reach GROUP BY 1, 2, 3")
 def lake_components(spark: SparkSession, sf: str) -> DataFrame:
-    ensure_checkpoints(spark)
     return raster.components(spark, _wet(spark, sf))
 
 
@@ -86,16 +84,14 @@ def flow_receivers(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT grid_id, seq, r, c FROM path")
 def flow_path(spark: SparkSession, sf: str) -> DataFrame:
     cells = d.grids(spark, sf)
-    ensure_checkpoints(spark)
     top = cells.groupBy("grid_id").agg(F.max(F.struct("z", "r", "c")).alias("m")).select("grid_id", "m.r", "m.c")
-    return raster.flow_paths(spark, raster.receivers(cells), top)
+    return raster.flow_paths(spark, raster.receivers(cells), top).drop("path_id")
 
 
 @query(ctes(d.GRIDS, DROPS, TO, """up AS (SELECT grid_id, arg_min(r, z) AS r, arg_min(c, z) AS c FROM grids GROUP BY 1
   UNION ALL SELECT t.grid_id, t.r, t.c FROM up u JOIN receivers t ON u.grid_id = t.grid_id AND t.to_r = u.r AND t.to_c = u.c)""", recursive=True) + "SELECT grid_id, r, c FROM up")
 def catchment(spark: SparkSession, sf: str) -> DataFrame:
     cells = d.grids(spark, sf)
-    ensure_checkpoints(spark)
     low = cells.groupBy("grid_id").agg(F.min(F.struct("z", "r", "c")).alias("m")).select("grid_id", "m.r", "m.c")
     return raster.catchment(spark, raster.receivers(cells), low)
 
@@ -179,7 +175,6 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def greedy_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Largest first within twenty kilometres; tests hold the rounds to a loop."""
-    ensure_checkpoints(spark)
     p = _points(spark, sf, "customer", "c_custkey", "id").join(d.table(spark, sf, "customer"), F.col("id") == F.col("c_custkey"))
     return spatial.greedy_spread(p.select(F.col("c_nationkey").alias("grp"), "id", F.col("c_acctbal").alias("area"), "lon", "lat"), 20.0)
 
@@ -220,9 +215,36 @@ def _starts(cells: DataFrame) -> DataFrame:
 
 @query(None)
 def traced_path(spark: SparkSession, sf: str) -> DataFrame:
-    """Flow paths that leave pits; tests hold them to worked tiles."""
+    """Flow paths that leave pits; tests hold them to the lowest barriers of a plain search."""
     cells = d.grids(spark, sf)
-    return downstream.trace_paths(cells, _starts(cells))
+    return drainage.trace_paths(spark, cells, _starts(cells)).drop("path_id", "along_m")
+
+
+def _mosaic(cells: DataFrame) -> DataFrame:
+    """Tiles of eight by eight side by side, four in a row and four rows, each lower than its left and upper neighbours."""
+    k = F.col("grid_id") % 16
+    r, c = F.col("r") + F.floor(k / 4).cast("int") * 8, F.col("c") + (k % 4).cast("int") * 8
+    return cells.select(F.floor(F.col("grid_id") / 16).alias("grid_id"), r.alias("r"), c.alias("c"), (F.col("z") - (r + c) * 0.05).alias("z"))
+
+
+MOSAIC = """mosaic AS (SELECT grid_id // 16 AS grid_id, r, c, z - (r + c) * 0.05::DOUBLE AS z
+  FROM (SELECT grid_id, r + CAST(grid_id % 16 // 4 AS INT) * 8 AS r, c + CAST(grid_id % 4 AS INT) * 8 AS c, z FROM grids))"""
+
+
+@query(None)
+def mosaic_path(spark: SparkSession, sf: str) -> DataFrame:
+    """A path from each mosaic's first cell across its tiles; tests hold it to one walk over the whole."""
+    cells = _mosaic(d.grids(spark, sf))
+    start = cells.groupBy("grid_id").agg(F.min(F.struct("r", "c")).alias("m")).select("grid_id", (F.col("m.r") + 1).alias("r"), (F.col("m.c") + 1).alias("c"))
+    return drainage.trace_paths(spark, cells, start, 30.0)
+
+
+@query(ctes(d.GRIDS, """reach AS (SELECT grid_id, r, c, z AS level FROM grids WHERE r IN (0, 7) OR c IN (0, 7)
+  UNION SELECT g.grid_id, g.r, g.c, greatest(g.z, x.level) FROM reach x JOIN grids g ON g.grid_id = x.grid_id AND abs(g.r - x.r) <= 1 AND abs(g.c - x.c) <= 1)""", recursive=True)
+    + f"SELECT grid_id, r, c, {micro_sql('min(level)')} AS level_e4 FROM reach GROUP BY 1, 2, 3")
+def filled_height(spark: SparkSession, sf: str) -> DataFrame:
+    """The height that water must reach in each cell to leave its tile."""
+    return drainage.filled(spark, d.grids(spark, sf)).select("grid_id", "r", "c", micro(F.col("level")).alias("level_e4"))
 
 
 @query(ctes(d.GRIDS) + f""", pts AS (SELECT grid_id, k, least(7.0::DOUBLE, greatest(0.0::DOUBLE, k * 1.75::DOUBLE - 0.5)) AS x, least(7.0::DOUBLE, greatest(0.0::DOUBLE, 7.25::DOUBLE - k * 1.25::DOUBLE)) AS y
@@ -240,9 +262,8 @@ def bilinear_samples(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def route(spark: SparkSession, sf: str) -> DataFrame:
     """Stations of a flood down each tile, at 300 m a cell; tests hold them to a worked valley."""
-    ensure_checkpoints(spark)
     cells = d.grids(spark, sf).withColumn("z", F.col("z") * 1000)
-    path = downstream.trace_paths(cells, _starts(cells), 300.0)
+    path = drainage.trace_paths(spark, cells, _starts(cells), 300.0)
     peaks = cells.select("grid_id").distinct().withColumn("peak_m3s", F.lit(800.0) + F.col("grid_id") % 7 * 100)
     return downstream.route(cells, path, peaks, 300.0, half_m=1200.0)
 
@@ -256,7 +277,6 @@ labels AS (SELECT grid_id, r, c, min(lr * 8 + lc) AS label FROM reach GROUP BY 1
 SELECT grid_id, label // 8 AS label_r, label % 8 AS label_c, area_m2, {micro_sql("cr")} AS r_e4, {micro_sql("cc")} AS c_e4, {micro_sql("h")} AS h_e4,
   CAST(row_number() OVER (PARTITION BY grid_id ORDER BY area_m2 DESC, label) AS INT) AS rank FROM parts WHERE area_m2 >= 1200 AND h >= 0.12""")
 def find_lakes(spark: SparkSession, sf: str) -> DataFrame:
-    ensure_checkpoints(spark)
     found = downstream.find_lakes(spark, _wet(spark, sf), d.grids(spark, sf), 20.0, 1200.0, 0.12)
     values = [micro(F.col(f"{n}")).alias(a) for n, a in (("centre_r", "r_e4"), ("centre_c", "c_e4"), ("height_m", "h_e4"))]
     return found.select("grid_id", "label_r", "label_c", "area_m2", *values, "rank")
@@ -272,7 +292,6 @@ def find_lakes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT grid_id, CAST(coalesce(n, 0) AS BIGINT) AS cells FROM (SELECT DISTINCT grid_id FROM grids) LEFT JOIN hit USING (grid_id)""")
 def steep_catchment(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that can shed into the low ground of each tile."""
-    ensure_checkpoints(spark)
     cells = d.grids(spark, sf)
     level = cells.select("grid_id").distinct().withColumn("level", F.lit(-0.1))
     slopes = downstream.steep_slopes(spark, cells, cells.where("z < -0.1"), level, 0.1)
@@ -310,7 +329,6 @@ def outline_cover(spark: SparkSession, sf: str) -> DataFrame:
   UNION SELECT w.grid_id, w.r, w.c FROM reach x JOIN met w ON w.grid_id = x.grid_id AND abs(w.r - x.r) <= 1 AND abs(w.c - x.c) <= 1)""", recursive=True) + "SELECT grid_id, r, c FROM reach")
 def corridor(spark: SparkSession, sf: str) -> DataFrame:
     """The flood of a path along each tile's fourth row."""
-    ensure_checkpoints(spark)
     cells = d.grids(spark, sf)
     path = cells.where("r = 3").select("grid_id", F.col("c").alias("seq"), "r", "c", (0.05 + F.col("c") * 0.01).alias("level"))
     return raster.corridor(spark, cells, path, 2.0)
@@ -324,7 +342,6 @@ both_ AS (SELECT grid_id, r, c FROM flat UNION SELECT grid_id, r, c FROM wet)"""
   UNION SELECT w.grid_id, w.r, w.c FROM reach x JOIN both_ w ON w.grid_id = x.grid_id AND abs(w.r - x.r) <= 1 AND abs(w.c - x.c) <= 1)""", recursive=True) + "SELECT grid_id, r, c FROM reach")
 def spill_surface(spark: SparkSession, sf: str) -> DataFrame:
     """Each tile's water with the calm ground at its level that it touches."""
-    ensure_checkpoints(spark)
     cells = d.grids(spark, sf)
     level = cells.select("grid_id").distinct().withColumn("level", F.lit(0.05))
     return raster.spill_mask(spark, cells, _wet(spark, sf), level, 0.06, 1.0, 3.0)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from moraine.operators import downstream, drain, exposure, places, raster, replay, routing, series, spatial
 from moraine.sources import readers, sinks
-from moraine.sources.workspace import ensure_checkpoints
 from moraine.streaming import streams
 
 YEARS = "lake_id string, year int, status string, area_m2 double, uncertainty_m2 double, last_day string"
@@ -113,7 +112,6 @@ def test_nearest_of_a_larger_catalogue(spark):
 
 
 def test_greedy_spread_equals_a_loop(spark):
-    ensure_checkpoints(spark)
     rng = random.Random(5)
     rows = [(1, k, float(rng.randrange(50)), 77 + rng.random() / 10, 32 + rng.random() / 10) for k in range(60)]
     kept = []
@@ -126,7 +124,6 @@ def test_greedy_spread_equals_a_loop(spark):
 
 
 def test_components_and_closing(spark):
-    ensure_checkpoints(spark)
     shape = ["##..#", "#...#", "....."]
     cells = [(1, r, c) for r, line in enumerate(shape) for c, x in enumerate(line) if x == "#"]
     got = raster.components(spark, spark.createDataFrame(cells, "grid_id int, r int, c int")).collect()
@@ -137,7 +134,6 @@ def test_components_and_closing(spark):
 
 def test_long_chains_have_no_limit(spark):
     """A winding valley of 300 cells: its path, its catchment and its one component."""
-    ensure_checkpoints(spark)
     line, r, c = [(0, 0)], 0, 0
     for turn in range(15):
         for _ in range(23):
@@ -196,7 +192,6 @@ def test_along_path_equals_all_pairs(spark):
 
 
 def test_corridor(spark):
-    ensure_checkpoints(spark)
     cells = [(1, r, c, float(abs(r - 5)) + (20.0 if c == 14 else 0.0)) for r in range(11) for c in range(20)]
     path = [(1, k, 5, k, 3.5) for k in range(12)] + [(1, 12, 5, 18, 3.5)]
     got = {(x.r, x.c) for x in raster.corridor(spark, spark.createDataFrame(cells, "grid_id int, r int, c int, z double"), spark.createDataFrame(path, "grid_id int, seq int, r int, c int, level double"), 2.5).collect()}
@@ -205,7 +200,6 @@ def test_corridor(spark):
 
 
 def test_spill_mask_stays_on_the_flat(spark):
-    ensure_checkpoints(spark)
     cells = [(1, r, c, 100.0 if c <= 20 and 8 <= r <= 22 else 100.0 - 5.0 * (c - 20) + 3.0 * abs(r - 15)) for r in range(31) for c in range(40)]
     lake = [(1, r, c) for r in range(11, 19) for c in range(6, 15)]
     frames = spark.createDataFrame(cells, "grid_id int, r int, c int, z double"), spark.createDataFrame(lake, "grid_id int, r int, c int")
@@ -215,7 +209,6 @@ def test_spill_mask_stays_on_the_flat(spark):
 
 
 def test_flow_path(spark):
-    ensure_checkpoints(spark)
     cells = spark.createDataFrame([(1, r, c, float(10 - c + abs(r - 1))) for r in range(3) for c in range(5)], "grid_id int, r int, c int, z double")
     start = spark.createDataFrame([(1, 1, 0)], "grid_id int, r int, c int")
     path = raster.flow_paths(spark, raster.receivers(cells), start).orderBy("seq").collect()
@@ -250,7 +243,6 @@ def test_rate_limit_equals_a_loop():
 
 def test_extract_lake(spark):
     """A hole is filled and a cloud is bridged; a dry gap is not, and dry seeds meet no lake."""
-    ensure_checkpoints(spark)
     cloudy = ["..........", ".####..##.", ".#.#???##.", ".####..##.", ".........."]
     dry = [line.replace("?", ".") for line in cloudy]
     rows = [(g, r, c, x == "#", x != "?") for g, lines in ((1, cloudy), (2, dry), (3, cloudy)) for r, line in enumerate(lines) for c, x in enumerate(line)]
@@ -283,35 +275,7 @@ def tile(spark, z, blocked=()):
     return spark.createDataFrame(rows, "grid_id int, r int, c int, z double, blocked boolean")
 
 
-def walked(spark, cells, r, c, **more):
-    start = spark.createDataFrame([(1, r, c)], "grid_id int, r int, c int")
-    return [(p.r, p.c) for p in downstream.trace_paths(cells, start, **more).orderBy("seq").collect()]
-
-
-def test_traced_path_follows_the_valley_and_leaves_pits(spark):
-    z = valley()
-    path = walked(spark, tile(spark, z), 30, 2, res=30.0)
-    assert path[-1][1] == 59 and max(abs(r - 30) for r, _ in path) <= 1
-    z[30, 20] -= 40
-    for c in (21, 22, 23):
-        z[30, c] += 10
-    path = walked(spark, tile(spark, z), 30, 2, res=30.0)
-    assert path[-1][1] == 59 and len(set(path)) == len(path) and (30, 20) in path
-    z[30, 40] = None
-    assert (30, 40) not in walked(spark, tile(spark, z), 30, 2, res=30.0)
-
-
-def test_traced_path_respects_blocked_cells_and_length(spark):
-    lake = {(r, c) for r in range(25, 36) for c in range(10, 15)}
-    path = walked(spark, tile(spark, valley(), lake), 30, 16, res=30.0, most_m=300.0)
-    length = sum(30 * math.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(path, path[1:]))
-    assert not lake & set(path[1:]) and 300 <= length <= 300 + 30 * math.sqrt(2)
-    ring = {(r, c) for r in range(60) for c in range(60) if max(abs(r - 30), abs(c - 16)) == 1}
-    assert walked(spark, tile(spark, valley(), ring), 30, 16, res=30.0) == [(30, 16)]
-
-
 def test_route_down_a_valley(spark):
-    ensure_checkpoints(spark)
     cells = tile(spark, {(r, c): 1000.0 - 0.6 * c + 1.5 * abs(r - 30) for r in range(60) for c in range(60)})
     path = spark.createDataFrame([(1, k, 30, c) for k, c in enumerate(range(2, 58))], "grid_id int, seq int, r int, c int")
     peaks = spark.createDataFrame([(1, 20_000.0)], "grid_id int, peak_m3s double")
