@@ -14,10 +14,12 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ LEAST_DOCS = 30
 #: Terms that a group's report lists.
 TOP = 50
 #: Leaves of a task's tries; they are sent on beyond that.
-LEAVES = 400_000
-#: Characters counted before they go into the tries.
-RUN = 2_000_000
+LEAVES = 250_000
+#: Characters that are split at once, and distinct words of a group that are counted before they go into the tries.
+RUN, COUNTED = 2_000_000, 400_000
 #: Terms that a group of one traversal holds.
 BLOCK = 20_000
 #: Counts that a traversal spreads out at once, terms times sources.
@@ -61,10 +63,17 @@ class Trie:
 
     def __init__(self) -> None:
         self.root = Node()
-        self.leaves = 0
+        self.known: dict[bytes, Node] = {}
 
     def at(self, term: bytes) -> Node:
-        """The leaf of a term, made where there is none; edges split where paths part."""
+        """The leaf of a term, made where there is none."""
+        if (leaf := self.known.get(term)) is None:
+            leaf = self.known[term] = self._made(term)
+            leaf.counts = {}
+        return leaf
+
+    def _made(self, term: bytes) -> Node:
+        """The place where a term ends; edges split where paths part."""
         node = self.root
         while term:
             label, below = node.edges.get(term[0], (term, None))
@@ -78,11 +87,19 @@ class Trie:
                 node.edges[term[0]] = (label[:common], middle)
                 label, below = label[:common], middle
             node, term = below, term[len(label) :]
-        if node.counts is None:
-            node.counts = {}
-            self.leaves += 1
         return node
 
+    def counted(self, source: str, times: dict[bytes, int]) -> None:
+        """Add a source's occurrences to the leaves of their terms."""
+        for term, n in times.items():
+            counts = self.at(term).counts
+            counts[source] = counts.get(source, 0) + n
+
+    def standing(self, docs: dict[bytes, int]) -> None:
+        """Add documents to the leaves of the terms that stand in them."""
+        for term, n in docs.items():
+            self.at(term).docs += n
+
     def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
         """Add to a term's leaf."""
         leaf = self.at(term)
@@ -124,64 +141,84 @@ def partial_leaves(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = defaultdict(Trie)
+        times: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        standing: dict[str, Counter] = defaultdict(Counter)
+
+        def entered() -> None:
+            for (lang, source), counted in times.items():
+                tries[lang].counted(source, counted)
+            for lang, counted in standing.items():
+                tries[lang].standing(counted)
+            times.clear()
+            standing.clear()
+
         for b in batches:
             langs, sources = b.column("lang").to_pylist(), b.column("source").to_pylist()
             for first, texts in runs(b.column("text").to_pylist(), RUN):
-                times: dict[tuple[str, str], Counter] = defaultdict(Counter)
-                standing: dict[str, Counter] = defaultdict(Counter)
                 for i, text in enumerate(texts, first):
                     words = text.encode().translate(BYTES).split()
                     times[langs[i], sources[i]].update(words)
                     standing[langs[i]].update(set(words))
-                for (lang, source), counted in times.items():
-                    for term, n in counted.items():
-                        counts = tries[lang].at(term).counts
-                        counts[source] = counts.get(source, 0) + n
-                for lang, counted in standing.items():
-                    for term, n in counted.items():
-                        tries[lang].at(term).docs += n
-                if sum(t.leaves for t in tries.values()) > LEAVES:
+                if sum(map(len, times.values())) > COUNTED:
+                    entered()
+                if sum(len(t.known) for t in tries.values()) > LEAVES:
                     yield from _sent(tries)
                     tries.clear()
+        entered()
         yield from _sent(tries)
 
     text = F.coalesce("text", F.lit("")).alias("text")
     return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text).mapInArrow(run, LEAF)
 
 
-def merged_leaves(leaves: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """One leaf a term that stands in ``least`` documents of its language, in UTF-8 order, with the range (part) that it lies in."""
+def _same(column: pa.Array) -> np.ndarray:
+    """Which rows equal the row before them."""
+    return np.append(False, pc.equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False))
+
+
+def merged(leaves: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """Neighbouring leaves of one term as one leaf, of terms that stand in ``least`` documents."""
+    start = np.flatnonzero(~(_same(leaves.column("lang")) & _same(leaves.column("term"))))
+    size = np.diff(np.append(start, leaves.num_rows))
+    good = np.add.reduceat(leaves.column("docs").to_numpy(), start) >= least
+    kept = leaves.take(pa.array(np.flatnonzero(np.repeat(good, size))))
+    each = np.repeat(np.arange(good.sum()), size[good])
+    leaf = np.repeat(each, pc.list_value_length(kept.column("sources")).to_numpy())
+    names = pc.list_flatten(kept.column("sources")).dictionary_encode()
+    many = max(1, len(names.dictionary))
+    place, where = np.unique(leaf * many + names.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+    counts = np.zeros(len(place), np.int64)
+    np.add.at(counts, where, pc.list_flatten(kept.column("counts")).to_numpy())
+    ends = pa.array(np.searchsorted(place // many, np.arange(good.sum() + 1)), pa.int32())
+    heads = pa.array(start[good])
+    return batch_of(
+        lang=leaves.column("lang").take(heads), term=leaves.column("term").take(heads),
+        sources=pa.ListArray.from_arrays(ends, names.dictionary.take(pa.array(place % many)).cast(pa.string())), counts=pa.ListArray.from_arrays(ends, pa.array(counts)),
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, counts, kept, part = None, 0, {}, [], 0
 
-        def rows() -> pa.RecordBatch:
-            columns = zip(*kept, strict=True)
-            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32()]
-            names = ["lang", "term", "sources", "counts", "block"]
-            return batch_of(**{n: pa.array(list(c), t) for n, t, c in zip(names, types, columns, strict=True)})
+def merged_leaves(leaves: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+    """One leaf a term that stands in ``least`` documents of its language, in UTF-8 order, with the range (part) and the block in it that it lies in."""
 
-        for b in batches:
-            for lang, term, more, sources, added in zip(*(b.column(c).to_pylist() for c in ("lang", "term", "docs", "sources", "counts")), strict=True):
-                if key != (lang, term):
-                    if key is not None and docs >= least:
-                        kept.append((*key, list(counts), list(counts.values()), part))
-                        if len(kept) == BLOCK:
-                            yield rows()
-                            kept.clear()
-                            part += 1
-                    key, docs, counts = (lang, term), 0, {}
-                docs += more
-                for s, n in zip(sources, added, strict=True):
-                    counts[s] = counts.get(s, 0) + n
-        if key is not None and docs >= least:
-            kept.append((*key, list(counts), list(counts.values()), part))
-        if kept:
-            yield rows()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = None, 0
+        for b in chain((b for b in batches if b.num_rows), [None]):
+            if b is not None and held is not None:
+                b = pa.concat_batches([held, b])
+            if b is None:
+                done, held = held, None
+            else:
+                # The last term may go on in the next batch.
+                last = int(np.flatnonzero(~(_same(b.column("lang")) & _same(b.column("term"))))[-1])
+                done, held = b.slice(0, last), b.slice(last)
+            if done is not None and done.num_rows:
+                out = merged(done, least)
+                yield batch_of(**{c: out.column(c) for c in out.schema.names}, block=pa.array((n + np.arange(out.num_rows)) // BLOCK, pa.int32()))
+                n += out.num_rows
 
     ordered = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    merged = ordered.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>, block int")
-    return merged.withColumn("part", F.spark_partition_id())
+    rows = ordered.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>, block int")
+    return rows.withColumn("part", F.spark_partition_id())
 
 
 def probability(count: np.ndarray, whole: np.ndarray, terms: int) -> np.ndarray:

@@ -79,7 +79,7 @@ def test_audit_equals_counting_everything(spark, many, least, top):
 
 def test_audit_in_small_tries_and_blocks(spark, many, monkeypatch):
     want = _told(divergence.oracle(2, 4), documents=many)
-    for name, value in (("LEAVES", 10), ("RUN", 500), ("BLOCK", 3), ("CELLS", 8)):
+    for name, value in (("LEAVES", 10), ("RUN", 500), ("COUNTED", 20), ("BLOCK", 3), ("CELLS", 8)):
         monkeypatch.setattr(divergence, name, value)
     assert _rows(divergence.audit(spark, many, 2, 4)) == want
 
@@ -102,7 +102,7 @@ def test_tries_merge_and_walk_in_order():
         want[term] = (docs + 1, counts)
     one.merge(two)
     assert [(t, d, c) for t, d, c in one.walk()] == [(t, *want[t]) for t in sorted(want)]
-    assert one.leaves == len(want)
+    assert len(one.known) == len(want)
 
 
 def test_probability_is_exact_where_products_overflow():
