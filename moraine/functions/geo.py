@@ -20,8 +20,9 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
 
 
 def equirect_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Flat distance, east-west shrunk by the first point's latitude."""
-    return DEGREE_KM * F.hypot(lat2 - lat1, (lon2 - lon1) * F.cos(F.radians(lat1)))
+    """Flat distance, east-west shrunk by the first point's latitude, the short way round."""
+    east = F.abs(lon2 - lon1)
+    return DEGREE_KM * F.hypot(lat2 - lat1, F.when(east > 180, 360 - east).otherwise(east) * F.cos(F.radians(lat1)))
 
 
 def utm_zone(lon: Column) -> Column:

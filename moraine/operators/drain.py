@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import rules
+from moraine.operators import raster
 
 NEW_MIN_LOOKS, NEW_MAX_FREQ = 2, 0.1
 BLOB_MIN_M2, BLOB_MIN_WIDTH = 20_000, 60.0
+#: Fixed value: cells from new water within which old water belongs to it.
+JOIN = 3
 
 
 def baseline(years: DataFrame, asked: DataFrame) -> DataFrame:
@@ -58,6 +61,26 @@ def blobs(labelled: DataFrame, cell_m2: float) -> DataFrame:
     return out.where((F.col("area_m2") >= BLOB_MIN_M2) & (F.col("width_m") >= BLOB_MIN_WIDTH))
 
 
+def label_blobs(spark: SparkSession, cells: DataFrame, res: float) -> DataFrame:
+    """Blobs of new water in ``cells(grid_id, r, c, now, base_obs, base_freq, corridor)``: (grid_id, label_r, label_c, cells, area_m2, width_m, base_freq).
+
+    A lake behind a fresh dam straddles its river, so water that was there before joins what is new within ``JOIN`` cells of
+    it, and no further along the river. The new part alone must be large, and wide: twice the
+    distance from its middle to its edge.
+    """
+    seen = new_water(cells)
+    new = seen.where("new_water").select(*raster.CELL)
+    old = seen.where("now and corridor and not new_water").select(*raster.CELL).join(raster.dilate(new, JOIN), raster.CELL, "left_semi")
+    labelled = raster.components(spark, new.unionByName(old))
+    around = cells.select(*raster.CELL).join(raster.dilate(new, 1, True), raster.CELL, "left_semi")
+    inside = raster.distance_to(around, around.join(new, raster.CELL, "left_anti")).join(new, raster.CELL)
+    rows = labelled.join(inside.select(*raster.CELL, "distance"), raster.CELL, "left").join(seen.select(*raster.CELL, "base_freq"), raster.CELL)
+    blob = rows.groupBy("grid_id", "label_r", "label_c").agg(
+        F.count("*").alias("cells"), F.count("distance").alias("new"), (F.count("*") * res * res).alias("area_m2"), (2 * F.max("distance") * res).alias("width_m"), F.avg("base_freq").alias("base_freq")
+    )
+    return blob.where((F.col("new") * res * res >= BLOB_MIN_M2) & (F.col("width_m") >= BLOB_MIN_WIDTH)).drop("new")
+
+
 def dedupe_rounded(rows: DataFrame, digits: int = 3) -> DataFrame:
     """Candidates at one rounded place: the first by window and id."""
     w = Window.partitionBy(F.bround("lon", digits), F.bround("lat", digits)).orderBy("window", "id")

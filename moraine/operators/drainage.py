@@ -151,7 +151,7 @@ def trace_paths(spark: SparkSession, cells: DataFrame, starts: DataFrame, res: f
     opened = cells.join(at, raster.CELL, "left").select(*raster.CELL, "z", (shut & F.col("start").isNull()).alias("blocked"))
     work = Work(spark)
     to = work.owns(ways_out(spark, opened))
-    path = work.owns(raster.flow_paths(spark, to, starts))
+    path = work.owns(raster.flow_paths(spark, to, starts, most_m / res + 1))
     order = Window.partitionBy("path_id").orderBy("seq")
     step = F.coalesce(F.hypot(F.col("r") - F.lag("r").over(order), F.col("c") - F.lag("c").over(order)) * res, F.lit(0.0))
     far = F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -8,8 +8,12 @@ materialised rounds that end when nothing changes: about log of the longest chai
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,29 +73,68 @@ def components(spark: SparkSession, mask: DataFrame, diagonal: bool = True) -> D
     return nodes.join(labels, CELL, "left").select(*CELL, *[F.coalesce(f"label_{x}", x).alias(f"label_{x}") for x in ("r", "c")])
 
 
+def _lowest(at: list[int], cost: list[float], asked: np.ndarray) -> np.ndarray:
+    """Least (x - at)^2 + cost of each asked x: a lower envelope of parabolas, one pass over ``at`` in order."""
+    hull: list[int] = []
+    since: list[float] = []
+    for k, x in enumerate(at):
+        meet = -math.inf
+        while hull:
+            j = hull[-1]
+            meet = (cost[k] + x * x - cost[j] - at[j] * at[j]) / (2 * (x - at[j]))
+            if meet > since[-1]:
+                break
+            hull.pop()
+            since.pop()
+            meet = -math.inf
+        hull.append(k)
+        since.append(meet)
+    best = np.array(hull)[np.searchsorted(since, asked, "right") - 1]
+    return (asked - np.array(at)[best]) ** 2.0 + np.array(cost)[best]
+
+
 def distance_to(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """Euclidean distance of each cell to the nearest target of its grid, null without one.
 
-    In two passes: windows give the nearest target in the own row, and of the rows
-    above and below the nearest one that has a target bounds the distance; then only
-    rows within that bound are looked up, in the cell's own column.
+    In two passes, linear in the cells: windows give the nearest target in the own row, then each column
+    is one sweep over the rows' results, in order, as its cells arrive.
     """
     marked = targets.select(*CELL).distinct().withColumn("target", F.col("c"))
     both = cells.select(*CELL).distinct().join(marked, CELL, "left")
-    rows = both.join(marked.select("grid_id", "r").distinct(), ["grid_id", "r"], "left_semi")
     along = Window.partitionBy("grid_id", "r")
     ahead, back = (along.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("c", F.desc("c")))
     gap = F.least(F.col("c") - F.last("target", True).over(ahead), F.last("target", True).over(back) - F.col("c"))
-    rows = rows.select(*CELL, gap.alias("gap"))
-    column = Window.partitionBy("grid_id", "c")
-    up, down = (column.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("r", F.desc("r")))
-    at = F.when(F.col("gap").isNotNull(), F.struct("r", "gap"))
-    reach = [F.hypot(F.col("r") - F.col(f"{k}.r"), F.col(f"{k}.gap")) for k in ("above", "below")]
-    bounded = both.select(*CELL).join(rows, CELL, "left").withColumn("above", F.last(at, True).over(up)).withColumn("below", F.last(at, True).over(down))
-    bound = F.floor(F.least(*reach)).cast("int")
-    asked = bounded.where(bound.isNotNull()).select(*CELL, F.explode(F.sequence(F.col("r") - bound, F.col("r") + bound)).alias("tr"))
-    found = asked.join(rows.select("grid_id", F.col("r").alias("tr"), "c", "gap"), ["grid_id", "tr", "c"]).groupBy(*CELL)
-    return cells.select(*CELL).join(found.agg(F.min(F.hypot(F.col("r") - F.col("tr"), F.col("gap"))).alias("distance")), CELL, "left")
+    gaps = both.select(*CELL, gap.cast("double").alias("gap")).repartition("grid_id", "c").sortWithinPartitions("grid_id", "c", "r")
+
+    def columns(b: pa.RecordBatch) -> np.ndarray:
+        """Where the columns of sorted rows begin."""
+        n = b.num_rows - 1
+        same = pc.and_(pc.equal(b.column("grid_id").slice(1), b.column("grid_id").slice(0, n)), pc.equal(b.column("c").slice(1), b.column("c").slice(0, n)))
+        return np.flatnonzero(np.append(True, ~same.to_numpy(zero_copy_only=False)))
+
+    def measured(b: pa.RecordBatch, start: np.ndarray) -> pa.RecordBatch:
+        r, gap = b.column("r").to_numpy().astype(np.int64), b.column("gap").to_numpy(zero_copy_only=False)
+        out = np.full(b.num_rows, np.nan)
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), b.num_rows], strict=True):
+            known = i + np.flatnonzero(~np.isnan(gap[i:j]))
+            if len(known):
+                out[i:j] = np.sqrt(_lowest(r[known].tolist(), (gap[known] ** 2).tolist(), r[i:j]))
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in CELL), pa.array(out, from_pandas=True)], names=[*CELL, "distance"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if b.num_rows:
+                b = b if held is None else pa.concat_batches([held, b])
+                start = columns(b)
+                if len(start) > 1:
+                    yield measured(b.slice(0, int(start[-1])), start[:-1])
+                held = b.slice(int(start[-1]))
+        if held is not None:
+            yield measured(held, np.array([0]))
+
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in CELL)
+    return gaps.mapInArrow(sweep, f"{kinds}, distance double")
 
 
 def receivers(cells: DataFrame) -> DataFrame:
@@ -109,9 +152,11 @@ def _cells(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}r").alias("r"), F.col(f"{prefix}c").alias("c"))
 
 
-def flow_paths(spark: SparkSession, to: DataFrame, starts: DataFrame) -> DataFrame:
+def flow_paths(spark: SparkSession, to: DataFrame, starts: DataFrame, most: float = math.inf) -> DataFrame:
     """(grid_id, path_id, seq, r, c): cells from each of ``starts(grid_id, r, c[, path_id])`` down the receivers, in order, to where they end.
 
+    Of a path at least ``most`` steps are followed, fewer if it ends before.
+
     Each round doubles what is known of a path: the cells so far, and the same cells
     taken on by as many steps as there are of them; only the new ones are written.
     """
@@ -122,6 +167,8 @@ def flow_paths(spark: SparkSession, to: DataFrame, starts: DataFrame) -> DataFra
     steps = 1
     while True:
         path = reduce(DataFrame.unionByName, parts)
+        if steps > most:
+            return work.result(path.select("grid_id", "path_id", "seq", "at.r", "at.c"))
         further = path.join(jump, ["grid_id", "at"]).select("grid_id", "path_id", (F.col("seq") + steps).alias("seq"), F.col("to").alias("at"))
         further, n = work.counted(further, F.lit(True))
         if not n:
@@ -223,21 +270,60 @@ def spill_mask(spark: SparkSession, cells: DataFrame, lake: DataFrame, level: Da
     return labelled.join(labelled.join(lake.select(*CELL), CELL, "left_semi").select(*label).distinct(), label, "left_semi").select(*CELL)
 
 
-def corridor(spark: SparkSession, cells: DataFrame, path: DataFrame, limit: float) -> DataFrame:
-    """Cells below the level of their nearest path point, near enough and connected to the path.
+def _nearest_point(cells: DataFrame, points: DataFrame, limit: float) -> DataFrame:
+    """Cells with their nearest of ``points(grid_id, r, c, seq, ...)`` as ``p`` and its distance ``d``, up to about ``limit``; the first wins a tie.
 
-    ``path(grid_id, seq, r, c, level)``: the first point wins a tie. Cells and points
-    meet in squares as wide as the limit, and the squares around.
+    Cells and points meet in squares as wide as the limit, and the squares around.
     """
     wide = max(1, math.ceil(limit))
     square = lambda x: F.floor(F.col(x) / wide)
-    p = path.select("grid_id", "seq", F.col("r").alias("pr"), F.col("c").alias("pc"), "level", square("r").alias("br"), square("c").alias("bc"))
+    rest = [c for c in points.columns if c not in ("grid_id", "seq")]
     around = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    p = p.withColumn("o", F.explode(around)).withColumn("br", F.col("br") + F.col("o.dr")).withColumn("bc", F.col("bc") + F.col("o.dc")).drop("o")
-    keyed = cells.withColumn("br", square("r")).withColumn("bc", square("c"))
-    near = keyed.join(p, ["grid_id", "br", "bc"]).withColumn("d", F.hypot(F.col("r") - F.col("pr"), F.col("c") - F.col("pc")))
-    best = near.groupBy(*CELL).agg(F.min(F.struct("d", "seq", "level", "z")).alias("b"))
-    wet = best.where((F.col("b.d") <= limit) & (F.col("b.z") < F.col("b.level"))).select(*CELL)
+    p = points.select("grid_id", F.struct("seq", *rest).alias("p"), square("r").alias("br"), square("c").alias("bc"), F.explode(around).alias("o"))
+    p = p.select("grid_id", "p", (F.col("br") + F.col("o.dr")).alias("br"), (F.col("bc") + F.col("o.dc")).alias("bc"))
+    near = cells.withColumn("br", square("r")).withColumn("bc", square("c")).join(p, ["grid_id", "br", "bc"])
+    d = F.hypot(F.col("r") - F.col("p.r"), F.col("c") - F.col("p.c"))
+    return near.groupBy(*CELL).agg(F.min(F.struct(d.alias("d"), "p", "z")).alias("b")).select(*CELL, "b.*")
+
+
+def _reached(spark: SparkSession, wet: DataFrame, path: DataFrame) -> DataFrame:
+    """The components of ``wet`` that meet the path's cells."""
     labelled = components(spark, wet)
     label = ["grid_id", "label_r", "label_c"]
     return labelled.join(labelled.join(path.select(*CELL), CELL, "left_semi").select(*label).distinct(), label, "left_semi").select(*CELL)
+
+
+def corridor(spark: SparkSession, cells: DataFrame, path: DataFrame, limit: float) -> DataFrame:
+    """Cells below the level of their nearest path point, near enough and connected to the path.
+
+    ``path(grid_id, seq, r, c, level)``: the first point wins a tie.
+    """
+    best = _nearest_point(cells, path.select("grid_id", "seq", "r", "c", "level"), limit)
+    return _reached(spark, best.where((F.col("d") <= limit) & (F.col("z") < F.col("p.level"))).select(*CELL), path)
+
+
+def flood_corridor(spark: SparkSession, cells: DataFrame, points: DataFrame, res: float, limit_m: float, lake: DataFrame | None = None) -> DataFrame:
+    """The ground that a flood along a path reaches.
+
+    ``points(grid_id, seq, x, y, level, tx, ty, left_m, right_m)``: places along the path in
+    metres, each with the flood's level, the unit direction and how far the water reaches on the left, towards (-ty, tx), and on the right. A cell belongs if it
+    is below its nearest point's level, no further from the path than ``limit_m`` and, within half a cell, than the reach of its side; not behind the
+    first point nor beyond the last; not in ``lake``; and connected to the path, whose own cells all belong. The
+    first point in a cell stands for it.
+    """
+    at = lambda v: F.rint(F.col(v) / res).cast("int")
+    ends = points.groupBy("grid_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    one = points.withColumn("r", at("y")).withColumn("c", at("x")).groupBy(*CELL)
+    one = one.agg(F.min_by(F.struct("seq", "x", "y", "level", "tx", "ty", "left_m", "right_m"), "seq").alias("p")).select(*CELL, "p.*")
+    path = one.join(cells.select(*CELL), CELL, "left_semi")
+    near = _nearest_point(cells.select(*CELL, "z"), path, limit_m / res).join(ends, "grid_id")
+    dx, dy = F.col("c") * res - F.col("p.x"), F.col("r") * res - F.col("p.y")
+    along, side = dx * F.col("p.tx") + dy * F.col("p.ty"), dy * F.col("p.tx") - dx * F.col("p.ty")
+    tol = res / 2
+    reach = F.when(side >= 0, F.col("p.left_m")).otherwise(F.col("p.right_m")) + tol
+    known = F.col("z").isNotNull() & ~F.isnan("z") & (F.col("z") < F.col("p.level"))
+    behind, beyond = (F.col("p.seq") == F.col("first")) & (along < -tol), (F.col("p.seq") == F.col("last")) & (along > tol)
+    wet = near.where(known & (F.col("d") * res <= F.least(F.lit(limit_m), reach)) & ~behind & ~beyond).select(*CELL)
+    if lake is not None:
+        wet = wet.join(lake.select(*CELL).distinct(), CELL, "left_anti")
+    return _reached(spark, wet.unionByName(path.select(*CELL)).distinct(), path)

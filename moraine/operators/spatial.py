@@ -16,18 +16,27 @@ def _bucket(x: Column, size: float) -> Column:
 
 
 def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
-    """Pairs of ``a(a_id, lon, lat)`` and ``b(b_id, lon, lat)`` at most ``km`` apart.
+    """Pairs of ``a(a_id, lon, lat)`` and ``b(b_id, lon, lat)`` at most ``km`` apart, anywhere on the globe.
 
-    Points meet by equality on a cell of the radius's size and its neighbours, so
+    Points meet by equality on a cell and its neighbours. Cells lie in bands of latitude as high as the radius; a
+    band's cells are as wide as the radius is there, divide the full circle evenly and close at 180 degrees. So
     dense places are spread over their cells and far ones never meet.
     """
     deg = km / geo.DEGREE_KM
-    wide = deg * 2.0  # degrees of longitude hold up to latitude 60
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = a.select("a_id", F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"), near.alias("o"))
-    left = left.select("*", (_bucket(F.col("lon_a"), wide) + F.col("o.i")).alias("bx"), (_bucket(F.col("lat_a"), deg) + F.col("o.j")).alias("by")).drop("o")
-    right = b.select("b_id", F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), _bucket(F.col("lon"), wide).alias("bx"), _bucket(F.col("lat"), deg).alias("by"))
-    out = left.join(right, ["bx", "by"]).withColumn("km", geo.equirect_km(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")))
+
+    def cells_of(band: Column) -> Column:
+        """How many cells a band has: the radius, seen from a band beside it at most, fits into one; one near the poles."""
+        flat = F.least(*[F.cos(F.radians(F.least(F.lit(90.0), F.abs(band + k) * deg))) for k in (-1, 0, 1, 2)])
+        return F.greatest(F.lit(1), F.floor(flat * (360.0 / deg) * (1 - 1e-9))).cast("long")
+
+    turn = lambda lon: F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / 360.0
+    left = a.select("a_id", F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"), F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])).alias("o"))
+    left = left.withColumn("by", _bucket(F.col("lat_a"), deg) + F.col("o")).withColumn("n", cells_of(F.col("by")))
+    mine = F.floor(turn("lon_a") * F.col("n"))
+    left = left.withColumn("bx", F.explode(F.array_distinct(F.array(*[F.pmod(mine + k, F.col("n")) for k in (-1, 0, 1)])))).drop("o", "n")
+    right = b.select("b_id", F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), _bucket(F.col("lat"), deg).alias("by"))
+    right = right.withColumn("bx", F.floor(turn("lon_b") * cells_of(F.col("by"))))
+    out = left.join(right, ["by", "bx"]).withColumn("km", geo.equirect_km(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")))
     return out.where(F.col("km") <= km).select("a_id", "b_id", "km")
 
 
