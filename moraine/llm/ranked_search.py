@@ -15,7 +15,7 @@ Nothing is cut off but what the bounds exclude, so ties at the last rank are who
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,8 +29,8 @@ TOP = 20
 SENT_TERMS = 300_000
 #: The items' lists go to all tasks if they are no more rows than this; else they are joined by shuffling.
 SENT_LISTS = 300_000
-#: Lookups go to all tasks if they are no more (term, document) pairs than this; else they are joined by shuffling.
-SENT_PAIRS = 500_000
+#: The documents to look up go to all tasks if they are no more than this; else they are joined by shuffling.
+SENT_ROWS = 300_000
 #: The heads' best documents, in multiples of those asked for, whose exact scores bound the result.
 HEADS = 3
 #: Characters whose terms are held at once.
@@ -123,14 +123,16 @@ def _ranked(by: str, *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(*order))
 
 
-def _looked_up(scratch: Scratch, postings: DataFrame, lists: DataFrame, of: DataFrame) -> DataFrame:
-    """(item, row, doc_id, score): exact scores of ``of(item, row)``, from the postings of their items' terms alone."""
-    wanted = scratch.table(of.join(lists.select("item", "term", "w"), "item"), "wanted")
-    pairs = scratch.table(wanted.select("term", "row").distinct(), "pairs")
-    few = F.broadcast(pairs) if pairs.count() <= SENT_PAIRS else pairs
-    found = scratch.table(postings.select("term", "row", "doc_id", "gain").join(few, ["term", "row"]), "found")
-    score = F.sum(F.col("w") * F.col("gain")).alias("score")
-    return wanted.join(found, ["term", "row"]).groupBy("item", "row").agg(F.first("doc_id").alias("doc_id"), score)
+def _looked_up(postings: DataFrame, sent: Callable[[DataFrame], DataFrame], lists: DataFrame, of: DataFrame) -> DataFrame:
+    """(item, row, doc_id, score): exact scores of ``of(item, row)``.
+
+    The postings of each row that is asked for are fetched once, by row, and its items are put to them there.
+    """
+    items = of.groupBy("row").agg(F.collect_set("item").alias("items"))
+    few = F.broadcast(items.select("row")) if items.count() <= SENT_ROWS else items.select("row")
+    found = postings.select("term", "row", "doc_id", "gain").join(few, "row", "left_semi").repartition("row").join(items, "row")
+    each = found.select("row", "doc_id", "term", "gain", F.explode("items").alias("item")).join(sent(lists.select("item", "term", "w")), ["item", "term"])
+    return each.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("gain")).alias("score"))
 
 
 def search(spark: SparkSession, docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
@@ -155,7 +157,7 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, top: int = TO
     heads = scratch.table(postings.withColumn("at", best).where(f"at <= {top}").select("term", "row", "gain"), "heads")
     partial = heads.join(sent(lists.select("item", "term", "w")), "term").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("gain")).alias("score"))
     first = partial.withColumn("at", _ranked("item", F.desc("score"))).where(f"at <= {HEADS * top}").select("item", "row")
-    first = scratch.table(_looked_up(scratch, postings, lists, scratch.table(first, "first")), "scored")
+    first = scratch.table(_looked_up(postings, sent, lists, scratch.table(first, "first")), "scored")
     bounds = first.withColumn("at", _ranked("item", F.desc("score"))).where(f"at = {top}").select("item", F.col("score").alias("bound"))
 
     # Unseen entries of a list are below the threshold, and no list gives more than its best entry.
@@ -174,7 +176,7 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, top: int = TO
     kth = seen.withColumn("at", _ranked("item", F.desc("score"))).where(f"at = {top}").select("item", F.col("score").alias("kth"))
     left = seen.join(sent(kth), "item", "left").where("most >= coalesce(kth, 0)").select("item", "row")
 
-    exact = _looked_up(scratch, postings, lists, scratch.table(left, "left"))
+    exact = _looked_up(postings, sent, lists, scratch.table(left, "left"))
     rank = _ranked("item", F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row"))
     names = lists.select("item", "item_id").distinct()
     out = exact.withColumn("rank", rank).where(f"rank <= {top}").join(sent(names), "item")

@@ -53,7 +53,7 @@ def test_search_equals_scoring_everything(spark, many, items, top):
 def test_search_without_broadcasts(spark, many, items, monkeypatch):
     monkeypatch.setattr(ranked_search, "SENT_TERMS", 0)
     monkeypatch.setattr(ranked_search, "SENT_LISTS", 0)
-    monkeypatch.setattr(ranked_search, "SENT_PAIRS", 0)
+    monkeypatch.setattr(ranked_search, "SENT_ROWS", 0)
     assert _rows(ranked_search.search(spark, many, items, 5)) == _told(ranked_search.oracle(5), documents=many, benchmark=items)
 
 
