@@ -14,6 +14,7 @@ are lowered one by one, as the file's normaliser says.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -31,6 +32,10 @@ from moraine.llm.common import batch_of, table, type_of
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their tokens in a task; the memory is emptied beyond that.
 WORDS_KEPT = 400_000
+#: Pairs known to hold or to fail; both are emptied beyond that.
+PAIRS_KEPT = 1_000_000
+#: Words of so few symbols are merged by looking at all ranks, longer ones with a heap.
+FEW = 64
 #: Characters whose ids are held at once.
 RUN = 1_000_000
 #: And where digests alone are kept.
@@ -162,6 +167,8 @@ class Codec:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact BPE: always the first of the lowest-ranked pairs."""
+        if len(symbols) > FEW:
+            return self._merge_long(symbols)
         get = self.ranks.get
         ranks = [get(p, NO_RANK) for p in zip(symbols, symbols[1:], strict=False)]
         while ranks and (least := min(ranks)) < NO_RANK:
@@ -174,6 +181,27 @@ class Codec:
                 ranks[at] = get((symbols[at], symbols[at + 1]), NO_RANK)
         return symbols
 
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same in n log n: a heap of ranks and places over linked symbols; what changed meanwhile is passed over."""
+        get, n = self.ranks.get, len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, at) for at, p in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            if (right := after[at]) >= n or get((symbols[at], symbols[right])) != rank:
+                continue
+            symbols[at] += symbols[right]
+            symbols[right] = ""
+            after[at] = further = after[right]
+            if further < n:
+                before[further] = at
+                if (r := get((symbols[at], symbols[further]))) is not None:
+                    heapq.heappush(heap, (r, at))
+            if (left := before[at]) >= 0 and (r := get((symbols[left], symbols[at]))) is not None:
+                heapq.heappush(heap, (r, left))
+        return [s for s in symbols if s]
+
     def exact(self, word: str) -> list[int]:
         """Ids of a word of byte letters, by merging; symbols without an id go."""
         found = self.merge([*word[:-1], word[-1] + END])
@@ -184,7 +212,7 @@ class Codec:
         out, at, n = [], 0, len(word)
         inner, final, longest = self.inner, self.final, self.longest
         while at < n:
-            if (rest := final.get(word[at:])) is not None:
+            if n - at <= longest and (rest := final.get(word[at:])) is not None:
                 out.append(rest)
                 return out
             for end in range(min(n - 1, at + longest), at, -1):
@@ -230,6 +258,9 @@ class Codec:
         if len(self.chunk) > self.kept:
             self.chunk.clear()
             self.words.clear()
+        if len(self.good) + len(self.bad) > PAIRS_KEPT:
+            self.good.clear()
+            self.bad.clear()
         fresh = set().union(*split).difference(self.chunk)
         pieces = {c: self.pieces.findall(c) for c in fresh if c[0] != SPECIAL}
         if new := set().union(*pieces.values()).difference(self.words):
