@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: A bitmap has two to this power bits: 4 MB.
-BITMAP_BITS = 25
+#: Words of 64 bits of a bitmap whose members are not counted: 4 MB.
+WORDS = 1 << 19
 
 #: Where each table that ``materialize`` returned lies, while it is referenced.
 _PATHS: dict[int, str] = {}
@@ -50,9 +50,9 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     executor costs at most the tasks it was running.
     """
     path = f"{shared_root(spark)}/moraine-{uuid.uuid4().hex}/{tag}"
+    df.write.option("compression", "zstd").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)
@@ -113,29 +113,27 @@ def runs(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
         yield at, run
 
 
-class Bitmap:
-    """A set of 64-bit hashes by their low ``BITMAP_BITS`` bits: a filter that passes all members and few others.
+def bitmap(hashes: DataFrame, members: int | None = None) -> np.ndarray:
+    """64-bit hashes by their low bits, as an array of words: a filter that passes all members and few others.
 
-    Its size is fixed, so it may be sent to all tasks whatever the set; a set beyond
-    it only filters less.
+    ``hashes`` has one column of longs. The size follows ``members``, 16 bits each, between 128 KB
+    and 32 MB, 4 MB if it is not given; a set beyond it only filters less. It is a plain
+    array, so it may be sent to tasks that have nothing but numpy.
     """
+    words = WORDS if members is None else 1 << min(22, max(14, (members // 4).bit_length()))
+    h = F.col(hashes.columns[0])
+    word = F.shiftrightunsigned(h, 6).bitwiseAND(words - 1).cast("int").alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(`{hashes.columns[0]}` & 63 as int))")
+    found = hashes.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
 
-    def __init__(self, hashes: DataFrame) -> None:
-        """``hashes`` has one column of longs."""
-        h = F.col(hashes.columns[0])
-        word = F.shiftrightunsigned(h, 6).bitwiseAND((1 << BITMAP_BITS - 6) - 1).cast("int").alias("word")
-        bit = F.expr(f"shiftleft(1L, cast(`{hashes.columns[0]}` & 63 as int))")
-        found = hashes.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
-        self.words = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
-        self.words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-
-    def __contains__(self, h: int) -> bool:
-        return bool(int(self.words[h >> 6 & (1 << BITMAP_BITS - 6) - 1]) >> (h & 63) & 1)
-
-    def holds(self, h: np.ndarray) -> np.ndarray:
-        """Which of the unsigned hashes may be members."""
-        words = self.words[(h >> np.uint64(6) & np.uint64((1 << BITMAP_BITS - 6) - 1)).astype(np.int64)]
-        return (words >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+def may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes may be members of a :func:`bitmap`."""
+    of = words[(h >> np.uint64(6) & np.uint64(len(words) - 1)).astype(np.int64)]
+    return (of >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -53,4 +53,6 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         seen = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
+    out = materialize(spark, nodes.unionByName(roots), "components")
+    discard(spark, edges)
+    return out

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.common import Bitmap, batch_of, materialize, table
+from moraine.llm.common import batch_of, bitmap, discard, materialize, may_hold, table
 
 WINDOW = 5
 SHARE = 0.8
@@ -204,14 +204,14 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 def document_hits(docs: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
     """(doc, key, i, found): the windows of each text whose key may be among ``keys(key)``."""
-    sent = docs.sparkSession.sparkContext.broadcast(Bitmap(keys))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(keys, keys.count()))
 
     def hits(texts: list[str], digests: pa.Array) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(texts)
         first = np.searchsorted(tokens.text, np.arange(len(texts)))
         for size in sizes:
             for key, start in keyed_windows(tokens, size):
-                maybe = sent.value.holds(key)
+                maybe = may_hold(sent.value, key)
                 key, start = key[maybe], start[maybe]
                 text = tokens.text[start]
                 yield batch_of(
@@ -262,7 +262,9 @@ def shares(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: fl
     good = aligned.select("doc", "item", "n", "met").mapInArrow(run, "doc binary, item binary, n int, js array<int>")
     each = good.select("doc", "item", "n", F.explode("js").alias("j")).distinct()
     found = each.groupBy("doc", "item", "n").agg(F.count("*").alias("count")).select("doc", "item", (F.col("count") / F.col("n")).alias("share"))
-    return materialize(spark, found.where(F.col("share") >= share), "shares")
+    out = materialize(spark, found.where(F.col("share") >= share), "shares")
+    discard(spark, items, hits, pairs)
+    return out
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -285,7 +287,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: flo
     null. Extra columns are ignored. An empty table on either side gives no rows.
     """
     named = benchmark.where("text is not null").select("item_id", F.unhex(F.md5("text")).alias("item")).distinct()
-    best = shares(spark, docs, benchmark, share).join(named, "item").groupBy("doc", "item_id").agg(F.max("share").alias("share"))
+    found = shares(spark, docs, benchmark, share)
+    best = materialize(spark, found.join(named, "item").groupBy("doc", "item_id").agg(F.max("share").alias("share")), "best")
+    discard(spark, found)
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("doc"))
     return rows.join(_sent(best), "doc").select("doc_id", "item_id", "share")
 

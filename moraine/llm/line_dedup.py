@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import Bitmap, batch_of, discard, materialize, table, type_of
+from moraine.llm.common import batch_of, bitmap, discard, materialize, table, type_of
 from moraine.llm.components import connected_components
 
 SHINGLE = 8
@@ -175,16 +175,19 @@ def jaccard_links(digests: list[bytes], sets: list[np.ndarray], least: float = S
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(digest, line) of the lines ``wanted(digest)``; others are left out before the shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(Bitmap(wanted.select(F.xxhash64("digest"))))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("digest"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
         for b in batches:
             found: dict[bytes, str] = {}
             for text in b.column("text").to_pylist():
                 for _, line in _lines_of(text):
                     digest = hashlib.md5(line.encode()).digest()
-                    if digest not in found and xxhash.xxh64_intdigest(digest, 42) in sent.value:
-                        found[digest] = line
+                    if digest not in found:
+                        h = xxhash.xxh64_intdigest(digest, 42)
+                        if int(words[h >> 6 & len(words) - 1]) >> (h & 63) & 1:
+                            found[digest] = line
             yield batch_of(digest=pa.array(list(found), pa.binary()), line=pa.array(list(found.values()), pa.string()))
 
     lines = docs.select("text").mapInArrow(run, "digest binary, line string")
@@ -236,10 +239,10 @@ def line_components(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     dealt = in_parts.unionByName(centres).join(texts, "digest")
     found = connected_components(spark, _linked(_grouped(dealt, total)))
     if not has_large:
+        discard(spark, members, buckets)
         return found
 
     # of a large bucket, what the centre's component does not hold yet meets everything
-    found = materialize(spark, found, "components")
     root = found.withColumnRenamed("node", "digest")
     held = members.join(large, "key").join(root, "digest", "left").select("key", "digest", "centre", F.coalesce("component", "digest").alias("component"))
     held = materialize(spark, held, "held")
@@ -260,12 +263,16 @@ def line_components(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     for end in ("a", "b"):
         named = found.select(F.col("node").alias(end), F.col("component").alias("named"))
         links = links.join(named, end, "left").withColumn(end, F.coalesce("named", end)).drop("named")
-    joined = materialize(spark, connected_components(spark, links), "joined")
+    joined = connected_components(spark, links)
+    discard(spark, members, buckets, texts, held)
     if joined.isEmpty():
+        discard(spark, joined)
         return found
     renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("further"))
     known = found.join(renamed, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
-    return known.unionByName(joined.join(found.select("node"), "node", "left_anti"))
+    out = materialize(spark, known.unionByName(joined.join(found.select("node"), "node", "left_anti")), "known")
+    discard(spark, found, joined)
+    return out
 
 
 def _looked_up(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
@@ -289,7 +296,7 @@ def _dropped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = _looked_up(marked.select("digest", "doc_id", "line_no", "text_key"), keeper, "digest")
     rows = rows.where(~at.eqNullSafe(F.col("kept"))).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("dropped"))
     out = materialize(spark, rows, "dropped")
-    discard(spark, marked, nodes, keeper)
+    discard(spark, marked, found, nodes, keeper)
     return out
 
 

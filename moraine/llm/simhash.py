@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import batch_of, materialize, table
+from moraine.llm.common import batch_of, discard, materialize, table
 from moraine.llm.components import connected_components
 
 SHINGLE = 4
@@ -258,7 +258,9 @@ def near_links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS) -
         a, b = shard_links(np.sort(fps[~visits]), np.sort(fps[visits]), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("block", "region", "i", "j").applyInPandas(links, "a long, b long")
+    found = materialize(spark, dealt.groupBy("block", "region", "i", "j").applyInPandas(links, "a long, b long"), "links")
+    discard(spark, rows)
+    return found
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -272,15 +274,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     nodes = _rooted(spark, marked, F.min("doc_id").alias("least"))
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = materialize(spark, out, "named")
+    discard(spark, marked, nodes)
+    return out
 
 
 def _rooted(spark: SparkSession, marked: DataFrame, least: Column) -> DataFrame:
     """(fp, ``least`` of its rows, root): the components, named by fingerprints."""
     distinct = materialize(spark, marked.select("fp").distinct(), "distinct")
-    found = connected_components(spark, near_links(spark, distinct))
+    links = near_links(spark, distinct)
+    found = connected_components(spark, links)
     nodes = marked.groupBy("fp").agg(least).join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    return nodes.select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    nodes = materialize(spark, nodes.select("fp", "least", F.coalesce("component", "fp").alias("root")), "nodes")
+    discard(spark, distinct, links, found)
+    return nodes
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -303,6 +311,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keepers = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("digest"))
     rows = marked.groupBy("digest").agg(F.count("*").alias("n")).join(keepers.withColumn("kept", F.lit(True)), "digest", "left")
     rows = materialize(spark, rows.where("kept is null or n > 1").select("digest", "kept"), "rows")
+    discard(spark, marked, nodes)
     kept = keyed.join(_sent(rows.where("kept is null").select("digest")), "digest", "left_anti")
     again = rows.where("kept").select("digest")
     if again.isEmpty():
