@@ -133,7 +133,7 @@ def length_inside(spark: SparkSession, lines: DataFrame, areas: DataFrame, cell:
     crossing = ((F.col("p") >= 0) != (F.col("q") >= 0)) & ((F.col("s") >= 0) != (F.col("e") >= 0))
     cuts = met.where(crossing).groupBy("id", "area_id").agg(F.array_sort(F.collect_list(F.col("s") / (F.col("s") - F.col("e")))).alias("cuts"))
     first = seg.select("id", "x", "y", "x2", "y2", F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")).alias("length"))
-    box = areas.where(n > 2).select("area_id", "ring", *[f(F.transform("ring", lambda p, v=v: p[v])).alias(f"{k}{v}") for v in "xy" for k, f in (("lo", F.array_min), ("hi", F.array_max))])
+    box = areas.where(n > 2).select("area_id", "ring", *[f(F.col(f"ring.{v}")).alias(f"{k}{v}") for v in "xy" for k, f in (("lo", F.array_min), ("hi", F.array_max))])
     tiles = box.withColumn("bx", F.explode(F.sequence(F.floor(F.col("lox") / cell), F.floor(F.col("hix") / cell)))).withColumn("by", F.explode(F.sequence(F.floor(F.col("loy") / cell), F.floor(F.col("hiy") / cell))))
     begun = first.withColumn("bx", F.floor(F.col("x") / cell)).withColumn("by", F.floor(F.col("y") / cell)).join(tiles, ["bx", "by"])
     begun = begun.where(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("id", "area_id", F.lit(True).alias("begins"))

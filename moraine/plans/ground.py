@@ -151,7 +151,7 @@ def element_assets(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("osm_type", "osm_id", "kind", "subkind", "shape", *place, area.alias("area"))
 
 
-@query("""WITH l AS (SELECT c_custkey AS line_id, c_custkey * 37 % 400 / 100.0::DOUBLE + 75.00131 AS x, c_custkey * 91 % 300 / 100.0::DOUBLE + 30.00173 AS y, (c_custkey % 9 - 4) * 0.3::DOUBLE AS dx, (c_custkey % 7 - 3) * 0.4::DOUBLE AS dy FROM customer),
+@query("""WITH l AS (SELECT c_custkey AS line_id, c_custkey * 37 % 400 / 100.0::DOUBLE + 75.001307 AS x, c_custkey * 91 % 300 / 100.0::DOUBLE + 30.001729 AS y, (c_custkey % 9 - 4) * 0.3::DOUBLE AS dx, (c_custkey % 7 - 3) * 0.4::DOUBLE AS dy FROM customer),
 a AS (SELECT n_nationkey AS area_id, n_nationkey * 31 % 17 / 5.0::DOUBLE + 75.0537::DOUBLE AS x0, n_nationkey * 17 % 13 / 5.0::DOUBLE + 30.0537::DOUBLE AS y0, n_nationkey % 4 * 0.3::DOUBLE + 0.42::DOUBLE AS w FROM nation),
 t AS (SELECT line_id, area_id, sqrt(dx * dx + dy * dy) AS length,
   CASE WHEN dx <> 0 THEN least((x0 - x) / dx, (x0 + w - x) / dx) WHEN x BETWEEN x0 AND x0 + w THEN 0 ELSE 2 END AS in_x, CASE WHEN dx <> 0 THEN greatest((x0 - x) / dx, (x0 + w - x) / dx) ELSE 1 END AS out_x,
@@ -160,7 +160,7 @@ SELECT line_id, area_id, CAST(floor((least(1, out_x, out_y) - greatest(0, in_x,
 def length_inside(spark: SparkSession, sf: str) -> DataFrame:
     """How far a customer's way leads through each nation it crosses."""
     k = F.col("a_id")
-    start = _points(spark, sf, "customer", "c_custkey", "a_id").select("a_id", (F.col("lon") + 0.00131).alias("x"), (F.col("lat") + 0.00173).alias("y"))
+    start = _points(spark, sf, "customer", "c_custkey", "a_id").select("a_id", (F.col("lon") + 0.001307).alias("x"), (F.col("lat") + 0.001729).alias("y"))
     step = F.explode(F.array(F.lit(0), F.lit(1))).alias("seq")
     lines = start.select("*", step).select(k.alias("line_id"), "seq", (F.col("x") + F.col("seq") * ((k % 9 - 4) * 0.3)).alias("x"), (F.col("y") + F.col("seq") * ((k % 7 - 3) * 0.4)).alias("y"))
     out = outlines.length_inside(spark, lines, _areas(spark, sf).select("area_id", "ring"), 0.5)
