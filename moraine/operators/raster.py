@@ -97,14 +97,18 @@ def distance_to(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """Euclidean distance of each cell to the nearest target of its grid, null without one.
 
     In two passes, linear in the cells: windows give the nearest target in the own row, then each column
-    is one sweep over the rows' results, in order, as its cells arrive.
+    is one sweep over the rows' results, in order, as its cells arrive. Rows with a target are made whole
+    first, as wide as the grid's cells, so cells may be missing.
     """
     marked = targets.select(*CELL).distinct().withColumn("target", F.col("c"))
-    both = cells.select(*CELL).distinct().join(marked, CELL, "left")
+    wide = cells.select(*CELL).unionByName(targets.select(*CELL)).groupBy("grid_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    rows = marked.select("grid_id", "r").distinct().join(wide, "grid_id").select("grid_id", "r", F.explode(F.sequence("lo", "hi")).alias("c"), F.lit(False).alias("asked"))
+    every = cells.select(*CELL, F.lit(True).alias("asked")).unionByName(rows).groupBy(*CELL).agg(F.max("asked").alias("asked"))
+    both = every.join(marked, CELL, "left")
     along = Window.partitionBy("grid_id", "r")
     ahead, back = (along.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("c", F.desc("c")))
     gap = F.least(F.col("c") - F.last("target", True).over(ahead), F.last("target", True).over(back) - F.col("c"))
-    gaps = both.select(*CELL, gap.cast("double").alias("gap")).repartition("grid_id", "c").sortWithinPartitions("grid_id", "c", "r")
+    gaps = both.select(*CELL, "asked", gap.cast("double").alias("gap")).repartition("grid_id", "c").sortWithinPartitions("grid_id", "c", "r")
 
     def columns(b: pa.RecordBatch) -> np.ndarray:
         """Where the columns of sorted rows begin."""
@@ -119,7 +123,8 @@ def distance_to(cells: DataFrame, targets: DataFrame) -> DataFrame:
             known = i + np.flatnonzero(~np.isnan(gap[i:j]))
             if len(known):
                 out[i:j] = np.sqrt(_lowest(r[known].tolist(), (gap[known] ** 2).tolist(), r[i:j]))
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in CELL), pa.array(out, from_pandas=True)], names=[*CELL, "distance"])
+        rows = pa.RecordBatch.from_arrays([*(b.column(c) for c in CELL), pa.array(out, from_pandas=True)], names=[*CELL, "distance"])
+        return rows.filter(b.column("asked"))
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
