@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from moraine.functions import rules, text
 
 TOP = 20
-#: Typed names that are sent to every task at once.
-ASKED_MOST = 10_000
 
 
 def with_keys(places: DataFrame, name: str = "name", name_hi: str | None = None) -> DataFrame:
@@ -42,27 +40,48 @@ def _passes() -> list[Column]:
     return [first, second, third]
 
 
-def search(places: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
-    """``asked(q)`` against ``places(place_id, keys, size, covered)``: the best ``top`` of each.
+def run_of(key: Column, n: int) -> Callable[[Column], Column]:
+    return lambda k: F.substring(key, k + 1, F.lit(n))
+
+
+def _grams(key: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct runs of so many letters of a key, none of a null or empty one."""
+    none = F.array().cast("array<string>")
+    runs = [F.when(F.length(key) >= n, F.transform(F.sequence(F.lit(0), F.length(key) - n), run_of(key, n))).otherwise(none) for n in sizes]
+    return F.array_distinct(F.flatten(F.array(*runs)))
 
-    A looser pass counts only where every stricter one found nothing at all, so one
-    scan grades all passes, each keeps its own best ``top`` from the first task on, and a
-    query's strictest successful pass decides. The asked names are typed by people;
-    they are sent to every task, ``ASKED_MOST`` at most, and more of them in turns.
-    """
-    ranked = [_ranked(places, part, top) for part in _sendable(asked)]
-    return reduce(DataFrame.unionByName, ranked)
 
+def gram_index(rows: DataFrame, key: str, *fields: str) -> DataFrame:
+    """(field, gram, key): an inverted index of ``fields`` by the runs of one, two and three letters in them."""
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f")
+    return rows.select(key, named).where("f.text <> ''").select("f.field", F.explode(_grams(F.col("f.text"), (1, 2, 3))).alias("gram"), key)
 
-def _sendable(asked: DataFrame, most: int | None = None) -> list[DataFrame]:
-    """``asked(q)`` in parts of about ``ASKED_MOST`` rows."""
-    parts = max(1, -(-asked.count() // (most or ASKED_MOST)))
-    return [asked] if parts == 1 else [asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == k) for k in range(parts)]
 
+def _probed(index: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """(q, key) whose field may hold what is asked: ``asked(q, field, text)`` meets the index by its rarest run of three letters, or whole if shorter."""
+    grams = F.when(F.length("text") < 3, F.array("text")).otherwise(_grams(F.col("text"), (3,)))
+    runs = asked.where("text <> ''").select("q", "field", F.explode(grams).alias("gram"))
+    held = index.join(runs.select("field", "gram").distinct(), ["field", "gram"], "left_semi").groupBy("field", "gram").agg(F.count("*").alias("n"))
+    rarest = runs.join(held, ["field", "gram"]).groupBy("q", "field").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return index.join(rarest, ["field", "gram"]).select("q", key).distinct()
+
+
+def search(places: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
+    """``asked(q)`` against ``places(place_id, keys, size, covered)``: the best ``top`` of each.
 
-def _ranked(places: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    A name meets only places that share its rarest run of letters, or its whole skeleton, by
+    equality; then its passes are graded. A looser pass counts only where every stricter one found nothing at
+    all, so all are graded at once, each keeps its own best ``top`` from the first task on, and a
+    query's strictest successful pass decides. Place ids are unique.
+    """
     index = places.select("place_id", "size", "covered", *[F.col(f"keys.{k}").alias(f"k_{n}") for k, n in (("latin", "latin"), ("hindi", "hindi"), ("bare", "bare"), ("skeleton", "bones"))])
-    both = index.crossJoin(F.broadcast(_asked_keys(asked)))
+    keys = _asked_keys(asked.distinct())
+    field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(when, F.col(t)).alias("text")) for f, t, when in (
+        ("k_latin", "q_latin", ~F.col("q_is_hi")), ("k_hindi", "q_hindi", F.col("q_is_hi")), ("k_bare", "q_bare", F.col("q_is_hi")),
+    )])).alias("f")
+    runs = _probed(gram_index(index, "place_id", "k_latin", "k_hindi", "k_bare"), keys.select("q", field).select("q", "f.*"), "place_id")
+    bones = keys.where(F.length("q_bones") >= text.MIN_SKELETON).select("q", F.col("q_bones").alias("k_bones")).join(index.select("k_bones", "place_id"), "k_bones").select("q", "place_id")
+    both = runs.unionByName(bones).distinct().join(index, "place_id").join(keys, "q")
     tiers = _passes()
     graded = both.select("q", "place_id", "size", "covered", F.array(*[F.when(t < text.NONE, F.struct(F.lit(k).alias("p"), t.alias("tier"))) for k, t in enumerate(tiers)]).alias("found"))
     hits = graded.withColumn("best", F.array_min(F.array_compact("found"))).where("best is not null").select("q", "place_id", "size", "covered", "best.*")
@@ -71,15 +90,28 @@ def _ranked(places: DataFrame, asked: DataFrame, top: int) -> DataFrame:
     return best.withColumn("strictest", F.min("p").over(Window.partitionBy("q"))).where("p = strictest").select("q", "rank", "place_id", "p", "tier")
 
 
-def resolver_hits(names: DataFrame, asked: DataFrame, top: int = 10) -> DataFrame:
-    """``asked(q)`` in the folded ``names(id, f)``: the best ``top`` of each, prefixes first, then by id."""
-    w = Window.partitionBy("q").orderBy(F.when(F.startswith("f", "q"), 1).otherwise(2), "id")
+def universe(impacts: DataFrame, index: DataFrame) -> DataFrame:
+    """All places that can be found: (place_id, name, name_hi, district, state, size, covered).
+
+    The settlements of ``impacts(osm, seq, kind, name, name_hi)`` come from the first analysis that has them, with district,
+    state and kind from ``index(osm, name, name_hi, district, state, place)`` where that lists them too; then what the index alone has.
+    """
+    first = impacts.where("kind = 'settlement'").groupBy("osm").agg(F.min_by(F.struct("name", "name_hi"), "seq").alias("i"))
+    where = index.select("osm", "district", "state", "place")
+    covered = first.join(where, "osm", "left").select(
+        F.col("osm").alias("place_id"), "i.name", "i.name_hi", "district", "state", text.place_size(F.coalesce("place", F.lit(""))).alias("size"), F.lit(True).alias("covered")
+    )
+    rest = index.join(first.select("osm"), "osm", "left_anti")
+    rest = rest.select(F.col("osm").alias("place_id"), "name", "name_hi", "district", "state", text.place_size(F.coalesce("place", F.lit(""))).alias("size"), F.lit(False).alias("covered"))
+    return covered.unionByName(rest)
 
-    def ranked(part: DataFrame) -> DataFrame:
-        hits = names.join(F.broadcast(part), F.contains("f", "q"))
-        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("q", "id", "rank")
 
-    return reduce(DataFrame.unionByName, [ranked(part) for part in _sendable(asked)])
+def resolver_hits(names: DataFrame, asked: DataFrame, top: int = 10) -> DataFrame:
+    """``asked(q)`` in the folded ``names(id, f)``: the best ``top`` of each, prefixes first, then by id; an empty ``q`` finds nothing."""
+    w = Window.partitionBy("q").orderBy(F.when(F.startswith("f", "q"), 1).otherwise(2), "id")
+    probes = asked.distinct().select("q", F.lit("f").alias("field"), F.col("q").alias("text"))
+    met = _probed(gram_index(names, "id", "f"), probes, "id").join(names.select("id", "f"), "id").where(F.contains("f", "q"))
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("q", "id", "rank")
 
 
 def threats(impacts: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,19 +48,38 @@ def nearest_within(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     return a.select("a_id").join(best, "a_id", "left").select("a_id", "n.b_id", "n.km")
 
 
-def nearest_of_few(a: DataFrame, few: DataFrame, top: int, most: int = 100_000) -> DataFrame:
-    """The ``top`` nearest of a catalogue, sent out in blocks of about ``most`` rows, whose best are merged."""
-    right = few.where("lon is not null and lat is not null").select("b_id", F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
-    blocks = max(1, -(-right.count() // most))
-    km = geo.haversine_km(F.col("lon"), F.col("lat"), F.col("lon_b"), F.col("lat_b"))
-    w = Window.partitionBy("a_id").orderBy("km", "b_id")
-
-    def best(rows: DataFrame) -> DataFrame:
-        return rows.select("a_id", "b_id", "km").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+def nearest(a: DataFrame, b: DataFrame, top: int) -> DataFrame:
+    """(a_id, b_id, km, rank): the ``top`` nearest of ``b(b_id, lon, lat)`` to each of ``a(a_id, lon, lat)``, the least id on a tie.
 
-    dealt = F.pmod(F.xxhash64("b_id"), F.lit(blocks))
-    parts = [best(a.crossJoin(F.broadcast(right.where(dealt == k) if blocks > 1 else right)).withColumn("km", km)) for k in range(blocks)]
-    return parts[0] if blocks == 1 else best(all_of(parts))
+    Places are points on the unit sphere, so the poles and 180 degrees are like anywhere else. In
+    rounds, those of ``a`` that have not found ``top`` yet meet what lies in the cubes around their own, each round's
+    twice as wide, until a cube holds the sphere. Places without coordinates are near nothing.
+    """
+    work = Work(a.sparkSession)
+    sphere = [F.cos(F.radians("lat")) * F.cos(F.radians("lon")), F.cos(F.radians("lat")) * F.sin(F.radians("lon")), F.sin(F.radians("lat"))]
+    there = lambda df, key: df.where("lon is not null and lat is not null").select(key, "lon", "lat", *[v.alias(n) for v, n in zip(sphere, "xyz", strict=True)])
+    right = work.cut(there(b, "b_id"))
+    n = max(1, right.count())
+    left, waiting = work.counted(there(a, "a_id"), F.lit(True))
+    wide = math.sqrt(top / n)  # a cap of this radius holds about a quarter of ``top`` if places are spread evenly
+    parts = []
+    around = F.array(*[F.struct(*[F.lit(k).alias(v) for k, v in zip(o, "ijk", strict=True)]) for o in product((-1, 0, 1), repeat=3)])
+    w = Window.partitionBy("a_id").orderBy("km", "b_id")
+    while waiting:
+        cube = lambda v, s=wide: F.floor(F.col(v) / s)
+        asked = left.select("*", F.explode(around).alias("o")).select(F.col("a_id"), *[F.col(v).alias(f"{v}a") for v in ("lon", "lat", "x", "y", "z")], *[(cube(v) + F.col(f"o.{k}")).alias(f"c{v}") for v, k in zip("xyz", "ijk", strict=True)])
+        met = asked.join(right.select("*", *[cube(v).alias(f"c{v}") for v in "xyz"]), ["cx", "cy", "cz"])
+        chord = F.sqrt(sum(F.pow(F.col(v) - F.col(f"{v}a"), 2) for v in "xyz"))
+        near = met.where(chord <= wide).select("a_id", "b_id", geo.haversine_km(F.col("lona"), F.col("lata"), F.col("lon"), F.col("lat")).alias("km"))
+        best = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+        full = F.count("*").over(Window.partitionBy("a_id"))
+        done = work.cut(best.withColumn("found", full).where((F.col("found") >= min(top, n)) | F.lit(wide > 2)).drop("found"))
+        parts.append(done)
+        if wide > 2:
+            break
+        left, waiting = work.counted(left.join(done.select("a_id").distinct(), "a_id", "left_anti"), F.lit(True), left)
+        wide *= 2
+    return work.result(all_of(parts) if parts else left.select("a_id", F.lit(None).cast(b.schema["b_id"].dataType).alias("b_id"), F.lit(0.0).alias("km"), F.lit(0).alias("rank")))
 
 
 def in_polygon(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:

@@ -47,6 +47,16 @@ def drain_alert_once(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_to_end(streams.once_per_scene(looks, "60 days").select("lake_id", "scene_id"), "drain")
 
 
+@query("""SELECT lake_id, scene_id, seq FROM (SELECT user_id % 50 AS lake_id, CAST(event_id // 7 % 3 AS VARCHAR) AS scene_id, event_id AS seq,
+  lag(event_id // 7 % 3) OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS before FROM events WHERE event_type IN ('view', 'click')) WHERE before IS NULL OR before <> CAST(scene_id AS BIGINT)""")
+def drain_alert_last(spark: SparkSession, sf: str) -> DataFrame:
+    """Each lake's drained scenes, alerted again when another one was alerted in between."""
+    looks = _events(spark, sf).select(
+        (F.col("user_id") % 50).alias("lake_id"), (F.floor(F.col("event_id") / 7) % 3).cast("string").alias("scene_id"), F.col("event_id").alias("seq"), F.col("event_type").isin("view", "click").alias("drained")
+    )
+    return streams.alert_last_scene(looks, "last-scene")
+
+
 @query("""WITH late AS (SELECT max(ts) AS t FROM events)
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS from_time, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount FROM events, late GROUP BY 1, 2, t
 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= t - INTERVAL 10 MINUTE""")

@@ -155,7 +155,7 @@ def nearest_within(spark: SparkSession, sf: str) -> DataFrame:
 SELECT a_id, CAST(k AS INT) AS rank, {micro_sql("km")} AS km_e4 FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY km, b_id) AS k FROM h) WHERE k <= 3""")
 def haversine_top3(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _points(spark, sf, "customer", "c_custkey", "a_id"), _points(spark, sf, "supplier", "s_suppkey", "b_id")
-    return spatial.nearest_of_few(a, b, 3).select("a_id", "rank", micro(F.col("km")).alias("km_e4"))
+    return spatial.nearest(a, b, 3).select("a_id", "rank", micro(F.col("km")).alias("km_e4"))
 
 
 def _areas(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,12 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from moraine.sources.workspace import workspace
 
 SENSOR_KINDS = ("water_level_drop", "flow_surge", "manual")
 LIMIT, SPAN_S = 10, 60
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, name: str, files_each: int = 1) -> DataFrame:
@@ -45,6 +48,41 @@ def once_per_scene(looks: DataFrame, delay: str = "30 days") -> DataFrame:
     return looks.withWatermark("at", delay).dropDuplicatesWithinWatermark(["lake_id", "scene_id"])
 
 
+class LastScene(StatefulProcessor):
+    """One lake's drained looks in order: each scene other than the last alerted one raises an alert, and becomes the last.
+
+    The state is one scene a lake, written with the batch that delivers the alert: a batch that is run again
+    starts from the state before it, and gives the same alerts. An older scene raises again once another one was alerted.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "scene_id string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        looks = pd.concat(list(rows)).sort_values(["seq"], kind="stable")
+        last = self.last.get()[0] if self.last.exists() else None
+        scenes = looks["scene_id"].to_numpy()
+        fresh = scenes != pd.Series(scenes, dtype=object).shift(1, fill_value=last).to_numpy()
+        self.last.update((str(scenes[-1]),))
+        yield pd.DataFrame({"lake_id": key[0], "scene_id": scenes[fresh], "seq": looks["seq"].to_numpy()[fresh]})
+
+    def close(self) -> None:
+        pass
+
+
+def alert_last_scene(looks: DataFrame, tag: str) -> DataFrame:
+    """Alerts of ``looks(lake_id, scene_id string, seq, drained)`` that name a scene, drained to the end: (lake_id, scene_id, seq)."""
+    spark = looks.sparkSession
+    rows = looks.where(F.coalesce("drained", F.lit(False)) & (F.coalesce("scene_id", F.lit("")) != "")).select("lake_id", "scene_id", "seq")
+    out = f"lake_id {looks.schema['lake_id'].dataType.simpleString()}, scene_id string, seq {looks.schema['seq'].dataType.simpleString()}"
+    was = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)  # value states live in this store alone
+    try:
+        return run_to_end(rows.groupBy("lake_id").transformWithStateInPandas(LastScene(), out, "append", "None"), tag)
+    finally:
+        spark.conf.unset(STATE_STORE) if was is None else spark.conf.set(STATE_STORE, was)
+
+
 def tumbling(events: DataFrame, width: str, delay: str, *key: str) -> DataFrame:
     return events.withWatermark("at", delay).groupBy(F.window("at", width), *key).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 

@@ -103,12 +103,49 @@ def test_latest_look(spark):
         assert drain.latest_look(df).first().look == want
 
 
-def test_nearest_of_a_larger_catalogue(spark):
-    a = spark.createDataFrame([(k, 70.0 + k / 7, 30.0 + k / 11) for k in range(9)], "a_id long, lon double, lat double")
-    b = spark.createDataFrame([(k, 70.0 + k * 37 % 50 / 40, 30.0 + k * 17 % 50 / 45) for k in range(60)] + [(99, None, 30.0)], "b_id long, lon double, lat double")
-    want = sorted(map(tuple, spatial.nearest_of_few(a, b, 3).collect()))
-    assert len(want) == 27
-    assert sorted(map(tuple, spatial.nearest_of_few(a, b, 3, most=20).collect())) == want
+def test_nearest_anywhere_equals_a_loop(spark):
+    rng = random.Random(6)
+    places = [(rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1)))) for _ in range(80)] + [(77 + rng.random() / 9, 32 + rng.random() / 9) for _ in range(60)] + [(180.0, 0.0), (-180.0, 0.1), (3.0, 90.0)]
+    b = [(k, *p) for k, p in enumerate(places)] + [(900, *places[0])]
+    a = [(k, *p) for k, p in enumerate(places[::5])] + [(99, 0.0, -90.0)]
+
+    def km(p, q):
+        h = math.sin(math.radians(q[2] - p[2]) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return round(2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h))), 6)
+
+    schema = "lon double, lat double"
+    frames = spark.createDataFrame(a, f"a_id long, {schema}"), spark.createDataFrame([*b, (901, None, 3.0)], f"b_id long, {schema}")
+    for top in (1, 3):
+        got = sorted((x.a_id, x["rank"], x.b_id) for x in spatial.nearest(*frames, top).collect())
+        assert got == [(p[0], k + 1, q[0]) for p in sorted(a) for k, q in enumerate(sorted(b, key=lambda q: (km(p, q), q[0]))[:top])]
+    assert spatial.nearest(frames[0], frames[1].limit(0), 3).count() == 0
+    assert spatial.nearest(frames[0], frames[1].where("b_id < 2"), 3).count() == 2 * len(a)
+
+
+def test_the_index_finds_what_comparing_all_finds(spark):
+    rng = random.Random(7)
+    parts, hindi = ["sis", "su", "man", "ali", "key", "long", "gompa", "tal", "ee", "ph", "a"], ["मना", "ली", "सिस", "्सू", "ताल"]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 4))), rng.choice([None, "".join(rng.choice(hindi) for _ in range(2))]), rng.randrange(6), rng.random() < 0.3) for k in range(300)]
+    asked = {"".join(rng.choice(parts) for _ in range(rng.randrange(1, 3)))[rng.randrange(2) :] for _ in range(40)} | {"".join(rng.choice(hindi) for _ in range(rng.randrange(1, 3))) for _ in range(12)} | {"s", "su", "", "म"}
+    index = places.with_keys(spark.createDataFrame(rows, "place_id int, name string, name_hi string, size int, covered boolean"), "name", "name_hi")
+    q = spark.createDataFrame([(x,) for x in asked], "q string")
+    flat = index.select("place_id", "size", "covered", *[F.col(f"keys.{k}").alias(f"k_{n}") for k, n in (("latin", "latin"), ("hindi", "hindi"), ("bare", "bare"), ("skeleton", "bones"))])
+    graded = flat.crossJoin(places._asked_keys(q)).select("q", "place_id", "size", "covered", *[t.alias(f"t{k}") for k, t in enumerate(places._passes())]).collect()
+    want = []
+    for x in asked:
+        for k in range(3):
+            hits = sorted((r[f"t{k}"], not r.covered, r["size"], r.place_id) for r in graded if r.q == x and r[f"t{k}"] < 3)
+            if hits:
+                want += [(x, n + 1, h[3], k, h[0]) for n, h in enumerate(hits[:20])]
+                break
+    assert sorted(map(tuple, places.search(index, q).collect())) == sorted(want)
+
+
+def test_universe_joins_analysed_places_with_the_index(spark):
+    impacts = spark.createDataFrame([("n/1", 2, "settlement", "Late", None), ("n/1", 1, "settlement", "Sissu", "सिस्सू"), ("n/2", 3, "school", "GPS", None), ("n/9", 4, "settlement", "Only", None)], "osm string, seq int, kind string, name string, name_hi string")
+    index = spark.createDataFrame([("n/1", "Sisu", None, "Lahaul", "HP", "village"), ("n/5", "Manali", "मनाली", "Kullu", "HP", "town"), ("n/2", "Gompa", None, None, None, None)], "osm string, name string, name_hi string, district string, state string, place string")
+    got = sorted(map(tuple, places.universe(impacts, index).collect()))
+    assert got == [("n/1", "Sissu", "सिस्सू", "Lahaul", "HP", 3, True), ("n/2", "Gompa", None, None, None, 5, False), ("n/5", "Manali", "मनाली", "Kullu", "HP", 1, False), ("n/9", "Only", None, None, None, 5, True)]
 
 
 def test_greedy_spread_equals_a_loop(spark):
