@@ -62,3 +62,21 @@ def utm(lon: Column, lat: Column) -> tuple[Column, Column]:
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return FALSE_EAST + SCALE * radius * east, SCALE * radius * north
+
+
+def utm_inverse(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of northern UTM coordinates, by the inverse series of third order in n."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    xi0, eta0 = north / (SCALE * radius), (east - FALSE_EAST) / (SCALE * radius)
+    xi, eta = xi0, eta0
+    for j, b in enumerate(beta, 1):
+        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return (zone * 6 - 183) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)

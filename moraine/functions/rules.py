@@ -81,6 +81,16 @@ def ndwi(green: Column, nir: Column) -> Column:
     return F.try_divide(green - nir, green + nir)
 
 
+def reflectance(dn: Column, scale: Column, offset: Column) -> Column:
+    """A stored band value as reflectance."""
+    return dn * scale + offset
+
+
+def mndwi(green: Column, swir: Column) -> Column:
+    """Water index of the short-wave band; a zero denominator is unknown."""
+    return F.try_divide(green - swir, green + swir)
+
+
 def observed(scl: Column, index: Column, shadow: Column) -> Column:
     """Clear, or uncertain but surely water; never in shadow or without an index."""
     clear = ~scl.isin(*UNUSABLE, *UNCERTAIN)

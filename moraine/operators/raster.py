@@ -225,6 +225,25 @@ def shadow(cells: DataFrame, dr: int, dc: int, tan_sun: float, steps: int) -> Da
     return cells.select(*CELL).join(hit, CELL, "left").select(*CELL, F.coalesce("shadow", F.lit(False)).alias("shadow"))
 
 
+def refined(mask: DataFrame, times: int) -> DataFrame:
+    """The mask on a grid ``times`` as fine: each cell takes the coarse one that it lies in."""
+    steps = F.sequence(F.lit(0), F.lit(times - 1))
+    fine = mask.select("grid_id", "r", "c", F.explode(steps).alias("dr")).select("grid_id", (F.col("r") * times + F.col("dr")).alias("r"), "c", F.explode(steps).alias("dc"))
+    return fine.select("grid_id", "r", (F.col("c") * times + F.col("dc")).alias("c"))
+
+
+def relief(cells: DataFrame) -> DataFrame:
+    """Highest less lowest of each grid; unknown heights say nothing."""
+    known = F.when(~F.isnan("z"), F.col("z"))
+    return cells.groupBy("grid_id").agg((F.max(known) - F.min(known)).alias("relief_m"))
+
+
+def rim_coverage(mask: DataFrame, seen: DataFrame, least: int) -> DataFrame:
+    """Share of the cells within two steps of each grid's mask, itself included, that ``seen(grid_id, r, c, n)`` at least ``least`` times."""
+    rim = seen.join(dilate(mask, 2), CELL, "left_semi")
+    return rim.groupBy("grid_id").agg((F.count_if(F.col("n") >= least) / F.count("*")).alias("coverage"))
+
+
 def lake_extent(mask: DataFrame, res: float = 10.0) -> DataFrame:
     """Area, exposed edge and the uncertainty of half a cell along it."""
     edges = neighbours(mask, [o for o in NEIGHBOURS if 0 in o])

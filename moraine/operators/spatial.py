@@ -106,7 +106,7 @@ def greedy_spread(points: DataFrame, km: float) -> DataFrame:
     near = work.cut(near.join(rank, "at").withColumn("before", F.col("by_rank") < F.col("rank")).select("at", "by", "before"))
     # A point without neighbours is kept; only the others take part in rounds.
     open_ = work.cut(near.select("at").distinct())
-    kept, left = [rank.select("at").join(open_, "at", "left_anti")], 1
+    kept, left = [work.cut(rank.select("at").join(open_, "at", "left_anti"))], 1
     while left:
         edges = near.join(open_.select(F.col("at").alias("by")), "by", "left_semi").join(open_, "at", "left_semi")
         first = work.cut(open_.join(edges.where("before").select("at").distinct(), "at", "left_anti"))

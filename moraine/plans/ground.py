@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.operators import downstream, drain, elements, outlines, raster
+from moraine.operators import downstream, drain, elements, inventory, outlines, raster
 from moraine.plans import domain as d
 from moraine.plans.domain import micro, micro_sql
 from moraine.plans.terrain import DROPS, WET, _areas, _points, _wet, ctes
@@ -165,3 +165,52 @@ def length_inside(spark: SparkSession, sf: str) -> DataFrame:
     lines = start.select("*", step).select(k.alias("line_id"), "seq", (F.col("x") + F.col("seq") * ((k % 9 - 4) * 0.3)).alias("x"), (F.col("y") + F.col("seq") * ((k % 7 - 3) * 0.4)).alias("y"))
     out = outlines.length_inside(spark, lines, _areas(spark, sf).select("area_id", "ring"), 0.5)
     return out.where("inside > 1e-9").select("line_id", "area_id", micro(F.col("inside")).alias("inside_e4"))
+
+
+SUBS = """w AS (SELECT n_nationkey AS win, 77 + n_nationkey % 5 * 0.05::DOUBLE AS lon, 32 + n_nationkey // 5 * 0.06::DOUBLE AS lat FROM nation),
+q AS (SELECT win, k AS part, lon + (k % 2 * 2 - 1) * 5.0::DOUBLE / (111.0::DOUBLE * cos(radians(lat))) AS lon, lat + (k // 2 * 2 - 1) * 5.0::DOUBLE / 111.0::DOUBLE AS lat FROM w, (SELECT unnest(range(0, 4)) AS k)),
+subs AS (SELECT *, win * 4 + part AS grid_id, lon - 5.0::DOUBLE / (111.0::DOUBLE * cos(radians(lat))) AS x0, lon + 5.0::DOUBLE / (111.0::DOUBLE * cos(radians(lat))) AS x1, lat - 5.0::DOUBLE / 111.0::DOUBLE AS y0, lat + 5.0::DOUBLE / 111.0::DOUBLE AS y1 FROM q)"""
+
+
+def _sub_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty-five windows that overlap, by nation."""
+    k = F.col("n_nationkey")
+    windows = d.table(spark, sf, "nation").select(k.alias("window"), (77 + k % 5 * 0.05).alias("lon"), (32 + F.floor(k / 5) * 0.06).alias("lat"))
+    return inventory.sub_windows(windows).withColumn("grid_id", F.col("window").cast("long") * 4 + F.col("part"))
+
+
+@query(ctes(SUBS, """s AS (SELECT o_orderkey AS scene_id, CAST(o_orderdate AS DATE) AS day, o_orderkey % 17 AS cloud, 76.5 + o_orderkey % 11 * 0.08::DOUBLE AS x0, 31.5 + o_orderkey % 7 * 0.1::DOUBLE AS y0 FROM orders WHERE o_orderkey % 5 = 0)""",
+    """r AS (SELECT win, part, scene_id, row_number() OVER (PARTITION BY win, part ORDER BY cloud, day DESC, scene_id) AS rank FROM subs a JOIN s ON s.x0 <= a.x0 AND s.y0 <= a.y0 AND s.x0 + 0.6::DOUBLE >= a.x1 AND s.y0 + 0.55::DOUBLE >= a.y1)""")
+    + "SELECT win, part, scene_id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 4")
+def window_scenes(spark: SparkSession, sf: str) -> DataFrame:
+    """The four clearest scenes that hold each sub-window."""
+    k = F.col("o_orderkey")
+    scenes = d.table(spark, sf, "orders").where(k % 5 == 0).select(
+        k.alias("scene_id"), F.to_date("o_orderdate").alias("day"), (k % 17).alias("cloud"), (76.5 + k % 11 * 0.08).alias("x0"), (31.5 + k % 7 * 0.1).alias("y0")
+    )
+    scenes = scenes.withColumn("x1", F.col("x0") + 0.6).withColumn("y1", F.col("y0") + 0.55)
+    return inventory.covering(_sub_windows(spark, sf), scenes).withColumnRenamed("window", "win")
+
+
+@query(ctes(d.GRIDS, WET, SUBS, """reach AS (SELECT grid_id, r, c, r AS lr, c AS lc FROM wet WHERE grid_id < 100
+  UNION SELECT w.grid_id, w.r, w.c, x.lr, x.lc FROM reach x JOIN wet w ON w.grid_id = x.grid_id AND abs(w.r - x.r) <= 1 AND abs(w.c - x.c) <= 1)""",
+    "labels AS (SELECT grid_id, r, c, min(lr * 8 + lc) AS label FROM reach GROUP BY 1, 2, 3)",
+    "parts AS (SELECT grid_id, label, count(*) * 1562500.0::DOUBLE AS area, avg(r) AS cr, avg(c) AS cc, quantile_cont(z, 0.5) AS h FROM labels JOIN grids USING (grid_id, r, c) GROUP BY 1, 2)",
+    """lakes AS (SELECT row_number() OVER (ORDER BY area DESC, win, part, label) AS n, win, part, area, h, round(lon + ((cc + 0.5) * 1250 - 5000) / (111000.0::DOUBLE * cos(radians(lat))), 5) AS lon, round(lat - ((cr + 0.5) * 1250 - 5000) / 111000.0::DOUBLE, 5) AS lat
+  FROM parts JOIN subs USING (grid_id) WHERE area >= 3000000 AND h >= 0.12)""",
+    """greedy AS (SELECT 0 AS n, []::STRUCT(n BIGINT, lon DOUBLE, lat DOUBLE)[] AS kept
+  UNION ALL SELECT l.n, CASE WHEN len(list_filter(kept, lambda k: 111.0::DOUBLE * sqrt(pow(k.lat - l.lat, 2) + pow((k.lon - l.lon) * cos(radians(l.lat)), 2)) <= 2.0)) = 0
+    THEN list_append(kept, {'n': l.n, 'lon': l.lon, 'lat': l.lat}) ELSE kept END FROM greedy g JOIN lakes l ON l.n = g.n + 1)""",
+    "kept AS (SELECT k.n FROM (SELECT unnest(kept) AS k FROM greedy WHERE n = (SELECT count(*) FROM lakes)))",
+    "best AS (SELECT *, row_number() OVER (ORDER BY n) AS rank FROM lakes WHERE n IN (SELECT n FROM kept) ORDER BY n LIMIT 15)",
+    """near AS (SELECT rank, c_custkey, 2 * 6371.0088::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(32 + c_custkey * 91 % 300 / 1000.0::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(32 + c_custkey * 91 % 300 / 1000.0::DOUBLE)) * pow(sin(radians(77 + c_custkey * 37 % 400 / 1000.0::DOUBLE - lon) / 2), 2)))) AS km FROM best, customer)""", recursive=True)
+    + f"""SELECT CAST(b.rank AS INT) AS rank, win, part, lon, lat, area AS area_m2, {micro_sql("h")} AS height_e4, n.c_custkey AS near, {micro_sql("n.km")} AS near_e4
+FROM best b JOIN (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY km, c_custkey) AS k FROM near) n ON n.rank = b.rank AND k = 1""")
+def discover_lakes(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifteen largest lakes of all windows, 1,250 m a cell, one row a lake, with the nearest customer."""
+    subs = _sub_windows(spark, sf)
+    cells = d.grids(spark, sf).join(subs.select("grid_id"), "grid_id", "left_semi")
+    k = F.col("c_custkey")
+    named = d.table(spark, sf, "customer").select(k.alias("b_id"), (77 + k * 37 % 400 / 1000.0).alias("lon"), (32 + k * 91 % 300 / 1000.0).alias("lat"))
+    out = inventory.discover(spark, subs, cells.where("z > 0.1").select("grid_id", "r", "c"), cells, named, 1250.0, 8, 3_000_000.0, 0.12, 2.0)
+    return out.select("rank", F.col("window").alias("win"), "part", "lon", "lat", "area_m2", micro(F.col("height_m")).alias("height_e4"), "near", micro(F.col("near_km")).alias("near_e4"))
