@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,27 +61,40 @@ def first_exposed(rows: DataFrame) -> DataFrame:
 
 
 def merge_runs(rows: DataFrame, key: str, gap: float = 1.0) -> DataFrame:
-    """Neighbours of one key within ``gap`` of the run's first row, as one row.
+    """Neighbours of one key within ``gap`` of the run's first row, as one row: (lake_id, run, key, from_km, to_km, n, fast_min).
 
-    The anchor makes it a fold: a lake's assets, bounded by its path, are folded in
-    order as one array.
+    The run's first row decides, so it is a fold in order: rows come sorted, and a
+    task holds one run and its lake's number of runs, however many rows a lake has.
     """
-    ordered = rows.groupBy("lake_id").agg(F.array_sort(F.collect_list(F.struct("km", "seq", F.col(key).alias("key"), "fast_min"))).alias("rows"))
-    run = "array<struct<key:string,from_km:double,to_km:double,n:bigint,fast_min:double>>"
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["key"] == x["key"]) & (x["km"] - F.get(acc, F.size(acc) - 1)["from_km"] <= gap)
-        longer = F.struct(
-            last["key"].alias("key"), last["from_km"].alias("from_km"), x["km"].alias("to_km"), (last["n"] + 1).alias("n"),
-            F.least(last["fast_min"], x["fast_min"]).alias("fast_min"),
-        )
-        fresh = F.struct(x["key"].alias("key"), x["km"].alias("from_km"), x["km"].alias("to_km"), F.lit(1).cast("long").alias("n"), x["fast_min"].alias("fast_min"))
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(fresh)))
-
-    folded = F.aggregate("rows", F.array().cast(run), add)
-    return ordered.select("lake_id", F.posexplode(folded).alias("run", "r")).select("lake_id", "run", "r.*")
+    ordered = rows.select("lake_id", F.col("km").cast("double").alias("km"), "seq", F.col(key).cast("string").alias("key"), F.col("fast_min").cast("double").alias("fast_min"))
+    ordered = ordered.repartition("lake_id").sortWithinPartitions("lake_id", "km", "seq", "key", "fast_min").select("lake_id", "km", "key", "fast_min")
+    names = ["lake_id", "run", "key", "from_km", "to_km", "n", "fast_min"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, kind = None, None
+
+        def batch(done: list[list]) -> pa.RecordBatch:
+            kinds = [kind, pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+        for b in batches:
+            kind, done = b.column("lake_id").type, []
+            for lake, km, what, fast in zip(*(b.column(c).to_pylist() for c in ("lake_id", "km", "key", "fast_min")), strict=True):
+                same = run is not None and run[0] == lake
+                if same and run[2] == what and what is not None and km is not None and run[3] is not None and km - run[3] <= gap:
+                    run[4], run[5] = km, run[5] + 1
+                    run[6] = fast if run[6] is None else run[6] if fast is None else min(run[6], fast)
+                else:
+                    if run is not None:
+                        done.append(run)
+                    run = [lake, run[1] + 1 if same else 0, what, km, km, 1, fast]
+            if done:
+                yield batch(done)
+        if run is not None:
+            yield batch([run])
+
+    kinds = f"lake_id {rows.schema['lake_id'].dataType.simpleString()}, run int, key string, from_km double, to_km double, n long, fast_min double"
+    return ordered.mapInArrow(fold, kinds)
 
 
 def way_geometry(ways: DataFrame, nodes: DataFrame) -> DataFrame:

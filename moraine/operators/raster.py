@@ -225,6 +225,26 @@ def shadow(cells: DataFrame, dr: int, dc: int, tan_sun: float, steps: int) -> Da
     return cells.select(*CELL).join(hit, CELL, "left").select(*CELL, F.coalesce("shadow", F.lit(False)).alias("shadow"))
 
 
+def horizon_shadow(cells: DataFrame, azimuth: Column, elevation: Column, res: float) -> DataFrame:
+    """(grid_id, r, c, shadow): cells from which ground toward the sun stands above the ray, at any bearing.
+
+    ``azimuth`` is in degrees from north, clockwise, rows counted southwards; a sun below one degree stands at one. Cells
+    are sheared into lines along the bearing, one cell a step of the longer axis, and one running horizon a line decides: it is linear
+    in the cells. Unknown ground hides nothing and lies in the deepest shadow.
+    """
+    east, south = F.sin(F.radians(azimuth)), -F.cos(F.radians(azimuth))
+    flat = F.abs(east) >= F.abs(south)
+    lean = F.when(flat, south / east).otherwise(east / south)
+    toward = F.when(F.when(flat, east).otherwise(south) >= 0, 1).otherwise(-1)
+    long, across = F.when(flat, F.col("c")).otherwise(F.col("r")), F.when(flat, F.col("r")).otherwise(F.col("c"))
+    rise = F.tan(F.radians(F.greatest(elevation, F.lit(1.0)))) * F.sqrt(1 + lean * lean) * res
+    ground = F.when(F.col("z").isNull() | F.isnan("z"), F.lit(-1e4)).otherwise(F.col("z"))
+    rows = cells.select(*CELL, flat.alias("flat"), (across - F.rint(long * lean)).alias("line"), (long * toward).alias("at"), ground.alias("z"), rise.alias("rise"))
+    sunward = Window.partitionBy("grid_id", "flat", "line").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("z") - F.col("rise") * F.col("at")
+    return rows.select(*CELL, F.coalesce(F.max(own).over(sunward) > own, F.lit(False)).alias("shadow"))
+
+
 def refined(mask: DataFrame, times: int) -> DataFrame:
     """The mask on a grid ``times`` as fine: each cell takes the coarse one that it lies in."""
     steps = F.sequence(F.lit(0), F.lit(times - 1))

@@ -214,3 +214,14 @@ def discover_lakes(spark: SparkSession, sf: str) -> DataFrame:
     named = d.table(spark, sf, "customer").select(k.alias("b_id"), (77 + k * 37 % 400 / 1000.0).alias("lon"), (32 + k * 91 % 300 / 1000.0).alias("lat"))
     out = inventory.discover(spark, subs, cells.where("z > 0.1").select("grid_id", "r", "c"), cells, named, 1250.0, 8, 3_000_000.0, 0.12, 2.0)
     return out.select("rank", F.col("window").alias("win"), "part", "lon", "lat", "area_m2", micro(F.col("height_m")).alias("height_e4"), "near", micro(F.col("near_km")).alias("near_e4"))
+
+
+@query(ctes(d.GRIDS, """sun AS (SELECT *, radians(grid_id * 37 % 360 + 0.3::DOUBLE) AS az, tan(radians(greatest(1.0, grid_id % 40 - 3.0::DOUBLE))) AS t FROM grids)""",
+    "u AS (SELECT *, sin(az) AS e, -cos(az) AS s FROM sun)", "v AS (SELECT *, abs(e) >= abs(s) AS flat, CASE WHEN abs(e) >= abs(s) THEN s / e ELSE e / s END AS lean FROM u)",
+    """w AS (SELECT *, CASE WHEN flat THEN c ELSE r END AS long, CASE WHEN flat THEN r - round_even(c * lean, 0) ELSE c - round_even(r * lean, 0) END AS line, CASE WHEN CASE WHEN flat THEN e ELSE s END >= 0 THEN 1 ELSE -1 END AS toward FROM v)""")
+    + """SELECT a.grid_id, a.r, a.c, coalesce(bool_or(b.z > a.z + abs(b.long - a.long) * sqrt(1 + a.lean * a.lean) * 0.1::DOUBLE * a.t), false) AS shadow
+FROM w a LEFT JOIN w b ON a.grid_id = b.grid_id AND a.line = b.line AND (b.long - a.long) * a.toward > 0 GROUP BY 1, 2, 3""")
+def sun_shadow(spark: SparkSession, sf: str) -> DataFrame:
+    """Shadows at a bearing and height of its own for each tile."""
+    k = F.col("grid_id")
+    return raster.horizon_shadow(d.grids(spark, sf), k * 37 % 360 + 0.3, k % 40 - 3.0, 0.1)

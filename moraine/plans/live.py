@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +92,29 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = _events(spark, sf).select((F.col("event_id") % 3000).alias("event_id"), F.col("event_id").alias("version"), F.col("event_type").alias("status"))
     return streams.log_events(rows, "log")
+
+
+def _season(pdf: pd.DataFrame) -> pd.DataFrame:
+    if not (pdf["event_type"] == "purchase").any():
+        raise ValueError("no clear scene")
+    return pd.DataFrame({"lake_id": pdf["lake_id"].iloc[:1], "n": [len(pdf)], "amount": [int(pdf["amount"].sum())]})
+
+
+def _risk(pdf: pd.DataFrame) -> pd.DataFrame:
+    if pdf["amount"].iloc[0] % 5 == 0:
+        raise ArithmeticError("no outline")
+    return pdf.assign(score=pdf["amount"] % 97)[["lake_id", "score"]]
+
+
+LAKES = """lakes AS (SELECT user_id AS lake_id, count(*) FILTER (event_type = 'purchase') AS clear, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount FROM events GROUP BY 1)"""
+
+
+@query(f"""WITH {LAKES} SELECT lake_id, 'risk' AS stage, NULL AS reason, amount % 97 AS score FROM lakes WHERE clear > 0 AND amount % 5 <> 0
+UNION ALL SELECT lake_id, CASE WHEN clear = 0 THEN 'season' ELSE 'risk' END, CASE WHEN clear = 0 THEN 'ValueError: no clear scene' ELSE 'ArithmeticError: no outline' END, NULL FROM lakes WHERE clear = 0 OR amount % 5 = 0""")
+def refresh_lakes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two stages over each lake's looks: scores, and the reasons of the lakes that failed in either."""
+    looks = _events(spark, sf).select(F.col("user_id").alias("lake_id"), "event_type", "amount")
+    stages = [("season", _season, "lake_id long, n long, amount long"), ("risk", _risk, "lake_id long, score long")]
+    done, failed = streams.refresh(looks, stages, "refresh")
+    rows = done.select("lake_id", F.lit("risk").alias("stage"), F.lit(None).cast("string").alias("reason"), "score")
+    return rows.unionByName(failed.withColumn("score", F.lit(None).cast("long")))

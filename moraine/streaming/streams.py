@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,6 +49,49 @@ def once_per_scene(looks: DataFrame, delay: str = "30 days") -> DataFrame:
     return looks.withWatermark("at", delay).dropDuplicatesWithinWatermark(["lake_id", "scene_id"])
 
 
+def isolated(rows: DataFrame, stage: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """(lake_id, reason, out): ``stage`` over each lake's rows, as structs of ``schema``; a lake that fails is one row with its reason.
+
+    A lake is a group: its rows, which its seasons bound, are one frame.
+    """
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lake = pdf["lake_id"].iloc[0]
+        try:
+            done = stage(pdf)
+            values = [dict(zip(names, row, strict=True)) for row in done[names].itertuples(index=False, name=None)]
+            return pd.DataFrame({"lake_id": [lake] * len(done), "reason": None, "out": values})
+        except Exception as error:  # noqa: BLE001 - any failure of a lake is its own
+            return pd.DataFrame({"lake_id": [lake], "reason": [f"{type(error).__name__}: {error}"], "out": [None]})
+
+    kind = rows.schema["lake_id"].dataType.simpleString()
+    inner = T.StructType.fromDDL(schema).simpleString()
+    return rows.groupBy("lake_id").applyInPandas(run, f"lake_id {kind}, reason string, out {inner}")
+
+
+def refresh(looks: DataFrame, stages: list[tuple[str, Callable[[pd.DataFrame], pd.DataFrame], str]], tag: str) -> tuple[DataFrame, DataFrame]:
+    """A stream of ``looks(lake_id, ...)`` through ordered stages, drained to the end: the last stage's rows, and (lake_id, stage, reason) of what failed.
+
+    Each stage is (name, function of a lake's rows, schema of its result, lake_id among it) and takes what the stage before
+    made. A lake that fails in one is left out of the later ones; all others go on. A batch writes over itself, so one that is run again leaves nothing twice.
+    """
+    spark = looks.sparkSession
+    out, state = workspace(spark, tag), workspace(spark, f"{tag}-state")
+
+    def batch(df: DataFrame, n: int) -> None:
+        for name, stage, schema in stages:
+            path = f"{out}/{name}/batch={n}"
+            isolated(df, stage, schema).write.mode("overwrite").parquet(path)
+            df = df.sparkSession.read.parquet(path).where("reason is null").select("out.*")
+
+    looks.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    kind = looks.schema["lake_id"].dataType.simpleString()
+    written = [spark.read.schema(f"lake_id {kind}, reason string, out {T.StructType.fromDDL(schema).simpleString()}").parquet(f"{out}/{name}").select("*", F.lit(name).alias("stage")) for name, _, schema in stages]
+    failed = [w.where("reason is not null").select("lake_id", "stage", "reason") for w in written]
+    return written[-1].where("reason is null").select("out.*"), reduce(DataFrame.unionByName, failed)
+
+
 class LastScene(StatefulProcessor):
     """One lake's drained looks in order: each scene other than the last alerted one raises an alert, and becomes the last.
 

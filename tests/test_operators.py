@@ -77,6 +77,45 @@ def test_runs_equal_a_loop(spark):
     assert got == want
 
 
+def test_runs_of_unknown_places_and_times(spark):
+    rows = [("x", None, 1, "a", 2.0), ("x", 1.0, 2, "a", None), ("x", 1.5, 3, "a", 4.0), ("x", 1.6, 4, None, 4.0), ("x", 1.6, 5, None, 4.0), ("y", 1.6, 6, "a", 1.0)]
+    df = spark.createDataFrame(rows, "lake_id string, km double, seq int, what string, fast_min double")
+    got = sorted((tuple(r) for r in exposure.merge_runs(df, "what").collect()), key=lambda r: r[:2])
+    assert [(r[0], r[1], r[2], r[5], r[6]) for r in got][:2] == [("x", 0, "a", 1, 2.0), ("x", 1, "a", 2, 4.0)] and len(got) == 5
+    assert exposure.merge_runs(df.limit(0), "what").count() == 0
+
+
+def test_a_failing_lake_leaves_the_others_alone(spark):
+    def stage(pdf):
+        return pdf.assign(twice=2 * pdf["n"] if pdf["n"].iloc[0] != 13 else 1 / 0)[["lake_id", "twice"]]
+
+    rows = spark.createDataFrame([("a", 1), ("b", 13), ("c", 3), ("c", 4)], "lake_id string, n long")
+    got = sorted(map(tuple, streams.isolated(rows, stage, "lake_id string, twice long").select("lake_id", "reason", "out.twice").collect()), key=str)
+    assert got == [("a", None, 2), ("b", "ZeroDivisionError: division by zero", None), ("c", None, 6), ("c", None, 8)]
+
+
+@pytest.mark.parametrize("azimuth", [0, 45, 90, 135, 180, 225, 270, 315])
+def test_horizon_equals_the_march(spark, azimuth):
+    rng = random.Random(azimuth)
+    z = {(r, c): rng.uniform(0, 30) for r in range(9) for c in range(11)}
+    got = raster.horizon_shadow(spark.createDataFrame([(1, r, c, h) for (r, c), h in z.items()], "grid_id int, r int, c int, z double"), F.lit(float(azimuth)), F.lit(20.0), 10.0)
+    east, south = round(math.sin(math.radians(azimuth)) * 1.2), round(-math.cos(math.radians(azimuth)) * 1.2)
+    for x in got.collect():
+        ray = [(k * 10 * math.hypot(east, south), z.get((x.r + k * south, x.c + k * east))) for k in range(1, 12)]
+        assert x.shadow == any(h is not None and h > z[x.r, x.c] + run * math.tan(math.radians(20.0)) for run, h in ray)
+
+
+def test_projection_there_and_back(spark):
+    from moraine.functions import geo
+
+    places = spark.createDataFrame([(lon, lat) for lon in (75.1, 76.9, 78.0, 80.9) for lat in (0.5, 30.0, 32.5, 60.0)], "lon double, lat double")
+    east, north = geo.utm(F.col("lon"), F.col("lat"))
+    back = places.withColumn("e", east).withColumn("n", north).withColumn("zone", geo.utm_zone(F.col("lon")))
+    lon, lat = geo.utm_inverse(F.col("e"), F.col("n"), F.col("zone"))
+    for x in back.select("lon", "lat", lon.alias("lon2"), lat.alias("lat2")).collect():
+        assert abs(x.lon - x.lon2) < 1e-8 and abs(x.lat - x.lat2) < 1e-8
+
+
 def test_filter_rejects_unknown(spark):
     rows = spark.createDataFrame([("a", "at_risk", "road")], "osm string, status string, kind string")
     assert exposure.filter_impacts(rows, "", "").count() == 1
