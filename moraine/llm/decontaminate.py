@@ -24,6 +24,8 @@ re-parameterised questions are caught and chance matches are not.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -81,7 +83,23 @@ def _fold(text: str) -> str:
     return "".join(c if len(c.lower().encode()) != len(c.encode()) else c.lower() for c in text)
 
 
+def _no_words() -> str:
+    """Ranges of the code points beyond ASCII that are no letters, marks or numbers: quotes, dashes, spaces, symbols."""
+    out = np.array([unicodedata.category(chr(c))[0] not in "LMN" for c in range(0x80, 0x110000)])
+    edge = np.flatnonzero(np.diff(out, prepend=False, append=False)) + 0x80
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.reshape(-1, 2).tolist())
+
+
+_NO_WORD = re.compile(f"[{_no_words()}]")
+
+
+def _spaced(text: str) -> str:
+    """The text with spaces for what stands between words, of as many UTF-8 bytes."""
+    return text if text.isascii() else _NO_WORD.sub(lambda m: " " * len(m.group().encode()), text)
+
+
 def tokens_of(texts: list[str]) -> Tokens:
+    texts = [_spaced(t) for t in texts]
     raw = b"\0".join(t.encode() for t in texts) + b"\0"
     low = np.frombuffer(b"\0".join(_fold(t).encode() for t in texts) + b"\0", np.uint8)
     given = np.frombuffer(raw, np.uint8)

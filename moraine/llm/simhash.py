@@ -167,16 +167,17 @@ def tree_cross(fps: np.ndarray, a: np.ndarray, b: np.ndarray, roots: _Roots, rad
     tree_cross(fps, *high, roots, radius)
 
 
-def shard_links(members: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(members: np.ndarray, visitors: np.ndarray, radius: int = RADIUS, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, root) for each fingerprint of a region that is linked to another one.
 
-    Members are compared with each other and with the visitors, which are not
+    Members are compared with each other, if asked, and with the visitors, which are not
     compared among themselves.
     """
     fps = np.concatenate([members, visitors])
     roots = _Roots(len(fps))
     home, away = np.arange(len(members)), np.arange(len(members), len(fps))
-    tree_self(fps, home, roots, radius)
+    if among:
+        tree_self(fps, home, roots, radius)
     tree_cross(fps, home, away, roots, radius)
     linked = np.flatnonzero(roots.label != np.arange(len(fps)))
     return fps[linked], fps[roots.label[linked]]
@@ -243,22 +244,26 @@ def near_links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS) -
     ends = list(zip(BLOCKS, BLOCKS[1:], strict=False))
     trees = [fit_tree(sample >> np.uint64(a) & np.uint64((1 << b - a) - 1), levels) for a, b in ends]
     rows = materialize(spark, placed(distinct, trees, radius // len(ends)), "regions")
-    sizes = rows.where(~F.col("visits")).groupBy("block", "region").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / SHARD_LIMIT).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    every = F.sequence(F.lit(0), parts - 1)
-    members = F.transform(every, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    # a visitor meets each part of the members once, where that part is alone
-    meets = F.when(F.col("visits"), F.transform(every, lambda o: F.struct(o.alias("i"), o.alias("j")))).otherwise(members)
-    dealt = rows.join(sizes, ["block", "region"]).select("fp", "block", "region", "visits", F.explode(meets).alias("p"))
-    dealt = dealt.select("fp", "block", "region", "visits", "p.i", "p.j")
+    sizes = rows.groupBy("block", "region").agg(F.count_if(~F.col("visits")).alias("n"), F.count_if("visits").alias("v")).where("n > 0")
+    parts, away = F.ceil(F.col("n") / SHARD_LIMIT).cast("int"), F.ceil(F.col("v") / SHARD_LIMIT).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), F.when(F.col("visits"), away).otherwise(parts)).cast("int")
+    every, split = F.sequence(F.lit(0), parts - 1), away > 1
+    at = lambda i, j, k: F.struct(i.alias("i"), j.alias("j"), k.alias("k"))
+    # Members' parts meet each other as a triangle. The visitors of a region that has few come along to each part;
+    # many are dealt in parts of their own, each of which meets each part of the members once.
+    among = F.transform(every, lambda o: at(F.least(F.col("mine"), o), F.greatest(F.col("mine"), o), F.lit(-1)))
+    asked = F.when(split, F.transform(F.sequence(F.lit(0), away - 1), lambda w: at(F.col("mine"), F.col("mine"), w))).otherwise(F.array().cast("array<struct<i:int,j:int,k:int>>"))
+    visiting = F.transform(every, lambda o: at(o, o, F.when(split, F.col("mine")).otherwise(-1)))
+    meets = F.when(F.col("visits"), visiting).otherwise(F.concat(among, asked))
+    dealt = rows.join(sizes, ["block", "region"]).withColumn("mine", mine).select("fp", "block", "region", "visits", F.explode(meets).alias("p"))
+    dealt = dealt.select("fp", "block", "region", "visits", "p.i", "p.j", "p.k")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, visits = pdf["fp"].to_numpy().view(np.uint64), pdf["visits"].to_numpy()
-        a, b = shard_links(np.sort(fps[~visits]), np.sort(fps[visits]), radius)
+        a, b = shard_links(np.sort(fps[~visits]), np.sort(fps[visits]), radius, pdf["k"].iloc[0] < 0)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    found = materialize(spark, dealt.groupBy("block", "region", "i", "j").applyInPandas(links, "a long, b long"), "links")
+    found = materialize(spark, dealt.groupBy("block", "region", "i", "j", "k").applyInPandas(links, "a long, b long"), "links")
     discard(spark, rows)
     return found
 

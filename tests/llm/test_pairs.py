@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from pyspark.sql import functions as F
@@ -101,9 +102,11 @@ def test_vantage_trees_find_all_pairs():
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
-def test_regions_and_their_visitors_find_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [simhash.SHARD_LIMIT, 40])
+def test_regions_and_their_visitors_find_all_pairs(spark, monkeypatch, limit):
     rng = np.random.default_rng(3)
     monkeypatch.setattr(simhash, "SHARD_AIM", 4)
+    monkeypatch.setattr(simhash, "SHARD_LIMIT", limit)  # beyond it members and visitors are dealt in parts
     fps = rng.integers(0, 2**63, 300, dtype=np.uint64)
     for flips in (1, 2, 3, 4):
         fps = np.append(fps, [f ^ np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, flips, replace=False).astype(np.uint64)) for f in fps[:150]])
@@ -318,6 +321,17 @@ def test_leaks(spark, nothing, monkeypatch):
     assert decontaminate.leaks(spark, docs, items.limit(0)).count() == 0
 
 
+def test_typographic_marks_stand_between_words(spark):
+    item = 'He said "Anna has 12 apples" - and then, after 3 days, she gave them all to the old man.'
+    texts = ["He said “Anna has 12\u00a0apples” — and then, after 3\u202fdays, she gave them all to the old man…", "He said «Carl has 5 apples» – and then, after 9 days, she gave them all to the old man.",
+             "Er sagte „anna has 12 apples‟ and\u200bthen nothing of the kind was ever heard of again in the old town"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.share for r in decontaminate.leaks(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0: 1.0, 1: 1.0}
+    words = decontaminate.tokens_of(["naïve “café”—3€ ½ 東京、大阪"])
+    assert [words.filler(k) for k in range(len(words.start))] == ["naïve", "café", "3", "½", "東京", "大阪"]
+
+
 def shares_of(spark, item, texts):
     """The share of one item's windows that each text holds, as a count of its ``n`` windows."""
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
