@@ -116,11 +116,11 @@ def runs(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
 def bitmap(hashes: DataFrame, members: int | None = None) -> np.ndarray:
     """64-bit hashes by their low bits, as an array of words: a filter that passes all members and few others.
 
-    ``hashes`` has one column of longs. The size follows ``members``, 16 bits each, between 128 KB
+    ``hashes`` has one column of longs. The size follows ``members``, 256 bits each, between 4 MB
     and 32 MB, 4 MB if it is not given; a set beyond it only filters less. It is a plain
     array, so it may be sent to tasks that have nothing but numpy.
     """
-    words = WORDS if members is None else 1 << min(22, max(14, (members // 4).bit_length()))
+    words = WORDS if members is None else min(1 << 22, max(WORDS, 1 << (4 * members).bit_length()))
     h = F.col(hashes.columns[0])
     word = F.shiftrightunsigned(h, 6).bitwiseAND(words - 1).cast("int").alias("word")
     bit = F.expr(f"shiftleft(1L, cast(`{hashes.columns[0]}` & 63 as int))")
