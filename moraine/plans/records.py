@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.functions import messages, rules
-from moraine.operators import places, raster, records
+from moraine.functions import messages, rules, text
+from moraine.operators import exposure, places, raster, records, weather
 from moraine.plans import domain as d
 from moraine.plans.domain import micro, micro_sql
 from moraine.plans.terrain import WET, _wet, ctes
+from moraine.sources import readers, sinks
+from moraine.sources.workspace import workspace
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +184,98 @@ def places_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """A district's places by name."""
     rows = d.table(spark, sf, "part").select(F.col("p_size").alias("district"), F.col("p_partkey").alias("osm"), F.col("p_name").alias("name"))
     return records.by_name(rows).select("district", "osm", "rank")
+
+
+CATALOGUE = """cat AS (SELECT 'S' || o_orderkey AS item_id, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 100 END AS cloud, o_orderkey % 40 AS x, o_orderkey % 30 AS y, o_orderkey AS k FROM orders),
+filled AS (SELECT *, coalesce(cloud, 100.0::DOUBLE) AS c, CASE WHEN k % 3 = 0 THEN 0.0001::DOUBLE ELSE 0.0002::DOUBLE END AS scale, CASE WHEN k % 4 = 0 THEN 0.0::DOUBLE ELSE -0.1::DOUBLE END AS offset_ FROM cat)"""
+
+
+def _catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalogue of scenes, written as one is and read with its defaults."""
+    k = F.col("o_orderkey")
+    written = d.table(spark, sf, "orders").select(
+        F.concat(F.lit("S"), k.cast("string")).alias("item_id"), F.to_date("o_orderdate").alias("day"), F.when(k % 9 != 0, (k % 100).cast("double")).alias("cloud"),
+        F.lit(None).cast("string").alias("baseline"), F.lit(None).cast("double").alias("azimuth"), F.lit(30.0).alias("elevation"), F.when(k % 4 == 0, True).alias("boa_offset_applied"),
+        F.create_map(F.lit("green"), F.lit("g.tif"), F.lit("scl"), F.lit("s.tif")).alias("hrefs"), F.when(k % 3 != 0, F.create_map(F.lit("green"), F.lit(2e-4))).alias("scale"),
+        F.create_map(F.lit("green"), F.lit(-0.1)).alias("offset"),
+        F.struct((k % 40).cast("double").alias("x0"), (k % 30).cast("double").alias("y0"), (k % 40 + 3).cast("double").alias("x1"), (k % 30 + 2).cast("double").alias("y1")).alias("bbox"),
+    )
+    path = workspace(spark, "catalogue")
+    written.write.parquet(path)
+    return readers.scenes(spark, path)
+
+
+@query(f"""WITH {CATALOGUE} SELECT item_id, day, c AS cloud, '00.00' AS baseline, 160.0::DOUBLE AS azimuth, 30.0::DOUBLE AS elevation, scale, offset_ AS offset_value FROM filled
+WHERE x <= 20 AND x + 3 >= 12 AND y <= 18 AND y + 2 >= 10 AND day BETWEEN DATE '1995-01-01' AND DATE '1997-06-30' AND c < 70 ORDER BY day, item_id LIMIT 2000""")
+def scene_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes of a catalogue that meet a box in a season, with their defaults filled in."""
+    found = readers.search_scenes(_catalogue(spark, sf), (12.0, 10.0, 20.0, 18.0), "1995-01-01", "1997-06-30", 70.0)
+    return found.select("item_id", "day", "cloud", "baseline", "azimuth", "elevation", F.col("scale")["green"].alias("scale"), F.col("offset")["green"].alias("offset_value"))
+
+
+@query(f"""WITH {CATALOGUE}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY c, item_id) AS n FROM filled WHERE x <= 20 AND x + 3 >= 12 AND y <= 18 AND y + 2 >= 10 AND c < 80)
+SELECT day, item_id FROM r WHERE n = 1""")
+def scene_of_each_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The clearest scene of each day that meets a box."""
+    hit = _catalogue(spark, sf).where(readers.overlaps(F.col("bbox"), (12.0, 10.0, 20.0, 18.0)) & (F.col("cloud") < readers.MAX_CLOUD))
+    return hit.groupBy("day").agg(F.min(F.struct("cloud", "item_id"))["item_id"].alias("item_id"))
+
+
+@query("""WITH e AS (SELECT user_id AS lake_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, CAST(round(value * 100) AS BIGINT) AS v FROM events)
+SELECT lake_id, 'day ' || event_id AS date, CASE WHEN pos < n - 2 THEN v END AS rain, v * 2 AS warm, pos >= 3 AS forecast FROM e""")
+def weather_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Parallel arrays of an outlook as days; the rain of the last two is missing."""
+    rows = d.table(spark, sf, "events").groupBy(F.col("user_id").alias("lake_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", d.cents("value").alias("v")))).alias("r"))
+    every = F.transform("r", lambda x: x["v"])
+    reports = rows.select(
+        "lake_id", F.transform("r", lambda x: F.concat(F.lit("day "), x["event_id"].cast("string"))).alias("time"),
+        F.slice(every, F.lit(1), F.greatest(F.size("r") - 2, F.lit(0))).alias("precipitation_mm"), F.transform("r", lambda x: x["v"] * 2).alias("tmax_c"),
+    )
+    return weather.zip_days(reports).select("lake_id", "date", F.col("precipitation_mm").alias("rain"), F.col("tmax_c").alias("warm"), "forecast")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS asset_id, l_linenumber AS point, CASE l_orderkey % 3 WHEN 0 THEN 'road' ELSE 'school' END AS kind, CASE WHEN l_partkey % 13 <> 0 THEN round_even(l_partkey % 40 - 12.0::DOUBLE - l_quantity % 5 * 0.7::DOUBLE, 1) END AS h, l_suppkey % 3 = 0 AS reached, l_suppkey % 2 = 0 AS near FROM lineitem),
+a AS (SELECT asset_id, kind, min(h) FILTER (reached) AS in_reach, min(h) AS lowest, bool_or(near) AS near FROM s GROUP BY 1, 2),
+t AS (SELECT *, coalesce(in_reach, lowest) AS raw, CASE WHEN in_reach < 0 THEN 'flooded' WHEN kind <> 'road' AND near AND coalesce(in_reach, lowest) <= 10 THEN 'margin' ELSE 'outside' END AS status FROM a)
+SELECT asset_id, kind, status, CASE WHEN raw < 0 AND status <> 'flooded' THEN NULL ELSE raw END AS height_m FROM t""")
+def assessed_assets(spark: SparkSession, sf: str) -> DataFrame:
+    """Status and height of each asset above a flood whose level falls by the kilometre."""
+    k = F.col("l_partkey")
+    ground = F.when(k % 13 != 0, k % 40 - F.lit(12.0) - F.col("l_quantity") % 5 * 0.7 + (100 - F.col("l_linenumber")))
+    samples = d.table(spark, sf, "lineitem").select(
+        F.lit(1).alias("path_id"), F.col("l_orderkey").alias("asset_id"), F.col("l_linenumber").alias("point"), F.when(F.col("l_orderkey") % 3 == 0, "road").otherwise("school").alias("kind"),
+        F.col("l_linenumber").cast("double").alias("km"), ground.alias("ground_m"), (F.col("l_suppkey") % 3 == 0).alias("reached"), (F.col("l_suppkey") % 2 == 0).alias("near"),
+    )
+    stations = spark.range(0, 5).select(F.lit(1).alias("path_id"), (F.col("id") * 2.0).alias("km"), (100 - F.col("id") * 2.0).alias("wse_m"))
+    return exposure.assess(samples, stations).select("asset_id", "kind", "status", "height_m")
+
+
+LETTERS, DEVANAGARI = "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, translate(p_name, '{LETTERS}', '{DEVANAGARI}') || CASE p_partkey % 3 WHEN 0 THEN ' lake' WHEN 1 THEN 'ँ' ELSE '' END AS name FROM part),
+m AS (SELECT MAP {{{", ".join(f"'{a}': '{b}'" for a, b in text.LATIN.items())}}} AS letters)
+SELECT id, regexp_replace(replace(name, 'ँ', 'ं'), '[^ऀ-ॿ]', '', 'g') AS hindi, array_to_string(list_transform(string_split(name, ''), lambda x: coalesce(letters[x], '')), '') AS latin FROM p, m""")
+def hindi_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of names in Devanagari, and the names in rough Latin."""
+    k = F.col("p_partkey")
+    name = F.concat(F.translate("p_name", LETTERS, DEVANAGARI), F.when(k % 3 == 0, " lake").when(k % 3 == 1, "ँ").otherwise(""))
+    return d.table(spark, sf, "part").select(k.alias("id"), text.hindi_key(name).alias("hindi"), text.transliterate(name).alias("latin"))
+
+
+@query("""WITH f AS (SELECT s_suppkey AS id, '{"type":"Feature","properties":{"name":"' || s_name || '"},"geometry":{"type":"Point","coordinates":[' || s_suppkey || ',' || s_nationkey || ']}}' AS feature FROM supplier) SELECT * FROM f""")
+def point_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as GeoJSON points."""
+    at = F.array(F.col("s_suppkey").cast("long"), F.col("s_nationkey").cast("long"))
+    return d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), sinks.feature("Point", at, name=F.col("s_name")).alias("feature"))
+
+
+@query("""SELECT c_custkey % 20 AS reach, 'day ' || lpad(CAST(max(c_custkey % 9) AS VARCHAR), 2, '0') AS as_of, max(c_custkey % 9) AS n FROM customer GROUP BY 1""")
+def latest_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest day of a dated history, one day of it written twice."""
+    k = F.col("c_custkey")
+    rows = d.table(spark, sf, "customer").select((k % 20).alias("reach"), F.concat(F.lit("day "), F.lpad((k % 9).cast("string"), 2, "0")).alias("as_of"), (k % 9).alias("n")).distinct()
+    path = workspace(spark, "scans")
+    sinks.append_dated(rows, path)
+    sinks.append_dated(rows.where("n = 3"), path)
+    return sinks.latest(spark, path, "reach").select("reach", F.col("as_of").cast("string").alias("as_of"), "n")
