@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from moraine.functions import catalog, text
 from moraine.operators import exposure, places
 from moraine.plans import domain as d
+from moraine.plans import hazard, warning
 from moraine.sources import readers, sinks
 
 QUERIES: dict = {}
@@ -145,22 +146,26 @@ def job_states(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "events").select(F.col("event_id").alias("id"), catalog.job_state(state, F.col("ts"), F.col("user_id") % 2 != 0).alias("state"))
 
 
-@query("WITH " + d.LAKE_YEARS + """, s AS (SELECT lake_id, string_agg(year || ':' || status, ',' ORDER BY year) AS years FROM lake_years GROUP BY 1),
+@query("WITH " + d.LAKE_YEARS + f""", s AS (SELECT lake_id, string_agg(year || ':' || status, ',' ORDER BY year) AS years FROM lake_years GROUP BY 1),
+r AS (SELECT lake_id, arg_max(level, season) AS level, arg_max(score_e4, season) AS score_e4 FROM ({hazard.ORACLES["risk_replay"]}) GROUP BY 1), v AS ({warning.ORACLES["drain_verdict"]}),
 e AS (SELECT l_suppkey AS lake_id, count(*) FILTER (l_returnflag = 'R') AS hit FROM lineitem GROUP BY 1)
-SELECT s_suppkey AS lake_id, s_name AS name, years, hit, hit IS NOT NULL AS known FROM supplier LEFT JOIN s ON s.lake_id = s_suppkey LEFT JOIN e ON e.lake_id = s_suppkey""")
+SELECT s_suppkey AS lake_id, s_name AS name, years, hit, hit IS NOT NULL AS known, level, score_e4, v.status AS drain, v.drained FROM supplier
+LEFT JOIN s ON s.lake_id = s_suppkey LEFT JOIN e ON e.lake_id = s_suppkey LEFT JOIN r ON r.lake_id = s_suppkey LEFT JOIN v ON v.lake_id = s_suppkey""")
 def index_mart(spark: SparkSession, sf: str) -> DataFrame:
-    """One row a lake with its nested parts; a missing part is null."""
+    """One row a lake with its nested parts, its latest score and its drain verdict; a missing part is null."""
     lakes = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("lake_id"), F.col("s_name").alias("name"))
     years = d.lake_years(spark, sf)
-    empty = years.limit(0)
-    scores = empty.select("lake_id", F.col("year").alias("season"), F.col("area_m2").alias("score"), F.col("status").alias("level"))
+    scores = hazard.risk_replay(spark, sf).select("lake_id", "season", F.col("score_e4").alias("score"), "level")
     hit = F.count_if(F.col("l_returnflag") == "R")
     exposed = d.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("lake_id")).agg(hit.alias("in_flood_path"))
     exposed = exposed.select("lake_id", F.lit("road").alias("kind"), "in_flood_path", F.lit(0).cast("long").alias("at_risk"))
-    out = sinks.index_mart(lakes, years, scores, exposed, empty.select("lake_id", "status"))
+    out = sinks.index_mart(lakes, years, scores, exposed, warning.drain_verdict(spark, sf).select("lake_id", "status", "drained"))
     listed = F.array_join(F.transform("years", lambda y: F.concat_ws(":", y["year"].cast("string"), y["status"])), ",")
     hits = F.try_element_at("exposed_counts", F.lit("road"))["in_flood_path"]
-    return out.select("lake_id", "name", listed.alias("years"), hits.alias("hit"), F.col("exposed_counts").isNotNull().alias("known"))
+    return out.select(
+        "lake_id", "name", listed.alias("years"), hits.alias("hit"), F.col("exposed_counts").isNotNull().alias("known"),
+        "risk.level", F.col("risk.score").alias("score_e4"), F.col("drain.status").alias("drain"), "drain.drained",
+    )
 
 
 @query("SELECT o_custkey AS osm, o_orderkey AS order_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
