@@ -11,6 +11,8 @@ from moraine.operators.exposure import first_per
 PHONE = r"^\+[1-9][0-9]{7,14}$"
 SCENARIOS, SOURCES = ("expected", "severe"), ("manual", "sensor", "drain")
 NOTE_LIMIT = 300
+#: What a sensor may report.
+SENSOR_KINDS = ("water_level_drop", "flow_surge", "manual")
 
 
 def affected_places(impacts: DataFrame, scenario: str) -> DataFrame:
@@ -61,3 +63,21 @@ def trigger_problem(scenario: Column, source: Column, dry_run: Column, note: Col
 
 def route(channel: Column, known: list[str], fallback: str = "log") -> Column:
     return F.when(channel.isin(known), channel).otherwise(fallback)
+
+
+def sensor_triggers(readings: DataFrame) -> DataFrame:
+    """A field sensor's ``readings(lake_id, sensor_id, kind)`` as requests for a severe warning, with why one is refused, if it is."""
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    refused = F.when(none("lake_id") | none("sensor_id"), "ids").when(~F.coalesce(F.col("kind").isin(*SENSOR_KINDS), F.lit(False)), "kind")
+    note = F.concat(F.lit("sensor "), F.col("sensor_id").cast("string"), F.lit(" reported "), F.col("kind"))
+    return readings.select("*", F.lit("severe").alias("scenario"), F.lit("sensor").alias("source"), note.alias("note"), refused.alias("refused"))
+
+
+def planned_for(triggers: DataFrame, impacts: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(trigger_id, seq, osm, sub_id, phone, channel): whom each accepted ``triggers(trigger_id, lake_id, scenario, refused)`` warns, in order."""
+    rows = None
+    for scenario in SCENARIOS:
+        asked = triggers.where(F.col("refused").isNull() & (F.col("scenario") == scenario)).select("trigger_id", "lake_id")
+        one = asked.join(plan(affected_places(impacts, scenario), subscriptions), "lake_id").drop("lake_id")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

@@ -21,6 +21,12 @@ def baseline(years: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.groupBy("lake_id", "as_of_year").agg(F.max(F.struct("year", "area_m2", "uncertainty_m2")).alias("s")).select("lake_id", "as_of_year", "s.*")
 
 
+def drawn_baseline(years: DataFrame, outlines: DataFrame, asked: DataFrame) -> DataFrame:
+    """The :func:`baseline` among the years whose outline is there and covers a cell: ``outlines(lake_id, year, cells)``."""
+    drawn = outlines.where("cells > 0").select("lake_id", "year").distinct()
+    return baseline(years.join(drawn, ["lake_id", "year"], "left_semi"), asked)
+
+
 def latest_look(looks: DataFrame) -> DataFrame:
     """The deciding look of each lake, over ``looks(lake_id, day, scene_id, look)``.
 

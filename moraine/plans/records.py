@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.functions import messages, rules, text
-from moraine.operators import exposure, places, raster, records, weather
+from moraine.functions import display, messages, rules, text
+from moraine.operators import admin, alerts, drain, exposure, places, raster, records, weather
 from moraine.plans import domain as d
 from moraine.plans.domain import micro, micro_sql
-from moraine.plans.terrain import WET, _wet, ctes
+from moraine.plans.terrain import WET, _areas, _points, _wet, ctes
 from moraine.sources import readers, sinks
 from moraine.sources.workspace import workspace
 
@@ -279,3 +279,70 @@ def latest_scan(spark: SparkSession, sf: str) -> DataFrame:
     sinks.append_dated(rows, path)
     sinks.append_dated(rows.where("n = 3"), path)
     return sinks.latest(spark, path, "reach").select("reach", F.col("as_of").cast("string").alias("as_of"), "n")
+
+
+AREAS = """n AS (SELECT n_nationkey AS area_id, CASE WHEN n_nationkey % 3 = 0 THEN 4 ELSE 5 END AS level, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'tag ' || n_regionkey END AS state, n_nationkey * 31 % 17 / 5.0::DOUBLE + 75.0537::DOUBLE AS x0, n_nationkey * 17 % 13 / 5.0::DOUBLE + 30.0537::DOUBLE AS y0, n_nationkey % 4 * 0.3::DOUBLE + 0.42::DOUBLE AS w FROM nation),
+p AS (SELECT c_custkey AS id, c_custkey * 37 % 400 / 100.0::DOUBLE + 75 AS x, c_custkey * 91 % 300 / 100.0::DOUBLE + 30 AS y FROM customer)"""
+
+
+@query(f"""WITH {AREAS}, m AS (SELECT p.id, level, name, state, row_number() OVER (PARTITION BY p.id, level ORDER BY w, area_id) AS k FROM p JOIN n ON x > x0 AND x < x0 + w AND y > y0 AND y < y0 + w)
+SELECT p.id AS point_id, a.name AS district, coalesce(b.name, a.state) AS state FROM p LEFT JOIN m a ON a.id = p.id AND a.level = 5 AND a.k = 1 LEFT JOIN m b ON b.id = p.id AND b.level = 4 AND b.k = 1""")
+def place_districts(spark: SparkSession, sf: str) -> DataFrame:
+    """The district and state of each customer; outside all states the district's own."""
+    k = F.col("n_nationkey")
+    tags = d.table(spark, sf, "nation").select(k.alias("area_id"), F.when(k % 3 == 0, admin.STATE).otherwise(admin.DISTRICT).alias("level"), F.col("n_name").alias("name"), F.when(k % 2 == 0, F.concat(F.lit("tag "), F.col("n_regionkey").cast("string"))).alias("state"))
+    points = _points(spark, sf, "customer", "c_custkey", "point_id").select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return admin.assign(points, _areas(spark, sf).join(tags, "area_id"))
+
+
+@query(f"""WITH {AREAS}, d AS (SELECT *, x0 + w / 2 AS x, y0 + w / 2 AS y FROM n WHERE level = 5), s AS (SELECT * FROM n WHERE level = 4),
+m AS (SELECT d.area_id, s.name, row_number() OVER (PARTITION BY d.area_id ORDER BY s.w, s.area_id) AS k FROM d JOIN s ON d.x > s.x0 AND d.x < s.x0 + s.w AND d.y > s.y0 AND d.y < s.y0 + s.w),
+l AS (SELECT area_id + 1 AS area_id, name FROM s WHERE area_id % 2 = 0)
+SELECT d.area_id, coalesce(m.name, l.name, d.state) AS state FROM d LEFT JOIN m ON m.area_id = d.area_id AND k = 1 LEFT JOIN l ON l.area_id = d.area_id""")
+def district_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Each district's state: around it, else by the state's members, else by its tag."""
+    k = F.col("n_nationkey")
+    rows = d.table(spark, sf, "nation").select(
+        k.alias("area_id"), F.when(k % 3 == 0, admin.STATE).otherwise(admin.DISTRICT).alias("level"), F.col("n_name").alias("name"), F.when(k % 2 == 0, F.concat(F.lit("tag "), F.col("n_regionkey").cast("string"))).alias("is_in"),
+        F.when(k % 2 == 0, F.array(F.struct(F.lit("relation").alias("type"), F.lit("subarea").alias("role"), (k + 1).alias("ref")), F.struct(F.lit("way").alias("type"), F.lit("outer").alias("role"), k.alias("ref")))).alias("members"),
+    )
+    areas = _areas(spark, sf).join(rows, "area_id")
+    inside = areas.where(F.col("level") == admin.DISTRICT).select("area_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), "is_in")
+    states = areas.where(F.col("level") == admin.STATE).select("area_id", "name", "ring", "size", "x0", "y0", "x1", "y1")
+    return admin.district_states(inside, states, admin.subareas(rows)).select("area_id", "state")
+
+
+@query("""WITH v AS (SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_partkey % 9 <> 0 THEN l_suppkey * 137.0::DOUBLE END AS a, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey * 9917.0::DOUBLE END AS b, CASE WHEN l_partkey % 5 <> 0 THEN l_quantity * 29 + 0.5::DOUBLE END AS f, CASE WHEN l_partkey % 4 <> 0 THEN l_quantity * 29 + l_linenumber // 2 + 0.75::DOUBLE END AS e FROM lineitem)
+SELECT id, line, coalesce(CASE WHEN a > 0 AND a < 500 THEN '<0.001 km²' ELSE format('{:,.3f} km²', a / 1000000) END, '—') AS area, coalesce(CASE WHEN b >= 1000000 THEN format('{:,.2f} million m³', b / 1000000) ELSE format('{:,.0f} m³', b) END, '—') AS volume,
+  coalesce(format('{:,.0f} m³/s', a), '—') AS discharge, CASE WHEN f IS NULL AND e IS NULL THEN '—' WHEN floor(f) = floor(e) THEN '~' || format('{:,.0f}', floor(f)) || ' min' ELSE '~' || coalesce(format('{:,.0f}', floor(f)), '—') || '–' || coalesce(format('{:,.0f}', floor(e)), '—') || ' min' END AS arrival,
+  CASE line % 4 WHEN 0 THEN 'Evans 1986' WHEN 1 THEN 'Costa 1988' WHEN 2 THEN 'other' END AS relation FROM v""")
+def shown_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Areas, volumes, discharges and arrivals as they are shown."""
+    p, line = F.col("l_partkey"), F.col("l_linenumber")
+    a, b = F.when(p % 9 != 0, F.col("l_suppkey") * 137.0), F.when(p % 7 != 0, p * 9917.0)
+    fast, late = F.when(p % 5 != 0, F.col("l_quantity") * 29 + 0.5), F.when(p % 4 != 0, F.col("l_quantity") * 29 + F.floor(line / 2) + 0.75)
+    relation = F.when(line % 4 == 0, "evans1986: Q = 0.72 V^0.53").when(line % 4 == 1, "costa1988").when(line % 4 == 2, "other").otherwise("")
+    return d.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("id"), line.alias("line"), display.square_km(a).alias("area"), display.volume(b).alias("volume"), display.discharge(a).alias("discharge"),
+        display.arrival(fast, late).alias("arrival"), display.relation_name(relation).alias("relation"),
+    )
+
+
+@query("""SELECT event_id AS trigger_id, 'severe' AS scenario, 'sensor' AS source, 'sensor ' || user_id || ' reported ' || CASE event_type WHEN 'error' THEN 'flow_surge' WHEN 'click' THEN 'manual' ELSE 'other' END AS note,
+  CASE WHEN event_id % 11 = 0 THEN 'ids' WHEN event_type NOT IN ('error', 'click') THEN 'kind' END AS refused FROM events""")
+def sensor_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings as requests for a warning, and why some are refused."""
+    kind = F.when(F.col("event_type") == "error", "flow_surge").when(F.col("event_type") == "click", "manual").otherwise("other")
+    readings = d.table(spark, sf, "events").select(F.col("event_id").alias("trigger_id"), F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("lake_id"), F.col("user_id").alias("sensor_id"), kind.alias("kind"))
+    return alerts.sensor_triggers(readings).select("trigger_id", "scenario", "source", "note", "refused")
+
+
+@query("WITH " + d.LAKE_YEARS + """, q AS (SELECT DISTINCT lake_id, 1996 + lake_id % 6 AS as_of_year FROM lake_years)
+SELECT q.lake_id, q.as_of_year, y.year, y.area_m2 FROM q JOIN lake_years y ON y.lake_id = q.lake_id WHERE y.status = 'ok' AND y.year <= q.as_of_year AND (y.lake_id + y.year) % 4 > 0
+QUALIFY row_number() OVER (PARTITION BY q.lake_id, q.as_of_year ORDER BY y.year DESC) = 1""")
+def drawn_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """The last full season with an outline that is not empty."""
+    years = d.lake_years(spark, sf)
+    asked = years.select("lake_id", (F.col("lake_id") % 6 + 1996).alias("as_of_year")).distinct()
+    outlines = years.select("lake_id", "year", ((F.col("lake_id") + F.col("year")) % 4).alias("cells"))
+    return drain.drawn_baseline(years, outlines, asked).select("lake_id", "as_of_year", "year", "area_m2")
