@@ -245,7 +245,7 @@ def line_components(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     # of a large bucket, what the centre's component does not hold yet meets everything
     root = found.withColumnRenamed("node", "digest")
     held = members.join(large, "key").join(root, "digest", "left").select("key", "digest", "centre", F.coalesce("component", "digest").alias("component"))
-    held = materialize(spark, held, "held")
+    held = written = materialize(spark, held, "held")
     of_centre = held.where("digest = centre").select("key", F.col("component").alias("main"))
     held = held.join(of_centre, "key").select("key", "digest", (F.col("component") != F.col("main")).alias("apart"))
     sizes = held.groupBy("key").agg(F.count_if("apart").alias("n_apart"), F.count_if(~F.col("apart")).alias("n_main")).where("n_apart > 0")
@@ -264,7 +264,7 @@ def line_components(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
         named = found.select(F.col("node").alias(end), F.col("component").alias("named"))
         links = links.join(named, end, "left").withColumn(end, F.coalesce("named", end)).drop("named")
     joined = connected_components(spark, links)
-    discard(spark, members, buckets, texts, held)
+    discard(spark, members, buckets, texts, written)
     if joined.isEmpty():
         discard(spark, joined)
         return found
