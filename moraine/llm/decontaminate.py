@@ -24,7 +24,6 @@ re-parameterised questions are caught and chance matches are not.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +41,8 @@ WINDOW = 5
 SHARE = 0.8
 #: Rows of a join's side that are sent to all tasks at most; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Kinds of marks in one text that are replaced one after another; more are in one pass.
+FEW = 8
 #: Bytes of text canonicalised at once.
 CHUNK = 2_000_000
 #: Words that are units after a number.
@@ -83,19 +84,16 @@ def _fold(text: str) -> str:
     return "".join(c if len(c.lower().encode()) != len(c.encode()) else c.lower() for c in text)
 
 
-def _no_words() -> str:
-    """Ranges of the code points beyond ASCII that are no letters, marks or numbers: quotes, dashes, spaces, symbols."""
-    out = np.array([unicodedata.category(chr(c))[0] not in "LMN" for c in range(0x80, 0x110000)])
-    edge = np.flatnonzero(np.diff(out, prepend=False, append=False)) + 0x80
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.reshape(-1, 2).tolist())
-
-
-_NO_WORD = re.compile(f"[{_no_words()}]")
-
-
 def _spaced(text: str) -> str:
-    """The text with spaces for what stands between words, of as many UTF-8 bytes."""
-    return text if text.isascii() else _NO_WORD.sub(lambda m: " " * len(m.group().encode()), text)
+    """The text with spaces for what stands between words beyond ASCII: quotes, dashes, spaces, symbols; of as many UTF-8 bytes."""
+    if text.isascii():
+        return text
+    odd = {c: " " * len(c.encode()) for c in set(text) if c > "\x7f" and unicodedata.category(c)[0] not in "LMN"}
+    if len(odd) > FEW:
+        return text.translate(str.maketrans(odd))
+    for c, spaces in odd.items():
+        text = text.replace(c, spaces)
+    return text
 
 
 def tokens_of(texts: list[str]) -> Tokens:
