@@ -9,10 +9,10 @@ number, is the one kept. A changed letter changes up to eight shingles, so a lin
 with one in its middle is linked from 79 characters on.
 
 Equal lines are one node from the first shuffle on, keyed by digest, so a line that
-stands in a third of all documents costs its rows once. Only digests and band keys
-are shuffled to find candidates; a bitmap of the candidates thins the texts before
-they are shuffled. Buckets with the same members in several bands are compared
-once.
+stands in a third of all documents costs its rows once. To find candidates the band
+keys alone are shuffled and counted; a bitmap of those that several lines have thins
+the keys before they travel with their digests, and a bitmap of the candidates thins
+the texts. Buckets with the same members in several bands are compared once.
 
 A bucket beyond ``BUCKET_LIMIT`` lines is dealt twice. First in parts, each with the
 bucket's least line as a common centre: that connects a group of near copies at one
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import batch_of, bitmap, discard, materialize, table, type_of
+from moraine.llm.common import batch_of, bitmap, discard, materialize, may_hold, table, type_of
 from moraine.llm.components import connected_components
 
 SHINGLE = 8
@@ -43,7 +43,9 @@ BANDS, ROWS = 8, 3
 BUCKET_LIMIT = 1024
 TASK_LINES = 4000
 #: Characters signed at once.
-CHUNK = 1_000_000
+CHUNK = 200_000
+#: Columns of a line's keys, one a band.
+KEYS = [f"band_{b}" for b in range(BANDS)]
 #: A key with more than this part of all rows is looked up without a shuffle; there are fewer such keys than that.
 HOT_PART = 1000
 
@@ -114,14 +116,14 @@ def _keyed(docs: DataFrame, *also: Column) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, digest, bands) of every line that is not blank."""
+    """(doc_id, text_key, line_no, digest, band_0, ...) of every line that is not blank."""
 
     def signed(b: pa.RecordBatch, of: list[int], nos: list[int], lines: list[str]) -> pa.RecordBatch:
         keys, rows = band_keys(lines).view(np.int64), pa.array(of, pa.int64())
         return batch_of(
             doc_id=b.column("doc_id").take(rows), text_key=b.column("text_key").take(rows), line_no=pa.array(nos, pa.int32()),
             digest=pa.array([hashlib.md5(x.encode()).digest() for x in lines], pa.binary()),
-            bands=pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+            **{c: pa.array(keys[:, k]) for k, c in enumerate(KEYS)},
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +141,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if lines:
                 yield signed(b, of, nos, lines)
 
-    schema = f"doc_id {type_of(docs, 'doc_id')}, text_key long, line_no int, digest binary, bands array<long>"
+    schema = f"doc_id {type_of(docs, 'doc_id')}, text_key long, line_no int, digest binary, {', '.join(f'{c} long' for c in KEYS)}"
     return _keyed(docs).select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
@@ -174,7 +176,7 @@ def jaccard_links(digests: list[bytes], sets: list[np.ndarray], least: float = S
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, line) of the lines ``wanted(digest)``; others are left out before the shuffle."""
+    """``wanted(digest, ...)`` with its lines; others are left out before the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("digest"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,25 +220,51 @@ def _grouped(dealt: DataFrame, rows: int) -> DataFrame:
     return dealt.withColumn("group", F.pmod(F.xxhash64("key", "part"), F.lit(max(1, rows // TASK_LINES))))
 
 
-def line_components(spark: SparkSession, docs: DataFrame, marked: DataFrame) -> DataFrame:
+def line_nodes(marked: DataFrame) -> DataFrame:
+    """(digest, n, band_0, ...) of the different lines; equal lines have equal keys."""
+    return marked.groupBy("digest").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in KEYS))
+
+
+def bucket_members(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(key, digest) of the keys that several lines have."""
+    met = nodes.select(F.explode(F.array(*KEYS)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    met = materialize(spark, met.where("n > 1").select("key"), "met")
+    sent = spark.sparkContext.broadcast(bitmap(met, met.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in KEYS:
+                may = pa.array(may_hold(sent.value, b.column(c).to_numpy().view(np.uint64)))
+                yield batch_of(digest=b.column("digest").filter(may), key=b.column(c).filter(may))
+
+    rows = nodes.select("digest", *KEYS).mapInArrow(run, "digest binary, key long")
+    members = materialize(spark, rows.join(met, "key").select("key", "digest"), "buckets")
+    discard(spark, met)
+    return members
+
+
+def line_components(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of the digests of lines that are similar to another one."""
-    nodes = marked.groupBy("digest").agg(F.first("bands").alias("bands"))  # equal lines have equal bands
-    rows = nodes.select("digest", F.explode("bands").alias("key"))
-    met = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialize(spark, rows.join(met, "key"), "buckets")
+    members = bucket_members(spark, nodes)
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.min("digest").alias("centre"))
     buckets = materialize(spark, buckets.groupBy("n", "x", "centre").agg(F.min("key").alias("key")).drop("x"), "buckets")
     large = buckets.where(F.col("n") > BUCKET_LIMIT)
     total = members.count()
-    texts = _texts(docs, members.select("digest").distinct())
     if has_large := not large.isEmpty():
-        texts = materialize(spark, texts, "texts")
+        # only lines of large buckets are read once more
+        wanted = members.join(large.select("key", F.lit(True).alias("large")), "key", "left")
+        wanted = wanted.groupBy("digest").agg(F.coalesce(F.max("large"), F.lit(False)).alias("large"))
+        texts = materialize(spark, _texts(docs, wanted), "texts")
+        of_large = texts.where("large").select("digest", "line")
+        texts_of_all = texts.select("digest", "line")
+    else:
+        texts_of_all = _texts(docs, members.select("digest").distinct())
 
     count = F.ceil(F.col("n") / BUCKET_LIMIT).cast("int")
     part = F.pmod(F.xxhash64("digest"), count).cast("int")
     in_parts = members.join(buckets, "key").select("key", "digest", part.alias("part"))
     centres = large.select("key", F.col("centre").alias("digest"), F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
-    dealt = in_parts.unionByName(centres).join(texts, "digest")
+    dealt = in_parts.unionByName(centres).join(texts_of_all, "digest")
     found = connected_components(spark, _linked(_grouped(dealt, total)))
     if not has_large:
         discard(spark, members, buckets)
@@ -257,7 +285,7 @@ def line_components(spark: SparkSession, docs: DataFrame, marked: DataFrame) ->
     from_main = F.transform(F.sequence(F.lit(0), parts_apart - 1), lambda o: F.struct(o.alias("i"), (parts_apart + F.col("mine")).alias("j")))
     meets = F.when(F.col("apart"), F.concat(with_apart, with_main)).otherwise(from_main)
     again = held.join(sizes, "key").withColumn("mine", mine).select("key", "digest", F.explode(meets).alias("p"))
-    again = again.select("key", "digest", F.struct("p.i", "p.j").alias("p")).withColumn("part", F.xxhash64("p")).drop("p").join(texts, "digest")
+    again = again.select("key", "digest", F.struct("p.i", "p.j").alias("p")).withColumn("part", F.xxhash64("p")).drop("p").join(of_large, "digest")
     links = _linked(_grouped(again, total))
     # components are the nodes now: what the further links join
     for end in ("a", "b"):
@@ -285,18 +313,19 @@ def _looked_up(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
 def _dropped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, dropped): the numbers of a text's lines that other lines stand for."""
     marked = materialize(spark, signatures(docs), "signatures")
-    found = line_components(spark, docs, marked)
+    nodes = materialize(spark, line_nodes(marked), "nodes")
+    found = line_components(spark, docs, nodes)
+    # lines that stand once and are like no other take no further part
+    named = nodes.where("n > 1").select("digest", "n").join(found.withColumnRenamed("node", "digest"), "digest", "full")
+    named = named.select("digest", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("component", "digest").alias("component"))
+    named = materialize(spark, named, "named")
+    rows = _looked_up(marked.select("digest", "doc_id", "line_no", "text_key"), named, "digest")
+    rows = materialize(spark, rows.select("component", "doc_id", "line_no", "text_key"), "repeats")
     at = F.struct("doc_id", "line_no", "text_key")
-    nodes = marked.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    nodes = nodes.join(found.withColumnRenamed("node", "digest"), "digest", "left").where("n > 1 or component is not null")
-    nodes = materialize(spark, nodes.select("digest", "n", "first", F.coalesce("component", "digest").alias("component")), "nodes")
-    kept = nodes.groupBy("component").agg(F.count("*").alias("n"), F.min("first").alias("kept"))
-    keeper = _looked_up(nodes.select("component", "digest", F.col("n").alias("lines")), kept, "component")
-    keeper = materialize(spark, keeper.select("digest", F.col("lines").alias("n"), "kept"), "keepers")
-    rows = _looked_up(marked.select("digest", "doc_id", "line_no", "text_key"), keeper, "digest")
-    rows = rows.where(~at.eqNullSafe(F.col("kept"))).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("dropped"))
-    out = materialize(spark, rows, "dropped")
-    discard(spark, marked, found, nodes, keeper)
+    kept = materialize(spark, rows.groupBy("component").agg(F.count("*").alias("n"), F.min(at).alias("kept")), "kept")
+    gone = _looked_up(rows, kept, "component").where(~at.eqNullSafe(F.col("kept")))
+    out = materialize(spark, gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("dropped")), "dropped")
+    discard(spark, marked, nodes, found, named, rows, kept)
     return out
 
 

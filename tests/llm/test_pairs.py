@@ -186,6 +186,22 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         assert {tuple(r) for r in line_dedup.dropped_lines(spark, docs).collect()} == want
 
 
+def _shuffled(spark):
+    """Bytes that this session's executors have written for shuffles."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_lines_without_a_partner_send_their_keys_only(spark):
+    rng = np.random.default_rng(10)
+    lines = ["".join(rng.choice(list("abcdefghijklmnop "), 40)) for _ in range(20_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 20])) for i in range(0, len(lines), 20)], "doc_id long, text string")
+    before = _shuffled(spark)
+    assert line_dedup.dropped_lines(spark, docs).count() == 0
+    each = (_shuffled(spark) - before) / len(lines)
+    assert each < 195, each
+
+
 def test_lines_keep_clashing_columns_and_texts_of_one_id(spark):
     line = "a line of some length that stands in two texts, word for word"
     rows = [(2**60 + 1, f"{line}\nfirst", 1, "a", "b", "c", "d", "e", "f"), (None, f"{line}\nsecond", 2, "a", "b", "c", "d", "e", "f"), (None, f"{line}\nthird", 3, "a", "b", "c", "d", "e", "f"),
