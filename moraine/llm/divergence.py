@@ -1,7 +1,8 @@
 """Source divergence audit on mergeable radix tries.
 
-Each task counts its documents' terms in one byte trie a language: an edge holds a run of bytes,
-a leaf a term's documents and its occurrences by source. A trie that has grown
+Each task counts its documents' terms in one burst trie of bytes a language: an edge holds a run of bytes,
+a leaf a term's documents and its occurrences by source; terms are counted where they are hashed and
+branch when the trie is walked. A trie that has grown
 large is sent on and begun anew, so tasks keep bounded memory. The tries' leaves are dealt by
 ranges of (language, prefix), where equal leaves of all tries meet and are merged; a
 term has one leaf a trie, whatever its share of all words. Merged leaves lie in UTF-8
@@ -31,8 +32,12 @@ LEAST_DOCS = 30
 TOP = 50
 #: Leaves of a task's tries; they are sent on beyond that.
 LEAVES = 250_000
-#: Characters that are split at once, and distinct words of a group that are counted before they go into the tries.
-RUN, COUNTED = 2_000_000, 400_000
+#: Counts by source at the leaves of a task's tries; they are sent on beyond that too, so tasks keep bounded memory with any number of sources.
+COUNTED = 1_000_000
+#: Terms of a trie's container that branch no further.
+BURST = 1024
+#: Characters that are split before the tries' sizes are looked at again.
+RUN = 2_000_000
 #: Terms that a group of one traversal holds.
 BLOCK = 20_000
 #: Counts that a traversal spreads out at once, terms times sources.
@@ -47,92 +52,87 @@ BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 3
 LEAF = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-class Node:
-    """A place in a trie: edges by their first byte, and a leaf where a term ends."""
+class Trie:
+    """Terms as paths of bytes, with documents and occurrences by source at their ends.
 
-    __slots__ = ("counts", "docs", "edges")
+    A burst trie: terms are counted in one hash container for their documents and one a source, and
+    branch by their bytes when the trie is walked, down to containers that are small enough to be sorted.
+    """
 
     def __init__(self) -> None:
-        self.edges: dict[int, tuple[bytes, Node]] = {}
-        self.docs = 0
-        self.counts: dict[str, int] | None = None
-
+        self.known: Counter[bytes] = Counter()
+        self.times: dict[str, Counter[bytes]] = defaultdict(Counter)
 
-class Trie:
-    """Terms as paths of bytes, with documents and occurrences by source at their ends."""
-
-    def __init__(self) -> None:
-        self.root = Node()
-        self.known: dict[bytes, Node] = {}
-
-    def at(self, term: bytes) -> Node:
-        """The leaf of a term, made where there is none."""
-        if (leaf := self.known.get(term)) is None:
-            leaf = self.known[term] = self._made(term)
-            leaf.counts = {}
-        return leaf
-
-    def _made(self, term: bytes) -> Node:
-        """The place where a term ends; edges split where paths part."""
-        node = self.root
-        while term:
-            label, below = node.edges.get(term[0], (term, None))
-            if below is None:
-                below = Node()
-                node.edges[term[0]] = (term, below)
-            elif not term.startswith(label):
-                common = next(k for k, b in enumerate(label) if k == len(term) or term[k] != b)
-                middle = Node()
-                middle.edges[label[common]] = (label[common:], below)
-                node.edges[term[0]] = (label[:common], middle)
-                label, below = label[:common], middle
-            node, term = below, term[len(label) :]
-        return node
-
-    def counted(self, source: str, times: dict[bytes, int]) -> None:
-        """Add a source's occurrences to the leaves of their terms."""
-        for term, n in times.items():
-            counts = self.at(term).counts
-            counts[source] = counts.get(source, 0) + n
-
-    def standing(self, docs: dict[bytes, int]) -> None:
-        """Add documents to the leaves of the terms that stand in them."""
-        for term, n in docs.items():
-            self.at(term).docs += n
+    def document(self, source: str, words: list[bytes]) -> None:
+        """Add a document."""
+        self.times[source].update(words)
+        self.known.update(set(words))
 
     def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
         """Add to a term's leaf."""
-        leaf = self.at(term)
-        leaf.docs += docs
+        self.known[term] += docs
         for source, n in counts.items():
-            leaf.counts[source] = leaf.counts.get(source, 0) + n
+            self.times[source][term] += n
 
     def merge(self, other: Trie) -> None:
         """Take in all leaves of another trie."""
         for term, docs, counts in other.walk():
             self.add(term, docs, counts)
 
-    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """(term, documents, occurrences by source) in the order of bytes, which is that of UTF-8."""
-        todo = [(b"", self.root)]
+    def size(self) -> int:
+        """The counts by source at the leaves."""
+        return sum(map(len, self.times.values()))
+
+    def terms(self) -> Iterator[bytes]:
+        """Terms in the order of bytes, which is that of UTF-8."""
+        todo: list[tuple[int, list[bytes]]] = [(0, list(self.known))]
         while todo:
-            path, node = todo.pop()
-            if node.counts is not None:
-                yield path, node.docs, node.counts
-            todo += [(path + node.edges[b][0], node.edges[b][1]) for b in sorted(node.edges, reverse=True)]
+            depth, held = todo.pop()
+            if len(held) <= BURST:
+                yield from sorted(held)
+                continue
+            # An edge has all bytes that the least and the greatest term share; a term that ends there comes first.
+            low, high = min(held), max(held)
+            while low[depth : depth + 1] == high[depth : depth + 1]:
+                depth += 1
+            edges: dict[bytes, list[bytes]] = defaultdict(list)
+            for term in held:
+                edges[term[depth : depth + 1]].append(term)
+            todo += [(depth + 1, edges[b]) for b in sorted(edges, reverse=True)]
+
+    def columns(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Terms in order, their documents, where each one's counts begin and end, and of these the source's place in a list, the list, the count."""
+        terms, sources = list(self.terms()), list(self.times)
+        place = dict(zip(terms, range(len(terms)), strict=True))
+        docs = np.fromiter(map(self.known.__getitem__, terms), np.int64, len(terms))
+        where = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in self.times.values())])
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(c.values(), np.int64, len(c)) for c in self.times.values())])
+        of = np.repeat(np.arange(len(sources)), [len(c) for c in self.times.values()])
+        order = np.argsort(where, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(where, minlength=len(terms))))
+        return terms, docs, ends, of[order], sources, counts[order]
+
+    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
+        """(term, documents, occurrences by source) in the order of bytes."""
+        terms, docs, ends, of, sources, counts = self.columns()
+        named, ends = [sources[k] for k in of.tolist()], ends.tolist()
+        counts = counts.tolist()
+        for k, (term, n) in enumerate(zip(terms, docs.tolist(), strict=True)):
+            at = slice(ends[k], ends[k + 1])
+            yield term, n, dict(zip(named[at], counts[at], strict=True))
 
 
 def _sent(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
     for lang, trie in tries.items():
-        rows = list(trie.walk())
-        for at in range(0, len(rows), BLOCK):
-            part = rows[at : at + BLOCK]
-            ends = pa.array(np.cumsum([0, *(len(c) for _, _, c in part)]), pa.int32())
+        terms, docs, ends, of, sources, counts = trie.columns()
+        names = pa.array(sources, pa.string())
+        for at in range(0, len(terms), BLOCK):
+            part = terms[at : at + BLOCK]
+            own = ends[at : at + len(part) + 1]
+            rows, offsets = slice(own[0], own[-1]), pa.array(own - own[0], pa.int32())
             yield batch_of(
-                lang=pa.array([lang] * len(part), pa.string()), term=pa.array([t for t, _, _ in part], pa.binary()).cast(pa.string()),
-                docs=pa.array([d for _, d, _ in part], pa.int64()),
-                sources=pa.ListArray.from_arrays(ends, pa.array([s for _, _, c in part for s in c], pa.string())),
-                counts=pa.ListArray.from_arrays(ends, pa.array([n for _, _, c in part for n in c.values()], pa.int64())),
+                lang=pa.repeat(pa.scalar(lang, pa.string()), len(part)), term=pa.array(part, pa.binary()).cast(pa.string()), docs=pa.array(docs[at : at + len(part)]),
+                sources=pa.ListArray.from_arrays(offsets, names.take(pa.array(of[rows]))), counts=pa.ListArray.from_arrays(offsets, pa.array(counts[rows])),
             )
 
 
@@ -141,30 +141,14 @@ def partial_leaves(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = defaultdict(Trie)
-        times: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        standing: dict[str, Counter] = defaultdict(Counter)
-
-        def entered() -> None:
-            for (lang, source), counted in times.items():
-                tries[lang].counted(source, counted)
-            for lang, counted in standing.items():
-                tries[lang].standing(counted)
-            times.clear()
-            standing.clear()
-
         for b in batches:
             langs, sources = b.column("lang").to_pylist(), b.column("source").to_pylist()
             for first, texts in runs(b.column("text").to_pylist(), RUN):
                 for i, text in enumerate(texts, first):
-                    words = text.encode().translate(BYTES).split()
-                    times[langs[i], sources[i]].update(words)
-                    standing[langs[i]].update(set(words))
-                if sum(map(len, times.values())) > COUNTED:
-                    entered()
-                if sum(len(t.known) for t in tries.values()) > LEAVES:
+                    tries[langs[i]].document(sources[i], text.encode().translate(BYTES).split())
+                if sum(len(t.known) for t in tries.values()) > LEAVES or sum(t.size() for t in tries.values()) > COUNTED:
                     yield from _sent(tries)
                     tries.clear()
-        entered()
         yield from _sent(tries)
 
     text = F.coalesce("text", F.lit("")).alias("text")

@@ -105,6 +105,28 @@ def test_tries_merge_and_walk_in_order():
     assert len(one.known) == len(want)
 
 
+def test_tries_branch_where_containers_are_large(monkeypatch):
+    """Terms that end inside others' edges, zero bytes and long shared beginnings, in containers of any size."""
+    rng = random.Random(25)
+    terms = {b"p" * 300 + bytes(rng.choice(b"\x00ab\xf0") for _ in range(rng.randrange(9))) for _ in range(900)} | {b"p" * k for k in range(0, 300, 7)}
+    for burst in (1, 3, 1024):
+        monkeypatch.setattr(divergence, "BURST", burst)
+        trie = Trie()
+        for term in terms:
+            trie.add(term, 1, {"x": 2})
+        assert list(trie.walk()) == [(t, 1, {"x": 2}) for t in sorted(terms)]
+
+
+def test_tries_are_sent_on_when_their_counts_are_many(spark, monkeypatch):
+    """One term of many sources is bounded like many terms are."""
+    monkeypatch.setattr(divergence, "RUN", 1)
+    monkeypatch.setattr(divergence, "COUNTED", 10)
+    docs = spark.createDataFrame([("ice ice", "en", f"source {k}") for k in range(100)], "text string, lang string, source string").coalesce(1)
+    leaves = [(len(r.sources), sum(r.counts)) for r in divergence.partial_leaves(docs).collect()]
+    assert sum(n for n, _ in leaves) == 100 and sum(n for _, n in leaves) == 200
+    assert max(n for n, _ in leaves) <= 11
+
+
 def test_probability_is_exact_where_products_overflow():
     rng = random.Random(24)
     for _ in range(500):
