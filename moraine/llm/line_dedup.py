@@ -8,17 +8,19 @@ distributed union-find, and the first line of a component, by doc_id and line
 number, is the one kept. A changed letter changes up to eight shingles, so a line
 with one in its middle is linked from 79 characters on.
 
-Equal lines are one node from the first shuffle on, keyed by digest, so a line that
-stands in a third of all documents costs its rows once. To find candidates the band
-keys alone are shuffled and counted; a bitmap of those that several lines have thins
-the keys before they travel with their digests, and a bitmap of the candidates thins
-the texts. Buckets with the same members in several bands are compared once.
-
-A bucket beyond ``BUCKET_LIMIT`` lines is dealt twice. First in parts, each with the
-bucket's least line as a common centre: that connects a group of near copies at one
-comparison a line. Then only lines that are still apart from the centre meet the
-others of their bucket, part against part, so no link is lost and no group is
-compared pair by pair because it is large.
+Equal lines are one node, keyed by digest, so a line that stands in a third of all
+documents costs its rows once. To find candidates the band keys alone are sent, 32
+bits each, dealt by their other bits, and those that several lines have go into a
+bitmap; only lines with such a key travel with their digests. The bitmap may pass
+others: what a bucket holds is counted on whole keys. Of each candidate one place
+is read again, so its text is sent once however often it stands.
+
+Small buckets with the same least line are compared as one, larger ones with the
+same members once. A bucket beyond ``BUCKET_LIMIT`` lines is dealt twice. First in
+parts, each with the bucket's least line as a common centre: that connects a group
+of near copies at one comparison a line. Then only lines that are still apart from
+the centre meet the others of their bucket, part against part, so no link is lost
+and no group is compared pair by pair because it is large.
 """
 
 from __future__ import annotations
@@ -30,11 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import batch_of, bitmap, discard, materialize, may_hold, table, type_of
+from moraine.llm.common import batch_of, bitmap, discard, materialize, may_hold, parallelism, table, type_of
 from moraine.llm.components import connected_components
 
 SHINGLE = 8
@@ -44,6 +45,10 @@ BUCKET_LIMIT = 1024
 TASK_LINES = 4000
 #: Characters signed at once.
 CHUNK = 200_000
+#: Keys that are counted together, and lines whose keys are sent together.
+PART_KEYS, SENT_LINES = 1 << 20, 1 << 16
+#: Bits of a line's place that hold its number; the others name the row. A number beyond them only filters less.
+NO_BITS = 12
 #: Columns of a line's keys, one a band.
 KEYS = [f"band_{b}" for b in range(BANDS)]
 #: A key with more than this part of all rows is looked up without a shuffle; there are fewer such keys than that.
@@ -75,8 +80,10 @@ def line_sets(lines: list[str]) -> list[np.ndarray]:
         if n < 1:
             out.append(np.array([zlib.crc32(x.encode())], np.uint64))
         else:
-            own = np.sort(h[at : at + n])
-            out.append(own[np.append(True, own[1:] != own[:-1])])
+            own = h[at : at + n]
+            own.sort()
+            new = own[1:] != own[:-1]
+            out.append(own if new.all() else np.concatenate([own[:1], own[1:][new]]))
         at += len(x)
     return out
 
@@ -95,11 +102,13 @@ def band_keys(lines: list[str]) -> np.ndarray:
         valid[ends[k] - sizes[k]] = True
     counts = np.maximum(sizes - SHINGLE + 1, 1)
     x, at = x[valid], np.cumsum(counts) - counts
-    keys = np.empty((len(lines), BANDS), np.uint64)
+    keys, mixed = np.empty((len(lines), BANDS), np.uint64), np.empty_like(x)
     for b in range(BANDS):
         key = np.full(len(lines), _SALT[b])
         for r in range(b * ROWS, (b + 1) * ROWS):
-            key = (key ^ np.minimum.reduceat(x * _A[r] + _B[r], at)) * _K
+            np.multiply(x, _A[r], out=mixed)
+            np.add(mixed, _B[r], out=mixed)
+            key = (key ^ np.minimum.reduceat(mixed, at)) * _K
             key ^= key >> np.uint64(32)
         keys[:, b] = key
     return keys
@@ -175,25 +184,46 @@ def jaccard_links(digests: list[bytes], sets: list[np.ndarray], least: float = S
     return links
 
 
+def _place(line_no: Column) -> Column:
+    """A long that names one line of a row and, by its upper bits, the row."""
+    most = (1 << NO_BITS) - 1
+    return F.xxhash64("doc_id", "text_key").bitwiseAND(~most).bitwiseOR(line_no.cast("long").bitwiseAND(most))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted(digest, ...)`` with its lines; others are left out before the shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("digest"))))
+    """(digest, line) of the lines at the places ``wanted(place)``, and of few others."""
+    sc, row = docs.sparkSession.sparkContext, F.shiftrightunsigned("place", NO_BITS)
+    number = F.shiftleft(F.col("place").bitwiseAND((1 << NO_BITS) - 1), 16)
+    of_rows = sc.broadcast(bitmap(wanted.select(row.alias("row"))))
+    of_lines = sc.broadcast(bitmap(wanted.select(row.bitwiseXOR(number).alias("line")), wanted.count()))
+
+    def chosen(lines: list[str], rows: list[int], counts: list[int]) -> pa.RecordBatch:
+        n = np.array(counts)
+        no = (np.arange(len(lines)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64) & np.uint64((1 << NO_BITS) - 1)
+        may = may_hold(of_lines.value, np.repeat(np.array(rows, np.uint64), n) ^ no << np.uint64(16))
+        found = {hashlib.md5(lines[k].encode()).digest(): lines[k] for k in np.flatnonzero(may).tolist()}
+        return batch_of(digest=pa.array(list(found), pa.binary()), line=pa.array(list(found.values()), pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
         for b in batches:
-            found: dict[bytes, str] = {}
-            for text in b.column("text").to_pylist():
-                for _, line in _lines_of(text):
-                    digest = hashlib.md5(line.encode()).digest()
-                    if digest not in found:
-                        h = xxhash.xxh64_intdigest(digest, 42)
-                        if int(words[h >> 6 & len(words) - 1]) >> (h & 63) & 1:
-                            found[digest] = line
-            yield batch_of(digest=pa.array(list(found), pa.binary()), line=pa.array(list(found.values()), pa.string()))
+            row = b.column("place").to_numpy().view(np.uint64) >> np.uint64(NO_BITS)
+            may = may_hold(of_rows.value, row)
+            texts = b.column("text").filter(pa.array(may)).to_pylist()
+            lines, rows, counts, size = [], [], [], 0
+            for of, text in zip(row[may].tolist(), texts, strict=True):
+                own = text.split("\n")
+                lines += own
+                rows.append(of)
+                counts.append(len(own))
+                size += len(text)
+                if size >= CHUNK:
+                    yield chosen(lines, rows, counts)
+                    lines, rows, counts, size = [], [], [], 0
+            if lines:
+                yield chosen(lines, rows, counts)
 
-    lines = docs.select("text").mapInArrow(run, "digest binary, line string")
-    return lines.groupBy("digest").agg(F.first("line").alias("line")).join(wanted, "digest")
+    rows = _keyed(docs.where(F.col("text").isNotNull())).select("text", _place(F.lit(0)).alias("place"))
+    return rows.mapInArrow(run, "digest binary, line string")
 
 
 def _linked(dealt: DataFrame) -> DataFrame:
@@ -220,61 +250,119 @@ def _grouped(dealt: DataFrame, rows: int) -> DataFrame:
     return dealt.withColumn("group", F.pmod(F.xxhash64("key", "part"), F.lit(max(1, rows // TASK_LINES))))
 
 
-def line_nodes(marked: DataFrame) -> DataFrame:
-    """(digest, n, band_0, ...) of the different lines; equal lines have equal keys."""
-    return marked.groupBy("digest").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in KEYS))
+def repeated_lines(marked: DataFrame) -> DataFrame:
+    """(digest, n) of the lines that stand more than once."""
+    return marked.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+
 
+def shared_keys(spark: SparkSession, marked: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(key) of the low 32 bits of the band keys that several different lines have, and of few others.
 
-def bucket_members(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(key, digest) of the keys that several lines have."""
-    met = nodes.select(F.explode(F.array(*KEYS)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    met = materialize(spark, met.where("n > 1").select("key"), "met")
+    Keys are dealt by their upper bits. Those of a line that may stand more than once bring
+    its hash along, so its occurrences count as one line.
+    """
+    sent = spark.sparkContext.broadcast(bitmap(repeated.select(F.xxhash64("digest")), repeated.count()))
+    parts = max(parallelism(spark), len(KEYS) * marked.count() // PART_KEYS)
+
+    def dealt(keys: np.ndarray, line: np.ndarray | None) -> pa.RecordBatch:
+        of = (keys >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(of.astype(np.uint32), kind="stable")
+        part, at = np.unique(of[order], return_index=True)
+        ends = pa.array(np.append(at, len(of)).astype(np.int32))
+        low = keys[order].astype(np.uint32).view(np.int32)
+        lines = pa.nulls(len(part), pa.list_(pa.int64())) if line is None else pa.ListArray.from_arrays(ends, pa.array(line[order].view(np.int64)))
+        return batch_of(part=pa.array(part.astype(np.int32)), low=pa.ListArray.from_arrays(ends, pa.array(low)), line=lines)
+
+    def both(once: list[np.ndarray], again: list[np.ndarray], lines: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, once)):
+            yield dealt(np.concatenate(once).ravel(), None)
+        if sum(map(len, lines)):
+            line, at = np.unique(np.concatenate(lines), return_index=True)
+            yield dealt(np.concatenate(again)[at].ravel(), np.repeat(line, len(KEYS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, again, lines, n = [], [], [], 0
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy().view(np.uint64) for c in KEYS], axis=1)
+            line = b.column("line").to_numpy().view(np.uint64)
+            may = may_hold(sent.value, line)
+            once.append(keys[~may])
+            again.append(keys[may])
+            lines.append(line[may])
+            n += len(line)
+            if n >= SENT_LINES:
+                yield from both(once, again, lines)
+                once, again, lines, n = [], [], [], 0
+        yield from both(once, again, lines)
+
+    def several(part: pa.Table) -> pa.Table:
+        alone = part.column("line").is_null()
+        low = part.column("low").filter(alone).combine_chunks().flatten().to_numpy().view(np.uint32)
+        rest = part.filter(part.column("line").is_valid())
+        pairs = np.stack([c.combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64) for c in (rest.column("low"), rest.column("line"))])
+        pairs = pairs[:, np.lexsort(pairs)]
+        first = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))[: pairs.shape[1]]
+        low = np.sort(np.concatenate([low, pairs[0, first].astype(np.uint32)]))
+        return pa.table({"key": pa.array(np.unique(low[1:][low[1:] == low[:-1]]).astype(np.int64))})
+
+    rows = marked.select(F.xxhash64("digest").alias("line"), *KEYS).mapInArrow(run, "part int, low array<int>, line array<long>")
+    return rows.groupBy("part").applyInArrow(several, "key long")
+
+
+def bucket_members(spark: SparkSession, marked: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(key, digest, place, n, centre) of the lines that share a band key with another line.
+
+    ``n`` and ``centre`` are those of buckets beyond ``BUCKET_LIMIT``, else null: its lines and
+    the least hash of a digest. Buckets that small that their unions stay below it are united
+    by their least line, others with the same members fall together.
+    """
+    met = materialize(spark, shared_keys(spark, marked, repeated), "met")
     sent = spark.sparkContext.broadcast(bitmap(met, met.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            # equal lines of a batch are one
+            b = b.take(pa.array(np.unique(b.column("line").to_numpy(), return_index=True)[1]))
             for c in KEYS:
                 may = pa.array(may_hold(sent.value, b.column(c).to_numpy().view(np.uint64)))
-                yield batch_of(digest=b.column("digest").filter(may), key=b.column(c).filter(may))
-
-    rows = nodes.select("digest", *KEYS).mapInArrow(run, "digest binary, key long")
-    members = materialize(spark, rows.join(met, "key").select("key", "digest"), "buckets")
-    discard(spark, met)
+                yield batch_of(key=b.column(c).filter(may), digest=b.column("digest").filter(may), place=b.column("place").filter(may))
+
+    line = F.xxhash64("digest")
+    rows = marked.select("digest", line.alias("line"), _place(F.col("line_no")).alias("place"), *KEYS).mapInArrow(run, "key long, digest binary, place long")
+    rows = materialize(spark, rows.groupBy("key", "digest").agg(F.min("place").alias("place")), "keyed")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(line).alias("x"), F.min(line).alias("centre")).where("n > 1")
+    small = F.col("n") * BANDS <= BUCKET_LIMIT  # the least line has a bucket a band
+    named = F.when(small, F.xxhash64("centre")).otherwise(F.xxhash64("n", "x", "centre"))
+    large = F.col("n") > BUCKET_LIMIT
+    buckets = buckets.select("key", named.alias("bucket"), *(F.when(large, F.col(c)).alias(c) for c in ("n", "centre")))
+    members = rows.join(buckets, "key").select(F.col("bucket").alias("key"), "digest", "place", "n", "centre").distinct()
+    members = materialize(spark, members, "buckets")
+    discard(spark, met, rows)
     return members
 
 
-def line_components(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def line_components(spark: SparkSession, docs: DataFrame, marked: DataFrame, repeated: DataFrame) -> DataFrame:
     """(node, component) of the digests of lines that are similar to another one."""
-    members = bucket_members(spark, nodes)
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.min("digest").alias("centre"))
-    buckets = materialize(spark, buckets.groupBy("n", "x", "centre").agg(F.min("key").alias("key")).drop("x"), "buckets")
-    large = buckets.where(F.col("n") > BUCKET_LIMIT)
+    members = bucket_members(spark, marked, repeated)
     total = members.count()
-    if has_large := not large.isEmpty():
-        # only lines of large buckets are read once more
-        wanted = members.join(large.select("key", F.lit(True).alias("large")), "key", "left")
-        wanted = wanted.groupBy("digest").agg(F.coalesce(F.max("large"), F.lit(False)).alias("large"))
-        texts = materialize(spark, _texts(docs, wanted), "texts")
-        of_large = texts.where("large").select("digest", "line")
-        texts_of_all = texts.select("digest", "line")
-    else:
-        texts_of_all = _texts(docs, members.select("digest").distinct())
-
+    large = members.where("n is not null")
     count = F.ceil(F.col("n") / BUCKET_LIMIT).cast("int")
-    part = F.pmod(F.xxhash64("digest"), count).cast("int")
-    in_parts = members.join(buckets, "key").select("key", "digest", part.alias("part"))
-    centres = large.select("key", F.col("centre").alias("digest"), F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
-    dealt = in_parts.unionByName(centres).join(texts_of_all, "digest")
+    part = F.pmod(F.xxhash64("digest"), F.coalesce(count, F.lit(1))).cast("int")
+    dealt = members.select("key", "digest", part.alias("part"))
+    is_centre = F.xxhash64("digest") == F.col("centre")
+    if has_large := not large.isEmpty():
+        dealt = dealt.unionByName(large.where(is_centre).select("key", "digest", F.explode(F.sequence(F.lit(0), count - 1)).alias("part")))
+    dealt = dealt.join(_texts(docs, members.select("place").distinct()), "digest")
     found = connected_components(spark, _linked(_grouped(dealt, total)))
     if not has_large:
-        discard(spark, members, buckets)
+        discard(spark, members)
         return found
 
     # of a large bucket, what the centre's component does not hold yet meets everything
     root = found.withColumnRenamed("node", "digest")
-    held = members.join(large, "key").join(root, "digest", "left").select("key", "digest", "centre", F.coalesce("component", "digest").alias("component"))
+    held = large.join(root, "digest", "left").select("key", "digest", is_centre.alias("centre"), F.coalesce("component", "digest").alias("component"))
     held = written = materialize(spark, held, "held")
-    of_centre = held.where("digest = centre").select("key", F.col("component").alias("main"))
+    of_centre = held.where("centre").select("key", F.col("component").alias("main"))
     held = held.join(of_centre, "key").select("key", "digest", (F.col("component") != F.col("main")).alias("apart"))
     sizes = held.groupBy("key").agg(F.count_if("apart").alias("n_apart"), F.count_if(~F.col("apart")).alias("n_main")).where("n_apart > 0")
     parts_apart, parts_main = (F.ceil(F.col(c) / (BUCKET_LIMIT // 2)).cast("int") for c in ("n_apart", "n_main"))
@@ -285,14 +373,15 @@ def line_components(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> D
     from_main = F.transform(F.sequence(F.lit(0), parts_apart - 1), lambda o: F.struct(o.alias("i"), (parts_apart + F.col("mine")).alias("j")))
     meets = F.when(F.col("apart"), F.concat(with_apart, with_main)).otherwise(from_main)
     again = held.join(sizes, "key").withColumn("mine", mine).select("key", "digest", F.explode(meets).alias("p"))
-    again = again.select("key", "digest", F.struct("p.i", "p.j").alias("p")).withColumn("part", F.xxhash64("p")).drop("p").join(of_large, "digest")
+    again = again.select("key", "digest", F.struct("p.i", "p.j").alias("p")).withColumn("part", F.xxhash64("p")).drop("p")
+    again = again.join(_texts(docs, large.select("place").distinct()), "digest")
     links = _linked(_grouped(again, total))
     # components are the nodes now: what the further links join
     for end in ("a", "b"):
         named = found.select(F.col("node").alias(end), F.col("component").alias("named"))
         links = links.join(named, end, "left").withColumn(end, F.coalesce("named", end)).drop("named")
     joined = connected_components(spark, links)
-    discard(spark, members, buckets, texts, written)
+    discard(spark, members, written)
     if joined.isEmpty():
         discard(spark, joined)
         return found
@@ -303,29 +392,45 @@ def line_components(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> D
     return out
 
 
-def _looked_up(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``keyed(key, n, ...)``, where ``n`` says how many rows have the key."""
-    hot = F.broadcast(keyed.where(F.col("n") > rows.count() // HOT_PART).drop("n"))  # fewer than HOT_PART rows
-    cold = rows.join(hot.select(key), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(keyed.drop("n"), key))
+def _looked_up(rows: DataFrame, keyed: DataFrame, key: str, thinned: bool = False) -> DataFrame:
+    """``rows`` joined with ``keyed(key, n, ...)``, where ``n`` says how many rows have the key.
+
+    ``thinned`` leaves out, before the shuffle, rows whose key the table does not hold.
+    """
+    hot = F.col("n") > rows.count() // HOT_PART  # fewer than HOT_PART rows
+    few, others = F.broadcast(keyed.where(hot).drop("n")), keyed.where(~hot).drop("n")
+    cold = _thinned(rows, others, key) if thinned else rows.join(few.select(key), key, "left_anti")
+    return rows.join(few, key).unionByName(cold.join(others, key))
+
+
+def _thinned(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key ``keyed`` holds, and few others."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(keyed.select(F.xxhash64(key)), keyed.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = may_hold(sent.value, b.column("line").to_numpy().view(np.uint64))
+            yield b.filter(pa.array(may)).drop_columns(["line"])
+
+    return rows.select("*", F.xxhash64(key).alias("line")).mapInArrow(run, rows.schema)
 
 
 def _dropped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, dropped): the numbers of a text's lines that other lines stand for."""
     marked = materialize(spark, signatures(docs), "signatures")
-    nodes = materialize(spark, line_nodes(marked), "nodes")
-    found = line_components(spark, docs, nodes)
+    repeated = materialize(spark, repeated_lines(marked), "repeated")
+    found = line_components(spark, docs, marked, repeated)
     # lines that stand once and are like no other take no further part
-    named = nodes.where("n > 1").select("digest", "n").join(found.withColumnRenamed("node", "digest"), "digest", "full")
+    named = repeated.join(found.withColumnRenamed("node", "digest"), "digest", "full")
     named = named.select("digest", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("component", "digest").alias("component"))
     named = materialize(spark, named, "named")
-    rows = _looked_up(marked.select("digest", "doc_id", "line_no", "text_key"), named, "digest")
+    rows = _looked_up(marked.select("digest", "doc_id", "line_no", "text_key"), named, "digest", thinned=True)
     rows = materialize(spark, rows.select("component", "doc_id", "line_no", "text_key"), "repeats")
     at = F.struct("doc_id", "line_no", "text_key")
     kept = materialize(spark, rows.groupBy("component").agg(F.count("*").alias("n"), F.min(at).alias("kept")), "kept")
     gone = _looked_up(rows, kept, "component").where(~at.eqNullSafe(F.col("kept")))
     out = materialize(spark, gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("dropped")), "dropped")
-    discard(spark, marked, nodes, found, named, rows, kept)
+    discard(spark, marked, repeated, found, named, rows, kept)
     return out
 
 
@@ -373,7 +478,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its lines that fuzzy deduplication removes; a null text has no lines."""
     docs = table(spark, sf_dir, "documents")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines")
     joined = _with_dropped(_keyed(docs, n).drop("text"), _dropped(spark, docs))
     removed = F.array_sort(F.coalesce("dropped", F.array().cast("array<int>")))
     return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))

@@ -202,6 +202,21 @@ def test_lines_without_a_partner_send_their_keys_only(spark):
     assert each < 195, each
 
 
+def test_candidates_that_stand_in_many_tasks_send_their_texts_once(spark, monkeypatch):
+    """Also when some bucket is large: its lines alone are read again."""
+    monkeypatch.setattr(line_dedup, "BUCKET_LIMIT", 16)
+    rng = np.random.default_rng(12)
+    long = ["".join(rng.choice(list("abcdefghijklmnop "), 4000)) for _ in range(40)]
+    short = "".join(rng.choice(list("abcdefghij "), 300))
+    lines = [y for x in long for y in (x, x + "changed")] + [f"{short[:k]}#{short[k:]}" for k in range(5, 295, 10)]
+    docs = spark.sparkContext.parallelize([(i, "\n".join(lines)) for i in range(64)], 16).toDF("doc_id long, text string")
+    before = _shuffled(spark)
+    got = line_dedup.dropped_lines(spark, docs).count()
+    sent = _shuffled(spark) - before
+    assert got == 64 * len(lines) - 41
+    assert sent < 2_500_000, sent  # once by digest and once by bucket, 0.32 MB each, and the keys
+
+
 def test_lines_keep_clashing_columns_and_texts_of_one_id(spark):
     line = "a line of some length that stands in two texts, word for word"
     rows = [(2**60 + 1, f"{line}\nfirst", 1, "a", "b", "c", "d", "e", "f"), (None, f"{line}\nsecond", 2, "a", "b", "c", "d", "e", "f"), (None, f"{line}\nthird", 3, "a", "b", "c", "d", "e", "f"),
