@@ -13,6 +13,10 @@ from moraine.functions import geo
 from moraine.sources.workspace import Work
 
 
+#: As many times ``top`` places may share a cube when a search begins, and no cube is halved below this width, in radii of the earth.
+CROWD, NARROW = 4, 1e-7
+
+
 def _bucket(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
@@ -48,38 +52,56 @@ def nearest_within(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     return a.select("a_id").join(best, "a_id", "left").select("a_id", "n.b_id", "n.km")
 
 
+def uncrowded(places: DataFrame, wide: float, most: int) -> float:
+    """``wide``, halved until a cube of that width holds at most so many of ``places(x, y, z)`` as its places see it on average."""
+    while wide > NARROW:
+        cubes = places.groupBy(*[F.floor(F.col(v) / wide).alias(f"c{v}") for v in "xyz"]).count()
+        if (cubes.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("seen")).first().seen or 0) <= most:
+            break
+        wide /= 2
+    return wide
+
+
 def nearest(a: DataFrame, b: DataFrame, top: int) -> DataFrame:
     """(a_id, b_id, km, rank): the ``top`` nearest of ``b(b_id, lon, lat)`` to each of ``a(a_id, lon, lat)``, the least id on a tie.
 
     Places are points on the unit sphere, so the poles and 180 degrees are like anywhere else. In
     rounds, those of ``a`` that have not found ``top`` yet meet what lies in the cubes around their own, each round's
-    twice as wide, until a cube holds the sphere. Places without coordinates are near nothing.
+    twice as wide, until a cube holds the sphere. Places without coordinates are near nothing. All of ``a`` on one spot
+    ask once, and of ``b`` on one spot only the ``top`` least ids can answer.
     """
     work = Work(a.sparkSession)
     sphere = [F.cos(F.radians("lat")) * F.cos(F.radians("lon")), F.cos(F.radians("lat")) * F.sin(F.radians("lon")), F.sin(F.radians("lat"))]
-    there = lambda df, key: df.where("lon is not null and lat is not null").select(key, "lon", "lat", *[v.alias(n) for v, n in zip(sphere, "xyz", strict=True)])
-    right = work.cut(there(b, "b_id"))
+    there = lambda df: df.where("lon is not null and lat is not null")
+    on_spot = F.row_number().over(Window.partitionBy("lon", "lat").orderBy("b_id"))
+    few = there(b).select("b_id", "lon", "lat").withColumn("k", on_spot).where(F.col("k") <= top)  # limited in each task before the shuffle
+    right = work.cut(few.select("b_id", "lon", "lat", *[v.alias(n) for v, n in zip(sphere, "xyz", strict=True)]))
     n = max(1, right.count())
-    left, waiting = work.counted(there(a, "a_id"), F.lit(True))
-    wide = math.sqrt(top / n)  # a cap of this radius holds about a quarter of ``top`` if places are spread evenly
+    spots = there(a).select("lon", "lat").distinct().select(*[F.col(v).alias(f"{v}a") for v in ("lon", "lat")], *[v.alias(f"{n}a") for v, n in zip(sphere, "xyz", strict=True)])
+    left, waiting = work.counted(spots, F.lit(True))
+    wide = uncrowded(right, math.sqrt(top / n), CROWD * top)  # a cap of this radius holds about a quarter of ``top`` if places are spread evenly
     parts = []
     around = F.array(*[F.struct(*[F.lit(k).alias(v) for k, v in zip(o, "ijk", strict=True)]) for o in product((-1, 0, 1), repeat=3)])
-    w = Window.partitionBy("a_id").orderBy("km", "b_id")
+    w = Window.partitionBy("lona", "lata").orderBy("km", "b_id")
+    # Sizes of files say little about rows that are derived from them, so no side is left to be broadcast.
     while waiting:
         cube = lambda v, s=wide: F.floor(F.col(v) / s)
-        asked = left.select("*", F.explode(around).alias("o")).select(F.col("a_id"), *[F.col(v).alias(f"{v}a") for v in ("lon", "lat", "x", "y", "z")], *[(cube(v) + F.col(f"o.{k}")).alias(f"c{v}") for v, k in zip("xyz", "ijk", strict=True)])
-        met = asked.join(right.select("*", *[cube(v).alias(f"c{v}") for v in "xyz"]), ["cx", "cy", "cz"])
+        asked = left.select("*", F.explode(around).alias("o")).select(*left.columns, *[(cube(f"{v}a") + F.col(f"o.{k}")).alias(f"c{v}") for v, k in zip("xyz", "ijk", strict=True)])
+        met = asked.join(right.select("*", *[cube(v).alias(f"c{v}") for v in "xyz"]).hint("merge"), ["cx", "cy", "cz"])
         chord = F.sqrt(sum(F.pow(F.col(v) - F.col(f"{v}a"), 2) for v in "xyz"))
-        near = met.where(chord <= wide).select("a_id", "b_id", geo.haversine_km(F.col("lona"), F.col("lata"), F.col("lon"), F.col("lat")).alias("km"))
+        near = met.where(chord <= wide).select("lona", "lata", "b_id", geo.haversine_km(F.col("lona"), F.col("lata"), F.col("lon"), F.col("lat")).alias("km"))
         best = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-        full = F.count("*").over(Window.partitionBy("a_id"))
+        full = F.count("*").over(Window.partitionBy("lona", "lata"))
         done = work.cut(best.withColumn("found", full).where((F.col("found") >= min(top, n)) | F.lit(wide > 2)).drop("found"))
         parts.append(done)
         if wide > 2:
             break
-        left, waiting = work.counted(left.join(done.select("a_id").distinct(), "a_id", "left_anti"), F.lit(True), left)
+        left, waiting = work.counted(left.join(done.select("lona", "lata").distinct().hint("merge"), ["lona", "lata"], "left_anti"), F.lit(True), left)
         wide *= 2
-    return work.result(all_of(parts) if parts else left.select("a_id", F.lit(None).cast(b.schema["b_id"].dataType).alias("b_id"), F.lit(0.0).alias("km"), F.lit(0).alias("rank")))
+    if not parts:
+        return work.result(there(a).select("a_id", F.lit(None).cast(b.schema["b_id"].dataType).alias("b_id"), F.lit(0.0).alias("km"), F.lit(0).alias("rank")))
+    asking = there(a).select("a_id", F.col("lon").alias("lona"), F.col("lat").alias("lata"))
+    return work.result(asking.join(all_of(parts).hint("merge"), ["lona", "lata"]).select("a_id", "b_id", "km", "rank"))
 
 
 def in_polygon(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:

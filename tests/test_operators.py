@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moraine.operators import downstream, drain, exposure, places, raster, replay, routing, series, spatial
-from moraine.sources import readers, sinks
+from moraine.sources import readers, sinks, workspace
 from moraine.streaming import streams
 
 YEARS = "lake_id string, year int, status string, area_m2 double, uncertainty_m2 double, last_day string"
@@ -161,6 +161,40 @@ def test_nearest_anywhere_equals_a_loop(spark):
     assert spatial.nearest(frames[0], frames[1].where("b_id < 2"), 3).count() == 2 * len(a)
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """The rows of each step that is written, in order; the last is the result."""
+    sizes, write = [], workspace.Work._write
+
+    def counting(self, df):
+        out = write(self, df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(workspace.Work, "_write", counting)
+    return sizes
+
+
+def test_nearest_asks_once_a_spot(spark, written):
+    spots = [(77.0 + k / 50, 32.0 - k / 70) for k in range(5)]
+    a, b = [(k, *spots[k % 3]) for k in range(600)], [(k, *spots[k % 4 + 1]) for k in range(500)]
+    got = sorted((x.a_id, x["rank"], x.b_id) for x in spatial.nearest(spark.createDataFrame(a, "a_id long, lon double, lat double"), spark.createDataFrame(b, "b_id long, lon double, lat double"), 3).collect())
+    far = lambda p, q: round(math.hypot((p[1] - q[1]) * math.cos(math.radians(32)), p[2] - q[2]), 6)
+    assert got == [(p[0], k + 1, q[0]) for p in a for k, q in enumerate(sorted(b, key=lambda q: (far(p, q), q[0]))[:3])]
+    assert max(written[:-1]) <= 12  # 4 spots with 3 ids each
+
+
+def test_nearest_begins_where_few_share_a_cube(spark):
+    rng = random.Random(8)
+    xyz = "x double, y double, z double"
+    town = spark.createDataFrame([(0.5 + rng.random() / 1000, 0.5 + rng.random() / 1000, 0.7) for _ in range(1000)], xyz)
+    wide = spatial.uncrowded(town, 0.05, 12)
+    assert town.groupBy(*[F.floor(F.col(v) / wide) for v in "xyz"]).count().agg(F.sum(F.col("count") ** 2) / 1000).first()[0] <= 12 and wide > 1e-5
+    assert spatial.uncrowded(town, wide, 12) == wide and spatial.uncrowded(town.limit(0), 0.05, 12) == 0.05
+    same = spark.createDataFrame([(0.1, 0.1, 0.1)] * 50, xyz)
+    assert spatial.uncrowded(same, 1e-6, 12) <= spatial.NARROW
+
+
 def test_the_index_finds_what_comparing_all_finds(spark):
     rng = random.Random(7)
     parts, hindi = ["sis", "su", "man", "ali", "key", "long", "gompa", "tal", "ee", "ph", "a"], ["मना", "ली", "सिस", "्सू", "ताल"]
