@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 
@@ -21,10 +22,10 @@ def _bucket(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
-    """Pairs of ``a(a_id, lon, lat)`` and ``b(b_id, lon, lat)`` at most ``km`` apart, anywhere on the globe.
+def _grid(km: float) -> tuple[Callable[[DataFrame, str, str], DataFrame], Callable[[DataFrame, str, str], DataFrame]]:
+    """Adds the cell (by, bx) of a place, and that cell and all others that hold places at most ``km`` from it, a row each.
 
-    Points meet by equality on a cell and its neighbours. Cells lie in bands of latitude as high as the radius; a
+    Cells lie in bands of latitude as high as the radius; a
     band's cells are as wide as the radius is there, divide the full circle evenly and close at 180 degrees. So
     dense places are spread over their cells and far ones never meet.
     """
@@ -36,12 +37,28 @@ def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
         return F.greatest(F.lit(1), F.floor(flat * (360.0 / deg) * (1 - 1e-9))).cast("long")
 
     turn = lambda lon: F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / 360.0
-    left = a.select("a_id", F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"), F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])).alias("o"))
-    left = left.withColumn("by", _bucket(F.col("lat_a"), deg) + F.col("o")).withColumn("n", cells_of(F.col("by")))
-    mine = F.floor(turn("lon_a") * F.col("n"))
-    left = left.withColumn("bx", F.explode(F.array_distinct(F.array(*[F.pmod(mine + k, F.col("n")) for k in (-1, 0, 1)])))).drop("o", "n")
-    right = b.select("b_id", F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), _bucket(F.col("lat"), deg).alias("by"))
-    right = right.withColumn("bx", F.floor(turn("lon_b") * cells_of(F.col("by"))))
+
+    def own(df: DataFrame, lon: str, lat: str) -> DataFrame:
+        df = df.withColumn("by", _bucket(F.col(lat), deg))
+        return df.withColumn("bx", F.floor(turn(lon) * cells_of(F.col("by"))))
+
+    def around(df: DataFrame, lon: str, lat: str) -> DataFrame:
+        df = df.withColumn("o", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])))
+        df = df.withColumn("by", _bucket(F.col(lat), deg) + F.col("o")).withColumn("n", cells_of(F.col("by")))
+        mine = F.floor(turn(lon) * F.col("n"))
+        return df.withColumn("bx", F.explode(F.array_distinct(F.array(*[F.pmod(mine + k, F.col("n")) for k in (-1, 0, 1)])))).drop("o", "n")
+
+    return own, around
+
+
+def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
+    """Pairs of ``a(a_id, lon, lat)`` and ``b(b_id, lon, lat)`` at most ``km`` apart, anywhere on the globe.
+
+    Points meet by equality on a cell and its neighbours.
+    """
+    own, around = _grid(km)
+    left = around(a.select("a_id", F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a")), "lon_a", "lat_a")
+    right = own(b.select("b_id", F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b")), "lon_b", "lat_b")
     out = left.join(right, ["by", "bx"]).withColumn("km", geo.equirect_km(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")))
     return out.where(F.col("km") <= km).select("a_id", "b_id", "km")
 
@@ -115,27 +132,32 @@ def in_polygon(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFr
 
 
 def greedy_spread(points: DataFrame, km: float) -> DataFrame:
-    """Of ``points(grp, id, area, lon, lat)`` per group the largest first, each if no kept one is within ``km``.
+    """Of ``points(grp, id, area, lon, lat)`` per group the largest first, unknown last, each if no kept one is within ``km``.
 
-    In rounds: a point that comes before all its undecided neighbours is kept, and
-    its neighbours go. Neighbours meet by cells, so a group may have any size.
+    In rounds: the first undecided point of a cell is kept if it comes before those of the cells around it, and all
+    within ``km`` of it go. Pairs of points are never listed: a round grows with what is undecided,
+    and a point meets the few that its round kept in the cells around it. Of points on one spot only the first can be kept.
     """
     work = Work(points.sparkSession)
-    near = within_km(*(points.select(F.struct("grp", "id").alias(k), "lon", "lat") for k in ("a_id", "b_id")), km)
-    near = near.where("a_id.grp <=> b_id.grp and not (a_id.id <=> b_id.id)").select(F.col("a_id").alias("at"), F.col("b_id").alias("by"))
-    rank = points.select(F.struct("grp", "id").alias("at"), F.struct((-F.col("area")).alias("o"), "id").alias("rank"))
-    near = near.join(rank.select(F.col("at").alias("by"), F.col("rank").alias("by_rank")), "by")
-    near = work.cut(near.join(rank, "at").withColumn("before", F.col("by_rank") < F.col("rank")).select("at", "by", "before"))
-    # A point without neighbours is kept; only the others take part in rounds.
-    open_ = work.cut(near.select("at").distinct())
-    kept, left = [work.cut(rank.select("at").join(open_, "at", "left_anti"))], 1
+    own, around = _grid(km)
+    lon, lat = F.col("lon"), F.col("lat")
+    meets = F.coalesce(geo.equirect_km(lon, lat, lon, lat) <= km, F.lit(False))  # a place that is unknown is near nothing
+    ranked = points.select(F.struct("grp").alias("g"), F.struct(F.isnull("area").alias("u"), (-F.col("area")).alias("o"), "id").alias("rank"), "lon", "lat", meets.alias("meets"))
+    spots = ranked.where("meets").groupBy("g", "lon", "lat").agg(F.min("rank").alias("rank"))
+    kept = [work.cut(ranked.where("not meets").select("g", "rank"))]
+    open_, left = work.counted(own(spots, "lon", "lat"), F.lit(True))
+    cell = ["g", "by", "bx"]
     while left:
-        edges = near.join(open_.select(F.col("at").alias("by")), "by", "left_semi").join(open_, "at", "left_semi")
-        first = work.cut(open_.join(edges.where("before").select("at").distinct(), "at", "left_anti"))
-        gone = near.join(first.select(F.col("at").alias("by")), "by", "left_semi").select("at").unionByName(first)
-        open_, left = work.counted(open_.join(gone.distinct(), "at", "left_anti"), F.lit(True), open_)
+        best = work.cut(open_.groupBy(*cell).agg(F.min(F.struct("rank", "lon", "lat")).alias("p")).select(*cell, "p.*"))
+        met = around(best.select("g", "rank", "lon", "lat"), "lon", "lat").join(best.select(*cell, F.col("rank").alias("other")).hint("merge"), cell)
+        beaten = met.groupBy("g", "rank", "lon", "lat").agg(F.bool_or(F.col("other") < F.col("rank")).alias("beaten"))
+        first = work.cut(beaten.where("not beaten").select("g", "rank", F.col("lon").alias("lon_k"), F.col("lat").alias("lat_k")), best)
         kept.append(first)
-    return work.result(all_of(kept).select("at.grp", "at.id"))
+        near = around(first.drop("rank"), "lon_k", "lat_k")
+        within = geo.equirect_km(lon, lat, F.col("lon_k"), F.col("lat_k")) <= km
+        goes = reduce(Column.__and__, [open_[c] == near[c] for c in cell], within)
+        open_, left = work.counted(open_.join(near.hint("merge"), goes, "left_anti"), F.lit(True), open_)
+    return work.result(all_of([k.select("g.grp", "rank.id") for k in kept]))
 
 
 #: Segments of a path that are ruled out together.

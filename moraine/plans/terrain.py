@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import geo, rules
@@ -134,9 +134,9 @@ def scene_masks(spark: SparkSession, sf: str) -> DataFrame:
     return cells.withColumn("observed", seen).select("grid_id", "r", "c", "observed", rules.water(F.col("observed"), F.col("i")).alias("water"))
 
 
-def _points(spark: SparkSession, sf: str, name: str, key: str, out: str) -> DataFrame:
+def _points(spark: SparkSession, sf: str, name: str, key: str, out: str, *more: Column) -> DataFrame:
     k = F.col(key)
-    return d.table(spark, sf, name).select(k.alias(out), (k * 37 % 400 / 100.0 + 75).alias("lon"), (k * 91 % 300 / 100.0 + 30).alias("lat"))
+    return d.table(spark, sf, name).select(k.alias(out), (k * 37 % 400 / 100.0 + 75).alias("lon"), (k * 91 % 300 / 100.0 + 30).alias("lat"), *more)
 
 
 PTS = """a AS (SELECT c_custkey AS a_id, c_custkey * 37 % 400 / 100.0::DOUBLE + 75 AS lon, c_custkey * 91 % 300 / 100.0::DOUBLE + 30 AS lat FROM customer),
@@ -175,8 +175,8 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def greedy_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Largest first within twenty kilometres; tests hold the rounds to a loop."""
-    p = _points(spark, sf, "customer", "c_custkey", "id").join(d.table(spark, sf, "customer"), F.col("id") == F.col("c_custkey"))
-    return spatial.greedy_spread(p.select(F.col("c_nationkey").alias("grp"), "id", F.col("c_acctbal").alias("area"), "lon", "lat"), 20.0)
+    p = _points(spark, sf, "customer", "c_custkey", "id", F.col("c_nationkey").alias("grp"), F.col("c_acctbal").alias("area")).where("id is not null")
+    return spatial.greedy_spread(p, 20.0)
 
 
 @query(ctes(PTS) + """, seg AS (SELECT g AS path_id, i, (i - 1) * 0.5 * sqrt(2::DOUBLE) AS chain, 75 + (i - 1) * 0.5::DOUBLE AS ax, 30 + (i - 1) * 0.5::DOUBLE AS ay, 75 + i * 0.5::DOUBLE AS bx, 30 + i * 0.5::DOUBLE AS by_

@@ -263,6 +263,31 @@ def test_greedy_spread_equals_a_loop(spark):
     assert sorted(r.id for r in spatial.greedy_spread(df, 2.0).collect()) == sorted(k for k, _, _ in kept)
 
 
+def spread_by_a_loop(rows, km):
+    kept = []
+    for g, k, area, lon, lat in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0.0), r[1])):
+        near = lambda x, y: 111.0 * math.hypot(y - lat, (x - lon) * math.cos(math.radians(lat))) <= km  # noqa: B023, E731
+        if lon is None or not any(h == g and x is not None and near(x, y) for h, _, x, y in kept):
+            kept.append((g, k, lon, lat))
+    return sorted((g or 0, k) for g, k, _, _ in kept)
+
+
+def test_greedy_spread_lists_no_pairs(spark, written):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 2, None]), k, rng.choice([None, float(rng.randrange(9))]), 77 + rng.random() / 30, 32 + rng.random() / 30) for k in range(300)]
+    rows += [(1, 1000 + k, 5.0, 77.5 + k % 4 / 90, 32.5) for k in range(200)] + [(2, 2000 + k, 1.0, None, 32.0) for k in range(5)]
+    df = spark.createDataFrame(rows, "grp int, id long, area double, lon double, lat double")
+    assert sorted((r.grp or 0, r.id) for r in spatial.greedy_spread(df, 2.0).collect()) == spread_by_a_loop(rows, 2.0)
+    assert max(written) <= 309  # each undecided spot once, and what is near nothing
+
+
+def test_greedy_spread_measures_from_the_later_point(spark):
+    # the third is in reach of the fourth as the third's latitude has it, not as the fourth's has; the second goes by the first
+    rows = [(1, 1, 4.0, 20.0, 80.19), (1, 2, 3.0, 20.0, 80.12), (1, 3, 2.0, 20.0, 80.05), (1, 4, 1.0, 20.3271, 79.98), (1, 5, 0.5, 20.3271, 79.93)]
+    df = spark.createDataFrame(rows, "grp int, id long, area double, lon double, lat double")
+    assert sorted((r.grp, r.id) for r in spatial.greedy_spread(df, 10.0).collect()) == spread_by_a_loop(rows, 10.0) == [(1, 1), (1, 3), (1, 4)]
+
+
 def test_components_and_closing(spark):
     shape = ["##..#", "#...#", "....."]
     cells = [(1, r, c) for r, line in enumerate(shape) for c, x in enumerate(line) if x == "#"]
